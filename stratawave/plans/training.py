@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratawave.operators import consolidate, salted, spikes
 from stratawave.operators import regular_grid as rg
 from stratawave.session import table
 
@@ -29,6 +30,52 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message, _ = consolidate.consolidated(spark, f"{sf_dir}/message.parquet")
+    return consolidate.fragment_roles(table(spark, sf_dir, "fragment"), message.select("source_uri", "topic", "msg_id", "fragment_id"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that add no record, from the consolidated files."""
+    return roles(spark, sf_dir).filter("role = 'drop'").select("fragment_id")
+
+
+def p2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every fragment."""
+    return roles(spark, sf_dir)
+
+
+def p2_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and records by topic, read back from the consolidated files."""
+    message, _ = consolidate.consolidated(spark, f"{sf_dir}/message.parquet")
+    return message.groupBy("topic").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("msg_id").alias("records"), F.count("timestamp").alias("timed"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics holding at least 5 % of the declared records."""
+    return salted.topic_totals(table(spark, sf_dir, "manifest")).filter("share >= 0.05").select("topic")
+
+
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared records of all topics."""
+    return salted.topic_totals(table(spark, sf_dir, "manifest")).select("topic", "records", "series", F.round("share", 9).alias("share"))
+
+
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored messages of all topics."""
+    return salted.topic_statistics(table(spark, sf_dir, "message"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable messages with an implausible element."""
+    return p4_flags(spark, sf_dir).select("msg_id").distinct()
+
+
+def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason for every implausible element."""
+    return spikes.flag_implausible(table(spark, sf_dir, "message"), table(spark, sf_dir, "topic_spec"))
+
+
 #: Usable messages, each record once, as the tables' description defines them.
 USABLE_SQL = """usable AS (
   SELECT DISTINCT msg_id, source_uri, topic, seq, "timestamp" AS ts, data FROM message
@@ -41,7 +88,20 @@ SLOTS_SQL = """bounds AS (
   JOIN topic_spec s USING (topic) WHERE s.period > 0),
 slots AS (SELECT source_uri, topic, start, period, unnest(range(n)) AS slot FROM bounds)"""
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid}
+QUERIES = {q.__name__: q for q in (p1_found, p1_grid, p2_found, p2_roles, p2_consolidated, p3_found, p3_totals, p3_statistics, p4_found, p4_flags)}
+TOTALS_SQL = """counts AS (
+  SELECT source_uri, topic, max("count") AS n FROM manifest x
+  WHERE "count" IS NOT NULL AND written_at = (SELECT max(written_at) FROM manifest y WHERE y.source_uri = x.source_uri AND y.topic = x.topic AND y."count" IS NOT NULL)
+  GROUP BY 1, 2),
+totals AS (SELECT topic, CAST(sum(n) AS BIGINT) AS records, count(*) AS series FROM counts GROUP BY 1)"""
+ROLES_SQL = """held AS (SELECT source_uri, topic, msg_id, fragment_id, count(*) AS copies FROM message WHERE fragment_id IS NOT NULL GROUP BY ALL),
+first AS (SELECT source_uri, topic, msg_id, min(fragment_id) AS fragment_id FROM held GROUP BY ALL),
+owned AS (SELECT fragment_id, count(*) AS owned FROM first GROUP BY 1),
+total AS (SELECT fragment_id, count(*) AS held, max(copies) AS copies FROM held GROUP BY 1),
+roles AS (
+  SELECT f.fragment_id, coalesce(held, 0) AS held, coalesce(owned, 0) AS owned,
+    CASE WHEN owned IS NULL THEN 'drop' WHEN owned = held AND copies = 1 THEN 'copy' ELSE 'rewrite' END AS role
+  FROM (SELECT DISTINCT fragment_id FROM fragment) f LEFT JOIN total USING (fragment_id) LEFT JOIN owned USING (fragment_id))"""
 ORACLE: dict[str, str] = {
     "p1_found": f"""WITH {USABLE_SQL}, {SLOTS_SQL}
 SELECT source_uri, topic, slot FROM slots g WHERE NOT EXISTS (
@@ -66,4 +126,12 @@ SELECT source_uri, topic, slot, readings, status, round(support, 6) AS support,
   CASE WHEN status <> 'missing' THEN round(CASE WHEN s0 * s2 - s1 * s1 > s0 * s0 * 1e-6 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / nullif(s0, 0) END, 6) END AS value_0,
   CASE WHEN status <> 'missing' THEN round(CASE WHEN s0 * s2 - s1 * s1 > s0 * s0 * 1e-6 THEN (s2 * v0 - s1 * v1) / (s0 * s2 - s1 * s1) ELSE v0 / nullif(s0, 0) END, 6) END AS value_1
 FROM o""",
+    "p2_found": f"WITH {ROLES_SQL} SELECT fragment_id FROM roles WHERE role = 'drop'",
+    "p2_roles": f"WITH {ROLES_SQL} SELECT * FROM roles",
+    "p2_consolidated": 'SELECT topic, count(*) AS rows, count(DISTINCT msg_id) AS records, count("timestamp") AS timed FROM message GROUP BY 1',
+    "p3_found": f"WITH {TOTALS_SQL} SELECT topic FROM totals WHERE records >= 0.05 * (SELECT sum(records) FROM totals)",
+    "p3_totals": f"WITH {TOTALS_SQL} SELECT topic, records, series, round(records / (SELECT CAST(sum(records) AS DOUBLE) FROM totals), 9) AS share FROM totals",
+    "p3_statistics": """SELECT topic, count(*) AS rows, CAST(sum(CASE WHEN "timestamp" IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS timed,
+  count(data[1]) FILTER (NOT isnan(data[1])) AS "values", min(data[1]) FILTER (NOT isnan(data[1])) AS least, max(data[1]) FILTER (NOT isnan(data[1])) AS largest
+FROM message GROUP BY 1""",
 }
