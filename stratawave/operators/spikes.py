@@ -15,7 +15,7 @@ from stratawave.session import changes, cut, usable, whole_groups
 #: Readings of one block and of the overlap at its borders; they bound what a task holds.
 BLOCK, HALO = 4096, 64
 #: Weight of a new reading; clip, in scales; limit of a normal deviation, in scales.
-WEIGHT, CLIP, LIMIT = 0.25, 2.5, 7.0
+WEIGHT, CLIP, LIMIT = 0.25, 2.5, 6.0
 #: Deviations on one side after which the chart takes a new level; equal readings that count as stuck; share of repeats of a source that repeats by nature.
 RELEVEL, STUCK, REPEATS = 6, 8, 0.3
 #: Bins of the histogram of deviations: each is wider than the one before by this factor.
@@ -60,11 +60,11 @@ def chart(x: np.ndarray, sizes: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def own_scale(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Robust spread of each row: of its successive differences, with the finest step seen as the floor."""
     d = np.where(np.arange(1, x.shape[1]) < sizes[:, None], np.abs(np.diff(x, axis=1)), np.nan)
-    with np.errstate(invalid="ignore"):
-        spread = 1.4826 * np.nanmedian(d, axis=1) / math.sqrt(2)
-        step = np.nanmin(np.where(d > 0, d, np.nan), axis=1)
-        middle = np.abs(np.nanmedian(np.where(np.arange(x.shape[1]) < sizes[:, None], x, np.nan), axis=1))
-    return np.fmax(np.fmax(spread, np.nan_to_num(step) / 2), 1e-12 * np.nan_to_num(middle) + 1e-300)
+    single = sizes < 2
+    d = np.where(single[:, None], 0.0, d) if d.shape[1] else np.zeros((len(x), 1))
+    spread = 1.4826 * np.nanmedian(d, axis=1) / math.sqrt(2)
+    step = np.min(np.where(d > 0, d, np.inf), axis=1)
+    return np.maximum(np.maximum(spread, np.where(np.isfinite(step), step, 0) / 2), 1e-12 * np.abs(x[:, 0]) + 1e-300)
 
 
 def run_lengths(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
