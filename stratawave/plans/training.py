@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratawave.operators import consolidate, salted, spikes
+from stratawave.operators import consolidate, salted, spikes, trips
 from stratawave.operators import regular_grid as rg
 from stratawave.session import table
 
@@ -76,6 +76,16 @@ def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.flag_implausible(table(spark, sf_dir, "message"), table(spark, sf_dir, "topic_spec"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings within a stop."""
+    return trips.mark_stops(table(spark, sf_dir, "navsensor")).filter("stopped AND nav_id IS NOT NULL").select("nav_id")
+
+
+def p5_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops and trips of every drive."""
+    return trips.stops_and_trips(table(spark, sf_dir, "navsensor"))
+
+
 #: Usable messages, each record once, as the tables' description defines them.
 USABLE_SQL = """usable AS (
   SELECT DISTINCT msg_id, source_uri, topic, seq, "timestamp" AS ts, data FROM message
@@ -88,7 +98,7 @@ SLOTS_SQL = """bounds AS (
   JOIN topic_spec s USING (topic) WHERE s.period > 0),
 slots AS (SELECT source_uri, topic, start, period, unnest(range(n)) AS slot FROM bounds)"""
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_grid, p2_found, p2_roles, p2_consolidated, p3_found, p3_totals, p3_statistics, p4_found, p4_flags)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_grid, p2_found, p2_roles, p2_consolidated, p3_found, p3_totals, p3_statistics, p4_found, p4_flags, p5_found, p5_trips)}
 TOTALS_SQL = """counts AS (
   SELECT source_uri, topic, max("count") AS n FROM manifest x
   WHERE "count" IS NOT NULL AND written_at = (SELECT max(written_at) FROM manifest y WHERE y.source_uri = x.source_uri AND y.topic = x.topic AND y."count" IS NOT NULL)
