@@ -19,8 +19,8 @@ STOP_SECONDS, SLACK = 180.0, 20.0
 HALF_WINDOW, LEAST_PINGS = 75.0, 3
 #: Net displacement over path length below which a window does not move; its extent in noise spreads.
 MOVABILITY, EXTENT = 0.45, 3.5
-#: Metres of noise assumed at least; metres a stop's place extends at least; fastest plausible speed in m/s.
-LEAST_NOISE, LEAST_RADIUS, FASTEST = 3.0, 18.0, 70.0
+#: Metres of noise assumed at least; least radius of a place and bound of the extent of a window, in metres; fastest plausible speed in m/s.
+LEAST_NOISE, LEAST_RADIUS, LEAST_EXTENT, FASTEST = 3.0, 18.0, 30.0, 70.0
 EARTH = 6378137.0
 
 OUT = "source_uri string, topic string, nav_id long, seq long, timestamp double, east double, north double, good boolean, stopped boolean, run long"
@@ -75,7 +75,7 @@ def movability(t: np.ndarray, x: np.ndarray, y: np.ndarray, noise: float) -> np.
     length = path[last] - path[first]
     variance = (cxx[last + 1] - cxx[first]) / k - ((cx[last + 1] - cx[first]) / k) ** 2 + (cyy[last + 1] - cyy[first]) / k - ((cy[last + 1] - cy[first]) / k) ** 2
     extent = np.sqrt(np.maximum(variance, 0))
-    return (net < MOVABILITY * np.maximum(length, 1e-9)) & (extent < np.maximum(EXTENT * noise, LEAST_RADIUS)) & (k > 2)
+    return (net < MOVABILITY * np.maximum(length, 1e-9)) & (extent < np.maximum(EXTENT * noise, LEAST_EXTENT)) & (k > 2)
 
 
 def noise_of(x: np.ndarray, y: np.ndarray) -> float:
