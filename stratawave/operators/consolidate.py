@@ -56,6 +56,8 @@ def copy_blocks(paths: list[str], name, out_dir: str) -> Iterator[dict]:
                 fs, inner = filesystem(path)
                 with fs.open_input_file(inner) as handle:
                     for row_group in ff.get(footer, 4, (ff.STRUCT, []))[1]:
+                        if not ff.get(row_group, 3):
+                            continue  # a block without rows may have no pages
                         offsets = []
                         for column in ff.get(row_group, 1)[1]:
                             start, length = ff.span(column)
@@ -91,8 +93,8 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
     """Copy the blocks of all Parquet files below ``source`` into files of about ``target_bytes`` below ``out_dir``.
 
     No page is decoded: column blocks are copied byte by byte, offsets move, and one
-    footer describes them all. Files whose schemas differ go to different outputs; empty
-    files add no block; what is no Parquet file is reported in ``refused`` and left alone.
+    footer describes them all. Files whose schemas differ go to different outputs; files
+    without rows add no block and files of length 0 are passed over; what is no Parquet file is reported in ``refused`` and left alone.
     Sources are never changed. ``out_dir`` must be new, in a folder that all executors see.
 
     Result, once the files are in place: one row for each output (file, schema_id,

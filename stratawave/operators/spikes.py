@@ -21,7 +21,6 @@ RELEVEL, STUCK, REPEATS = 6, 8, 0.3
 #: Bins of the histogram of deviations: each is wider than the one before by this factor.
 STEP = 1.02
 
-SHAPE = "source_uri string, topic string, block long, seq long, msg_id long, timestamp double, data array<double>"
 OUT = "kind int, msg_id long, topic string, element int, deviation double, scale double, run int, bin int, n long, repeats long"
 
 
@@ -75,7 +74,7 @@ def run_lengths(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(ids)[ids]
 
 
-def examine(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def examine(group: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
     """Candidates (kind 0) and histograms by topic and element (kind 1) of some whole blocks."""
     # a record stored repeatedly is one reading
     group = group[changes(group, ["source_uri", "topic", "block", "seq", "msg_id", "timestamp"])].reset_index(drop=True)
@@ -109,7 +108,7 @@ def examine(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
             deviation[at] = np.where(f * b > 0, np.minimum(np.abs(f), np.abs(b)), 0.0)
             scale[at] = own[r]
         runs = run_lengths(v, new)
-        core = np.asarray(part["seq"].to_numpy(float) // BLOCK == part["block"].to_numpy(float)) | part["seq"].isna().to_numpy()
+        core = np.asarray(part["seq"].to_numpy(float) // size == part["block"].to_numpy(float)) | part["seq"].isna().to_numpy()
         keep = core & ((deviation > 0.5 * LIMIT * scale) | (runs >= STUCK))
         if keep.any():
             yield pd.DataFrame({"kind": 0, "msg_id": part["msg_id"][keep], "topic": part["topic"][keep], "element": element, "deviation": deviation[keep], "scale": scale[keep], "run": runs[keep], "bin": 0, "n": 1, "repeats": 0})
@@ -122,12 +121,15 @@ def examine(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"kind": 1, "msg_id": None, "topic": counted["topic"], "element": element, "deviation": None, "scale": None, "run": 0, "bin": counted["bin"], "n": counted["n"], "repeats": counted["repeats"]})
 
 
-def examined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for group in whole_groups(batches, ["source_uri", "topic", "block"]):
-        yield from examine(group)
+def examined(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(batches, ["source_uri", "topic", "block"]):
+            yield from examine(group, size)
 
+    return run
 
-def flag_implausible(message: DataFrame, spec: DataFrame, limit: float = LIMIT) -> DataFrame:
+
+def flag_implausible(message: DataFrame, spec: DataFrame, limit: float = LIMIT, block_size: int = BLOCK) -> DataFrame:
     """Flag the elements of usable messages that their source would not normally produce.
 
     ``message`` has msg_id, source_uri, topic, seq, timestamp and data; ``spec`` has one
@@ -144,19 +146,19 @@ def flag_implausible(message: DataFrame, spec: DataFrame, limit: float = LIMIT)
     examined. Messages of topics without ``spec`` are charted but have no range; those
     of the null topic or source form series of their own.
 
-    Series are cut into blocks of BLOCK readings, HALO more at each side, so that a hot
+    Series are cut into blocks of ``block_size`` readings, HALO more at each side, so that a hot
     series spreads over tasks. The charts run once over the data and leave candidates and
     mergeable histograms of the deviations by topic, from which the spreads come.
     """
-    block = F.floor(F.col("seq") / BLOCK)
-    blocks = F.array_distinct(F.array(F.coalesce(block, F.lit(0).cast("long")), *(F.coalesce(F.greatest(F.lit(0), F.floor((F.col("seq") + d) / BLOCK)), F.lit(0).cast("long")) for d in (-HALO, HALO))))
+    block = F.floor(F.col("seq") / block_size)
+    blocks = F.array_distinct(F.array(F.coalesce(block, F.lit(0).cast("long")), *(F.coalesce(F.greatest(F.lit(0), F.floor((F.col("seq") + d) / block_size)), F.lit(0).cast("long")) for d in (-HALO, HALO))))
     sorted_blocks = (
         usable(message)
         .select("source_uri", "topic", F.explode(blocks).alias("block"), "seq", "msg_id", "timestamp", "data")
         .repartition("source_uri", "topic", "block")
         .sortWithinPartitions("source_uri", "topic", "block", "seq", "timestamp", "msg_id")
     )
-    seen = cut(sorted_blocks.mapInPandas(examined, OUT))
+    seen = cut(sorted_blocks.mapInPandas(examined(block_size), OUT))
     histogram = seen.filter("kind = 1").groupBy("topic", "element", "bin").agg(F.sum("n").alias("n"), F.sum("repeats").alias("repeats"))
     spread = topic_spread(histogram)
     found = (

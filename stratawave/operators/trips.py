@@ -181,18 +181,22 @@ def label(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source_uri": group["source_uri"], "topic": group["topic"], "nav_id": group["nav_id"], "seq": group["seq"], "timestamp": t, "east": x, "north": y, "good": good, "stopped": stopped, "run": run, "block": group["block"]})
 
 
-def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def labelled(size: int):
     keys = ["source_uri", "topic", "block"]
-    for chunk in whole_groups(batches, keys):
-        chunk = chunk[changes(chunk, [*keys, "seq", "timestamp", "nav_id"])].reset_index(drop=True)
-        starts = np.append(np.flatnonzero(changes(chunk, keys)), len(chunk))
-        for a, b in zip(starts[:-1], starts[1:]):
-            out = label(chunk.iloc[a:b].reset_index(drop=True))
-            core = (out["seq"] // BLOCK == out["block"]) | out["seq"].isna()
-            yield out.loc[core, [c.split()[0] for c in OUT.split(", ")]]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in whole_groups(batches, keys):
+            chunk = chunk[changes(chunk, [*keys, "seq", "timestamp", "nav_id"])].reset_index(drop=True)
+            starts = np.append(np.flatnonzero(changes(chunk, keys)), len(chunk))
+            for a, b in zip(starts[:-1], starts[1:]):
+                out = label(chunk.iloc[a:b].reset_index(drop=True))
+                core = (out["seq"] // size == out["block"]) | out["seq"].isna()
+                yield out.loc[core, [c.split()[0] for c in OUT.split(", ")]]
 
-def mark_stops(navsensor: DataFrame) -> DataFrame:
+    return run
+
+
+def mark_stops(navsensor: DataFrame, block_size: int = BLOCK, halo: int = HALO) -> DataFrame:
     """Each timed ping once, with what it is part of: stopped is true within a stop.
 
     ``navsensor`` has source_uri, topic, nav_id, seq, timestamp and data (lat, lon, ...).
@@ -202,28 +206,28 @@ def mark_stops(navsensor: DataFrame) -> DataFrame:
     whose positions are all missing has no stop.
 
     Pings of a drive are taken in the order of seq, the device's own count. Drives are cut
-    into blocks of BLOCK pings that see HALO more on each side, so no task holds an
+    into blocks of ``block_size`` pings that see ``halo`` more on each side, so no task holds an
     unbounded drive, and the labels of a stop that crosses a border agree on both sides.
     """
-    blocks = F.array_distinct(F.array(*(F.greatest(F.lit(0), F.floor((F.coalesce("seq", F.lit(0)) + d) / BLOCK)) for d in (-HALO, 0, HALO))))
+    blocks = F.array_distinct(F.array(*(F.greatest(F.lit(0), F.floor((F.coalesce("seq", F.lit(0)) + d) / block_size)) for d in (-halo, 0, halo))))
     return (
         navsensor.filter(finite(F.col("timestamp")))
         .select("source_uri", "topic", F.explode(blocks).alias("block"), "seq", "timestamp", "nav_id", F.get("data", F.lit(0)).alias("lat"), F.get("data", F.lit(1)).alias("lon"))
         .repartition("source_uri", "topic", "block")
         .sortWithinPartitions("source_uri", "topic", "block", "seq", "timestamp", "nav_id")
-        .mapInPandas(labelled, OUT)
+        .mapInPandas(labelled(block_size), OUT)
     )
 
 
-def stops_and_trips(navsensor: DataFrame) -> DataFrame:
+def stops_and_trips(navsensor: DataFrame, block_size: int = BLOCK, halo: int = HALO) -> DataFrame:
     """Stops and trips of each drive: source_uri, topic, kind, start_time, end_time, duration, distance, pings.
 
     A trip runs from the last ping of the stop before to the first of the stop after; its
     distance is the path over plausible positions, a stop's distance is 0. Runs of equal
     kind that meet at a block's border are one. A drive without a stop is one trip.
     """
-    marked = mark_stops(navsensor)
-    block = F.floor(F.coalesce("seq", F.lit(0)) / BLOCK)
+    marked = mark_stops(navsensor, block_size, halo)
+    block = F.floor(F.coalesce("seq", F.lit(0)) / block_size)
     inside = Window.partitionBy("source_uri", "topic", "block", "run").orderBy("seq", "timestamp", "nav_id")
     spot = F.when(F.col("good"), F.struct("east", "north"))
     before = F.last(spot, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
