@@ -34,9 +34,11 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None)
     larger budget keeps what a smaller one chose.
 
     Result: the records with copies >= 1 (doc_id, source, tokens, copies), and a report
-    (source, tokens, target_share, max_repeats, budget, mixed, share, reachable) with one
-    row for each target. share is the reached share of all mixed tokens. Records without
-    source, or of a source that is not listed, are not mixed.
+    (source, tokens, target_share, max_repeats, budget, mixed, share, share_of_total,
+    reachable) with one row for each target. share is the reached share of all mixed
+    tokens, share_of_total that of ``total``: where a source cannot reach its share, the
+    others keep theirs of the total and so have a larger one of what is mixed. Records
+    without source, or of a source that is not listed, are not mixed.
     """
     wanted = F.broadcast(
         targets.filter(F.col("source").isNotNull()).dropDuplicates(["source"])
@@ -50,7 +52,8 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None)
     everything = F.lit(total) if total is not None else F.coalesce(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(0))
     budgets = (
         wanted.join(have, "source", "left").fillna(0, ["tokens"])
-        .withColumn("budget", F.col("target_share") * everything)
+        .withColumn("everything", everything.cast("long"))
+        .withColumn("budget", F.col("target_share") * F.col("everything"))
         .withColumn("reachable", ~(F.col("tokens") * F.col("max_repeats") < F.col("budget")))
         .withColumn("passes", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("long"), F.floor(F.col("budget") / F.col("tokens")))).otherwise(F.lit(0).cast("long")))
         .withColumn("open", F.when(F.col("passes") < F.col("max_repeats"), F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0.0))
@@ -94,7 +97,8 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None)
     report = budgets.join(mixed, "source", "left").fillna(0, ["mixed"])
     report = report.select(
         "source", "tokens", "target_share", "max_repeats", "budget", "mixed",
-        (F.col("mixed") / F.nullif(F.sum("mixed").over(Window.partitionBy(F.lit(0))), F.lit(0).cast("long"))).alias("share"), "reachable",
+        (F.col("mixed") / F.nullif(F.sum("mixed").over(Window.partitionBy(F.lit(0))), F.lit(0).cast("long"))).alias("share"),
+        (F.col("mixed") / F.nullif(F.col("everything"), F.lit(0).cast("long"))).alias("share_of_total"), "reachable",
     )
     return chosen, report
 
