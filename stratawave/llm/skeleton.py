@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratawave.session import cut
+
 #: Letters of other scripts that are drawn as a Latin letter, each string beside its Latin one.
 LOOK_ALIKES = (
     ("АВЕЅІЈКМНОРСТУХԌԚԜҮӀԀ", "ABESIJKMHOPCTYXGQWYID"),  # Cyrillic capitals
@@ -129,10 +131,12 @@ def look_alike_pairs(documents: DataFrame) -> DataFrame:
     visible character. Rows without doc_id are in no pair. Skeletons and texts are
     compared whole, behind 64-bit hashes that carry the shuffle.
     """
-    # a text is moved as two hashes of 64 bits; texts themselves meet only where a skeleton has several texts
-    marked = classes(documents.filter(F.col("doc_id").isNotNull())).filter("seen").withColumns({"form": F.xxhash64("skeleton"), "own": F.xxhash64("text")})
-    mixed = marked.groupBy("form").agg(F.min("own").alias("least"), F.max("own").alias("largest")).filter("least <> largest").select("form")
-    few = marked.join(mixed, "form", "left_semi")
+    named = documents.filter(F.col("doc_id").isNotNull())
+    # every text is moved as two hashes; texts meet only where one skeleton has several of them
+    hashes = cut(classes(named).filter("seen").select("doc_id", F.xxhash64("skeleton").alias("form"), F.xxhash64("text").alias("own")))
+    mixed = hashes.groupBy("form").agg(F.min("own").alias("least"), F.max("own").alias("largest")).filter("least <> largest").select("form")
+    concerned = hashes.join(mixed, "form", "left_semi").select("doc_id")
+    few = classes(named.join(concerned, "doc_id", "left_semi")).withColumn("form", F.xxhash64("skeleton"))
     a, b = few.alias("a"), few.alias("b")
     return (
         a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.skeleton") == F.col("b.skeleton")) & (F.col("a.text") != F.col("b.text")))
