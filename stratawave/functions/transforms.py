@@ -35,7 +35,7 @@ def transform_poses(poses, transform) -> Column:
     t = v.transform4(transform)
     position = [v.dot(row[:3], p[:3]) + row[3] for row in t]
     turn = q.rotation_matrix_to_quaternion([row[:3] for row in t])
-    return F.array(*position, *q.normalize_quaternion(q.multiply(turn, p[3:])))
+    return F.concat(F.array(*position), v.packed(q.normalize_quaternion(q.multiply(turn, F.slice(v.packed(poses, 7), 4, 4)))))
 
 
 def transform_odometry(odometry, transform) -> Column:
@@ -47,7 +47,7 @@ def transform_odometry(odometry, transform) -> Column:
     squared = [[x * x for x in row] for row in r]
     turn = q.rotation_matrix_to_quaternion(r)
     moved = [v.dot(row[:3], rows[0][:3]) + row[3] for row in t]
-    out = [moved + rows[0][3:], v.times(squared, rows[1][:3]) + rows[1][3:], q.normalize_quaternion(q.multiply(turn, rows[2]))]
+    out = [moved + rows[0][3:], v.times(squared, rows[1][:3]) + rows[1][3:], list(q.normalize_quaternion(q.multiply(turn, rows[2])))]
     for i in range(3, 8):
         out.append(v.times(squared if i % 2 else r, rows[i][:3]) + rows[i][3:])
     return F.array(*(x for row in out for x in row))
@@ -63,7 +63,7 @@ def transform_navsat(navsat, transform, ref_lat, ref_lon, ref_alt=0.0) -> Column
 def pose_to_matrix(pose) -> Column:
     """4x4 matrix of a pose, flat and row by row."""
     p = v.vector(pose, 7)
-    r = q.quaternion_to_rotation_matrix(p[3:])
+    r = q.quaternion_to_rotation_matrix(F.slice(v.packed(pose, 7), 4, 4))
     return F.array(*(x for i in range(3) for x in [*r[i], p[i]]), *(F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)))
 
 

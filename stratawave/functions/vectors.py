@@ -12,7 +12,24 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Vector = list
+
+class Vector(list):
+    """Columns of a vector; ``array`` is the array column they were read from, if there is one."""
+
+    def __init__(self, items=(), array: Column | None = None):
+        super().__init__(items)
+        self.array = array
+
+
+def let(x: Column, *steps) -> Column:
+    """steps[-1](... steps[0](x)), each step's argument computed once.
+
+    Without this, an expression that uses its argument several times repeats it, and
+    chains of such expressions grow exponentially.
+    """
+    for step in steps:
+        x = F.get(F.transform(F.array(x), step), F.lit(0))
+    return x
 
 
 def col(x) -> Column:
@@ -21,7 +38,16 @@ def col(x) -> Column:
 
 def unpack(array: Column | str, n: int, start: int = 0) -> Vector:
     """Elements ``start`` to ``start + n - 1`` of an array column; null behind its end."""
-    return [F.get(col(array), F.lit(start + i)) for i in range(n)]
+    return Vector((F.get(col(array), F.lit(start + i)) for i in range(n)), col(array) if start == 0 else None)
+
+
+def packed(x, n: int | None = None) -> Column:
+    """An array column of a vector's elements; the one it was read from, if there is one."""
+    if isinstance(x, (Column, str)):
+        return col(x)
+    if n is not None and len(x) != n:
+        raise ValueError(f"{n} components are needed, not {len(x)}")
+    return x.array if isinstance(x, Vector) and x.array is not None else F.array(*(col(v) for v in x))
 
 
 def vector(x, n: int) -> Vector:
@@ -29,7 +55,7 @@ def vector(x, n: int) -> Vector:
     if isinstance(x, (list, tuple, np.ndarray)):
         if len(x) != n:
             raise ValueError(f"{n} components are needed, not {len(x)}")
-        return [col(v) for v in x]
+        return x if isinstance(x, Vector) else Vector(col(v) for v in x)
     return unpack(x, n)
 
 

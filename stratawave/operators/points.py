@@ -188,10 +188,16 @@ def local_covariances(points: DataFrame, k: int = 8, by: Sequence[str] = ()) ->
     return found.withColumnRenamed("qid", "pid")
 
 
-@F.pandas_udf("struct<eigenvalues: array<double>, normal: array<double>>")
-def principal(covariances: pd.Series) -> pd.DataFrame:
-    values, vectors = np.linalg.eigh(np.stack([np.asarray(c, float).reshape(3, 3) for c in covariances])) if len(covariances) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
-    return pd.DataFrame({"eigenvalues": list(np.clip(values[:, ::-1], 0, None)), "normal": list(kernels.signed(vectors[:, :, 0]))})
+def principal(covariance: Column | str) -> Column:
+    """Struct (eigenvalues in descending order, normal) of flat 3x3 covariances, over Arrow batches."""
+
+    @F.pandas_udf("struct<eigenvalues: array<double>, normal: array<double>>")
+    def run(covariances: pd.Series) -> pd.DataFrame:
+        stacked = np.stack([np.asarray(c, float).reshape(3, 3) for c in covariances]) if len(covariances) else np.zeros((0, 3, 3))
+        values, vectors = np.linalg.eigh(stacked)
+        return pd.DataFrame({"eigenvalues": list(np.clip(values[:, ::-1], 0, None)), "normal": list(kernels.signed(vectors[:, :, 0])) if len(stacked) else []})
+
+    return run(covariance)
 
 
 def curvature_descriptors(points: DataFrame, k: int = 8, by: Sequence[str] = ()) -> DataFrame:

@@ -29,6 +29,7 @@ def paired(source: DataFrame, target: DataFrame, by: Sequence[str], run) -> Data
         source, target, by = source.withColumn("pair", F.lit(0)), target.withColumn("pair", F.lit(0)), ["pair"]
     types = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in by) + ", " + FIELDS
+    source, target = (df.select(*(F.col(c).alias(c) for c in (*by, "pid", *XYZ))) for df in (source, target))  # columns of their own, also where both come from one table
 
     def each(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         r = run(coordinates(a), coordinates(b))

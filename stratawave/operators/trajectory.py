@@ -35,7 +35,7 @@ def trajectory(df: DataFrame, fields: Mapping[str, Column], source: str, keep: S
     States that are not given are NaN, the orientation identity; orientations are normalised.
     """
     given = {s: fields.get(s, identity() if s == "orientation" else nan3()) for s in STATES} | {c: fields.get(c, nan3()) for c in COVARIANCES}
-    given["orientation"] = F.array(*q.normalize_quaternion(given["orientation"]))
+    given["orientation"] = v.packed(q.normalize_quaternion(given["orientation"]))
     heads = [c for c in ("topic", "source_uri", "seq", "ts") if c in df.columns]
     out = df.select(*heads, *(x.alias(n) for n, x in given.items()), *(c for c in keep if c in df.columns), F.lit(source).alias("source"))
     return with_pose(out)
@@ -118,7 +118,7 @@ def interpolate_timeseries(df: DataFrame, times: DataFrame, values: Sequence[str
 def blend(b: Column, a: Column, name: str, share: Column) -> Column:
     exact = a["ts"] == F.col("ts")
     if name == "orientation":
-        mixed = F.array(*q.slerp(b[name], a[name], share))
+        mixed = v.packed(q.slerp(b[name], a[name], share))
     else:
         mixed = lerp(b[name], a[name], share)
     return F.when(a.isNull(), b[name]).when(exact | b.isNull(), a[name]).otherwise(mixed)
@@ -181,7 +181,7 @@ def smooth_trajectory(df: DataFrame, window_size: int = 3, fields: Sequence[str]
         sign = F.when(F.col("flips") % 2 == 1, -1.0).otherwise(1.0)
         turned = signed.withColumn("orientation", F.transform("orientation", lambda x: x * sign)).select(*out.columns)
         mean = smooth_timeseries(turned, "orientation", window_size, by)
-        out = mean.withColumn("orientation", F.array(*q.normalize_quaternion("smoothed"))).drop("smoothed")
+        out = mean.withColumn("orientation", v.packed(q.normalize_quaternion("smoothed"))).drop("smoothed")
     return with_pose(out) if {"position", "orientation", "linear_velocity", "angular_velocity"} <= set(out.columns) else out
 
 
@@ -198,7 +198,7 @@ def angular_velocity_from_quaternions(df: DataFrame, orientation: str = "orienta
 
     def rate(a, b, dt) -> Column:
         w = q.angular_velocity(a, b, dt)
-        return F.array(*(w if body else q.rotate_vectors_by_quaternion(w, a)))
+        return v.packed(w if body else q.rotate_vectors_by_quaternion(w, a))
 
     here = F.col(orientation)
     back = rate(F.col(f"prev_{orientation}"), here, F.col("ts") - F.col("prev_ts"))
@@ -273,7 +273,7 @@ def integrate_orientations(df: DataFrame, angular_velocity: str = "angular_veloc
     start = q.normalize_quaternion("i.initial")
     own = q.multiply("b.before", "p.turned") if body else q.multiply("p.turned", "b.before")
     whole = q.multiply(start, own) if body else q.multiply(own, start)
-    return joined.select(*(F.col(f"d.`{c}`") for c in df.columns), F.array(*q.normalize_quaternion(whole)).alias("integrated"))
+    return joined.select(*(F.col(f"d.`{c}`") for c in df.columns), v.packed(q.normalize_quaternion(whole)).alias("integrated"))
 
 
 def dead_reckon_trajectory(df: DataFrame, initial_position: Sequence[float] | None = None, initial_orientation=None, body_frame_velocity: bool = False, angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",)) -> DataFrame:
@@ -285,7 +285,7 @@ def dead_reckon_trajectory(df: DataFrame, initial_position: Sequence[float] | No
     turned = integrate_orientations(df, "angular_velocity", initial_orientation if initial_orientation is not None else "orientation", angular_velocity_frame, by)
     out = turned.withColumn("orientation", F.col("integrated")).drop("integrated")
     if body_frame_velocity:
-        out = out.withColumn("linear_velocity", F.array(*q.rotate_vectors_by_quaternion("linear_velocity", "orientation")))
+        out = out.withColumn("linear_velocity", v.packed(q.rotate_vectors_by_quaternion("linear_velocity", "orientation")))
     start = df.groupBy(*by).agg(F.min_by("position", "seq").alias("start"))
     summed = integrate_timeseries(out, "linear_velocity", 3, 0.0, by)
     a, b = summed.alias("a"), start.alias("b")
