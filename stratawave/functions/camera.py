@@ -126,7 +126,7 @@ def undistort_normalized_points(points, distortion=None, iterations: int = 5) ->
 
     def step(at: Column, _: Column) -> Column:
         radial, dx, dy = factors(at["x"], at["y"], distortion)
-        return F.struct(((x0 - dx) / radial).alias("x"), ((y0 - dy) / radial).alias("y"))
+        return F.struct(F.try_divide(x0 - dx, radial).alias("x"), F.try_divide(y0 - dy, radial).alias("y"))
 
     done = F.reduce(F.array_repeat(F.lit(1), iterations), F.struct(x0.alias("x"), y0.alias("y")), step)
     return [done["x"], done["y"]]

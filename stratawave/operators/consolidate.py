@@ -21,9 +21,17 @@ REPORT = "file string, schema_id string, sources long, blocks long, rows long, b
 
 
 def filesystem(uri: str):
+    """The file system of a path as Spark writes it, and the path within; such paths are not percent-encoded."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "/")) else f"file://{uri}")
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    host, _, path = rest.lstrip("/").partition("/")
+    base, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return base, f"{root.rstrip('/')}/{path}"
 
 
 def copy_blocks(paths: list[str], name, out_dir: str) -> Iterator[dict]:

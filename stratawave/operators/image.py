@@ -110,7 +110,7 @@ def per_pixel(df: DataFrame, channels: int, out: int, make: Callable[[Column], l
     """New channels from the old of each pixel; ``out`` 0 drops the channel axis."""
     n = (F.size("data") / channels).cast("int")
     wrong = F.raise_error(F.lit(f"{channels} channels are needed")).cast("array<double>")
-    good = F.element_at("shape", -1) == channels if channels > 1 else F.lit(True)
+    good = F.get("shape", F.size("shape") - 1) == channels if channels > 1 else F.lit(True)
     values = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*make(i))))
     shape = F.slice("shape", 1, 2) if not out else F.concat(F.slice("shape", 1, 2), F.array(F.lit(out)))
     return df.withColumn("data", F.when(good, values).otherwise(wrong)).withColumn("shape", shape)
@@ -462,14 +462,20 @@ def depth_to_normals(df: DataFrame, fx=None, fy=None, cx=None, cy=None, scale: f
     p = F.array("x", "y", "z")
     along, down = Window.partitionBy("topic", "seq", "row").orderBy("col"), Window.partitionBy("topic", "seq", "col").orderBy("row")
     near = g.withColumns({"west": F.lag(p).over(along), "east": F.lead(p).over(along)}).withColumns({"north": F.lag(p).over(down), "south": F.lead(p).over(down)})
-    dx = v.subtract(v.unpack("east", 3), v.unpack("west", 3))
-    dy = v.subtract(v.unpack("south", 3), v.unpack("north", 3))
-    n = v.cross(dx, dy)
-    size = v.norm(n)
-    good = v.is_finite("x", "y", "z", *n) & (size > 0)
-    facing = -v.dot(n, [F.col("x"), F.col("y"), F.col("z")])
-    sign = F.when(facing < 0, -1.0).otherwise(1.0) if orient_toward_camera else F.lit(1.0)
-    return near.select("topic", "seq", "row", "col", *(F.when(good, sign * x / size).otherwise(F.lit(float("nan"))).alias(f"n{c}") for x, c in zip(n, "xyz")))
+    apart = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    steps = F.struct(p.alias("p"), apart(F.col("east"), F.col("west")).alias("dx"), apart(F.col("south"), F.col("north")).alias("dy"))
+
+    def crossed(s: Column) -> Column:
+        return F.struct(s["p"].alias("p"), F.array(*v.cross(v.unpack(s["dx"], 3), v.unpack(s["dy"], 3))).alias("n"))
+
+    def finished(s: Column) -> Column:
+        size, facing = v.norm(v.unpack(s["n"], 3)), -v.dot(v.unpack(s["n"], 3), v.unpack(s["p"], 3))
+        good = F.forall(s["p"], lambda x: v.is_finite(x)) & v.is_finite(size) & (size > 0)
+        unit = F.transform(s["n"], lambda x: (F.when(facing < 0, -x).otherwise(x) if orient_toward_camera else x) / size)
+        return F.when(good, unit).otherwise(F.array_repeat(F.lit(float("nan")), 3))
+
+    normal = v.let(steps, crossed, finished)
+    return near.select("topic", "seq", "row", "col", normal.alias("n")).select("topic", "seq", "row", "col", *(F.get("n", F.lit(i)).alias(f"n{c}") for i, c in enumerate("xyz")))
 
 
 def rgbd_to_points(depth: DataFrame, images: DataFrame, fx=None, fy=None, cx=None, cy=None, scale: float = 1.0, camera_matrix=None) -> DataFrame:

@@ -27,7 +27,7 @@ def squared(a: str, b: str) -> Column:
 
 def explode_points(messages: DataFrame, width: int | None = None) -> DataFrame:
     """Points of cloud messages (topic, seq, ts, data of rows by shape): pid, x, y, z, attrs (further columns)."""
-    w = F.lit(width) if width else F.element_at("shape", -1)
+    w = F.lit(width) if width else F.coalesce(F.get("shape", F.size("shape") - 1), F.lit(0))
     n = F.when(w >= 3, (F.size("data") / w).cast("int")).otherwise(0)
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     part = lambda i: F.get("data", (F.col("pid") * w + i).cast("int"))
@@ -55,7 +55,7 @@ def per_cloud(points: DataFrame, by: Sequence[str], run) -> DataFrame:
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         return run(frame.sort_values("pid").reset_index(drop=True))
 
-    grouped = points.groupBy(*by) if by else points.groupBy(F.lit(0))
+    grouped = points.groupBy(*by)
     return grouped.applyInPandas(each, points.schema)
 
 
@@ -147,7 +147,7 @@ def knn_search(points: DataFrame, queries: DataFrame, k: int = 1, by: Sequence[s
     q = queries.filter(v.is_finite(*XYZ)).select(*by, F.col("pid").alias("qid"), *XYZ)
     edge = lambda f: F.greatest(*(f(c) for c in XYZ))
     spread = F.struct(F.count(F.lit(1)).alias("n"), edge(lambda c: F.max(c) - F.min(c)).alias("extent"))
-    sizes = p.groupBy(*by).agg(spread.alias("cloud")).select(*by, "cloud.n", "cloud.extent")
+    sizes = p.groupBy(*by).agg(spread["n"].alias("n"), spread["extent"].alias("extent"))
     ends = p.select(*XYZ).unionByName(q.select(*XYZ)).agg(edge(lambda c: F.max(c) - F.min(c)).alias("whole")).first()
     whole = float(ends.whole or 0.0)
     typical = sizes.agg(F.max(F.col("extent") / F.pow(F.col("n") / k, 1 / 3)).alias("cell")).first()

@@ -160,7 +160,7 @@ def reproject_raster(cells: DataFrame, src_bounds: Sequence[float], shape: Seque
     elif transform is not None:
         m = [[float(k) for k in row] for row in np.asarray(transform, float).reshape(3, 3)]
         w = m[2][0] * x + m[2][1] * y + m[2][2]
-        x, y = (m[0][0] * x + m[0][1] * y + m[0][2]) / w, (m[1][0] * x + m[1][1] * y + m[1][2]) / w
+        x, y = (F.try_divide(m[i][0] * x + m[i][1] * y + m[i][2], w) for i in (0, 1))
     at = target_cells(cells, shape).select(*CELL, ((y - s[1]) / (s[3] - s[1]) * (F.col("rows") - 1)).alias("at_row"), ((x - s[0]) / (s[2] - s[0]) * (F.col("cols") - 1)).alias("at_col"), "rows", "cols")
     inside = v.between("at_row", 0.0, None) & (F.col("at_row") <= F.col("rows") - 1) & v.between("at_col", 0.0, None) & (F.col("at_col") <= F.col("cols") - 1)
     return sample_grid(cells, at, bilinear=is_bilinear(method)).select(*CELL, F.when(inside, F.col("sample")).otherwise(F.lit(float(fill_value))).alias("z"))

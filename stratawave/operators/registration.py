@@ -107,7 +107,7 @@ def verify_loop_closures(clouds: DataFrame, poses: DataFrame, candidates: DataFr
     def side(index: str, poses_too: bool) -> DataFrame:
         joined = n.join(k, same("n", "k", ["topic"]) & (F.col(f"n.{index}") == F.col("k.seq")))
         extra = ["n.source_pose", "n.target_pose"] if poses_too else []
-        return joined.select(*(F.col(f"n.{x}") for x in keys), "k.pid", *(F.col(f"k.{x}") for x in XYZ), *extra)
+        return joined.select(*(F.col(f"n.{x}").alias(x) for x in keys), F.col("k.pid").alias("pid"), *(F.col(f"k.{x}").alias(x) for x in XYZ), *(F.col(x).alias(x[2:]) for x in extra))
 
     def each(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -39,7 +39,7 @@ def between_times(start: float, end: float, inclusive: bool = True) -> Column:
 
 def points_of(data: Column, shape: Column, columns: Sequence[int]) -> Column:
     """The chosen columns of the rows of a payload, as arrays; none where a column is missing."""
-    width = F.when(F.size(shape) > 0, F.element_at(shape, -1)).otherwise(0)
+    width = F.coalesce(F.get(shape, F.size(shape) - 1), F.lit(0))
     rows = F.when(width > max(columns), (F.size(data) / width).cast("int")).otherwise(0)
     return F.when(rows > 0, F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.array(*(F.get(data, (i * width + c).cast("int")) for c in columns)))).otherwise(F.array().cast("array<array<double>>"))
 

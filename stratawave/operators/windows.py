@@ -87,9 +87,9 @@ def smooth_timeseries(df: DataFrame, value: str = "data", window_size: int = 3,
 
 
 def gradient(before: Column, here: Column, after: Column, back: Column, ahead: Column) -> Column:
-    """Second-order derivative for uneven steps; one-sided where a neighbour is missing; null for a single row."""
-    inner = (back * back * after + (ahead * ahead - back * back) * here - ahead * ahead * before) / (back * ahead * (back + ahead))
-    return F.when(before.isNull(), (after - here) / ahead).when(after.isNull(), (here - before) / back).otherwise(inner)
+    """Second-order derivative for uneven steps; one-sided where a neighbour is missing; null for a single row and where times repeat."""
+    inner = F.try_divide(back * back * after + (ahead * ahead - back * back) * here - ahead * ahead * before, back * ahead * (back + ahead))
+    return F.when(before.isNull(), F.try_divide(after - here, ahead)).when(after.isNull(), F.try_divide(here - before, back)).otherwise(inner)
 
 
 def differentiate_timeseries(df: DataFrame, value: str = "data", by: Sequence[str] = ("topic",), order: str = "seq") -> DataFrame:

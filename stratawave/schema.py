@@ -56,7 +56,7 @@ def spatial_bounds_for_data(data: Column | str = "data", shape: Column | str = "
     empty payloads, for more than two dimensions, and without a finite row.
     """
     d, s = v.col(data), v.col(shape)
-    width = F.element_at(s, -1)
+    width = F.get(s, F.size(s) - 1)
     used = F.least(width, F.lit(3))
     rows = F.when((F.size(s) >= 1) & (F.size(s) <= 2) & (F.size(d) > 0) & (width > 0), (F.size(d) / width).cast("int")).otherwise(0)
     points = F.transform(F.sequence(F.lit(1), F.greatest(rows, F.lit(1))), lambda i: F.slice(d, (i - 1) * width + 1, used))

@@ -122,9 +122,13 @@ class SourcePipeline(Dataset):
             return nearest_topic_pairs(self.df, reference_topic, target_topic, tolerance)
         timed = self.df.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", watermark)
         side = lambda topic, prefix: timed.filter(F.col("topic") == topic).select(F.col("ts").alias(f"{prefix}_ts"), F.col("seq").alias(f"{prefix}_seq"), F.col("name").alias(f"{prefix}_name"), F.col("data").alias(f"{prefix}_data"), F.col("event_time").alias(f"{prefix}_time"))
-        a, b = side(reference_topic, "reference"), side(target_topic, "target")
+        # both sides meet in buckets of time: a target is in one, a reference in those its tolerance reaches
+        width = max(2.0 * tolerance, 1e-3)
+        reach = F.sequence(F.floor((F.col("reference_ts") - tolerance) / width), F.floor((F.col("reference_ts") + tolerance) / width))
+        a = side(reference_topic, "reference").withColumn("reference_bucket", F.explode(reach))
+        b = side(target_topic, "target").withColumn("target_bucket", F.floor(F.col("target_ts") / width))
         span = F.make_dt_interval(secs=F.lit(float(tolerance)))
-        pairs = a.join(b, (F.col("target_time") >= F.col("reference_time") - span) & (F.col("target_time") <= F.col("reference_time") + span))
+        pairs = a.join(b, (F.col("reference_bucket") == F.col("target_bucket")) & (F.col("target_time") >= F.col("reference_time") - span) & (F.col("target_time") <= F.col("reference_time") + span))
         rank = F.struct(F.abs(F.col("target_ts") - F.col("reference_ts")), F.col("target_ts"), F.col("target_seq"))
         best = F.min_by(F.struct("target_ts", "target_seq", "target_name", "target_data"), rank).alias("target")
         return pairs.filter(F.abs(F.col("target_ts") - F.col("reference_ts")) <= tolerance).groupBy(F.window("reference_time", "1 second"), "reference_seq", "reference_ts", "reference_name").agg(best, F.first("reference_data").alias("reference_data")).select("reference_seq", "reference_ts", "reference_name", "reference_data", "target.*")
