@@ -261,24 +261,33 @@ def radius_outlier_filter(points: DataFrame, radius: float, min_neighbors: int,
 def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(keys, pid, root): the least pid of each node's component of the graph of (keys, a, b).
 
-    Each round takes the least root among a node and its neighbours and then the root of
-    that root, so paths halve; rounds are cut in the shared folder and end when no root
-    changes.
+    Each round lets every node with a smaller neighbour hang on its smallest one, shortens
+    the trees so made to their roots by doubling, and contracts the edges to the roots. The
+    graph shrinks with each round and ends without edges. Rounds are cut in the shared
+    folder.
     """
     by = list(by)
-    both = cut(edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    state = cut(nodes.select(*by, "pid", F.col("pid").alias("root")))
+    left = cut(edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    roots = nodes.select(*by, "pid", F.col("pid").alias("root"))
+
+    def follow(df: DataFrame, column: str, up: DataFrame) -> DataFrame:
+        """``column`` replaced by what it hangs on, if anything; moved tells where it did."""
+        d, u = df.alias("d"), up.alias("u")
+        joined = d.join(u, same("d", "u", by) & (F.col(f"d.{column}") == F.col("u.node")), "left")
+        kept = [F.coalesce("u.up", f"d.{column}").alias(column) if c == column else F.col(f"d.`{c}`") for c in df.columns if c != "moved"]
+        return joined.select(*kept, F.col("u.up").isNotNull().alias("moved"))
+
     while True:
-        s, e = state.alias("s"), both.alias("e")
-        offered = e.join(s, same("e", "s", by) & (F.col("e.b") == F.col("s.pid"))).groupBy(*(F.col(f"e.`{c}`").alias(c) for c in by), F.col("e.a").alias("pid")).agg(F.min("s.root").alias("offer"))
-        o = offered.alias("o")
-        lower = s.join(o, same("s", "o", [*by, "pid"]), "left").select(*(F.col(f"s.`{c}`") for c in by), "s.pid", F.col("s.root").alias("old"), F.least("s.root", "o.offer").alias("root"))
-        lower = cut(lower)
-        x, y = lower.alias("x"), lower.alias("y")
-        jumped = cut(x.join(y, same("x", "y", by) & (F.col("x.root") == F.col("y.pid"))).select(*(F.col(f"x.`{c}`") for c in by), "x.pid", "x.old", F.col("y.root").alias("root")))
-        state = jumped.select(*by, "pid", "root")
-        if not jumped.filter("old <> root").take(1):
-            return state
+        up = cut(left.groupBy(*by, F.col("a").alias("node")).agg(F.min("b").alias("up")).filter("up < node"))
+        if not up.take(1):
+            return cut(roots)
+        while True:
+            up = cut(follow(follow(up, "up", up), "up", up))
+            if not up.filter("moved").take(1):
+                break
+        up = up.drop("moved")
+        roots = cut(follow(roots, "root", up).drop("moved"))
+        left = cut(follow(follow(left, "a", up), "b", up).drop("moved").filter("a <> b").distinct())
 
 
 def ranked(roots: DataFrame, by: Sequence[str]) -> DataFrame:
