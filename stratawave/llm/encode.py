@@ -20,7 +20,9 @@ AHEAD = 3
 COMMON = 0.001
 
 CHUNKS = "doc_id long, pos int, chunk string"
-ENCODED = "chunk string, n long, ids array<int>, ends array<int>, upto array<int>"
+ENCODED = "chunk string, n long, ids array<int>, ends array<int>, upto array<int>, sure_end int, sure_ids int"
+#: Pieces at the start of a chunk whose borders are kept for joins; a join that needs more finds them anew.
+HEAD = 6
 
 
 def gear() -> np.ndarray:
@@ -79,15 +81,33 @@ def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": ids, "pos": places, "chunk": chunks})
 
 
-def encode_chunk(tokens: Pieces, chunk: str) -> tuple[list[int], list[int], list[int]]:
-    """Ids of a chunk by itself, with the end of each of its pieces and the number of ids up to there."""
-    ids, ends, upto, end = [], [], [], 0
-    for piece in tokens.pattern.findall(chunk):
-        ids += tokens.ids(piece)
+def encode_chunk(tokens: Pieces, chunk: str) -> tuple[list[int], list[int], list[int], int, int]:
+    """A chunk by itself: its ids, the ends of its first pieces with the numbers of ids up to there, and how many characters and ids are certain whatever follows."""
+    found = tokens.pattern.findall(chunk)
+    ids = tokens.flat(chunk)
+    ends, upto, end, n = [], [], 0, 0
+    for piece in found[:HEAD]:
         end += len(piece)
+        n += len(tokens.ids(piece))
         ends.append(end)
-        upto.append(len(ids))
-    return ids, ends, upto
+        upto.append(n)
+    sure_end, sure_ids = len(chunk), len(ids)
+    for piece in reversed(found):
+        start = sure_end - len(piece)
+        if sure_end < len(chunk) and start + AHEAD <= len(chunk):
+            break
+        sure_end, sure_ids = start, sure_ids - len(tokens.ids(piece))
+    return ids, ends, upto, sure_end, sure_ids
+
+
+def all_borders(tokens: Pieces, chunk: str) -> dict[int, int]:
+    """Number of ids up to the end of each piece of a chunk by itself."""
+    out, end, n = {}, 0, 0
+    for piece in tokens.pattern.findall(chunk):
+        end += len(piece)
+        n += len(tokens.ids(piece))
+        out[end] = n
+    return out
 
 
 def encoder(path: str):
@@ -95,13 +115,13 @@ def encoder(path: str):
         tokens = pieces(path)
         for batch in batches:
             coded = [encode_chunk(tokens, c) for c in batch["chunk"]]
-            yield pd.DataFrame({"chunk": batch["chunk"], "n": batch["n"], "ids": [c[0] for c in coded], "ends": [c[1] for c in coded], "upto": [c[2] for c in coded]})
+            yield pd.DataFrame({"chunk": batch["chunk"], "n": batch["n"], **{name: [c[i] for c in coded] for i, name in enumerate(("ids", "ends", "upto", "sure_end", "sure_ids"))}})
 
     return run
 
 
-def joined(tokens: Pieces, chunks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Ids of the text that ``chunks`` make up, from the ids of each chunk by itself.
+def joined(tokens: Pieces, chunks: list[tuple]) -> np.ndarray:
+    """Ids of the text that ``chunks`` (chunk and the results of encode_chunk) make up.
 
     A piece depends only on the text from its start on, and at most up to one character
     behind its end or AHEAD behind its start. So what a chunk says of its pieces holds
@@ -109,47 +129,46 @@ def joined(tokens: Pieces, chunks: list[tuple[str, np.ndarray, np.ndarray, np.nd
     end. At a join the text is split anew, from the last piece that is certain, until a
     border agrees with one of the next chunk; there that chunk's ids take over.
     """
-    out: list[np.ndarray] = []
+    out: list = []
     tail = ""
-    for text, ids, ends, upto in chunks:
-        starts = np.concatenate([[0], ends[:-1]])
-        certain = int(np.count_nonzero((ends < len(text)) & (starts + AHEAD <= len(text))))
-        border = 0 if not tail else None  # where the chunk takes over, in pieces
+    for text, ids, ends, upto, sure_end, sure_ids in chunks:
+        at, n = 0, 0  # where the chunk takes over: characters and ids
         if tail:
-            s, at, again = tail + text, 0, []
-            known = None
+            whole, place, known = tail + text, 0, None
+            again: list[int] = []
             while True:
-                m = tokens.pattern.match(s, at)
+                m = tokens.pattern.match(whole, place)
                 end = m.end()
-                if end >= len(s) or at + AHEAD > len(s):
+                if end >= len(whole) or place + AHEAD > len(whole):
+                    at = -1
                     break
                 again += tokens.ids(m.group())
-                at = end
-                inside = at - len(tail)
+                place = end
+                inside = end - len(tail)
+                if inside < 0:
+                    continue
                 if inside == 0:
-                    border = 0
                     break
-                if inside > 0:
-                    if known is None:
-                        known = {int(e): i + 1 for i, e in enumerate(ends)}
-                    if inside in known:
-                        border = known[inside]
-                        break
-            out.append(np.array(again, np.int32))
-            if border is None:
-                tail = s[at:]
+                if known is None:
+                    known = dict(zip(ends, upto))
+                if inside > ends[-1] and len(known) == len(ends):
+                    known = all_borders(tokens, text)
+                if inside in known:
+                    at, n = inside, known[inside]
+                    break
+            if again:
+                out.append(again)
+            if at < 0:
+                tail = whole[place:]
                 continue
-        if border > certain:
-            tail = text[int(ends[border - 1]) :]
-            continue
-        first, last = (int(upto[border - 1]) if border else 0), (int(upto[certain - 1]) if certain else 0)
-        out.append(ids[first:last])
-        tail = text[int(ends[certain - 1]) if certain else 0 :]
-    rest: list[int] = []
-    for piece in tokens.pattern.findall(tail):
-        rest += tokens.ids(piece)
-    out.append(np.array(rest, np.int32))
-    return np.concatenate(out)
+        if at > sure_end:
+            tail = text[at:]
+        else:
+            out.append(ids[n:sure_ids])
+            tail = text[sure_end:]
+    if tail:
+        out.append([i for piece in tokens.pattern.findall(tail) for i in tokens.ids(piece)])
+    return np.concatenate([np.asarray(o, np.int32) for o in out]) if out else np.zeros(0, np.int32)
 
 
 def assembler(path: str):
@@ -157,7 +176,7 @@ def assembler(path: str):
         tokens = pieces(path)
         for group in whole_groups(batches, ["doc_id"]):
             starts = np.append(np.flatnonzero(changes(group, ["doc_id"])), len(group))
-            rows = list(zip(group["chunk"], group["ids"], group["ends"], group["upto"]))
+            rows = list(zip(*(group[c].tolist() for c in ("chunk", "ids", "ends", "upto", "sure_end", "sure_ids"))))
             yield pd.DataFrame({"doc_id": group["doc_id"].to_numpy()[starts[:-1]], "ids": [joined(tokens, rows[a:b]) for a, b in zip(starts[:-1], starts[1:])]})
 
     return run
@@ -180,13 +199,13 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_path()
     named = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chunks = named.filter(F.col("text") != "").mapInPandas(chunked, CHUNKS)
+    chunks = cut(named.filter(F.col("text") != "").mapInPandas(chunked, CHUNKS))
     coded = cut(chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).mapInPandas(encoder(path), ENCODED))
     bound = coded.agg(F.sum("n")).first()[0] or 0
     common, rare = coded.filter(F.col("n") > bound * COMMON), coded.filter(F.col("n") <= bound * COMMON)
     listed = F.broadcast(common.select("chunk", F.lit(True).alias("is_common")))
     marked = chunks.join(listed, "chunk", "left")
-    columns = ["doc_id", "pos", "chunk", "ids", "ends", "upto"]
+    columns = ["doc_id", "pos", "chunk", "ids", "ends", "upto", "sure_end", "sure_ids"]
     whole = (
         marked.filter("is_common").join(F.broadcast(common), "chunk").select(columns)
         .unionByName(marked.filter("is_common IS NULL").join(rare, "chunk").select(columns))

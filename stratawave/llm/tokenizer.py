@@ -34,6 +34,7 @@ class Pieces:
 
     def __init__(self, path: str):
         self.core, self.pattern, self.known = encoding(path)._core_bpe, regex.compile(PATTERN), {}
+        self.flat = encoding(path).encode_ordinary
 
     def ids(self, piece: str) -> list[int]:
         found = self.known.get(piece)

@@ -1,7 +1,6 @@
 import random
 from functools import lru_cache
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,8 +23,7 @@ def test_joins_are_repaired_wherever_the_cuts_are(text, cuts):
     at = sorted({min(c, len(text)) for c in cuts} | {0, len(text)})
     chunks = []
     for a, b in zip(at, at[1:]):
-        ids, ends, upto = e.encode_chunk(tokens, text[a:b])
-        chunks.append((text[a:b], np.array(ids, np.int32), np.array(ends, np.int32), np.array(upto, np.int32)))
+        chunks.append((text[a:b], *e.encode_chunk(tokens, text[a:b])))
     if chunks:
         assert e.joined(tokens, chunks).tolist() == whole.encode_ordinary(text)
 
@@ -38,6 +36,13 @@ def test_borders_partition_and_keep_characters(text):
     assert "".join(data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *cuts], cuts)) == text
 
 
+def test_far_agreement_is_found():
+    tokens, whole = tools()
+    text = " " * 9 + "a" + "1a" * 40
+    chunks = [(t, *e.encode_chunk(tokens, t)) for t in (text[:3], text[3:])]
+    assert e.joined(tokens, chunks).tolist() == whole.encode_ordinary(text)
+
+
 def test_borders_move_with_the_text():
     rng = random.Random(4)
     text = " ".join(str(rng.random()) for _ in range(400)).encode()
