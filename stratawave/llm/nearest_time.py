@@ -108,24 +108,22 @@ def nearest_in_time(queries: DataFrame, records: DataFrame) -> DataFrame:
     taken; a query that is stored repeatedly with the same values gives one row, one id
     with different times gives the nearest of them.
 
-    Records and queries meet in blocks of time of BLOCK_TOLERANCES tolerances of the
-    entity, so a hot entity spreads over many groups; a query goes to every block its
-    tolerance reaches. Records at the same time become one before the shuffle. Each block
-    builds its trie once. An entity's blocks come from the largest tolerance of its
-    queries; entities without queries are not moved at all.
+    Records and queries meet in blocks of time of BLOCK_TOLERANCES tolerances (the
+    largest of all queries), so a hot entity spreads over many groups; a query goes to
+    every block its tolerance reaches. Records at the same time become one before the
+    shuffle. Each block builds the levels of
+    its trie that searches ask for, once.
     """
     asked = queries.filter(finite(F.col("time")) & F.col("entity").isNotNull() & F.col("id").isNotNull() & (F.col("tolerance") >= 0) & ~F.isnan("tolerance"))
-    widths = asked.groupBy("entity").agg((F.greatest(F.max("tolerance"), F.lit(1e-3)) * BLOCK_TOLERANCES).alias("width"))
+    largest = asked.agg(F.max("tolerance")).first()[0]
+    width = max(float(largest or 0.0), 1e-3) * BLOCK_TOLERANCES
+    reach = F.sequence(F.floor((F.col("time") - F.col("tolerance")) / width), F.floor((F.col("time") + F.col("tolerance")) / width))
+    sent = asked.select("entity", F.explode(reach).alias("block"), F.lit(0).alias("kind"), "id", "time", "tolerance").distinct()
     kept = (
-        records.filter(finite(F.col("time")) & F.col("id").isNotNull())
-        .groupBy("entity", "time").agg(F.min("id").alias("id"))
-        .join(widths, "entity")
-        .select("entity", F.floor(F.col("time") / F.col("width")).alias("block"), F.lit(1).alias("kind"), "id", "time", F.lit(0.0).alias("tolerance"))
-    )
-    reach = F.sequence(F.floor((F.col("time") - F.col("tolerance")) / F.col("width")), F.floor((F.col("time") + F.col("tolerance")) / F.col("width")))
-    sent = (
-        asked.select("entity", "id", "time", "tolerance").distinct().join(widths, "entity")
-        .select("entity", F.explode(reach).alias("block"), F.lit(0).alias("kind"), "id", "time", "tolerance")
+        records.filter(finite(F.col("time")) & F.col("id").isNotNull() & F.col("entity").isNotNull())
+        .withColumn("block", F.floor(F.col("time") / width))
+        .groupBy("entity", "block", "time").agg(F.min("id").alias("id"))
+        .select("entity", "block", F.lit(1).alias("kind"), "id", "time", F.lit(0.0).alias("tolerance"))
     )
     pairs = (
         kept.unionByName(sent)
