@@ -122,19 +122,20 @@ def stops(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
 
 
 def trim(x: np.ndarray, y: np.ndarray, a: int, b: int, noise: float) -> tuple[int, int]:
-    """Leave out an end that lies on the way in or out: off the place, in the direction of the ping beyond it."""
+    """Leave out up to two pings at an end that lie on the way in or out: off the place, in the direction of the ping beyond."""
     cx, cy = np.median(x[a : b + 1]), np.median(y[a : b + 1])
 
     def passing(i: int, beyond: int) -> bool:
         ux, uy, vx, vy = x[i] - cx, y[i] - cy, x[beyond] - cx, y[beyond] - cy
         own, far = np.hypot(ux, uy), np.hypot(vx, vy)
-        return own > 1.8 * noise and far > own and ux * vx + uy * vy > 0.7 * own * far
+        return own > 1.5 * noise and far > own and ux * vx + uy * vy > 0.5 * own * far
 
     if b - a >= 4:
-        if a and passing(a, a - 1):
-            a += 1
-        if b + 1 < len(x) and passing(b, b + 1):
-            b -= 1
+        for _ in range(2):
+            if a and passing(a, a - 1):
+                a += 1
+            if b + 1 < len(x) and passing(b, b + 1):
+                b -= 1
     return a, b
 
 
