@@ -36,20 +36,30 @@ def frames(df: DataFrame, run: Callable[[np.ndarray], np.ndarray | Sequence[np.n
     return df.mapInPandas(each, df.schema)
 
 
+def split_rows(data: Column, width: Column, rows: Column) -> Column:
+    """An array cut into ``rows`` arrays of ``width`` elements; exploding it does not carry the whole along with each row."""
+    return v.let(F.struct(data.alias("d"), width.alias("w"), rows.alias("n")), lambda s: F.when(s["n"] > 0, F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.slice(s["d"], i * s["w"] + 1, s["w"]))).otherwise(F.array().cast("array<array<double>>")))
+
+
 def pixels(df: DataFrame) -> DataFrame:
     """Rows (topic, seq, row, col, chan) of frames, for joins and aggregates over pixels."""
-    wide = F.greatest(F.coalesce(F.get("shape", F.lit(2)), F.lit(1)), F.lit(1))
+    deep = F.greatest(F.coalesce(F.get("shape", F.lit(2)), F.lit(1)), F.lit(1))
     cols = F.get("shape", F.lit(1))
-    at = F.sequence(F.lit(0), F.get("shape", F.lit(0)) * cols - 1)
-    each = df.filter(F.size("data") > 0).select("topic", "seq", "data", wide.alias("k"), cols.alias("w"), F.explode(at).alias("i"))
-    return each.select("topic", "seq", F.floor(F.col("i") / F.col("w")).cast("int").alias("row"), (F.col("i") % F.col("w")).cast("int").alias("col"), F.slice("data", F.col("i") * F.col("k") + 1, F.col("k")).alias("chan"))
+    each = df.filter(F.size("data") > 0).select("topic", "seq", cols.alias("w"), F.posexplode(split_rows(F.col("data"), deep, F.get("shape", F.lit(0)) * cols)).alias("i", "chan"))
+    return each.select("topic", "seq", F.floor(F.col("i") / F.col("w")).cast("int").alias("row"), (F.col("i") % F.col("w")).cast("int").alias("col"), "chan")
+
+
+def stretched(data: Column, low: Column, high: Column) -> Column:
+    """Elements to 0 .. 1 between two values, as 32-bit floats would have them; all 0 without a span."""
+    ready = F.struct(data.alias("d"), low.alias("low"), high.alias("high"))
+    return v.let(ready, lambda s: F.transform(s["d"], lambda x: F.when(s["high"] == s["low"], 0.0).otherwise((x - s["low"]) / (s["high"] - s["low"])).cast("float").cast("double")))
 
 
 def normalize_image(df: DataFrame, min_value: float | None = None, max_value: float | None = None) -> DataFrame:
     """Each frame to 0 .. 1 between its own least and largest value or those given; without a span all 0."""
-    low = F.lit(float(min_value)) if min_value is not None else F.array_min("data")
-    high = F.lit(float(max_value)) if max_value is not None else F.array_max("data")
-    return df.withColumn("data", F.transform("data", lambda x: F.when(high == low, 0.0).otherwise((x - low) / (high - low)).cast("float").cast("double")))
+    low = (lambda d: F.lit(float(min_value))) if min_value is not None else F.array_min
+    high = (lambda d: F.lit(float(max_value))) if max_value is not None else F.array_max
+    return df.withColumn("data", v.let(F.col("data"), lambda d: stretched(d, low(d), high(d))))
 
 
 def normalize_images(df: DataFrame, min_value: float | None = None, max_value: float | None = None, per_image: bool = False) -> DataFrame:
@@ -60,7 +70,7 @@ def normalize_images(df: DataFrame, min_value: float | None = None, max_value: f
     a, b = df.alias("a"), ends.alias("b")
     low = F.lit(float(min_value)) if min_value is not None else F.col("b.low")
     high = F.lit(float(max_value)) if max_value is not None else F.col("b.high")
-    changed = F.transform("a.data", lambda x: F.when(high == low, 0.0).otherwise((x - low) / (high - low)).cast("float").cast("double"))
+    changed = stretched(F.col("a.data"), low, high)
     return a.join(b, F.col("a.topic").eqNullSafe(F.col("b.topic"))).select(*(changed.alias(c) if c == "data" else F.col(f"a.`{c}`") for c in df.columns))
 
 
@@ -106,42 +116,41 @@ def crop_image(df: DataFrame, row_start: int, row_stop: int, col_start: int, col
 crop_images = crop_image
 
 
-def per_pixel(df: DataFrame, channels: int, out: int, make: Callable[[Column], list[Column]]) -> DataFrame:
-    """New channels from the old of each pixel; ``out`` 0 drops the channel axis."""
-    n = (F.size("data") / channels).cast("int")
+def per_pixel(df: DataFrame, channels: int, out: int, make: Callable[[Callable[[int], Column]], list[Column]]) -> DataFrame:
+    """New channels from the old of each pixel, which ``make`` gets as a function of the channel; ``out`` 0 drops the channel axis."""
+
+    def changed(d: Column) -> Column:
+        n = (F.size(d) / channels).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*make(lambda k: F.get(d, (i * channels + k).cast("int"))))))
+
     wrong = F.raise_error(F.lit(f"{channels} channels are needed")).cast("array<double>")
     good = F.get("shape", F.size("shape") - 1) == channels if channels > 1 else F.lit(True)
-    values = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*make(i))))
     shape = F.slice("shape", 1, 2) if not out else F.concat(F.slice("shape", 1, 2), F.array(F.lit(out)))
-    return df.withColumn("data", F.when(good, values).otherwise(wrong)).withColumn("shape", shape)
-
-
-def channel(i: Column, k: int, n: int) -> Column:
-    return F.get("data", (i * n + k).cast("int"))
+    return df.withColumn("data", F.when(good, v.let(F.col("data"), changed)).otherwise(wrong)).withColumn("shape", shape)
 
 
 def rgb_to_gray(df: DataFrame) -> DataFrame:
     """Luminance 0.299 R + 0.587 G + 0.114 B."""
-    return per_pixel(df, 3, 0, lambda i: [0.299 * channel(i, 0, 3) + 0.587 * channel(i, 1, 3) + 0.114 * channel(i, 2, 3)])
+    return per_pixel(df, 3, 0, lambda c: [0.299 * c(0) + 0.587 * c(1) + 0.114 * c(2)])
 
 
 def convert_color(df: DataFrame, mode: str, alpha: float | None = None) -> DataFrame:
     """One of rgb_to_gray, bgr_to_gray, rgb_to_bgr, bgr_to_rgb, rgba_to_rgb, rgb_to_rgba, gray_to_rgb; alpha is 255 for integer images and 1 for others by default."""
     m = mode.lower()
-    pick = lambda n, ks: (lambda i: [channel(i, k, n) for k in ks])
+    pick = lambda *ks: (lambda c: [c(k) for k in ks])
     if m == "rgb_to_gray":
         return rgb_to_gray(df)
     if m == "bgr_to_gray":
-        return rgb_to_gray(per_pixel(df, 3, 3, pick(3, (2, 1, 0))))
+        return rgb_to_gray(per_pixel(df, 3, 3, pick(2, 1, 0)))
     if m in ("rgb_to_bgr", "bgr_to_rgb"):
-        return per_pixel(df, 3, 3, pick(3, (2, 1, 0)))
+        return per_pixel(df, 3, 3, pick(2, 1, 0))
     if m == "rgba_to_rgb":
-        return per_pixel(df, 4, 3, pick(4, (0, 1, 2)))
+        return per_pixel(df, 4, 3, pick(0, 1, 2))
     if m == "rgb_to_rgba":
         full = F.lit(float(alpha)) if alpha is not None else F.when(F.col("dtype").contains("int"), 255.0).otherwise(1.0) if "dtype" in df.columns else F.lit(1.0)
-        return per_pixel(df, 3, 4, lambda i: [*(channel(i, k, 3) for k in range(3)), full])
+        return per_pixel(df, 3, 4, lambda c: [c(0), c(1), c(2), full])
     if m == "gray_to_rgb":
-        return per_pixel(df, 1, 3, lambda i: [channel(i, 0, 1)] * 3)
+        return per_pixel(df, 1, 3, lambda c: [c(0)] * 3)
     raise ValueError(f"unknown mode {mode}")
 
 

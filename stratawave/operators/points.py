@@ -27,11 +27,12 @@ def squared(a: str, b: str) -> Column:
 
 def explode_points(messages: DataFrame, width: int | None = None) -> DataFrame:
     """Points of cloud messages (topic, seq, ts, data of rows by shape): pid, x, y, z, attrs (further columns)."""
+    from stratawave.operators.image import split_rows
+
     w = F.lit(width) if width else F.coalesce(F.get("shape", F.size("shape") - 1), F.lit(0))
     n = F.when(w >= 3, (F.size("data") / w).cast("int")).otherwise(0)
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    part = lambda i: F.get("data", (F.col("pid") * w + i).cast("int"))
-    return messages.withColumn("pid", F.explode(at)).select("topic", "seq", "ts", "pid", *(part(i).alias(c) for i, c in enumerate(XYZ)), F.slice("data", (F.col("pid") * w + 4).cast("int"), (w - 3).cast("int")).alias("attrs"))
+    each = messages.select("topic", "seq", "ts", F.posexplode(split_rows(F.col("data"), w, n)).alias("pid", "point"))
+    return each.select("topic", "seq", "ts", "pid", *(F.get("point", F.lit(i)).alias(c) for i, c in enumerate(XYZ)), F.slice("point", 4, F.size("point")).alias("attrs"))
 
 
 def voxel_downsample(points: DataFrame, voxel_size: float, by: Sequence[str] = (), columns: Sequence[str] = XYZ) -> DataFrame:

@@ -39,9 +39,13 @@ def between_times(start: float, end: float, inclusive: bool = True) -> Column:
 
 def points_of(data: Column, shape: Column, columns: Sequence[int]) -> Column:
     """The chosen columns of the rows of a payload, as arrays; none where a column is missing."""
-    width = F.coalesce(F.get(shape, F.size(shape) - 1), F.lit(0))
-    rows = F.when(width > max(columns), (F.size(data) / width).cast("int")).otherwise(0)
-    return F.when(rows > 0, F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.array(*(F.get(data, (i * width + c).cast("int")) for c in columns)))).otherwise(F.array().cast("array<array<double>>"))
+
+    def chosen(m: Column) -> Column:
+        rows = F.when(m["w"] > max(columns), (F.size(m["d"]) / m["w"]).cast("int")).otherwise(0)
+        picked = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: F.array(*(F.get(m["d"], (i * m["w"] + c).cast("int")) for c in columns)))
+        return F.when(rows > 0, picked).otherwise(F.array().cast("array<array<double>>"))
+
+    return v.let(F.struct(data.alias("d"), F.coalesce(F.get(shape, F.size(shape) - 1), F.lit(0)).alias("w")), chosen)
 
 
 def touches(data: Column, shape: Column, columns: Sequence[int], low: Sequence[float], high: Sequence[float]) -> Column:

@@ -77,12 +77,15 @@ def smooth_timeseries(df: DataFrame, value: str = "data", window_size: int = 3,
     joined = a.join(b, same("a", "b", by))
     padded = F.concat(F.array_repeat("b.first_value", F.lit(before) - F.col("a.behind").cast("int")), F.col(f"a.{near}"), F.array_repeat("b.last_value", F.lit(after) - F.col("a.ahead").cast("int")))
 
-    def mean(i: Column) -> Column:
-        values = F.filter(F.transform(padded, lambda w: F.get(w, i)), lambda x: v.is_finite(x))
-        return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)).otherwise(F.lit(float("nan")))
+    def means(m: Column) -> Column:
+        def mean(i: Column) -> Column:
+            values = F.filter(F.transform(m["near"], lambda w: F.get(w, i)), lambda x: v.is_finite(x))
+            total = F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda t, x: F.struct((t["s"] + x).alias("s"), (t["n"] + 1).alias("n")))
+            return v.let(total, lambda t: F.when(t["n"] > 0, t["s"] / t["n"]).otherwise(F.lit(float("nan"))))
 
-    size = F.size(F.col(f"a.`{value}`"))
-    smoothed = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), mean)).otherwise(F.col(f"a.`{value}`"))
+        return F.when(F.size(m["own"]) > 0, F.transform(F.sequence(F.lit(0), F.size(m["own"]) - 1), mean)).otherwise(m["own"])
+
+    smoothed = v.let(F.struct(padded.alias("near"), F.col(f"a.`{value}`").alias("own")), means)
     return joined.select(*(F.col(f"a.`{c}`") for c in df.columns), smoothed.alias("smoothed"))
 
 

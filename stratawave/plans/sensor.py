@@ -826,3 +826,240 @@ def stitched_scans(spark, sf_dir):
     from stratawave.sources.sources import synthetic
 
     return flagship(synthetic(spark, seed=3))
+
+
+# ---- further rotations, transforms and cameras
+
+S = math.sqrt(0.5)
+
+
+@query(f"""WITH {UNIT} SELECT vec_id, round(0.5 - b, 6) AS px, round(a - 0.25, 6) AS py, round(c + 2, 6) AS pz, round({S} * (x - y), 6) AS qx, round({S} * (y + x), 6) AS qy, round({S} * (z + w), 6) AS qz, round({S} * (w - z), 6) AS qw FROM q""")
+def transform_poses(spark, sf_dir):
+    t = transforms.transform_poses(F.concat(F.slice("e", 5, 3), F.slice("e", 1, 4)), ROTATION)
+    return vecs(spark, sf_dir).select("vec_id", t.alias("t")).select("vec_id", *(r6(F.get("t", F.lit(i))).alias(n) for i, n in enumerate(("px", "py", "pz", "qx", "qy", "qz", "qw"))))
+
+
+@query(f"WITH {UNIT} SELECT vec_id, round(1 - 2 * (y * y + z * z), 6) AS m00, round(2 * (x * y - w * z), 6) AS m01, round(a, 6) AS m03, round(1 - 2 * (x * x + y * y), 6) AS m22, 1.0 AS m33 FROM q")
+def pose_to_matrix(spark, sf_dir):
+    m = transforms.pose_to_matrix(F.concat(F.slice("e", 5, 3), F.slice("e", 1, 4)))
+    return vecs(spark, sf_dir).select("vec_id", m.alias("m")).select("vec_id", *(r6(F.get("m", F.lit(i))).alias(n) for i, n in ((0, "m00"), (1, "m01"), (3, "m03"), (10, "m22"), (15, "m33"))))
+
+
+@query(f"WITH {FIX} SELECT nav_id, round(lat + degrees(20 / 6378137.0), 7) AS lat, round(lon + degrees(10 / (6378137.0 * cos(radians(50)))), 7) AS lon FROM fixes")
+def transform_navsat(spark, sf_dir):
+    t = transforms.transform_navsat("data", [[1, 0, 0, 10], [0, 1, 0, 20], [0, 0, 1, 0]], 50.0, 8.0)
+    return fixes(spark, sf_dir).select("nav_id", t.alias("t")).select("nav_id", r6(F.get("t", F.lit(0)), 7).alias("lat"), r6(F.get("t", F.lit(1)), 7).alias("lon"))
+
+
+@query(f"WITH {E4} SELECT vec_id, round(a * (c + 1), 6) AS x, round(b * (c + 1) * 100 / 120, 6) AS y, round(c + 1, 6) AS z FROM emb")
+def backproject(spark, sf_dir):
+    k = camera.camera_matrix(100.0, 120.0, 32.0, 24.0)
+    e = lambda i: F.get("e", F.lit(i))
+    p = camera.backproject_pixels([e(4) * 100 + 32, e(5) * 100 + 24], e(6) + 1, k)
+    return vecs(spark, sf_dir).select("vec_id", *(r6(x).alias(n) for x, n in zip(p, "xyz")))
+
+
+@query("SELECT CAST(i // 8 AS INT) AS row, CAST(i % 8 AS INT) AS col, round((i % 8 - 4) / 50.0 * 100 + 3.5, 6) AS u, round((i // 8 - 3) / 50.0 * 100 + 2.5, 6) AS v FROM range(48) t(i)")
+def rectification_map(spark, sf_dir):
+    m = image.rectification_map(spark, (6, 8), [[100, 0, 3.5], [0, 100, 2.5], [0, 0, 1]], new_camera_matrix=[[50, 0, 4], [0, 50, 3], [0, 0, 1]])
+    return m.select("row", "col", r6("u").alias("u"), r6("v").alias("v"))
+
+
+@query("SELECT vec_id, round((x1 - x0 + 1) * (y1 - y0 + 1), 4) AS area, round(99 - x1, 4) AS left FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 10 + 20 AS x0, CAST(embedding[2] AS DOUBLE) * 10 + 20 AS y0, CAST(embedding[3] AS DOUBLE) * 10 + 50 AS x1, CAST(embedding[4] AS DOUBLE) * 10 + 50 AS y1 FROM embeddings)")
+def image_boxes(spark, sf_dir):
+    from stratawave.functions import boxes
+
+    b = [F.get("e", F.lit(i)) * 10 + (20 if i < 2 else 50) for i in range(4)]
+    return vecs(spark, sf_dir).select("vec_id", r6(boxes.area(b), 4).alias("area"), r6(boxes.transpose(b, 100, 100)[0], 4).alias("left"))
+
+
+# ---- further trajectories
+
+IMU = "imu AS (SELECT label AS topic, vec_id, list_transform(embedding[1:24], lambda x: CAST(x AS DOUBLE)) AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM embeddings)"
+
+
+def imu(spark, sf_dir, n=24):
+    e = vecs(spark, sf_dir).select(F.col("label").cast("string").alias("topic"), "vec_id", F.col("vec_id").cast("double").alias("ts"), F.slice("e", 1, n).alias("data"))
+    return o.positions(e, ["topic"], ["vec_id"], "seq")
+
+
+@query(f"WITH {IMU} SELECT vec_id, round(d[9] - avg(d[9]) OVER t, 6) AS gx, round(d[19] - avg(d[19]) OVER t, 6) AS az FROM imu WINDOW t AS (PARTITION BY topic)")
+def imu_bias(spark, sf_dir):
+    c = trajectory.correct_imu_bias(imu(spark, sf_dir))
+    return c.select("vec_id", r6(F.get("data", F.lit(8))).alias("gx"), r6(F.get("data", F.lit(18))).alias("az"))
+
+
+@query(f"WITH {IMU}, q AS (SELECT vec_id, d, d[1] / n AS x, d[2] / n AS y, d[3] / n AS z, d[4] / n AS w FROM (SELECT *, sqrt(d[1] * d[1] + d[2] * d[2] + d[3] * d[3] + d[4] * d[4]) AS n FROM imu)) SELECT vec_id, round(d[17] - 9.80665 * 2 * (x * z - w * y), 6) AS ax, round(d[20], 6) AS kept FROM q")
+def imu_gravity(spark, sf_dir):
+    c = imu(spark, sf_dir).withColumn("data", q.compensate_imu_gravity("data"))
+    return c.select("vec_id", r6(F.get("data", F.lit(16))).alias("ax"), r6(F.get("data", F.lit(19))).alias("kept"))
+
+
+@query(f"WITH {IMU} SELECT topic::VARCHAR AS topic, seq, round(d[9], 6) AS wx, round(d[17], 6) AS ax, round(d[24 - 1], 6) AS caz, round(d[4] / sqrt(d[1] * d[1] + d[2] * d[2] + d[3] * d[3] + d[4] * d[4]), 6) AS qw FROM imu")
+def imu_trajectory(spark, sf_dir):
+    t = trajectory.imu_to_trajectory(imu(spark, sf_dir))
+    return t.select("topic", "seq", r6(F.get("angular_velocity", F.lit(0))).alias("wx"), r6(F.get("linear_acceleration", F.lit(0))).alias("ax"), r6(F.get("linear_acceleration_covariance", F.lit(2))).alias("caz"), r6(F.get("pose", F.lit(6))).alias("qw"))
+
+
+@query("WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS d FROM embeddings) SELECT vec_id, round(d[1], 6) AS px, round(d[17], 6) AS vx, round(d[25], 6) AS wx, round(d[29], 6) AS cw, round(d[9] / sqrt(d[9] * d[9] + d[10] * d[10] + d[11] * d[11] + d[12] * d[12]), 6) AS qx FROM d")
+def odometry_trajectory(spark, sf_dir):
+    m = imu(spark, sf_dir, 32)
+    t = trajectory.odometry_to_trajectory(m).select(F.col("ts").cast("long").alias("vec_id"), "position", "orientation", "linear_velocity", "angular_velocity", "angular_velocity_covariance")
+    return t.select("vec_id", *(r6(F.get(c, F.lit(0))).alias(n) for c, n in (("position", "px"), ("linear_velocity", "vx"), ("angular_velocity", "wx"), ("angular_velocity_covariance", "cw"), ("orientation", "qx"))))
+
+
+def turning(spark, sf_dir):
+    half = F.col("seq") * 0.05
+    return messages(spark, sf_dir).select("topic", "seq", "ts", F.array(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half)).alias("orientation"))
+
+
+@query(f"WITH {NEAR} SELECT topic, seq, round(CASE WHEN hs IS NULL THEN 0.1 / hd WHEN hd IS NULL THEN 0.1 / hs ELSE (0.1 / hs + 0.1 / hd) / 2 END, 8) AS wz FROM h")
+def angular_velocity(spark, sf_dir):
+    w = trajectory.angular_velocity_from_quaternions(turning(spark, sf_dir))
+    return w.select("topic", "seq", r6(F.get("omega", F.lit(2)), 8).alias("wz"))
+
+
+@query(f"""WITH {GRID}, n AS (SELECT g.topic, g.seq, g.ts, b.ts AS bt, b.seq AS bs, f.ts AS ft, f.seq AS fs FROM g ASOF LEFT JOIN msgs b ON g.topic = b.topic AND g.ts > b.ts ASOF LEFT JOIN msgs f ON g.topic = f.topic AND g.ts <= f.ts),
+y AS (SELECT topic, seq, 0.1 * CASE WHEN ft IS NULL THEN bs WHEN bt IS NULL OR ft = ts THEN fs ELSE bs + (fs - bs) * (ts - bt) / (ft - bt) END AS yaw FROM n) SELECT topic, seq, round(cos(yaw), 6) AS c, round(sin(yaw), 6) AS s FROM y""")
+def interpolate_quaternions(spark, sf_dir):
+    t = turning(spark, sf_dir)
+    at = align.grid(t, 300.0, None, None, ["topic"]).select("topic", "ts", "seq")
+    i = trajectory.interpolate_quaternions(t, at)
+    z, w = F.get("orientation", F.lit(2)), F.get("orientation", F.lit(3))
+    return i.select("topic", "seq", r6(w * w - z * z).alias("c"), r6(2 * z * w).alias("s"))
+
+
+@query(f"WITH {FIX} SELECT topic, seq, round(lat, 6) AS x, CASE WHEN status IS NOT NULL AND status >= 0 THEN 1.0 ELSE 0.0 END AS qw FROM fixes WHERE status IS NOT NULL AND status >= 0")
+def masked_tum(spark, sf_dir):
+    t = fixes(spark, sf_dir).withColumnRenamed("data", "position").withColumn("orientation", trajectory.identity())
+    kept = trajectory.mask_trajectory(t, F.col("status") >= 0, drop=True)
+    return trajectory.to_tum_trajectory(kept).select("topic", "seq", r6("x").alias("x"), "qw")
+
+
+# ---- further streams
+
+@query(f"""WITH {PAIR} SELECT name, seq, CASE WHEN bt IS NOT NULL AND (ft IS NULL OR ts - bt <= ft - ts) THEN bs ELSE fs END AS target_index FROM (SELECT near.*, r.name FROM near JOIN ref r USING (seq)) WHERE least(coalesce(ft - ts, 1e9), coalesce(ts - bt, 1e9)) <= 45""")
+def topic_pairs(spark, sf_dir):
+    from stratawave.streaming.source import source_pipeline
+
+    return source_pipeline(messages(spark, sf_dir)).nearest_topic_pairs("view", "click", 45.0).select("name", "seq", "target_index")
+
+
+@query(f"WITH {MSGS}, k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY seq DESC) AS k FROM msgs) SELECT {OUT} FROM k WHERE k <= 3")
+def ring_buffer(spark, sf_dir):
+    from stratawave.sources.store import DataBuffer
+
+    return flat(DataBuffer(messages(spark, sf_dir), buffer_depth=3).rows())
+
+
+@query(f"WITH {MSGS} SELECT topic, count(*) AS rows, CAST(sum(seq) AS BIGINT) AS seqs, round(sum(a), 3) AS total FROM msgs GROUP BY 1")
+def store_compacted(spark, sf_dir):
+    store = filled_store(spark, sf_dir)
+    store.compact()
+    return store.messages().groupBy("topic").agg(F.count(F.lit(1)).alias("rows"), F.sum("seq").alias("seqs"), r6(F.sum(F.get("data", F.lit(0))), 3).alias("total"))
+
+
+@query("SELECT user_id::VARCHAR AS topic, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS seq, event_id::VARCHAR AS name FROM events")
+def arrival_order(spark, sf_dir):
+    from stratawave.schema import normalize_messages
+
+    e = table(spark, sf_dir, "events")
+    raw = e.select(F.col("user_id").cast("string").alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), F.col("event_id").alias("id"), F.array("value").alias("data"))
+    return normalize_messages(raw).select("topic", "seq", "name")
+
+
+# ---- further points and rasters
+
+@query(f"WITH {E4} SELECT regr_count(3 * x + 1.5 + 0.1 * y, x + 1) AS correspondence_count, round(regr_slope(3 * x + 1.5 + 0.1 * y, x + 1), 6) AS scale, round(regr_intercept(3 * x + 1.5 + 0.1 * y, x + 1), 6) AS offset FROM emb WHERE x + 1 > 0 AND 3 * x + 1.5 + 0.1 * y > 0")
+def depth_scale(spark, sf_dir):
+    c = cloud(spark, sf_dir).select(F.floor(F.col("pid") / 8).alias("row"), (F.col("pid") % 8).alias("col"), "x", "y")
+    d = points.calibrate_depth_metric_scale(c.select("row", "col", (F.col("x") + 1).alias("z")), c.select("row", "col", (3 * F.col("x") + 1.5 + 0.1 * F.col("y")).alias("z")))
+    return d.select("correspondence_count", r6("scale").alias("scale"), r6("offset").alias("offset"))
+
+
+@query(f"WITH {DEM} SELECT row, cc - col AS col, z FROM dem, h")
+def reproject_raster(spark, sf_dir):
+    d = dem(spark, sf_dir)
+    rows = d.agg(F.max("row") + 1).first()[0]
+    flip = raster.reproject_raster(d, (0, 0, 49, rows - 1), (rows, 50), transform=[[-1, 0, 49], [0, 1, 0], [0, 0, 1]])
+    return flip.select("row", "col", "z")
+
+
+@query(f"WITH {DEM} SELECT row, col, round(-row * 30.0 + 1, 6) AS x, round(col * 30.0, 6) AS y, round(z + 5, 6) AS z FROM dem")
+def transform_dem(spark, sf_dir):
+    t = transforms.transform_dem_grid(dem(spark, sf_dir), [[0, -1, 0, 1], [1, 0, 0, 0], [0, 0, 1, 5]], resolution=30.0)
+    return t.select("row", "col", *(r6(c).alias(c) for c in "xyz"))
+
+
+@query(f"WITH {DEM} SELECT row, col, round(10.0 * col * 30 / z + 320, 4) AS u, round(10.0 * row * 30 / z + 240, 4) AS v FROM dem WHERE z > 0")
+def project_dem(spark, sf_dir):
+    p = image.project_dem_to_image(dem(spark, sf_dir), 10.0, 10.0, 320.0, 240.0, resolution=30.0)
+    return p.filter("valid").select("row", "col", r6("u", 4).alias("u"), r6("v", 4).alias("v"))
+
+
+@query(f"WITH {DEM}, q AS (SELECT CAST(i AS BIGINT) AS i, i % 40 AS c, i // 40 AS r FROM range(80) t(i)) SELECT i, round(z, 4) AS sample FROM q JOIN dem ON col = c AND row = r")
+def elevation_at_fixes(spark, sf_dir):
+    asked = spark.range(80).select(F.col("id").alias("i"), F.lit("part").alias("raster"), F.array(*geodesy.enu_to_navsat([(F.col("id") % 40) * 30.0, F.floor(F.col("id") / 40) * 30.0, F.lit(0.0)], 50.0, 8.0)).alias("fix"))
+    return raster.sample_elevation_at_navsat(dem(spark, sf_dir), asked, "fix", 50.0, 8.0, resolution=30.0).select("i", r6("sample", 4).alias("sample"))
+
+
+# ---- further images
+
+FOUR = "px AS (SELECT vec_id AS seq, CAST((i - 1) // 16 AS INT) AS row, CAST((i - 1) // 4 % 4 AS INT) AS col, CAST(embedding[i] AS DOUBLE) AS r, CAST(embedding[i + 1] AS DOUBLE) AS g, CAST(embedding[i + 2] AS DOUBLE) AS b FROM embeddings, range(1, 65, 4) t(i))"
+
+
+@query(f"WITH {FOUR} SELECT seq, row, col, round(0.299 * b + 0.587 * g + 0.114 * r, 6) AS z FROM px")
+def convert_color(spark, sf_dir):
+    p = pictures(spark, sf_dir).withColumn("shape", F.array(*map(F.lit, (4, 4, 4))))
+    return plane(image.convert_color(image.convert_color(p, "rgba_to_rgb"), "bgr_to_gray"))
+
+
+@query(f"WITH {IMG}, g AS (SELECT CAST(i // 4 AS INT) AS row, CAST(i % 4 AS INT) AS col FROM range(16) t(i)) SELECT seq, g.row, g.col, round(z, 6) AS z FROM g JOIN px ON px.row = CAST(round_even(g.row * 7 / 3.0, 0) AS INT) AND px.col = CAST(round_even(g.col * 7 / 3.0, 0) AS INT)")
+def image_pyramid(spark, sf_dir):
+    return plane(image.image_pyramid(pictures(spark, sf_dir), 3).filter("level = 1"))
+
+
+@query(f"WITH {IMG}, s AS (SELECT DISTINCT seq FROM px), g AS (SELECT seq, CAST(i // 10 AS INT) AS row, CAST(i % 10 AS INT) AS col FROM s, range(100) t(i)) SELECT g.seq, g.row, g.col, coalesce(round(z, 6), 5) AS z FROM g LEFT JOIN px ON px.seq = g.seq AND px.row = g.row - 1 AND px.col = g.col - 1")
+def pad_image(spark, sf_dir):
+    return plane(image.pad_image(pictures(spark, sf_dir), 1, 5.0))
+
+
+@query(f"WITH {IMG} SELECT seq, row, 7 - col AS col, round(z * 2 + 1, 6) AS z FROM px")
+def augment_image(spark, sf_dir):
+    return plane(ml.augment_image(pictures(spark, sf_dir), flip_horizontal=True, contrast=2.0, brightness=1.0))
+
+
+@query(f"WITH {IMG} SELECT seq, row, col, round(coalesce(lag(z, 2) OVER (PARTITION BY seq, col ORDER BY row), 0), 6) AS z FROM px")
+def translate_image(spark, sf_dir):
+    return plane(image.translate_image(pictures(spark, sf_dir), (2, 0)))
+
+
+@query(f"WITH {IMG}, p AS (SELECT seq, row, col, (col - 3.5) * (z + 1) / 10 AS x, (row - 3.5) * (z + 1) / 12 AS y, z + 1 AS z FROM px), n AS (SELECT e.seq, c.row, c.col, e.x - w.x AS ax, e.y - w.y AS ay, e.z - w.z AS az, s.x - o.x AS bx, s.y - o.y AS \"by\", s.z - o.z AS bz, c.x, c.y, c.z FROM p c JOIN p e ON e.seq = c.seq AND e.row = c.row AND e.col = c.col + 1 JOIN p w ON w.seq = c.seq AND w.row = c.row AND w.col = c.col - 1 JOIN p s ON s.seq = c.seq AND s.col = c.col AND s.row = c.row + 1 JOIN p o ON o.seq = c.seq AND o.col = c.col AND o.row = c.row - 1), k AS (SELECT *, ay * bz - az * \"by\" AS nx, az * bx - ax * bz AS ny, ax * \"by\" - ay * bx AS nz FROM n), u AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) * CASE WHEN nx * x + ny * y + nz * z > 0 THEN -1 ELSE 1 END AS s FROM k) SELECT seq, row, col, round(nx / s, 5) AS nx, round(ny / s, 5) AS ny, round(nz / s, 5) AS nz FROM u")
+def depth_normals(spark, sf_dir):
+    p = pictures(spark, sf_dir).withColumn("data", F.transform("data", lambda x: x + 1))
+    n = image.depth_to_normals(p, 10.0, 12.0, 3.5, 3.5).filter(~F.isnan("nz"))
+    return n.select("seq", "row", "col", *(r6(c, 5).alias(c) for c in ("nx", "ny", "nz")))
+
+
+@query(f"WITH {IMG} SELECT seq, row, col, round((col - 3.5) * (z + 1) / 10 + seq, 6) AS x, round(z, 6) AS color FROM px")
+def fused_rgbd(spark, sf_dir):
+    p = pictures(spark, sf_dir)
+    deep = p.withColumn("data", F.transform("data", lambda x: x + 1))
+    lit = lambda *values: [F.lit(float(x)) for x in values]
+    t = p.select("topic", "seq", F.array(*lit(1, 0, 0), F.col("seq").cast("double"), *lit(0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)).alias("transform"))
+    f = image.fuse_rgbd_frames(deep, p, 10.0, 12.0, 3.5, 3.5, transforms=t)
+    return f.select("seq", "row", "col", r6("x").alias("x"), r6(F.get("attrs", F.lit(0))).alias("color"))
+
+
+@query(f"WITH {IMG}, s AS (SELECT *, z * 2 AS w FROM px) SELECT seq, CAST(row * 8 + col AS INT) // 4 AS pid, round(max(CASE WHEN (row * 8 + col) % 4 = 0 THEN -2 * p1 + 1 END), 6) AS x FROM (SELECT *, lead(z) OVER (PARTITION BY seq ORDER BY row, col) AS p1 FROM s) GROUP BY 1, 2")
+def augment_cloud(spark, sf_dir):
+    c = pictures(spark, sf_dir).withColumn("shape", F.array(F.lit(16), F.lit(4)))
+    a = ml.augment_point_cloud(c, 2.0, (1, 0, 0), [[0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    return points.explode_points(a).select("seq", "pid", r6("x").alias("x"))
+
+
+@query("""WITH c AS (SELECT nav_id, source_uri AS topic, "timestamp" AS ts, concat_ws(':', CAST(floor(data[1] / 0.05) AS BIGINT), CAST(floor(data[2] / 0.05) AS BIGINT)) AS cell FROM (SELECT DISTINCT nav_id, source_uri, "timestamp", data FROM navsensor WHERE "timestamp" IS NOT NULL AND len(data) = 3 AND abs(data[1]) <= 90 AND abs(data[2]) <= 180)),
+k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ts, nav_id) - 1 AS seq FROM c), u AS (SELECT topic, cell, min(seq) AS first FROM k GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY first) - 1 AS i, count(*) OVER (PARTITION BY topic) AS n FROM u)
+SELECT nav_id, CASE WHEN i < ceil(n / 2.0) THEN 'a' ELSE 'b' END AS split FROM k JOIN n USING (topic, cell)""")
+def split_geography(spark, sf_dir):
+    return ml.split_topic(fixes(spark, sf_dir).withColumn("name", F.lit("")).withColumn("source_uri", F.lit("")), "geography", (0.5, 0.5), ("a", "b"), geography_cell_size=0.05).select("nav_id", "split")

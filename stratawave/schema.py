@@ -55,18 +55,22 @@ def spatial_bounds_for_data(data: Column | str = "data", shape: Column | str = "
     The last axis gives up to three coordinates. Absent coordinates are null. Invalid for
     empty payloads, for more than two dimensions, and without a finite row.
     """
-    d, s = v.col(data), v.col(shape)
-    width = F.get(s, F.size(s) - 1)
-    used = F.least(width, F.lit(3))
-    rows = F.when((F.size(s) >= 1) & (F.size(s) <= 2) & (F.size(d) > 0) & (width > 0), (F.size(d) / width).cast("int")).otherwise(0)
-    points = F.transform(F.sequence(F.lit(1), F.greatest(rows, F.lit(1))), lambda i: F.slice(d, (i - 1) * width + 1, used))
-    good = F.filter(points, lambda p: (rows > 0) & F.forall(p, lambda x: v.is_finite(x)))
-
-    def edge(i: int, pick) -> Column:
-        return F.when(used > i, pick(F.transform(good, lambda p: F.get(p, F.lit(i)))))
-
-    valid = F.coalesce(F.size(good) > 0, F.lit(False))
-    return F.struct(valid.alias("spatial_valid"), *(F.when(valid, edge(i, pick)).alias(f"{name}_{axis}") for name, pick in (("min", F.array_min), ("max", F.array_max)) for i, axis in enumerate("xyz")))
+
+    def rows_of(m: Column) -> Column:
+        d, s = m["d"], m["s"]
+        width = F.get(s, F.size(s) - 1)
+        used = F.least(width, F.lit(3))
+        rows = F.when((F.size(s) >= 1) & (F.size(s) <= 2) & (F.size(d) > 0) & (width > 0), (F.size(d) / width).cast("int")).otherwise(0)
+        # one pass over the payload: the finite rows, each cut to its coordinates
+        points = F.when(rows > 0, F.filter(F.transform(F.sequence(F.lit(1), rows), lambda i: F.slice(d, (i - 1) * width + 1, used)), lambda p: F.forall(p, lambda x: v.is_finite(x))))
+        return F.struct(points.alias("points"), used.alias("used"))
+
+    def edges(m: Column) -> Column:
+        valid = F.coalesce(F.size(m["points"]) > 0, F.lit(False))
+        edge = lambda i, pick: F.when(valid & (m["used"] > i), pick(F.transform(m["points"], lambda p: F.get(p, F.lit(i)))))
+        return F.struct(valid.alias("spatial_valid"), *(edge(i, pick).alias(f"{name}_{axis}") for name, pick in (("min", F.array_min), ("max", F.array_max)) for i, axis in enumerate("xyz")))
+
+    return v.let(F.struct(v.col(data).alias("d"), v.col(shape).alias("s")), rows_of, edges)
 
 
 def topic_frames(df: DataFrame) -> DataFrame:
