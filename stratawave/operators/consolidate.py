@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawave.operators import file_footer as ff
-from stratawave.session import shared_dir, whole_groups
+from stratawave.operators.order import free
+from stratawave.session import changes, cut, importable, shared_dir, whole_groups
 
 TARGET_BYTES = 256 << 20
 #: Bytes that one copy holds in memory.
@@ -34,23 +37,27 @@ def filesystem(uri: str):
     return base, f"{root.rstrip('/')}/{path}"
 
 
-def copy_blocks(paths: list[str], name, out_dir: str) -> Iterator[dict]:
-    """Write the blocks of ``paths`` to one file for each schema among them.
+def open_path(path: str):
+    fs, inner = filesystem(path)
+    return fs.open_input_file(inner)
+
+
+def copy_blocks(sources: list[tuple[str, object]], name, out_dir: str, opened=open_path) -> Iterator[dict]:
+    """Write the blocks of ``sources`` (name, and what ``opened`` opens) to one file for each schema among them.
 
     A file is written under a temporary name and moved into place, so that a task that
     runs again replaces its own output. The written footer is read back and its schema,
     blocks and rows are held against those of the sources.
     """
-    footers: dict[bytes, list[tuple[str, list]]] = {}
-    for path in paths:
-        fs, inner = filesystem(path)
+    footers: dict[bytes, list[tuple[object, list]]] = {}
+    for label, source in sources:
         try:
-            with fs.open_input_file(inner) as handle:
+            with opened(source) as handle:
                 footer = ff.read_footer(handle)
         except (ValueError, IndexError, struct.error) as wrong:
-            yield {"file": path, "schema_id": None, "sources": 1, "blocks": 0, "rows": 0, "bytes": 0, "refused": str(wrong)}
+            yield {"file": label, "schema_id": None, "sources": 1, "blocks": 0, "rows": 0, "bytes": 0, "refused": str(wrong)}
             continue
-        footers.setdefault(ff.schema_of(footer), []).append((path, footer))
+        footers.setdefault(ff.schema_of(footer), []).append((source, footer))
     out_fs, out_root = filesystem(out_dir)
     out_fs.create_dir(out_root, recursive=True)
     for schema, files in footers.items():
@@ -60,9 +67,8 @@ def copy_blocks(paths: list[str], name, out_dir: str) -> Iterator[dict]:
         with out_fs.open_output_stream(temporary) as out:
             out.write(ff.MAGIC)
             at = 4
-            for path, footer in files:
-                fs, inner = filesystem(path)
-                with fs.open_input_file(inner) as handle:
+            for source, footer in files:
+                with opened(source) as handle:
                     for row_group in ff.get(footer, 4, (ff.STRUCT, []))[1]:
                         if not ff.get(row_group, 3):
                             continue  # a block without rows may have no pages
@@ -75,7 +81,7 @@ def copy_blocks(paths: list[str], name, out_dir: str) -> Iterator[dict]:
                             while left:
                                 piece = handle.read(min(left, COPY_BYTES))
                                 if not piece:
-                                    raise ValueError(f"{path} ends within a block")
+                                    raise ValueError(f"a source of {final} ends within a block")
                                 out.write(piece)
                                 left -= len(piece)
                             at += length
@@ -119,7 +125,7 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["bin"]):
             for number, part in group.groupby("bin"):
-                if out := list(copy_blocks(list(part["path"]), f"{int(number):06d}", out_dir)):
+                if out := list(copy_blocks([(x, x) for x in part["path"]], f"{int(number):06d}", out_dir)):
                     yield pd.DataFrame(out)
 
     report = (
@@ -162,3 +168,85 @@ def fragment_roles(fragment: DataFrame, message: DataFrame) -> DataFrame:
             F.when(F.col("owned").isNull(), "drop").when((F.col("owned") == F.col("held")) & (F.col("copies") == 1), "copy").otherwise("rewrite").alias("role"),
         )
     )
+
+
+def encoded_fragments(columns: list[str], bin_name: str):
+    """Rows sorted by (topic, bin_name, fragment_id) to one small Parquet file for each fragment, as bytes."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def flush(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
+            keys = table.select(["topic", bin_name, "fragment_id"]).to_pandas()
+            starts = np.flatnonzero(changes(keys, list(keys.columns)))
+            ends = np.append(starts[1:], len(keys))
+            if not last:  # the last fragment may go on in the next batch
+                rest = table.slice(starts[-1])
+                starts, ends = starts[:-1], ends[:-1]
+            else:
+                rest = None
+            if not len(starts):
+                return None, rest
+            contents, body = [], table.select(columns)
+            for a, b in zip(starts, ends):
+                sink = pa.BufferOutputStream()
+                pq.write_table(body.slice(a, b - a), sink, compression="zstd", use_dictionary=False)
+                contents.append(sink.getvalue().to_pybytes())
+            first = keys.iloc[starts]
+            return pa.RecordBatch.from_arrays([pa.array(first["topic"], pa.string()), pa.array(first[bin_name], pa.int64()), pa.array(first["fragment_id"], pa.int64()), pa.array(contents, pa.binary())], ["topic", "bin", "fragment_id", "content"]), rest
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                out, held = flush(table if held is None else pa.concat_tables([held, table]), False)
+                if out is not None:
+                    yield out
+        if held is not None and held.num_rows:
+            yield flush(held, True)[0]
+
+    return run
+
+
+def compact_records(message: DataFrame, out_dir: str, target_rows: int = 1_000_000) -> DataFrame:
+    """Files of about ``target_rows`` rows by topic in which every record occurs exactly once; the report of their blocks.
+
+    ``message`` has fragment_id, source_uri, topic and msg_id and any other columns, and
+    stands for the files of its fragments. Of a record's copies the one in the smallest
+    fragment is kept, once; rows without fragment_id count as a fragment behind all
+    others; a null msg_id is one record of its series. What is left of each fragment is
+    one encoded block, and blocks are copied into the files as :func:`consolidate` does.
+
+    Result, once the files are in place: topic, file, sources, blocks, rows, bytes. The
+    rows are checked against the number of records.
+    """
+    from pyspark.sql import Window
+
+    importable(message.sparkSession)
+    columns, number, bins = message.columns, free(message, "copy_number"), free(message, "target_bin")
+    copies = Window.partitionBy("source_uri", "topic", "msg_id").orderBy(F.col("fragment_id").asc_nulls_last())
+    kept = message.withColumn(number, F.row_number().over(copies)).filter(F.col(number) == 1).drop(number)
+    sizes = message.groupBy("topic").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / target_rows)).alias("bins"))
+    k, z = kept.alias("k"), sizes.alias("z")
+    placed = k.join(z, F.col("k.topic").eqNullSafe(F.col("z.topic"))).select("k.*", F.pmod(F.xxhash64("k.fragment_id"), F.col("z.bins")).alias(bins))
+    blocks = (
+        placed.repartition("topic", bins).sortWithinPartitions("topic", bins, "fragment_id")
+        .mapInArrow(encoded_fragments(columns, bins), "topic string, bin long, fragment_id long, content binary")
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(batches, ["topic", "bin"]):
+            starts = np.append(np.flatnonzero(changes(group, ["topic", "bin"])), len(group))
+            for a, b in zip(starts[:-1], starts[1:]):
+                topic, number = group["topic"].iloc[a], int(group["bin"].iloc[a])
+                name = hashlib.sha256(repr(topic).encode()).hexdigest()[:16]
+                sources = [(str(f), c) for f, c in zip(group["fragment_id"].iloc[a:b], group["content"].iloc[a:b])]
+                yield pd.DataFrame(list(copy_blocks(sources, f"{name}-{number:06d}", out_dir, io.BytesIO))).assign(topic=topic)
+
+    report = cut(blocks.mapInPandas(run, "topic string, " + REPORT)).drop("schema_id", "refused")
+    records = message.select("source_uri", "topic", "msg_id").distinct().count()
+    written = report.agg(F.sum("rows")).first()[0] or 0
+    if written != records:
+        raise ValueError(f"{written} rows were written for {records} records")
+    return report

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawave.operators import consolidate, salted, spikes, trips
 from stratawave.operators import regular_grid as rg
-from stratawave.session import table
+from stratawave.session import shared_dir, table
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,13 @@ def p2_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return message.groupBy("topic").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("msg_id").alias("records"), F.count("timestamp").alias("timed"))
 
 
+def p2_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments left and records of every topic in files that hold each record once."""
+    out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    report = consolidate.compact_records(table(spark, sf_dir, "message"), out)
+    return report.groupBy("topic").agg(F.sum("blocks").alias("blocks"), F.sum("rows").alias("records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics holding at least 5 % of the declared records."""
     return salted.topic_totals(table(spark, sf_dir, "manifest")).filter("share >= 0.05").select("topic")
@@ -98,7 +107,7 @@ SLOTS_SQL = """bounds AS (
   JOIN topic_spec s USING (topic) WHERE s.period > 0),
 slots AS (SELECT source_uri, topic, start, period, unnest(range(n)) AS slot FROM bounds)"""
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_grid, p2_found, p2_roles, p2_consolidated, p3_found, p3_totals, p3_statistics, p4_found, p4_flags, p5_found, p5_trips)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_grid, p2_found, p2_roles, p2_consolidated, p2_compacted, p3_found, p3_totals, p3_statistics, p4_found, p4_flags, p5_found, p5_trips)}
 TOTALS_SQL = """counts AS (
   SELECT source_uri, topic, max("count") AS n FROM manifest x
   WHERE "count" IS NOT NULL AND written_at = (SELECT max(written_at) FROM manifest y WHERE y.source_uri = x.source_uri AND y.topic = x.topic AND y."count" IS NOT NULL)
@@ -139,6 +148,8 @@ FROM o""",
     "p2_found": f"WITH {ROLES_SQL} SELECT fragment_id FROM roles WHERE role = 'drop'",
     "p2_roles": f"WITH {ROLES_SQL} SELECT * FROM roles",
     "p2_consolidated": 'SELECT topic, count(*) AS rows, count(DISTINCT msg_id) AS records, count("timestamp") AS timed FROM message GROUP BY 1',
+    "p2_compacted": f"""WITH {ROLES_SQL}, r AS (SELECT topic, count(DISTINCT (source_uri, msg_id)) AS records FROM message GROUP BY 1), b AS (SELECT topic, count(DISTINCT fragment_id) AS blocks FROM first GROUP BY 1)
+SELECT topic, CAST(blocks AS BIGINT) AS blocks, records FROM r JOIN b USING (topic)""",
     "p3_found": f"WITH {TOTALS_SQL} SELECT topic FROM totals WHERE records >= 0.05 * (SELECT sum(records) FROM totals)",
     "p3_totals": f"WITH {TOTALS_SQL} SELECT topic, records, series, round(records / (SELECT CAST(sum(records) AS DOUBLE) FROM totals), 9) AS share FROM totals",
     "p3_statistics": """SELECT topic, count(*) AS rows, CAST(sum(CASE WHEN "timestamp" IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS timed,

@@ -85,3 +85,15 @@ def test_fragment_roles(spark):
 def test_out_of_reach(spark, tmp_path):
     with pytest.raises(Exception):
         c.consolidate(spark, str(tmp_path / "absent"), str(tmp_path / "out")).collect()
+
+
+def test_every_record_once(spark, tmp_path):
+    rows = [("s", "t", i, f, "x" * (i % 5), [float(i)]) for i in range(50) for f in ([i // 5] if i % 7 else [i // 5, 90 + i % 3, 90 + i % 3])]
+    rows += [("u", "t", 3, None, None, None), ("s", None, 1, 1, "a", []), ("s", "t", None, 4, "n", None), ("s", "t", None, 5, "n", None)]
+    df = spark.createDataFrame(rows, "source_uri string, topic string, msg_id long, fragment_id long, bin string, data array<double>")
+    report = c.compact_records(df, str(tmp_path / "out"), target_rows=20).collect()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sum(r.rows for r in report) == back.count() == 53 and {r.topic for r in report} == {"t", None} and len(report) == len(list((tmp_path / "out").iterdir()))
+    assert back.groupBy("source_uri", "topic", "msg_id").count().filter("count > 1").count() == 0
+    assert {r.fragment_id for r in back.filter("msg_id = 7 AND topic = 't'").collect()} == {1} and back.filter("msg_id IS NULL").first().fragment_id == 4
+    assert c.compact_records(df.limit(0), str(tmp_path / "none")).count() == 0
