@@ -6,7 +6,7 @@ import hashlib
 import io
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,65 +42,83 @@ def open_path(path: str):
     return fs.open_input_file(inner)
 
 
-def copy_blocks(sources: list[tuple[str, object]], name, out_dir: str, opened=open_path) -> Iterator[dict]:
+class Output:
+    """A file under way: blocks are appended, their metadata kept encoded, so that millions of blocks need little memory."""
+
+    def __init__(self, fs, final: str, schema: bytes, footer: list, like):
+        self.fs, self.final, self.schema, self.footer, self.like = fs, final, schema, footer, like
+        self.temporary = f"{final.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+        self.out = fs.open_output_stream(self.temporary)
+        self.out.write(ff.MAGIC)
+        self.at, self.groups, self.rows, self.sources = 4, [], 0, 0
+
+    def add(self, handle, footer: list) -> None:
+        for row_group in ff.get(footer, 4, (ff.STRUCT, []))[1]:
+            if not ff.get(row_group, 3):
+                continue  # a block without rows may have no pages
+            offsets = []
+            for column in ff.get(row_group, 1)[1]:
+                start, left = ff.span(column)
+                offsets.append(self.at)
+                self.at += left
+                handle.seek(start)
+                while left:
+                    piece = handle.read(min(left, COPY_BYTES))
+                    if not piece:
+                        raise ValueError(f"a source of {self.final} ends within a block")
+                    self.out.write(piece)
+                    left -= len(piece)
+            self.groups.append(ff.encoded(ff.STRUCT, ff.moved(row_group, offsets, len(self.groups))))
+        self.rows += ff.get(footer, 3)
+        self.sources += 1
+
+    def close(self) -> int:
+        """Write the footer, hold what was written against the sources, and move the file into place; its size."""
+        import pyarrow.parquet as pq
+
+        ff.put(self.footer, 3, ff.I64, self.rows)
+        ff.put(self.footer, 4, ff.LIST, ff.encoded_list(ff.STRUCT, self.groups))
+        tail = ff.encoded(ff.STRUCT, self.footer)
+        self.out.write(tail + struct.pack("<I", len(tail)) + ff.MAGIC)
+        self.out.close()
+        with self.fs.open_input_file(self.temporary) as handle:
+            found = pq.read_metadata(handle)
+        counted = sum(found.row_group(i).num_rows for i in range(found.num_row_groups))
+        if not found.schema.equals(self.like) or found.num_row_groups != len(self.groups) or counted != self.rows or found.num_rows != self.rows:
+            raise ValueError(f"the blocks written to {self.final} do not match their sources")
+        self.fs.move(self.temporary, self.final)
+        return self.at + len(tail) + 8
+
+
+def copy_blocks(sources: Iterable[tuple[str, object]], name, out_dir: str, opened=open_path) -> Iterator[dict]:
     """Write the blocks of ``sources`` (name, and what ``opened`` opens) to one file for each schema among them.
 
-    A file is written under a temporary name and moved into place, so that a task that
-    runs again replaces its own output. The written footer is read back and its schema,
-    blocks and rows are held against those of the sources.
+    Sources are read once and one at a time. A file is written under a temporary name and
+    moved into place, so that a task that runs again replaces its own output. What was
+    written is read back, and its schema, blocks and rows are held against the sources'.
     """
-    footers: dict[bytes, list[tuple[object, list]]] = {}
+    import pyarrow.parquet as pq
+
+    fs, root = filesystem(out_dir)
+    fs.create_dir(root, recursive=True)
+    outputs: dict[bytes, Output] = {}
     for label, source in sources:
         try:
             with opened(source) as handle:
                 footer = ff.read_footer(handle)
+                schema = ff.schema_of(footer)
         except (ValueError, IndexError, struct.error) as wrong:
             yield {"file": label, "schema_id": None, "sources": 1, "blocks": 0, "rows": 0, "bytes": 0, "refused": str(wrong)}
             continue
-        footers.setdefault(ff.schema_of(footer), []).append((source, footer))
-    out_fs, out_root = filesystem(out_dir)
-    out_fs.create_dir(out_root, recursive=True)
-    for schema, files in footers.items():
-        schema_id = hashlib.sha256(schema).hexdigest()[:16]
-        final, temporary = f"{out_root}/part-{name}-{schema_id}.parquet", f"{out_root}/_{uuid.uuid4().hex}"
-        groups, rows, blocks = [], 0, 0
-        with out_fs.open_output_stream(temporary) as out:
-            out.write(ff.MAGIC)
-            at = 4
-            for source, footer in files:
-                with opened(source) as handle:
-                    for row_group in ff.get(footer, 4, (ff.STRUCT, []))[1]:
-                        if not ff.get(row_group, 3):
-                            continue  # a block without rows may have no pages
-                        offsets = []
-                        for column in ff.get(row_group, 1)[1]:
-                            start, length = ff.span(column)
-                            offsets.append(at)
-                            handle.seek(start)
-                            left = length
-                            while left:
-                                piece = handle.read(min(left, COPY_BYTES))
-                                if not piece:
-                                    raise ValueError(f"a source of {final} ends within a block")
-                                out.write(piece)
-                                left -= len(piece)
-                            at += length
-                        groups.append(ff.moved(row_group, offsets, len(groups)))
-                        blocks += 1
-                rows += ff.get(footer, 3)
-            footer = files[0][1]
-            ff.put(footer, 3, ff.I64, rows)
-            ff.put(footer, 4, ff.LIST, (ff.STRUCT, groups))
-            tail = ff.encoded(ff.STRUCT, footer)
-            out.write(tail + struct.pack("<I", len(tail)) + ff.MAGIC)
-            size = at + len(tail) + 8
-        with out_fs.open_input_file(temporary) as handle:
-            check = ff.read_footer(handle)
-        found = ff.get(check, 4)[1]
-        if ff.schema_of(check) != schema or len(found) != blocks or sum(ff.get(g, 3) for g in found) != rows or ff.get(check, 3) != rows:
-            raise ValueError(f"the blocks written to {final} do not match their sources")
-        out_fs.move(temporary, final)
-        yield {"file": final, "schema_id": schema_id, "sources": len(files), "blocks": blocks, "rows": rows, "bytes": size, "refused": None}
+        with opened(source) as handle:
+            if schema not in outputs:
+                like = pq.read_metadata(handle).schema
+                final = f"{root}/part-{name}-{hashlib.sha256(schema).hexdigest()[:16]}.parquet"
+                outputs[schema] = Output(fs, final, schema, [list(f) for f in footer], like)
+            outputs[schema].add(handle, footer)
+    for schema, output in outputs.items():
+        size = output.close()
+        yield {"file": output.final, "schema_id": hashlib.sha256(schema).hexdigest()[:16], "sources": output.sources, "blocks": len(output.groups), "rows": output.rows, "bytes": size, "refused": None}
 
 
 def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: int = TARGET_BYTES) -> DataFrame:

@@ -85,6 +85,15 @@ def integer(n: int) -> bytes:
     return varint((n << 1) ^ (n >> 63))
 
 
+def list_head(of: int, n: int) -> bytes:
+    return bytes([n << 4 | of]) if n < 15 else bytes([0xF0 | of]) + varint(n)
+
+
+def encoded_list(of: int, items: list[bytes]) -> bytes:
+    """A list of elements that are encoded already; it can stand as the value of a field."""
+    return list_head(of, len(items)) + b"".join(items)
+
+
 def encoded(kind: int, value) -> bytes:
     if kind in (TRUE, FALSE):
         return b""
@@ -97,8 +106,10 @@ def encoded(kind: int, value) -> bytes:
     if kind == BINARY:
         return varint(len(value)) + value
     if kind in (LIST, SET):
+        if isinstance(value, bytes):  # encoded already, see encoded_list
+            return value
         of, items = value
-        head = bytes([len(items) << 4 | of]) if len(items) < 15 else bytes([0xF0 | of]) + varint(len(items))
+        head = list_head(of, len(items))
         if of in (TRUE, FALSE):
             return head + bytes(TRUE if x else FALSE for x in items)
         return head + b"".join(encoded(of, x) for x in items)
