@@ -17,7 +17,7 @@ BLOCK, HALO = 4096, 64
 #: Weight of a new reading; clip, in scales; limit of a normal deviation, in scales.
 WEIGHT, CLIP, LIMIT = 0.25, 2.5, 6.0
 #: Deviations on one side after which the chart takes a new level; equal readings that count as stuck; share of repeats of a source that repeats by nature.
-RELEVEL, STUCK, REPEATS = 6, 8, 0.3
+RELEVEL, STUCK, REPEATS = 6, 8, 0.08
 #: Bins of the histogram of deviations: each is wider than the one before by this factor.
 STEP = 1.02
 
