@@ -128,18 +128,24 @@ def look_alike_pairs(documents: DataFrame) -> DataFrame:
 
     Originals are grouped by skeleton. Groups of one text only, however many copies it
     has, yield no pair and are left before any pair is made; so are texts without a
-    visible character. Rows without doc_id are in no pair. Skeletons and texts are
-    compared whole, behind 64-bit hashes that carry the shuffle.
+    visible character. In the other groups different texts meet once, and their copies
+    come in where the pairs are written: the work is that of the result, not of all pairs
+    of a group. Rows without doc_id are in no pair, and doc_id is unique. Skeletons and
+    texts are compared whole, behind 64-bit hashes that carry the shuffle.
     """
     named = documents.filter(F.col("doc_id").isNotNull())
     # every text is moved as two hashes; texts meet only where one skeleton has several of them
     hashes = cut(classes(named).filter("seen").select("doc_id", F.xxhash64("skeleton").alias("form"), F.xxhash64("text").alias("own")))
     mixed = hashes.groupBy("form").agg(F.min("own").alias("least"), F.max("own").alias("largest")).filter("least <> largest").select("form")
     concerned = hashes.join(mixed, "form", "left_semi").select("doc_id")
-    few = classes(named.join(concerned, "doc_id", "left_semi")).withColumn("form", F.xxhash64("skeleton"))
-    a, b = few.alias("a"), few.alias("b")
-    return (
-        a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.skeleton") == F.col("b.skeleton")) & (F.col("a.text") != F.col("b.text")))
-        .select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"))
-        .distinct()
-    )
+    few = cut(classes(named.join(concerned, "doc_id", "left_semi")).withColumn("form", F.xxhash64("skeleton")))
+    # copies of one text are one here; only different texts of a skeleton meet
+    texts = few.groupBy("form", "skeleton", "text").agg(F.min("doc_id").alias("first_id"))
+    f, t = few.alias("f"), texts.alias("t")
+    members = f.join(t, (F.col("f.form") == F.col("t.form")) & (F.col("f.text") == F.col("t.text"))).select(F.col("t.first_id").alias("first_id"), F.col("f.doc_id").alias("doc_id"))
+    a, b = texts.alias("a"), texts.alias("b")
+    differ = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.skeleton") == F.col("b.skeleton")) & (F.col("a.first_id") < F.col("b.first_id")))
+    pairs = differ.select(F.col("a.first_id").alias("one"), F.col("b.first_id").alias("other")).alias("p")
+    m, n = members.alias("m"), members.alias("n")
+    expanded = pairs.join(m, F.col("p.one") == F.col("m.first_id")).join(n, F.col("p.other") == F.col("n.first_id"))
+    return expanded.select(F.least("m.doc_id", "n.doc_id").alias("doc_id_a"), F.greatest("m.doc_id", "n.doc_id").alias("doc_id_b"))

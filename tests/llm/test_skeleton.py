@@ -55,6 +55,8 @@ def test_pairs(spark):
 def test_many_copies_make_no_pairs(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "'the same text' AS text")
     assert k.look_alike_pairs(df).count() == 0
+    hot = df.unionByName(spark.createDataFrame([(20_000, "the same tеxt"), (20_001, "the same text.")], "doc_id long, text string"))
+    assert k.look_alike_pairs(hot).count() == 20_000
 
 
 def test_canonical_column(spark):
