@@ -547,23 +547,31 @@ def colorize_points(points: DataFrame, image: DataFrame, **more) -> DataFrame:
     return sample_image_at_points(image, points, **more).withColumnRenamed("sample", "color").drop("u", "v")
 
 
-def rectification_map(spark, image_shape: Sequence[int], camera_matrix, distortion=None, rectification=None, new_camera_matrix=None) -> DataFrame:
-    """(row, col, u, v): for each pixel of the rectified image the place in the original."""
+def rectified_place(camera_matrix, distortion=None, rectification=None, new_camera_matrix=None) -> tuple[Column, Column]:
+    """Where in the original image a pixel (row, col) of the rectified one comes from: u, v."""
     k, new = cam.checked(camera_matrix), cam.checked(camera_matrix if new_camera_matrix is None else new_camera_matrix)
     r = np.linalg.inv(np.eye(3) if rectification is None else np.asarray(rectification, float))
-    from stratawave.operators.raster import dense_grid
-
     x, y = cam.pixels_to_normalized_points([F.col("col").cast("double"), F.col("row").cast("double")], new)
     ray = v.times([[float(e) for e in row] for row in r], [x, y, F.lit(1.0)])
-    u, w = cam.normalized_points_to_pixels(cam.distort_normalized_points([ray[0] / ray[2], ray[1] / ray[2]], distortion), k)
+    flat = [F.try_divide(ray[0], ray[2]), F.try_divide(ray[1], ray[2])]
+    u, w = cam.normalized_points_to_pixels(cam.distort_normalized_points(flat, distortion), k)
+    return u, w
+
+
+def rectification_map(spark, image_shape: Sequence[int], camera_matrix, distortion=None, rectification=None, new_camera_matrix=None) -> DataFrame:
+    """(row, col, u, v): for each pixel of the rectified image the place in the original."""
+    from stratawave.operators.raster import dense_grid
+
+    u, w = rectified_place(camera_matrix, distortion, rectification, new_camera_matrix)
     return dense_grid(spark, *(int(s) for s in image_shape[:2])).select("row", "col", u.alias("u"), w.alias("v"))
 
 
 def rectify_image(image: DataFrame, image_shape: Sequence[int], camera_matrix, distortion=None, rectification=None, new_camera_matrix=None, bilinear: bool = True, fill_value: float = 0) -> DataFrame:
     """Cells of the rectified images."""
-    at = rectification_map(image.sparkSession, image_shape, camera_matrix, distortion, rectification, new_camera_matrix)
-    names = image.select("raster").distinct()
-    wanted = names.crossJoin(at)  # every pixel of every image, which is the result's size
+    from stratawave.operators.raster import target_cells
+
+    u, w = rectified_place(camera_matrix, distortion, rectification, new_camera_matrix)
+    wanted = target_cells(image, image_shape[:2]).select("raster", "row", "col", u.alias("u"), w.alias("v"))
     return sample_image_at_pixels(image, wanted, "u", "v", bilinear, fill_value).select("raster", "row", "col", F.col("sample").alias("z"))
 
 
