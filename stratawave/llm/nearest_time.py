@@ -108,15 +108,19 @@ def nearest_in_time(queries: DataFrame, records: DataFrame) -> DataFrame:
     taken; a query that is stored repeatedly with the same values gives one row, one id
     with different times gives the nearest of them.
 
-    Records and queries meet in blocks of time of BLOCK_TOLERANCES tolerances (the
-    largest of all queries), so a hot entity spreads over many groups; a query goes to
-    every block its tolerance reaches. Records at the same time become one before the
+    Records and queries meet in blocks of time, so a hot entity spreads over many groups; a
+    query goes to every block its tolerance reaches. Blocks are ``width`` seconds wide: a
+    column of both sides that is the same for all rows of an entity, or else
+    BLOCK_TOLERANCES times the largest tolerance of all queries. Records at the same time become one before the
     shuffle. Each block builds the levels of
     its trie that searches ask for, once.
     """
     asked = queries.filter(finite(F.col("time")) & F.col("entity").isNotNull() & F.col("id").isNotNull() & (F.col("tolerance") >= 0) & ~F.isnan("tolerance"))
-    largest = asked.agg(F.max("tolerance")).first()[0]
-    width = max(float(largest or 0.0), 1e-3) * BLOCK_TOLERANCES
+    if "width" in queries.columns and "width" in records.columns:
+        width = F.greatest(F.col("width"), F.lit(1e-3))
+    else:
+        largest = asked.agg(F.max("tolerance")).first()[0]
+        width = F.lit(max(float(largest or 0.0), 1e-3) * BLOCK_TOLERANCES)
     reach = F.sequence(F.floor((F.col("time") - F.col("tolerance")) / width), F.floor((F.col("time") + F.col("tolerance")) / width))
     sent = asked.select("entity", F.explode(reach).alias("block"), F.lit(0).alias("kind"), "id", "time", "tolerance").distinct()
     kept = (
@@ -142,6 +146,7 @@ def match_captures(capture: DataFrame, message: DataFrame, spec: DataFrame) -> D
     Rows stored repeatedly count once; captures of topics without ``spec`` match nothing.
     """
     tolerances = F.broadcast(spec.select("topic", "tolerance").dropDuplicates(["topic"]))
-    queries = capture.join(tolerances, "topic").select(F.col("capture_id").alias("id"), F.col("topic").alias("entity"), F.col("timestamp").alias("time"), "tolerance")
-    records = usable(message).select(F.col("msg_id").alias("id"), F.col("topic").alias("entity"), F.col("timestamp").alias("time"))
+    width = (F.col("tolerance") * BLOCK_TOLERANCES).alias("width")
+    queries = capture.join(tolerances, "topic").select(F.col("capture_id").alias("id"), F.col("topic").alias("entity"), F.col("timestamp").alias("time"), "tolerance", width)
+    records = usable(message).join(tolerances, "topic").select(F.col("msg_id").alias("id"), F.col("topic").alias("entity"), F.col("timestamp").alias("time"), width)
     return nearest_in_time(queries, records).select(F.col("query_id").alias("capture_id"), F.col("record_id").alias("msg_id"), "distance", "record_time")

@@ -4,11 +4,12 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratawave.llm import nearest_time as n
 
 QUERY = "id long, entity string, time double, tolerance double, block long, kind string"
-RECORD = "id long, entity string, time double, width double, data string"
+RECORD = "id long, entity string, time double, tolerance double, data string"
 
 
 @settings(max_examples=300, deadline=None)
@@ -39,6 +40,16 @@ def test_against_brute_force(spark):
     assert run(spark, queries, records) == want
 
 
+def test_width_of_blocks_does_not_show(spark):
+    rng = random.Random(5)
+    records = spark.createDataFrame([(i, rng.choice("ab"), rng.uniform(0, 500)) for i in range(400)], "id long, entity string, time double")
+    queries = spark.createDataFrame([(i, rng.choice("ab"), rng.uniform(0, 500), 4.0) for i in range(150)], "id long, entity string, time double, tolerance double")
+    plain = sorted(map(str, n.nearest_in_time(queries, records).collect()))
+    for width in (0.0, 3.0, 1e5):
+        w = F.when(F.col("entity") == "a", width).otherwise(7.0)
+        assert sorted(map(str, n.nearest_in_time(queries.withColumn("width", w), records.withColumn("width", w)).collect())) == plain
+
+
 def test_ties_dirt_and_empty(spark):
     nan, inf = float("nan"), float("inf")
     records = [(5, "a", 10.0), (4, "a", 12.0), (9, "a", 10.0), (9, "a", 10.0), (1, "a", None), (2, "a", nan), (3, None, 11.0), (None, "a", 11.0)]
