@@ -108,10 +108,8 @@ def decode_depth_anything_calibration(raw: bytes) -> dict:
     return message([values[p] for p in PAYLOAD], "DepthAnythingCalibration", time, frame, values)
 
 
-CDR = {
-    "geometry_msgs/msg/PoseStamped": decode_pose_stamped, "sensor_msgs/msg/PointCloud2": decode_pointcloud2,
-    "mapeverything_msgs/msg/DepthAnythingCalibration": decode_depth_anything_calibration,
-}
+#: Decoders by the name of a message's type, whatever package defines it.
+CDR = {"PoseStamped": decode_pose_stamped, "PointCloud2": decode_pointcloud2, "DepthAnythingCalibration": decode_depth_anything_calibration}
 
 
 def decode_rosbridge_json_message(raw: bytes, kind: str) -> dict | None:
@@ -148,4 +146,5 @@ def decode_supported_cdr_message(raw: bytes, kind: str) -> dict | None:
     text = raw.strip()
     if raw[:1] in (b"{", b" ") and text[:1] == b"{" and text[-1:] == b"}":
         return decode_rosbridge_json_message(raw, kind)
-    return CDR[kind](raw) if kind in CDR else None
+    decode = CDR.get(kind.rsplit("/", 1)[-1])
+    return decode(raw) if decode else None

@@ -49,7 +49,7 @@ def test_decoders():
     assert c["shape"] == [2, 3] and c["data"].tolist() == [1, 2, 3, 4, 5, 6]
     texts = ("src", "topic", "mesh", "frame")
     d = cdr(*HEADER, ("I", 2), *texts, *(("I", v) for v in (10, 20, 30, 40)), ("d", 1.5), ("d", 0.25), "eq", "u", "m", "cal", "{}")
-    k = messages.decode_supported_cdr_message(d, "mapeverything_msgs/msg/DepthAnythingCalibration")
+    k = messages.decode_supported_cdr_message(d, "calibration_msgs/msg/DepthAnythingCalibration")
     assert k["data"].tolist() == [1.5, 0.25, 10, 20, 30, 40] and k["extra"]["equation"] == "eq" and len(k["extra"]) == 16
     assert messages.decode_supported_cdr_message(b"\0\1\0\0", "std_msgs/msg/String") is None
     with pytest.raises((ValueError, struct.error)):
