@@ -997,12 +997,25 @@ def project_dem(spark, sf_dir):
     return p.filter("valid").select("row", "col", r6("u", 4).alias("u"), r6("v", 4).alias("v"))
 
 
+#: The raster laid over the earth for fixes: south-west corner in metres from (0, 0), and a cell's side, so that 50 columns span all longitudes.
+WORLD, WORLD_CELL = (-20037508.0, -10018754.0), 801500.0
+
+
 @query(f"WITH {DEM}, q AS (SELECT CAST(i AS BIGINT) AS i, i % 40 AS c, i // 40 AS r FROM range(80) t(i)) SELECT i, round(z, 4) AS sample FROM q JOIN dem ON col = c AND row = r")
 def elevation_at_fixes(spark, sf_dir):
     asked = spark.range(80).select(F.col("id").alias("i"), F.lit("part").alias("raster"), F.array(*geodesy.enu_to_navsat([(F.col("id") % 40) * 30.0, F.floor(F.col("id") / 40) * 30.0, F.lit(0.0)], 50.0, 8.0)).alias("fix"))
     return raster.sample_elevation_at_navsat(dem(spark, sf_dir), asked, "fix", 50.0, 8.0, resolution=30.0).select("i", r6("sample", 4).alias("sample"))
 
 
+@query(f"""WITH {DEM}, {FIX}, p AS (SELECT nav_id, (radians(lon - 0) * 6378137 - {WORLD[0]}) / {WORLD_CELL} AS c, (radians(lat - 0) * 6378137 - {WORLD[1]}) / {WORLD_CELL} AS r FROM fixes),
+q AS (SELECT nav_id, greatest(0, least(rr, r)) AS r, greatest(0, least(cc, c)) AS c, rr, cc FROM p, h),
+k AS (SELECT *, CAST(floor(r) AS INT) AS r0, CAST(floor(c) AS INT) AS c0 FROM q), m AS (SELECT *, least(r0 + 1, rr) AS r1, least(c0 + 1, cc) AS c1, r - r0 AS fr, c - c0 AS fc FROM k)
+SELECT nav_id, round((1 - fr) * ((1 - fc) * a.z + fc * b.z) + fr * ((1 - fc) * c2.z + fc * d.z), 4) AS sample FROM m JOIN dem a ON a.row = r0 AND a.col = c0 JOIN dem b ON b.row = r0 AND b.col = c1 JOIN dem c2 ON c2.row = r1 AND c2.col = c0 JOIN dem d ON d.row = r1 AND d.col = c1""")
+def elevation_at_all_fixes(spark, sf_dir):
+    asked = fixes(spark, sf_dir).select("nav_id", F.lit("part").alias("raster"), "data")
+    return raster.sample_elevation_at_navsat(dem(spark, sf_dir), asked, "data", 0.0, 0.0, resolution=WORLD_CELL, origin=WORLD).select("nav_id", r6("sample", 4).alias("sample"))
+
+
 # ---- further images
 
 FOUR = "px AS (SELECT vec_id AS seq, CAST((i - 1) // 16 AS INT) AS row, CAST((i - 1) // 4 % 4 AS INT) AS col, CAST(embedding[i] AS DOUBLE) AS r, CAST(embedding[i + 1] AS DOUBLE) AS g, CAST(embedding[i + 2] AS DOUBLE) AS b FROM embeddings, range(1, 65, 4) t(i))"

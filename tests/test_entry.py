@@ -58,3 +58,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = Dataset(rows).select_topics("/hub/flow").time_range(1.0, 2.0).df.select("seq")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(topic,/hub/flow)" in plan and "GreaterThanOrEqual(timestamp,1.0)" in plan
     assert "ReadSchema: struct<topic:string,seq:bigint,timestamp:double>" in plan
+
+
+@HERE
+def test_elevation_of_every_fix(spark):
+    import duckdb
+
+    sql = e.oracle_sql()["elevation_at_all_fixes"]
+    con = duckdb.connect()
+    for f in ("part", "navsensor"):
+        con.execute(f"CREATE VIEW {f} AS SELECT * FROM '{SMALL}/{f}.parquet'")
+    want = dict(con.execute(sql).fetchall())
+    got = {r.nav_id: r.sample for r in e.queries()["elevation_at_all_fixes"](spark, SMALL).collect()}
+    fixes = con.execute('SELECT count(DISTINCT nav_id) FROM navsensor WHERE "timestamp" IS NOT NULL AND len(data) = 3 AND abs(data[1]) <= 90 AND abs(data[2]) <= 180').fetchone()[0]
+    assert len(got) == len(want) == fixes and got == pytest.approx(want, abs=1e-3)
