@@ -49,9 +49,11 @@ def regular_grid(
     Result: source_uri, topic, slot, grid_time, value (an array of ``elements`` values),
     support (Kish's effective number of readings), readings (records in the slot) and
     status: observed, filled, or missing where the slot is empty and its support is below
-    ``min_support`` (value null then). Records stored repeatedly count once. Unusable
-    readings (null or non-finite time or payload) and readings of series without bounds
-    count for nothing. A payload shorter than ``elements`` serves the elements it has.
+    ``min_support`` (value null then). Records stored repeatedly count once; readings
+    whose ``id_col`` is null are one record where timestamp, data and seq (if ``readings``
+    has it) agree. Unusable readings (null or non-finite time or payload) and readings of
+    series without bounds count for nothing. A payload shorter than ``elements`` serves the
+    elements it has.
 
     Blocks of slots, not series, are what one task sees, so a hot series is spread; a
     reading within the kernel's reach of a block's border goes to both blocks. One
@@ -62,27 +64,28 @@ def regular_grid(
     reach = F.col("period") * (bandwidth + 1.0)
     periods = F.broadcast(spec.select("topic", "period").dropDuplicates(["topic"]))
     block = F.floor(F.col("timestamp") / width)
+    unnamed = F.when(F.col(id_col).isNull(), F.struct("timestamp", "data", *(["seq"] if "seq" in readings.columns else [])))
     parts = (
         usable(readings).join(periods, "topic").filter(F.col("period") > 0)
         .select(
             "source_uri", "topic",
             F.explode(F.array_distinct(F.array(block, F.floor((F.col("timestamp") - reach) / width), F.floor((F.col("timestamp") + reach) / width)))).alias("block"),
-            F.lit(1).alias("kind"), F.col(id_col).cast("string").alias("id"), "timestamp", "data",
+            F.lit(1).alias("kind"), F.col(id_col).cast("string").alias("id"), unnamed.alias("unnamed"), "timestamp", "data",
             *(F.lit(None).cast(t).alias(c) for c, t in (("start", "double"), ("period", "double"), ("slots", "long"))),
         )
     )
     first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("slots") * F.col("period")) / width)
     grid = bounds.select(
         "source_uri", "topic", F.explode(F.sequence(first, last)).alias("block"), F.lit(0).alias("kind"),
-        F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("timestamp"), F.lit(None).cast("array<double>").alias("data"),
+        F.lit(None).cast("string").alias("id"), F.lit(None).cast(parts.schema["unnamed"].dataType).alias("unnamed"), F.lit(None).cast("double").alias("timestamp"), F.lit(None).cast("array<double>").alias("data"),
         "start", "period", "slots",
     )
-    group = Window.partitionBy("source_uri", "topic", "block")
+    ordered = Window.partitionBy("source_uri", "topic", "block").orderBy("kind", "id", "unnamed")
     rows = (
         grid.unionByName(parts)
         .repartition("source_uri", "topic", "block")
-        .withColumns({c: F.first(c, ignorenulls=True).over(group.orderBy("kind", "id").rowsBetween(Window.unboundedPreceding, 0)) for c in ("start", "period", "slots")})
-        .withColumn("again", F.lag("id").over(group.orderBy("kind", "id")).eqNullSafe(F.col("id")) & (F.col("kind") == 1))
+        .withColumns({c: F.first(c, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) for c in ("start", "period", "slots")})
+        .withColumn("again", F.lag("id").over(ordered).eqNullSafe(F.col("id")) & F.lag("unnamed").over(ordered).eqNullSafe(F.col("unnamed")) & (F.col("kind") == 1))
         .filter(F.col("start").isNotNull() & ~F.col("again"))
     )
     # the slot of a time by its own borders, not by a rounded quotient

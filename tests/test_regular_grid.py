@@ -69,3 +69,9 @@ def test_blocks_do_not_show(spark, monkeypatch):
         assert whole[k].readings == cut[k].readings and whole[k].status == cut[k].status
         if whole[k].value:
             assert whole[k].value == pytest.approx(cut[k].value, rel=1e-9)
+
+
+def test_readings_without_id_are_told_apart(spark):
+    messages = [(None, "s", "t", 5.0, [1.0], 0), (None, "s", "t", 25.0, [2.0], 0), (None, "s", "t", 25.0, [2.0], 0), (None, "s", "t", 25.0, [4.0], 0), (1, "s", "t", 45.0, [3.0], 0), (1, "s", "t", 45.0, [3.0], 0)]
+    got = run(spark, messages)
+    assert {k: r.readings for k, r in got.items() if r.readings} == {0: 1, 2: 2, 4: 1}
