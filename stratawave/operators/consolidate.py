@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawave.operators import file_footer as ff
@@ -20,6 +20,8 @@ from stratawave.session import changes, cut, importable, shared_dir, whole_group
 TARGET_BYTES = 256 << 20
 #: Bytes that one copy holds in memory.
 COPY_BYTES = 8 << 20
+#: What names a record, and what may differ between its copies.
+RECORD, COPY = ("source_uri", "topic", "msg_id"), ("fragment_id", "received_at")
 REPORT = "file string, schema_id string, sources long, blocks long, rows long, bytes long, refused string"
 
 
@@ -164,6 +166,12 @@ def consolidated(spark: SparkSession, source: str, target_bytes: int = TARGET_BY
     return spark.read.schema(spark.read.parquet(source).schema).parquet(out), report
 
 
+def unnamed(message: DataFrame) -> Column:
+    """What tells rows without msg_id apart: all their columns but COPY; null where msg_id is known."""
+    rest = [F.col(f"`{c}`") for c in message.columns if c not in RECORD + COPY]
+    return F.when(F.col("msg_id").isNull(), F.struct(*rest)) if rest else F.lit(None).cast("boolean")
+
+
 def fragment_roles(fragment: DataFrame, message: DataFrame) -> DataFrame:
     """What becomes of each fragment so that every record is kept once.
 
@@ -171,11 +179,13 @@ def fragment_roles(fragment: DataFrame, message: DataFrame) -> DataFrame:
     holds it. Result: fragment_id, held (records it holds), owned (records that belong to
     it) and role: ``drop`` where it owns none (also where it holds no row), ``copy`` where
     it owns all it holds and holds none twice, else ``rewrite``. Rows without fragment_id
-    are in no fragment; a null msg_id is a record like any other, one for each series.
-    Repeated fragment rows count once.
+    are in no fragment; rows without msg_id are one record only where all columns of
+    ``message`` but fragment_id and received_at agree. Repeated fragment rows count once.
     """
-    held = message.filter("fragment_id IS NOT NULL").groupBy("source_uri", "topic", "msg_id", "fragment_id").agg(F.count(F.lit(1)).alias("copies"))
-    first = held.groupBy("source_uri", "topic", "msg_id").agg(F.min("fragment_id").alias("fragment_id"))
+    content = free(message, "content")
+    record = [*RECORD, content]
+    held = message.withColumn(content, unnamed(message)).filter("fragment_id IS NOT NULL").groupBy(*record, "fragment_id").agg(F.count(F.lit(1)).alias("copies"))
+    first = held.groupBy(*record).agg(F.min("fragment_id").alias("fragment_id"))
     owned = first.groupBy("fragment_id").agg(F.count(F.lit(1)).alias("owned"))
     total = held.groupBy("fragment_id").agg(F.count(F.lit(1)).alias("held"), F.max("copies").alias("copies"))
     return (
@@ -233,8 +243,8 @@ def compact_records(message: DataFrame, out_dir: str, target_rows: int = 1_000_0
     ``message`` has fragment_id, source_uri, topic and msg_id and any other columns, and
     stands for the files of its fragments. Of a record's copies the one in the smallest
     fragment is kept, once; rows without fragment_id count as a fragment behind all
-    others; a null msg_id is one record of its series. What is left of each fragment is
-    one encoded block, and blocks are copied into the files as :func:`consolidate` does.
+    others; rows without msg_id are one record only where all columns but fragment_id and
+    received_at agree. What is left of each fragment is one encoded block, and blocks are copied into the files as :func:`consolidate` does.
 
     Result, once the files are in place: topic, file, sources, blocks, rows, bytes. The
     rows are checked against the number of records.
@@ -242,9 +252,10 @@ def compact_records(message: DataFrame, out_dir: str, target_rows: int = 1_000_0
     from pyspark.sql import Window
 
     importable(message.sparkSession)
-    columns, number, bins = message.columns, free(message, "copy_number"), free(message, "target_bin")
-    copies = Window.partitionBy("source_uri", "topic", "msg_id").orderBy(F.col("fragment_id").asc_nulls_last())
-    kept = message.withColumn(number, F.row_number().over(copies)).filter(F.col(number) == 1).drop(number)
+    columns, number, bins, content = message.columns, free(message, "copy_number"), free(message, "target_bin"), free(message, "content")
+    told = message.withColumn(content, unnamed(message))
+    copies = Window.partitionBy(*RECORD, content).orderBy(F.col("fragment_id").asc_nulls_last())
+    kept = told.withColumn(number, F.row_number().over(copies)).filter(F.col(number) == 1).drop(number, content)
     sizes = message.groupBy("topic").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / target_rows)).alias("bins"))
     k, z = kept.alias("k"), sizes.alias("z")
     placed = k.join(z, F.col("k.topic").eqNullSafe(F.col("z.topic"))).select("k.*", F.pmod(F.xxhash64("k.fragment_id"), F.col("z.bins")).alias(bins))
@@ -263,7 +274,7 @@ def compact_records(message: DataFrame, out_dir: str, target_rows: int = 1_000_0
                 yield pd.DataFrame(list(copy_blocks(sources, f"{name}-{number:06d}", out_dir, io.BytesIO))).assign(topic=topic)
 
     report = cut(blocks.mapInPandas(run, "topic string, " + REPORT)).drop("schema_id", "refused")
-    records = message.select("source_uri", "topic", "msg_id").distinct().count()
+    records = told.select(*RECORD, content).distinct().count()
     written = report.agg(F.sum("rows")).first()[0] or 0
     if written != records:
         raise ValueError(f"{written} rows were written for {records} records")

@@ -34,7 +34,7 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     message, _ = consolidate.consolidated(spark, f"{sf_dir}/message.parquet")
-    return consolidate.fragment_roles(table(spark, sf_dir, "fragment"), message.select("source_uri", "topic", "msg_id", "fragment_id"))
+    return consolidate.fragment_roles(table(spark, sf_dir, "fragment"), message)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,13 @@ def test_every_record_once(spark, tmp_path):
     assert back.groupBy("source_uri", "topic", "msg_id").count().filter("count > 1").count() == 0
     assert {r.fragment_id for r in back.filter("msg_id = 7 AND topic = 't'").collect()} == {1} and back.filter("msg_id IS NULL").first().fragment_id == 4
     assert c.compact_records(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_records_without_id_are_told_apart(spark, tmp_path):
+    rows = [("s", "t", None, 1, 1, 5.0, [1.0]), ("s", "t", None, 2, 1, 6.0, [2.0]), ("s", "t", None, 2, 2, 7.0, [2.0]), ("s", "t", None, 1, 3, 8.0, [1.0]), ("s", "t", 7, 7, 2, 9.0, [1.0])]
+    df = spark.createDataFrame(rows, "source_uri string, topic string, msg_id long, seq long, fragment_id long, received_at double, data array<double>")
+    roles = {r.fragment_id: (r.held, r.owned, r.role) for r in c.fragment_roles(df.select("fragment_id"), df).collect()}
+    assert roles == {1: (2, 2, "copy"), 2: (2, 1, "rewrite"), 3: (1, 0, "drop")}
+    report = c.compact_records(df, str(tmp_path / "out")).collect()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sum(r.rows for r in report) == 3 and sorted((r.seq, r.fragment_id) for r in back.collect()) == [(1, 1), (2, 1), (7, 2)]
