@@ -123,6 +123,21 @@ def copy_blocks(sources: Iterable[tuple[str, object]], name, out_dir: str, opene
         yield {"file": output.final, "schema_id": hashlib.sha256(schema).hexdigest()[:16], "sources": output.sources, "blocks": len(output.groups), "rows": output.rows, "bytes": size, "refused": None}
 
 
+def footer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each file by its footer as pyarrow reads it; null where it can't."""
+    import pyarrow.parquet as pq
+
+    def rows(path: str) -> int | None:
+        try:
+            with open_path(path) as handle:
+                return pq.read_metadata(handle).num_rows
+        except (ValueError, OSError):
+            return None
+
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"], "rows": pd.array([rows(p) for p in batch["path"]], "Int64")})
+
+
 def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Copy the blocks of all Parquet files below ``source`` into files of about ``target_bytes`` below ``out_dir``.
 
@@ -133,7 +148,8 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
 
     Result, once the files are in place: one row for each output (file, schema_id,
     sources, blocks, rows, bytes) and for each refused file. The rows of the outputs are
-    checked against those of the sources' footers when written, and in sum here.
+    checked against those of the sources' footers when written, and in sum here: files
+    against the listing, rows against the footers of all files not refused.
 
     Files are spread over outputs by the hash of their path, so no task sees more than
     about ``target_bytes`` of blocks and nothing is sorted or collected.
@@ -153,15 +169,26 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
         .repartition(int(min(bins, 10_000)), "bin").sortWithinPartitions("bin", "path")
         .mapInPandas(run, REPORT)
     )
-    done = spark.createDataFrame(report.collect(), REPORT)  # one row for each output of target_bytes
+    found = report.collect()  # one row for each output of target_bytes
+    done = spark.createDataFrame(found, REPORT)
+    refused = done.filter("refused IS NOT NULL").select(F.col("file").alias("path"))
+    footers = listing.select("path").mapInPandas(footer_rows, "path string, rows long")
+    want = listing.count(), footers.join(refused, "path", "left_anti").agg(F.sum("rows")).first()[0] or 0
+    got = sum(r.sources for r in found), sum(r.rows for r in found)
+    if got != want:
+        raise ValueError(f"{got[0]} files with {got[1]} rows were seen to of {want[0]} files with {want[1]} rows below {source}")
     return done
 
 
 def consolidated(spark: SparkSession, source: str, target_bytes: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The table below ``source`` from few files in the shared folder, and the report of :func:`consolidate`."""
+    """The table below ``source`` from few files in the shared folder, and the report of :func:`consolidate`.
+
+    Where a file was refused or none was copied, the table is read from ``source`` itself, so
+    that no row is missing; a file that Spark can't read either is an error there.
+    """
     out = f"{shared_dir(spark)}/consolidated-{uuid.uuid4().hex}"
     report = consolidate(spark, source, out, target_bytes)
-    if not report.filter("refused IS NULL").take(1):
+    if report.filter("refused IS NOT NULL").take(1) or not report.take(1):
         return spark.read.parquet(source), report
     return spark.read.schema(spark.read.parquet(source).schema).parquet(out), report
 

@@ -109,7 +109,10 @@ class Store:
         self.write_manifest(topics=[name])
 
     def compact(self, target_bytes: int = 256 << 20) -> DataFrame:
-        """Few large files for each topic, by copying encoded blocks; the report of the consolidation."""
+        """Few large files for each topic, by copying encoded blocks; the report of the consolidation.
+
+        A file that can't be copied is an error, and the store stays as it was.
+        """
         from stratawave.operators.consolidate import consolidate
 
         out, fs_path = f"{self.path}/data-{uuid.uuid4().hex}", self.spark._jvm.org.apache.hadoop.fs.Path
@@ -121,6 +124,9 @@ class Store:
                 continue
             part = consolidate(self.spark, status.getPath().toString(), f"{out}/{name}", target_bytes)
             report = part if report is None else report.unionByName(part)
+        if report is not None and (refused := report.filter("refused IS NOT NULL").first()):
+            fs.delete(fs_path(out), True)
+            raise ValueError(f"{refused.file} can't be copied: {refused.refused}")
         old = fs_path(f"{self.path}/old-{uuid.uuid4().hex}")
         fs.rename(fs_path(f"{self.path}/data"), old)
         fs.rename(fs_path(out), fs_path(f"{self.path}/data"))

@@ -107,3 +107,38 @@ def test_records_without_id_are_told_apart(spark, tmp_path):
     report = c.compact_records(df, str(tmp_path / "out")).collect()
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sum(r.rows for r in report) == 3 and sorted((r.seq, r.fragment_id) for r in back.collect()) == [(1, 1), (2, 1), (7, 2)]
+
+
+def test_refused_files_do_not_vanish(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    write(source, "a.parquet", pa.table({"x": [1, 2]}))
+    write(source, "b.parquet", pa.table({"x": [3]}))
+    real = c.consolidate
+
+    def half(spark, source, out, target_bytes):
+        refused = spark.createDataFrame([(f"{source}/b.parquet", None, 1, 0, 0, 0, "encrypted")], c.REPORT)
+        return real(spark, f"{source}/a.parquet", out, target_bytes).unionByName(refused)
+
+    monkeypatch.setattr(c, "consolidate", half)
+    assert sorted(r.x for r in c.consolidated(spark, str(source))[0].collect()) == [1, 2, 3]
+    monkeypatch.setattr(c, "consolidate", real)
+    (source / "c.parquet").write_bytes(b"no Parquet file at all")
+    with pytest.raises(Exception):
+        c.consolidated(spark, str(source))[0].count()
+    monkeypatch.setattr(c, "footer_rows", lambda batches: (b.assign(rows=9)[["path", "rows"]] for b in batches))
+    with pytest.raises(ValueError, match="3 files with 3 rows were seen to of 3 files with 18 rows"):
+        c.consolidate(spark, str(source), str(tmp_path / "out"))
+
+
+def test_store_keeps_what_it_cannot_compact(spark, tmp_path):
+    from stratawave.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(spark.createDataFrame([("a", 1.0, [1.0]), ("a", 2.0, [2.0])], "topic string, ts double, data array<double>"))
+    odd = tmp_path / "s" / "data" / "topic=a" / "odd.parquet"
+    odd.write_bytes(b"no Parquet file at all")
+    with pytest.raises(ValueError, match="odd.parquet"):
+        store.compact()
+    assert odd.exists() and not list((tmp_path / "s").glob("data-*"))
+    odd.unlink()
+    assert store.messages().count() == 2
