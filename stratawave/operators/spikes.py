@@ -74,7 +74,7 @@ def run_lengths(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(ids)[ids]
 
 
-def examine(group: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+def examine(group: pd.DataFrame, size: int, limit: float = LIMIT) -> Iterator[pd.DataFrame]:
     """Candidates (kind 0) and histograms by topic and element (kind 1) of some whole blocks."""
     # a record stored repeatedly is one reading
     group = group[changes(group, ["source_uri", "topic", "block", "seq", "msg_id", "timestamp"])].reset_index(drop=True)
@@ -109,7 +109,7 @@ def examine(group: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
             scale[at] = own[r]
         runs = run_lengths(v, new)
         core = np.asarray(part["seq"].to_numpy(float) // size == part["block"].to_numpy(float)) | part["seq"].isna().to_numpy()
-        keep = core & ((deviation > 0.5 * LIMIT * scale) | (runs >= STUCK))
+        keep = core & ((deviation > 0.5 * limit * scale) | (runs >= STUCK))
         if keep.any():
             yield pd.DataFrame({"kind": 0, "msg_id": part["msg_id"][keep], "topic": part["topic"][keep], "element": element, "deviation": deviation[keep], "scale": scale[keep], "run": runs[keep], "bin": 0, "n": 1, "repeats": 0})
         with np.errstate(divide="ignore"):
@@ -121,10 +121,10 @@ def examine(group: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"kind": 1, "msg_id": None, "topic": counted["topic"], "element": element, "deviation": None, "scale": None, "run": 0, "bin": counted["bin"], "n": counted["n"], "repeats": counted["repeats"]})
 
 
-def examined(size: int):
+def examined(size: int, limit: float = LIMIT):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["source_uri", "topic", "block"]):
-            yield from examine(group, size)
+            yield from examine(group, size, limit)
 
     return run
 
@@ -158,7 +158,7 @@ def flag_implausible(message: DataFrame, spec: DataFrame, limit: float = LIMIT,
         .repartition("source_uri", "topic", "block")
         .sortWithinPartitions("source_uri", "topic", "block", "seq", "timestamp", "msg_id")
     )
-    seen = cut(sorted_blocks.mapInPandas(examined(block_size), OUT))
+    seen = cut(sorted_blocks.mapInPandas(examined(block_size, limit), OUT))
     histogram = seen.filter("kind = 1").groupBy("topic", "element", "bin").agg(F.sum("n").alias("n"), F.sum("repeats").alias("repeats"))
     spread = topic_spread(histogram)
     found = (

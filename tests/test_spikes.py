@@ -56,3 +56,18 @@ def test_blocks_do_not_show(spark):
     whole = run(spark, series(v))
     assert run(spark, series(v), block_size=300) == whole
     assert {x[0] for x in whole} == {5, 299, 300, 899, *range(596, 612)}
+
+
+def test_candidates_follow_the_limit():
+    rng = np.random.default_rng(7)
+    v = rng.normal(0, 1, 300)
+    v[150] = 2.5
+    group = s.pd.DataFrame([(*r[:6], 0) for r in series(v)], columns=["msg_id", "source_uri", "topic", "seq", "timestamp", "data", "block"])
+    low, usual = ({int(i) for out in s.examine(group, 4096, limit) if out["kind"].iloc[0] == 0 for i in out["msg_id"]} for limit in (3.0, 6.0))
+    assert 150 in low and 150 not in usual and usual < low
+
+
+def test_a_low_limit_flags_more(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(0, 1, 300)
+    assert run(spark, series(v), limit=2.0) > run(spark, series(v))
