@@ -118,9 +118,10 @@ def recording_metadata(path: str) -> pd.DataFrame:
 
 
 def natural_key(name: F.Column) -> F.Column:
-    """A text that sorts names by the numbers in them: every run of digits is padded with zeros."""
+    """A text that sorts names by the numbers in them: every run of digits, without leading zeros, comes behind its length."""
     split = F.split(F.regexp_replace(name, r"(\d+)", "\x01$1\x01"), "\x01")
-    return F.array_join(F.transform(split, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(split, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)), "")
 
 
 def read_images(spark: SparkSession, pattern: str, period: float = 0.1) -> DataFrame:

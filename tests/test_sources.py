@@ -284,3 +284,11 @@ def test_rolling_state_and_pairs(spark, tmp_path):
     got = spark.createDataFrame([([{"ts": 1.0}, {"ts": 3.0}],)], "w array<struct<ts: double>>").select(stream.nearest_buffered(F.col("w"), F.lit(2.0))["ts"].alias("t")).first().t
     assert got == 1.0
     assert summary.describe_dataset(spark.read.parquet(str(tmp_path / "in"))).count() == 2
+
+
+def test_natural_order_of_long_numbers(spark):
+    from stratawave.sources.sources import natural_key
+
+    names = ["f2.png", "f10.png", "f" + "9" * 21 + ".png", "f1" + "0" * 21 + ".png", "f1" + "0" * 20 + "1.png"]
+    got = [r.name for r in spark.createDataFrame([(n,) for n in names], "name string").orderBy(natural_key(F.col("name"))).collect()]
+    assert got == sorted(names, key=lambda n: int(n[1:-4]))
