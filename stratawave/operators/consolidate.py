@@ -10,7 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawave.operators import file_footer as ff
@@ -18,10 +19,15 @@ from stratawave.operators.order import free
 from stratawave.session import changes, cut, importable, shared_dir, whole_groups
 
 TARGET_BYTES = 256 << 20
-#: Bytes that one copy holds in memory.
-COPY_BYTES = 8 << 20
+#: Bytes that one copy holds in memory, and bytes of a block that small blocks are joined to.
+COPY_BYTES, JOINED_BYTES = 8 << 20, 32 << 20
 #: What names a record, and what may differ between its copies.
 RECORD, COPY = ("source_uri", "topic", "msg_id"), ("fragment_id", "received_at")
+#: Ids whose blocks of 2 to this power meet in one task.
+ID_BLOCK = 16
+#: How blocks of fragments are encoded: pages without a dictionary stand for themselves.
+ENCODED = {"compression": "snappy", "use_dictionary": False, "write_statistics": False, "store_schema": False}
+PARTS = pa.schema([("topic", pa.string()), *((c, pa.int64()) for c in ("fragment_id", "held", "owned", "rows")), ("file", pa.string()), *((c, pa.int64()) for c in ("blocks", "bytes", "sources"))])
 REPORT = "file string, schema_id string, sources long, blocks long, rows long, bytes long, refused string"
 
 
@@ -45,39 +51,82 @@ def open_path(path: str):
 
 
 class Output:
-    """A file under way: blocks are appended, their metadata kept encoded, so that millions of blocks need little memory."""
+    """A file under way.
 
-    def __init__(self, fs, final: str, schema: bytes, footer: list, like):
-        self.fs, self.final, self.schema, self.footer, self.like = fs, final, schema, footer, like
+    Blocks whose columns have no dictionary page are joined: pages stand for themselves, so the
+    pages of many small blocks follow each other in one larger block, still encoded. Blocks
+    with a dictionary are copied as they are. The metadata of finished blocks is kept encoded,
+    so that millions of blocks need little memory.
+    """
+
+    def __init__(self, fs, final: str, footer: list, like):
+        self.fs, self.final, self.footer, self.like = fs, final, footer, like
+        self.ordered = ff.ordered_columns(footer)
         self.temporary = f"{final.rpartition('/')[0]}/_{uuid.uuid4().hex}"
         self.out = fs.open_output_stream(self.temporary)
         self.out.write(ff.MAGIC)
         self.at, self.groups, self.rows, self.sources = 4, [], 0, 0
+        self.joined: ff.Joined | None = None
 
     def add(self, handle, footer: list) -> None:
+        """All blocks of an open file."""
         for row_group in ff.get(footer, 4, (ff.STRUCT, []))[1]:
-            if not ff.get(row_group, 3):
+            rows = ff.get(row_group, 3)
+            if not rows:
                 continue  # a block without rows may have no pages
-            offsets = []
-            for column in ff.get(row_group, 1)[1]:
-                start, left = ff.span(column)
-                offsets.append(self.at)
-                self.at += left
+            columns = ff.get(row_group, 1)[1]
+            places = [ff.span(column) for column in columns]
+            if any(ff.get(ff.get(column, 3), 11) for column in columns) or sum(n for _, n in places) > JOINED_BYTES:
+                self.flush()
+                offsets = []
+                for start, left in places:
+                    offsets.append(self.at)
+                    self.copy(handle, start, left)
+                self.groups.append(ff.encoded(ff.STRUCT, ff.moved(row_group, offsets, len(self.groups))))
+                self.rows += rows
+                continue
+            pages = []
+            for start, n in places:
                 handle.seek(start)
-                while left:
-                    piece = handle.read(min(left, COPY_BYTES))
-                    if not piece:
-                        raise ValueError(f"a source of {self.final} ends within a block")
-                    self.out.write(piece)
-                    left -= len(piece)
-            self.groups.append(ff.encoded(ff.STRUCT, ff.moved(row_group, offsets, len(self.groups))))
-        self.rows += ff.get(footer, 3)
+                pages.append(handle.read(n))
+            counts = [(ff.get(ff.get(column, 3), 5), ff.get(ff.get(column, 3), 6)) for column in columns]
+            self.join(row_group, rows, pages, counts, [ff.get(ff.get(column, 3), 12) for column in columns])
         self.sources += 1
 
+    def join(self, like: list, rows: int, pages: list, counts: list[tuple[int, int]], statistics: list | None) -> None:
+        """Add one block's pages to the larger block under way; ``like`` is a block of the same kind, counts are values and uncompressed bytes by column."""
+        if self.joined is None or not self.joined.takes(like):
+            self.flush()
+            self.joined = ff.Joined(like, self.ordered)
+        self.joined.add(rows, pages, counts, statistics)
+        self.rows += rows
+        if self.joined.bytes >= JOINED_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.joined is None:
+            return
+        for pages in self.joined.pages:
+            self.out.write(b"".join(pages))
+        self.groups.append(ff.encoded(ff.STRUCT, self.joined.row_group(self.at, len(self.groups))))
+        self.at += self.joined.bytes
+        self.joined = None
+
+    def copy(self, handle, start: int, left: int) -> None:
+        self.at += left
+        handle.seek(start)
+        while left:
+            piece = handle.read(min(left, COPY_BYTES))
+            if not piece:
+                raise ValueError(f"a source of {self.final} ends within a block")
+            self.out.write(piece)
+            left -= len(piece)
+
     def close(self) -> int:
         """Write the footer, hold what was written against the sources, and move the file into place; its size."""
         import pyarrow.parquet as pq
 
+        self.flush()
         ff.put(self.footer, 3, ff.I64, self.rows)
         ff.put(self.footer, 4, ff.LIST, ff.encoded_list(ff.STRUCT, self.groups))
         tail = ff.encoded(ff.STRUCT, self.footer)
@@ -116,7 +165,7 @@ def copy_blocks(sources: Iterable[tuple[str, object]], name, out_dir: str, opene
             if schema not in outputs:
                 like = pq.read_metadata(handle).schema
                 final = f"{root}/part-{name}-{hashlib.sha256(schema).hexdigest()[:16]}.parquet"
-                outputs[schema] = Output(fs, final, schema, [list(f) for f in footer], like)
+                outputs[schema] = Output(fs, final, [list(f) for f in footer], like)
             outputs[schema].add(handle, footer)
     for schema, output in outputs.items():
         size = output.close()
@@ -166,15 +215,14 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
 
     report = (
         listing.select("path", F.pmod(F.xxhash64("path"), F.lit(bins)).alias("bin"))
-        .repartition(int(min(bins, 10_000)), "bin").sortWithinPartitions("bin", "path")
+        .repartition(int(bins), "bin").sortWithinPartitions("bin", "path")
         .mapInPandas(run, REPORT)
     )
-    found = report.collect()  # one row for each output of target_bytes
-    done = spark.createDataFrame(found, REPORT)
+    done = cut(report)
     refused = done.filter("refused IS NOT NULL").select(F.col("file").alias("path"))
     footers = listing.select("path").mapInPandas(footer_rows, "path string, rows long")
     want = listing.count(), footers.join(refused, "path", "left_anti").agg(F.sum("rows")).first()[0] or 0
-    got = sum(r.sources for r in found), sum(r.rows for r in found)
+    got = tuple(x or 0 for x in done.agg(F.sum("sources"), F.sum("rows")).first())
     if got != want:
         raise ValueError(f"{got[0]} files with {got[1]} rows were seen to of {want[0]} files with {want[1]} rows below {source}")
     return done
@@ -193,116 +241,161 @@ def consolidated(spark: SparkSession, source: str, target_bytes: int = TARGET_BY
     return spark.read.schema(spark.read.parquet(source).schema).parquet(out), report
 
 
-def unnamed(message: DataFrame) -> Column:
-    """What tells rows without msg_id apart: all their columns but COPY; null where msg_id is known."""
-    rest = [F.col(f"`{c}`") for c in message.columns if c not in RECORD + COPY]
-    return F.when(F.col("msg_id").isNull(), F.struct(*rest)) if rest else F.lit(None).cast("boolean")
-
-
-def fragment_roles(fragment: DataFrame, message: DataFrame) -> DataFrame:
-    """What becomes of each fragment so that every record is kept once.
-
-    A record is (source_uri, topic, msg_id) and belongs to the smallest fragment_id that
-    holds it. Result: fragment_id, held (records it holds), owned (records that belong to
-    it) and role: ``drop`` where it owns none (also where it holds no row), ``copy`` where
-    it owns all it holds and holds none twice, else ``rewrite``. Rows without fragment_id
-    are in no fragment; rows without msg_id are one record only where all columns of
-    ``message`` but fragment_id and received_at agree. Repeated fragment rows count once.
-    """
-    content = free(message, "content")
-    record = [*RECORD, content]
-    held = message.withColumn(content, unnamed(message)).filter("fragment_id IS NOT NULL").groupBy(*record, "fragment_id").agg(F.count(F.lit(1)).alias("copies"))
-    first = held.groupBy(*record).agg(F.min("fragment_id").alias("fragment_id"))
-    owned = first.groupBy("fragment_id").agg(F.count(F.lit(1)).alias("owned"))
-    total = held.groupBy("fragment_id").agg(F.count(F.lit(1)).alias("held"), F.max("copies").alias("copies"))
-    return (
-        fragment.select("fragment_id").distinct()
-        .join(total, "fragment_id", "left").join(owned, "fragment_id", "left")
-        .select(
-            "fragment_id", F.coalesce("held", F.lit(0).cast("long")).alias("held"), F.coalesce("owned", F.lit(0).cast("long")).alias("owned"),
-            F.when(F.col("owned").isNull(), "drop").when((F.col("owned") == F.col("held")) & (F.col("copies") == 1), "copy").otherwise("rewrite").alias("role"),
-        )
-    )
-
-
-def encoded_fragments(columns: list[str], bin_name: str):
-    """Rows sorted by (topic, bin_name, fragment_id) to one small Parquet file for each fragment, as bytes."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
-            keys = table.select(["topic", bin_name, "fragment_id"]).to_pandas()
-            starts = np.flatnonzero(changes(keys, list(keys.columns)))
-            ends = np.append(starts[1:], len(keys))
-            if not last:  # the last fragment may go on in the next batch
-                rest = table.slice(starts[-1])
-                starts, ends = starts[:-1], ends[:-1]
-            else:
-                rest = None
-            if not len(starts):
-                return None, rest
-            contents, body = [], table.select(columns)
-            for a, b in zip(starts, ends):
-                sink = pa.BufferOutputStream()
-                pq.write_table(body.slice(a, b - a), sink, compression="zstd", use_dictionary=False)
-                contents.append(sink.getvalue().to_pybytes())
-            first = keys.iloc[starts]
-            return pa.RecordBatch.from_arrays([pa.array(first["topic"], pa.string()), pa.array(first[bin_name], pa.int64()), pa.array(first["fragment_id"], pa.int64()), pa.array(contents, pa.binary())], ["topic", "bin", "fragment_id", "content"]), rest
-
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                out, held = flush(table if held is None else pa.concat_tables([held, table]), False)
-                if out is not None:
-                    yield out
-        if held is not None and held.num_rows:
-            yield flush(held, True)[0]
-
-    return run
+def whole_tables(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of at least ``least`` rows, but for the last, in which no group of a partition sorted by ``keys`` is split."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if held.num_rows >= least:
+            start = int(np.flatnonzero(changes(held.select(keys).to_pandas(), keys))[-1])
+            if start:
+                yield held.slice(0, start).combine_chunks()
+                held = held.slice(start)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def record_codes(table: pa.Table, rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row whether it has no msg_id, and a number that agrees for rows of one record in a group: msg_id, or the number of its content ``rest``."""
+    nameless = table["msg_id"].is_null().to_numpy()
+    codes = table["msg_id"].fill_null(0).to_numpy().copy()
+    if nameless.any():
+        contents = table.select(rest).filter(pa.array(nameless)).to_pylist() if rest else [None] * int(nameless.sum())
+        codes[nameless] = pd.factorize(np.array([repr(c) for c in contents], object))[0]
+    return nameless, codes
+
+
+def step(*arrays: np.ndarray) -> np.ndarray:
+    """True where any of the arrays differs from the place before; the first place differs."""
+    out = np.ones(len(arrays[0]), bool)
+    out[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in arrays])
+    return out
+
+
+def compactor(columns: list[str], keys: list[str], out_dir: str, run: str, target_rows: int):
+    """Rows sorted by (keys, fragment_id) to files in which every record occurs once, and the report of it."""
+    rest = [c for c in columns if c not in RECORD + COPY]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        fs, root = filesystem(out_dir)
+        fs.create_dir(root, recursive=True)
+        name, number, output, like = f"{run}-{TaskContext.get().partitionId():06d}", 0, None, None
+
+        def finished() -> pa.RecordBatch:
+            size = output.close()
+            return pa.RecordBatch.from_pylist([{"file": output.final, "rows": output.rows, "blocks": len(output.groups), "bytes": size, "sources": output.sources}], schema=PARTS)
+
+        for table in whole_tables(batches, keys):
+            group = np.cumsum(changes(table.select(keys).to_pandas(), keys))
+            unplaced = table["fragment_id"].is_null().to_numpy()
+            fragment = table["fragment_id"].fill_null(0).to_numpy()
+            nameless, codes = record_codes(table, rest)
+            starts = np.flatnonzero(step(group, unplaced, fragment))
+            part = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fragment))))
+            # the first row of each record in the order of the fragments; records of each part
+            order = np.lexsort((part, codes, nameless, group))
+            kept = np.zeros(len(part), bool)
+            kept[order[step(group[order], nameless[order], codes[order])]] = True
+            held = np.bincount(part[order][step(part[order], nameless[order], codes[order])], minlength=len(starts))
+            owned = np.bincount(part[kept], minlength=len(starts))
+            body = table.select(columns)
+            body = body if kept.all() else body.filter(pa.array(kept)).combine_chunks()
+            # what is left of each part is one encoded block, as its stored file would be
+            landing = pa.BufferOutputStream()
+            ends = np.cumsum(owned[owned > 0])
+            with pq.ParquetWriter(landing, body.schema, **ENCODED) as writer:
+                for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                    writer.write_table(body.slice(a, b - a))
+            landed = landing.getvalue()
+            if like is None:
+                first = pa.BufferOutputStream()
+                pq.write_table(body.slice(0, 1), first, **ENCODED)
+                footer = ff.read_footer(io.BytesIO(first.getvalue()))
+                like = ff.get(footer, 4)[1][0]
+                schema = pq.read_metadata(pa.BufferReader(first.getvalue())).schema
+                fields = len(ff.get(like, 1)[1])
+            blocks = pq.read_metadata(pa.BufferReader(landed))
+            for i in range(blocks.num_row_groups):
+                if output is None:
+                    output = Output(fs, f"{root}/part-{name}-{number:04d}.parquet", [list(f) for f in footer], schema)
+                block = blocks.row_group(i)
+                pages, counts = [], []
+                for k in range(fields):
+                    column = block.column(k)
+                    pages.append(landed.slice(column.data_page_offset, column.total_compressed_size))
+                    counts.append((column.num_values, column.total_uncompressed_size))
+                output.join(like, block.num_rows, pages, counts, None)
+                output.sources += 1
+                if output.rows >= target_rows:
+                    yield finished()
+                    output, number = None, number + 1
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays(
+                [table["topic"].take(at).combine_chunks(), table["fragment_id"].take(at).combine_chunks(), pa.array(held), pa.array(owned), pa.array(np.bincount(part, minlength=len(starts))), *(pa.nulls(len(starts), f.type) for f in list(PARTS)[5:])],
+                schema=PARTS,
+            )
+        if output is not None:
+            yield finished()
+
+    return task
 
 
 def compact_records(message: DataFrame, out_dir: str, target_rows: int = 1_000_000) -> DataFrame:
-    """Files of about ``target_rows`` rows by topic in which every record occurs exactly once; the report of their blocks.
+    """Files of about ``target_rows`` rows in which every record occurs exactly once; the report of their blocks.
 
     ``message`` has fragment_id, source_uri, topic and msg_id and any other columns, and
     stands for the files of its fragments. Of a record's copies the one in the smallest
     fragment is kept, once; rows without fragment_id count as a fragment behind all
     others; rows without msg_id are one record only where all columns but fragment_id and
-    received_at agree. What is left of each fragment is one encoded block, and blocks are copied into the files as :func:`consolidate` does.
-
-    Result, once the files are in place: topic, file, sources, blocks, rows, bytes. The
-    rows are checked against the number of records.
+    received_at agree. What is left of each fragment is one encoded block, as its file
+    would be; the pages of the blocks are copied into files byte by byte and footers made
+    for them, as :func:`consolidate` does.
+
+    Rows move once, to where all copies of a record meet: by series and blocks of ids, so
+    that a series with most of the rows is spread too. Files follow the order of topics.
+
+    Result, once the files are in place, from a table beside ``out_dir``: for each part of
+    a fragment (its topic, fragment_id, held records, owned records and rows), and for
+    each file, whose fragment and held are null, file, rows, blocks, bytes and sources
+    (parts copied). The rows seen are checked against those of ``message``, the rows
+    written against the records owned, and each file against its footer.
     """
-    from pyspark.sql import Window
-
-    importable(message.sparkSession)
-    columns, number, bins, content = message.columns, free(message, "copy_number"), free(message, "target_bin"), free(message, "content")
-    told = message.withColumn(content, unnamed(message))
-    copies = Window.partitionBy(*RECORD, content).orderBy(F.col("fragment_id").asc_nulls_last())
-    kept = told.withColumn(number, F.row_number().over(copies)).filter(F.col(number) == 1).drop(number, content)
-    sizes = message.groupBy("topic").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / target_rows)).alias("bins"))
-    k, z = kept.alias("k"), sizes.alias("z")
-    placed = k.join(z, F.col("k.topic").eqNullSafe(F.col("z.topic"))).select("k.*", F.pmod(F.xxhash64("k.fragment_id"), F.col("z.bins")).alias(bins))
-    blocks = (
-        placed.repartition("topic", bins).sortWithinPartitions("topic", bins, "fragment_id")
-        .mapInArrow(encoded_fragments(columns, bins), "topic string, bin long, fragment_id long, content binary")
+    spark = message.sparkSession
+    importable(spark)
+    columns, block = message.columns, free(message, "record_block")
+    rest = [F.col(f"`{c}`") for c in columns if c not in RECORD + COPY]
+    nameless = F.xxhash64(*rest) if rest else F.lit(0)
+    placed = message.withColumn(block, F.when(F.col("msg_id").isNull(), -1 - F.pmod(nameless, F.lit(64))).otherwise(F.shiftright("msg_id", ID_BLOCK)))
+    keys, total = ["topic", "source_uri", block], message.count()
+    tasks = max(-(-total // target_rows), min(spark.sparkContext.defaultParallelism, -(-total // 50_000)), 1)
+    task = compactor(columns, keys, out_dir, uuid.uuid4().hex[:12], target_rows)
+    report = f"{out_dir}-report"
+    (
+        placed.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys, F.col("fragment_id").asc_nulls_last())
+        .mapInArrow(task, "topic string, fragment_id long, held long, owned long, rows long, file string, blocks long, bytes long, sources long").write.parquet(report)
     )
+    done = spark.read.parquet(report)
+    seen, owned, written = done.agg(F.sum(F.when(F.col("file").isNull(), F.col("rows"))), F.sum("owned"), F.sum(F.when(F.col("file").isNotNull(), F.col("rows")))).first()
+    if (seen or 0) != total or (owned or 0) != (written or 0):
+        raise ValueError(f"{seen} of {total} rows were seen, {written} rows were written for {owned} records")
+    return done
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in whole_groups(batches, ["topic", "bin"]):
-            starts = np.append(np.flatnonzero(changes(group, ["topic", "bin"])), len(group))
-            for a, b in zip(starts[:-1], starts[1:]):
-                topic, number = group["topic"].iloc[a], int(group["bin"].iloc[a])
-                name = hashlib.sha256(repr(topic).encode()).hexdigest()[:16]
-                sources = [(str(f), c) for f, c in zip(group["fragment_id"].iloc[a:b], group["content"].iloc[a:b])]
-                yield pd.DataFrame(list(copy_blocks(sources, f"{name}-{number:06d}", out_dir, io.BytesIO))).assign(topic=topic)
-
-    report = cut(blocks.mapInPandas(run, "topic string, " + REPORT)).drop("schema_id", "refused")
-    records = told.select(*RECORD, content).distinct().count()
-    written = report.agg(F.sum("rows")).first()[0] or 0
-    if written != records:
-        raise ValueError(f"{written} rows were written for {records} records")
-    return report
+
+def fragment_roles(fragment: DataFrame, report: DataFrame) -> DataFrame:
+    """What became of each fragment, from the report of :func:`compact_records`.
+
+    A record is (source_uri, topic, msg_id) and belongs to the smallest fragment_id that
+    holds it. Result: fragment_id, held (records it holds), owned (records that belong to
+    it) and role: ``drop`` where it owns none (also where it holds no row), ``copy`` where
+    it owns all it holds and holds none twice, else ``rewrite``. Repeated fragment rows
+    count once.
+    """
+    parts = report.filter("file IS NULL AND fragment_id IS NOT NULL").groupBy("fragment_id").agg(*(F.sum(c).alias(c) for c in ("held", "owned", "rows")))
+    role = F.when(F.coalesce("owned", F.lit(0)) == 0, "drop").when((F.col("owned") == F.col("held")) & (F.col("rows") == F.col("held")), "copy").otherwise("rewrite")
+    zero = F.lit(0).cast("long")
+    return fragment.select("fragment_id").distinct().join(parts, "fragment_id", "left").select("fragment_id", F.coalesce("held", zero).alias("held"), F.coalesce("owned", zero).alias("owned"), role.alias("role"))

@@ -191,3 +191,77 @@ def moved(row_group: list, offsets: list[int], ordinal: int) -> list:
     put(row_group, 5, I64, offsets[0] if offsets else 4)
     put(row_group, 7, I16, ordinal) if ordinal < 2**15 else drop(row_group, 7)
     return row_group
+
+
+#: How the least and largest value of a physical type are held, by the type's number.
+ORDERED = {1: "<i", 2: "<q", 4: "<f", 5: "<d"}
+#: The number of byte arrays among the physical types; of the converted types texts, dates and times, which keep the order of their physical type.
+BYTES, PLAINLY_ORDERED = 6, (0, 6, 7, 8, 9, 10)
+
+
+class Joined:
+    """A block made of the pages of many: what it holds so far, by column."""
+
+    def __init__(self, like: list, ordered: list[bool]):
+        self.like, self.kind, self.ordered = like, kind_of(like), ordered
+        columns = get(like, 1)[1]
+        self.pages: list[list] = [[] for _ in columns]
+        self.values, self.raw, self.sizes = ([0] * len(columns) for _ in range(3))
+        self.bounds: list = [None] * len(columns)
+        self.rows = self.bytes = 0
+
+    def takes(self, other: list) -> bool:
+        return other is self.like or kind_of(other) == self.kind
+
+    def add(self, rows: int, pages: list, counts: list[tuple[int, int]], statistics: list | None) -> None:
+        first = not self.rows
+        for i, (page, (values, raw)) in enumerate(zip(pages, counts)):
+            self.pages[i].append(page)
+            self.values[i] += values
+            self.raw[i] += raw
+            self.sizes[i] += len(page)
+            self.bytes += len(page)
+        if statistics is not None:
+            for i, found in enumerate(statistics):
+                self.bounds[i] = found if first else wider(self.bounds[i], found, self.kind[i][0], self.ordered[i])
+        self.rows += rows
+
+    def row_group(self, at: int, ordinal: int) -> list:
+        """The block's metadata, with its first page at ``at``."""
+        columns = []
+        for i, column in enumerate(get(self.like, 1)[1]):
+            meta = [list(f) for f in get(column, 3) if f[0] in (1, 2, 3, 4)]
+            for number, kind, x in ((5, I64, self.values[i]), (6, I64, self.raw[i]), (7, I64, self.sizes[i]), (9, I64, at)):
+                put(meta, number, kind, x)
+            if self.bounds[i]:
+                put(meta, 12, STRUCT, self.bounds[i])
+            columns.append([[2, I64, 0], [3, STRUCT, meta]])
+            at += self.sizes[i]
+        out = [[1, LIST, (STRUCT, columns)], [2, I64, sum(self.raw)], [3, I64, self.rows], [5, I64, at - self.bytes], [6, I64, self.bytes]]
+        return out + [[7, I16, ordinal]] if ordinal < 2**15 else out
+
+
+def kind_of(row_group: list) -> list[tuple]:
+    """What blocks must share for their pages to follow each other: type, path, codec and encodings of the columns."""
+    metas = [get(column, 3) for column in get(row_group, 1)[1]]
+    return [(get(m, 1), tuple(get(m, 3)[1]), get(m, 4), tuple(get(m, 2)[1])) for m in metas]
+
+
+def ordered_columns(footer: list) -> list[bool]:
+    """For each column of values, whether the order of its values is that of its physical type."""
+    leaves = [e for e in get(footer, 2)[1] if not get(e, 5)]
+    return [get(e, 6) in PLAINLY_ORDERED or (get(e, 6) is None and get(e, 10) is None) for e in leaves]
+
+
+def wider(a: list | None, b: list | None, kind: int, ordered: bool) -> list | None:
+    """Statistics of both parts: the number of nulls, and the bounds where the values' order is known."""
+    if not a or not b:
+        return None
+    out = []
+    if get(a, 3) is not None and get(b, 3) is not None:
+        out.append([3, I64, get(a, 3) + get(b, 3)])
+    ends = [get(x, n) for x in (a, b) for n in (6, 5)]
+    if ordered and (kind in ORDERED or kind == BYTES) and all(x is not None for x in ends):
+        key = (lambda x: x) if kind == BYTES else (lambda x: struct.unpack(ORDERED[kind], x)[0])
+        out += [[5, BINARY, max(ends[1], ends[3], key=key)], [6, BINARY, min(ends[0], ends[2], key=key)]]
+    return out or None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratawave.operators import consolidate, salted, spikes, trips
 from stratawave.operators import regular_grid as rg
-from stratawave.session import shared_dir, table
+from stratawave.session import cut, removed, shared_dir, table
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,32 +32,42 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message, _ = consolidate.consolidated(spark, f"{sf_dir}/message.parquet")
-    return consolidate.fragment_roles(table(spark, sf_dir, "fragment"), message)
+def compacted(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    return out, consolidate.compact_records(table(spark, sf_dir, "message"), out)
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments that add no record, from the consolidated files."""
-    return roles(spark, sf_dir).filter("role = 'drop'").select("fragment_id")
+def p2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every fragment when all were copied into files that hold each record once."""
+    out, report = compacted(spark, sf_dir)
+    removed(spark, out)  # this query asks only for the report
+    return consolidate.fragment_roles(table(spark, sf_dir, "fragment"), report)
 
 
-def p2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of every fragment."""
-    return roles(spark, sf_dir)
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that added no record."""
+    return p2_roles(spark, sf_dir).filter("role = 'drop'").select("fragment_id")
 
 
 def p2_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and records by topic, read back from the consolidated files."""
-    message, _ = consolidate.consolidated(spark, f"{sf_dir}/message.parquet")
-    return message.groupBy("topic").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("msg_id").alias("records"), F.count("timestamp").alias("timed"))
+    """Rows and records by topic, read back from the consolidated files of the message table."""
+    message, report = consolidate.consolidated(spark, f"{sf_dir}/message.parquet")
+    found = cut(message.groupBy("topic").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("msg_id").alias("records"), F.count("timestamp").alias("timed")))
+    for folder in {r.folder for r in report.filter("refused IS NULL").select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct().collect()}:  # one folder
+        removed(spark, folder)
+    return found
 
 
 def p2_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments left and records of every topic in files that hold each record once."""
-    out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
-    report = consolidate.compact_records(table(spark, sf_dir, "message"), out)
-    return report.groupBy("topic").agg(F.sum("blocks").alias("blocks"), F.sum("rows").alias("records"))
+    """Fragments left of every topic, and its records as they are read back from the files that hold each once."""
+    out, report = compacted(spark, sf_dir)
+    schema = table(spark, sf_dir, "message").schema
+    blocks = report.filter("owned > 0").groupBy("topic").agg(F.countDistinct("fragment_id").alias("blocks"))
+    records = spark.read.schema(schema).parquet(out).groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
+    b, r = blocks.alias("b"), records.alias("r")
+    found = cut(b.join(r, F.col("b.topic").eqNullSafe(F.col("r.topic"))).select("b.topic", "blocks", "records"))
+    removed(spark, out)
+    return found
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

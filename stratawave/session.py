@@ -53,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, with all that is in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def finite(column) -> F.Column:
     """True for numbers that are neither null, NaN nor infinite."""
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))
