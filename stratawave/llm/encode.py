@@ -6,24 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratawave.llm.tokenizer import Pieces, default_path, pieces
 from stratawave.session import changes, cut, whole_groups
 
-#: Bytes the rolling hash sees; a border comes where its lowest bits are zero; least and largest bytes of a chunk.
-WINDOW, MASK, LEAST, MOST = 16, 0x3F, 48, 1024
-#: Characters that the pattern may look at from the start of a piece before it knows the piece ("'re").
+#: Bytes the rolling hash sees; a border comes where its lowest bits are zero; least and largest bytes of a chunk. A text of at most LEAST bytes is one chunk.
+WINDOW, MASK, LEAST, MOST = 16, 0x3FF, 512, 8192
+#: Characters that the pattern may look at from the start of a piece before it knows the piece ("'re).
 AHEAD = 3
-#: A chunk is common from this share of all chunks on, so there are at most 1 / COMMON common ones.
-COMMON = 0.001
-
-CHUNKS = "doc_id long, pos int, chunk string"
-ENCODED = "chunk string, n long, ids array<int>, ends array<int>, upto array<int>, sure_end int, sure_ids int"
+#: A chunk is common from this share of all chunks on, so there are at most 1 / COMMON common ones; tasks that a common chunk is spread over.
+COMMON, SPREAD = 0.001, 64
 #: Pieces at the start of a chunk whose borders are kept for joins; a join that needs more finds them anew.
 HEAD = 6
 
+CHUNKS = "doc_id long, pos int, chunk string"
+ENCODED = "doc_id long, pos int, chunk string, ids array<int>, ends array<int>, upto array<int>, sure_end int, sure_ids int"
+IDS = "doc_id long, ids array<int>"
+
 
 def gear() -> np.ndarray:
     """A pseudo-random 32-bit number for each byte, from a multiplicative rule."""
@@ -85,7 +86,9 @@ def encode_chunk(tokens: Pieces, chunk: str) -> tuple[list[int], list[int], list
     """A chunk by itself: its ids, the ends of its first pieces with the numbers of ids up to there, and how many characters and ids are certain whatever follows."""
     found = tokens.pattern.findall(chunk)
     ids = tokens.flat(chunk)
-    ends, upto, end, n = [], [], 0, 0
+    ends: list[int] = []
+    upto: list[int] = []
+    end = n = 0
     for piece in found[:HEAD]:
         end += len(piece)
         n += len(tokens.ids(piece))
@@ -110,12 +113,34 @@ def all_borders(tokens: Pieces, chunk: str) -> dict[int, int]:
     return out
 
 
+def by_runs(batches: Iterator[pd.DataFrame], column: str, encode) -> Iterator[tuple[pd.DataFrame, list]]:
+    """Each batch, sorted by ``key``, with what ``encode`` makes of the texts of a column: equal texts, which follow each other, are encoded once."""
+    at, known = None, {}
+    for batch in batches:
+        out = []
+        for key, text in zip(batch["key"].tolist(), batch[column].tolist()):
+            if key != at:
+                at, known = key, {}
+            if text not in known:
+                known[text] = encode(text)
+            out.append(known[text])
+        yield batch, out
+
+
 def encoder(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = pieces(path)
-        for batch in batches:
-            coded = [encode_chunk(tokens, c) for c in batch["chunk"]]
-            yield pd.DataFrame({"chunk": batch["chunk"], "n": batch["n"], **{name: [c[i] for c in coded] for i, name in enumerate(("ids", "ends", "upto", "sure_end", "sure_ids"))}})
+        for batch, coded in by_runs(batches, "chunk", lambda text: encode_chunk(tokens, text)):
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "pos": batch["pos"], "chunk": batch["chunk"], **{name: [c[i] for c in coded] for i, name in enumerate(("ids", "ends", "upto", "sure_end", "sure_ids"))}})
+
+    return run
+
+
+def whole_encoder(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = pieces(path)
+        for batch, ids in by_runs(batches, "text", lambda text: np.asarray(tokens.flat(text), np.int32)):
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
     return run
 
@@ -130,10 +155,16 @@ def joined(tokens: Pieces, chunks: list[tuple]) -> np.ndarray:
     border agrees with one of the next chunk; there that chunk's ids take over.
     """
     out: list = []
-    tail = ""
+    waiting: list[str] = []  # text without a certain border since the last one
+    size = enough = 0
     for text, ids, ends, upto, sure_end, sure_ids in chunks:
         at, n = 0, 0  # where the chunk takes over: characters and ids
-        if tail:
+        if waiting:
+            if size < enough:  # a long piece: look again when there is twice as much of it
+                waiting.append(text)
+                size += len(text)
+                continue
+            tail = "".join(waiting)
             whole, place, known = tail + text, 0, None
             again: list[int] = []
             while True:
@@ -159,15 +190,19 @@ def joined(tokens: Pieces, chunks: list[tuple]) -> np.ndarray:
             if again:
                 out.append(again)
             if at < 0:
-                tail = whole[place:]
+                waiting = [whole[place:]]
+                size = len(waiting[0])
+                enough = 2 * size
                 continue
+        enough = 0
         if at > sure_end:
-            tail = text[at:]
+            waiting = [text[at:]]
         else:
             out.append(ids[n:sure_ids])
-            tail = text[sure_end:]
-    if tail:
-        out.append([i for piece in tokens.pattern.findall(tail) for i in tokens.ids(piece)])
+            waiting = [text[sure_end:]] if sure_end < len(text) else []
+        size = len(waiting[0]) if waiting else 0
+    if size:
+        out.append([i for piece in tokens.pattern.findall("".join(waiting)) for i in tokens.ids(piece)])
     return np.concatenate([np.asarray(o, np.int32) for o in out]) if out else np.zeros(0, np.int32)
 
 
@@ -191,28 +226,31 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     without doc_id cannot be named and is left out.
 
     Texts are cut where a rolling hash of their bytes says so; equal chunks of all
-    documents are encoded once; each document is put together from its chunks and
-    repaired at their joins, where exact agreement is reached by construction. A common
-    chunk could make one task of the join: the at most 1 / COMMON common ones, of at most
-    MOST bytes each, are broadcast and the others joined by shuffle. A document must fit
-    a task, as its row of the result does.
+    documents meet in one task and are encoded once there; each document is put together
+    from its chunks and repaired at their joins, where exact agreement is reached by
+    construction. Texts of at most LEAST bytes are one chunk and need no putting together.
+    The copies of a common chunk, of which there are at most 1 / COMMON, are spread over
+    up to SPREAD tasks, each of which encodes it once. A document must fit a task, as its
+    row of the result does.
     """
     path = path or default_path()
     named = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chunks = cut(named.filter(F.col("text") != "").mapInPandas(chunked, CHUNKS))
-    coded = cut(chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).mapInPandas(encoder(path), ENCODED))
-    bound = coded.agg(F.sum("n")).first()[0] or 0
-    common, rare = coded.filter(F.col("n") > bound * COMMON), coded.filter(F.col("n") <= bound * COMMON)
-    listed = F.broadcast(common.select("chunk", F.lit(True).alias("is_common")))
-    marked = chunks.join(listed, "chunk", "left")
+    short, long = named.filter(F.octet_length("text") <= LEAST), named.filter(F.octet_length("text") > LEAST)
+    chunks = long.mapInPandas(chunked, CHUNKS)
     columns = ["doc_id", "pos", "chunk", "ids", "ends", "upto", "sure_end", "sure_ids"]
-    whole = (
-        marked.filter("is_common").join(F.broadcast(common), "chunk").select(columns)
-        .unionByName(marked.filter("is_common IS NULL").join(rare, "chunk").select(columns))
-    )
-    filled = whole.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInPandas(assembler(path), "doc_id long, ids array<int>")
-    empty = named.filter(F.col("text") == "").select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return filled.unionByName(empty)
+    coded = spread(chunks, "chunk", F.struct("doc_id", "pos")).mapInPandas(encoder(path), ENCODED)
+    filled = coded.select(columns).repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInPandas(assembler(path), IDS)
+    return filled.unionByName(spread(short, "text", F.col("doc_id")).mapInPandas(whole_encoder(path), IDS))
+
+
+def spread(rows: DataFrame, column: str, own: Column) -> DataFrame:
+    """Rows with ``key``, a hash of a text column, where equal texts follow each other in one task, or in some tasks where they are common."""
+    hashed = rows.withColumn("key", F.xxhash64(column))
+    counts = cut(hashed.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    common = counts.filter(F.col("n") > total * COMMON).select("key", F.lit(True).alias("is_common"))
+    salted = hashed.join(F.broadcast(common), "key", "left").withColumn("salt", F.when(F.col("is_common"), F.pmod(F.xxhash64(own), F.lit(SPREAD))).otherwise(0))
+    return salted.drop("is_common").repartition("key", "salt").sortWithinPartitions("key")
 
 
 def count_tokens(documents: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -221,12 +259,10 @@ def count_tokens(documents: DataFrame, path: str | None = None, keep: tuple[str,
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep) + ", tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from stratawave.llm.tokenizer import encoding
-
-        tokens = encoding(path)
+        tokens = pieces(path)
         for batch in batches:
             out = batch[list(keep)].copy()
-            out["tokens"] = [len(tokens.encode_ordinary(t)) if t else 0 for t in batch["text"]]
+            out["tokens"] = [len(tokens.flat(t)) if t else 0 for t in batch["text"]]
             yield out
 
     return documents.select(*keep, "text").mapInPandas(run, schema)

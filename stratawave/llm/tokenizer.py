@@ -7,8 +7,8 @@ from functools import lru_cache
 
 import regex
 
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Pieces whose ids a worker remembers; characters from which on a text is split here, as the library fails on white space of some hundred thousand.
+REMEMBERED, LONG = 200_000, 100_000
 
 
 def default_path() -> str:
@@ -34,7 +34,13 @@ class Pieces:
 
     def __init__(self, path: str):
         self.core, self.pattern, self.known = encoding(path)._core_bpe, regex.compile(PATTERN), {}
-        self.flat = encoding(path).encode_ordinary
+        self.ordinary = encoding(path).encode_ordinary
+
+    def flat(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        if len(text) < LONG:
+            return self.ordinary(text)
+        return [i for piece in self.pattern.findall(text) for i in self.ids(piece)]
 
     def ids(self, piece: str) -> list[int]:
         found = self.known.get(piece)

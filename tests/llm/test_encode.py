@@ -36,6 +36,29 @@ def test_borders_partition_and_keep_characters(text):
     assert "".join(data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *cuts], cuts)) == text
 
 
+@pytest.mark.parametrize("piece", ["abcdefghij", "日本語の長い文", "ab cd, 12 ", " "])
+def test_time_is_linear_in_a_piece(piece):
+    import time
+
+    tokens, whole = tools()
+    text = piece * (1_000_000 // len(piece))
+
+    def run(n: int) -> float:
+        data, last, chunks = text[:n].encode(), 0, []
+        began = time.process_time()
+        for end in e.borders(data):
+            chunk = data[last:end].decode()
+            chunks.append((chunk, *e.encode_chunk(tokens, chunk)))
+            last = end
+        ids = e.joined(tokens, chunks).tolist()
+        took = time.process_time() - began
+        assert len(chunks) > 1 and ids == (tokens.flat(text[:n]) if n > 400_000 else whole.encode_ordinary(text[:n]))
+        return took
+
+    small, large = run(len(text) // 8), run(len(text))
+    assert large < 24 * max(small, 0.1)
+
+
 def test_far_agreement_is_found():
     tokens, whole = tools()
     text = " " * 9 + "a" + "1a" * 40
@@ -45,7 +68,7 @@ def test_far_agreement_is_found():
 
 def test_borders_move_with_the_text():
     rng = random.Random(4)
-    text = " ".join(str(rng.random()) for _ in range(400)).encode()
+    text = " ".join(str(rng.random()) for _ in range(8000)).encode()
     a, b = e.borders(text), [x - 37 for x in e.borders(b"y" * 37 + text)]
     assert len(set(a) & set(b)) > 0.9 * len(a)
 
