@@ -81,12 +81,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document and the number of documents that look like it but differ."""
+    return skeleton.look_alike_classes(table(spark, sf_dir, "documents"))
+
+
 def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in one consistent form."""
     return table(spark, sf_dir, "documents").select("doc_id", skeleton.canonical(F.col("text")).alias("text"))
 
 
-QUERIES = {q.__name__: q for q in (p6_percentiles, p6_from_days, p6_by_day, p7_found, p7_matches, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_texts)}
+QUERIES = {q.__name__: q for q in (p6_percentiles, p6_from_days, p6_by_day, p7_found, p7_matches, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_classes, p10_texts)}
 
 FIELDS_SQL = """rows AS (SELECT DISTINCT summary_id, topic, day, dt_mean, dt_max FROM describe_topic),
 fields AS (SELECT topic, day, 'dt_mean' AS field, dt_mean AS x FROM rows UNION ALL SELECT topic, day, 'dt_max', dt_max FROM rows),

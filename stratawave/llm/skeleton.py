@@ -14,13 +14,20 @@ from stratawave.session import cut
 
 #: Letters of other scripts that are drawn as a Latin letter, each string beside its Latin one.
 LOOK_ALIKES = (
-    ("АВЕЅІЈКМНОРСТУХԌԚԜҮӀԀ", "ABESIJKMHOPCTYXGQWYID"),  # Cyrillic capitals
-    ("аеѕіјорсухһԁԛԝӏүԍ", "aesijopcyxhdqwlyg"),  # Cyrillic small letters
+    ("АВЕЅІЈКМНОРСТУХԌԚԜҮӀԀѴ", "ABESIJKMHOPCTYXGQWYIDV"),  # Cyrillic capitals
+    ("аеѕіјорсухһԁԛԝӏүԍѵѡҽ", "aesijopcyxhdqwlygvwe"),  # Cyrillic small letters
+    ("ӔӘӠӕәӡ", "ÆƏƷæəʒ"),  # Cyrillic letters drawn as a Latin letter beyond A to Z
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϺ", "ABEZHIKMNOPTYXCJM"),  # Greek capitals
-    ("οϲϳν", "ocjv"),  # Greek small letters
-    ("օսոհցզԼՍՏՕ", "ounhgqLUSO"),  # Armenian
+    ("οϲϳναγικρσυ", "ocjvayikpou"),  # Greek small letters
+    ("օսոհցզաԼՍՏՕ", "ounhgqwLUSO"),  # Armenian
+    ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHYGhZbRWSVSLCPKdGB"),  # Cherokee
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),  # Coptic
+    ("𐐄𐐬𐐕𐐽𐑈", "OoCcs"),  # Deseret
     ("ɡɑıȷ", "gaij"),  # Latin letters of phonetics and without dots
 )
+#: Letters whose small and capital forms are drawn alike but for their height: their small capitals are drawn as the small letter.
+ALIKE_IN_HEIGHT = "COSUVWZ"
 #: Other characters drawn alike: hyphens, apostrophes of modifier letters, marks, signs.
 SIGNS = (("‐‑˗", "---"), ("ʼʹ", "''"), (";·․", ";·."), ("⁄∕", "//"), ("ǃ", "!"), ("∶꞉", "::"), ("∣", "|"), ("∼", "~"))
 #: Decompositions that keep the look of a character but for its width; ranges whose compatibility decomposition keeps it as well (digraphs, Roman numerals, ligatures).
@@ -35,7 +42,9 @@ JOINING = ((0x0600, 0x08FF), (0x0900, 0x0DFF), (0x1000, 0x109F), (0x1780, 0x17FF
 
 @lru_cache(maxsize=1)
 def listed() -> dict[str, str]:
-    return {a: b for pair in (*LOOK_ALIKES, *SIGNS) for a, b in zip(*pair, strict=True)}
+    """Prototypes of look-alikes, decomposed."""
+    small = {unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {c}"): c.lower() for c in ALIKE_IN_HEIGHT}
+    return small | {a: unicodedata.normalize("NFD", b) for pair in (*LOOK_ALIKES, *SIGNS) for a, b in zip(*pair, strict=True)}
 
 
 @lru_cache(maxsize=65536)
@@ -149,3 +158,32 @@ def look_alike_pairs(documents: DataFrame) -> DataFrame:
     m, n = members.alias("m"), members.alias("n")
     expanded = pairs.join(m, F.col("p.one") == F.col("m.first_id")).join(n, F.col("p.other") == F.col("n.first_id"))
     return expanded.select(F.least("m.doc_id", "n.doc_id").alias("doc_id_a"), F.greatest("m.doc_id", "n.doc_id").alias("doc_id_b"))
+
+
+#: A class is common from this share of all documents on, so there are at most 1 / COMMON common ones.
+COMMON = 0.001
+
+
+def look_alike_classes(documents: DataFrame) -> DataFrame:
+    """One row for each document with a visible text: doc_id, class_id, texts, documents, links.
+
+    A class holds all documents whose texts look the same and is named by its smallest
+    doc_id. texts and documents count its different texts and its members; links counts the
+    members whose text differs from the document's own, so that the sum of links is twice
+    the number of pairs, which are never made. Rows without doc_id or with a null text are
+    left out. Skeletons and texts are told apart by their SHA-256. Classes with many
+    documents are joined from a broadcast list of at most 1 / COMMON, others by shuffle.
+    """
+    named = documents.filter(F.col("doc_id").isNotNull())
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    forms = cut(classes(named).filter("seen").select("doc_id", digest("skeleton").alias("form"), digest("text").alias("own")))
+    texts = forms.groupBy("form", "own").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    whole = texts.groupBy("form").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("documents"))
+    t, w = texts.alias("t"), whole.alias("w")
+    links = cut(t.join(w, F.col("t.form") == F.col("w.form")).select("t.form", "t.own", "t.copies", "w.class_id", "w.texts", "w.documents", (F.col("w.documents") - F.col("t.copies")).alias("links")))
+    least = (forms.count() or 0) * COMMON
+    columns = ["doc_id", "class_id", "texts", "documents", "links"]
+    common = F.broadcast(links.filter(F.col("copies") > least))
+    marked = forms.join(common, ["form", "own"], "left")
+    rest = marked.filter("class_id IS NULL").select("doc_id", "form", "own").join(links.filter(F.col("copies") <= least), ["form", "own"])
+    return marked.filter("class_id IS NOT NULL").select(columns).unionByName(rest.select(columns))

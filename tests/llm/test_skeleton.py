@@ -10,6 +10,7 @@ from stratawave.llm import skeleton as k
 SAME = [
     ("abc", "аbс"), ("Kilo", "Kilo"), ("ＡＢ１", "AB1"), ("é", "é"), ("a b", "a b"), ("a b", "a b"), ("ab", "a​b"), ("ab", "a­b"),
     ("ab", "a﻿b"), ("ab", "a‎b"), ("ab", "a‍b"), ("fine", "ﬁne"), ("ガ", "ｶﾞ"), ("a-b", "a‑b"), ("ё", "ë"), ("ab", "a᠎b"),
+    ("puik", "ρυικ"), ("vVw", "ѵѴѡ"), ("A", "Ꭺ"), ("BO", "ꓐꓳ"), ("oczs", "ᴏᴄᴢꜱ"), ("Æ", "Ӕ"), ("O", "Ⲟ"),
     ("ﾀ", "タ"), ("x", "‌x"), ("a　b", "a b"), ("XII", "Ⅻ"), ("a b", "a b"), ("ab", "a⁠b"), ("c", "ϲ"), ("j", "ϳ"), ("g", "ɡ"),
 ]
 DIFFER = [
@@ -52,6 +53,21 @@ def test_pairs(spark):
     assert k.look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_classes_count_the_pairs(spark):
+    rng = random.Random(9)
+    base = ["Text " + str(i % 7) for i in range(40)] + ["Tеxt 1", "Text 2", "Ｔext 2", "", None, " ", "one"]
+    rng.shuffle(base)
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(base)] + [(None, "Text 1", 1)], "doc_id long, text string, links int")
+    got = {r.doc_id: r for r in k.look_alike_classes(df).collect()}
+    seen = {i: t for i, t in enumerate(base) if t is not None and k.visible(k.skeleton(t))}
+    group = {i: [j for j, u in seen.items() if k.skeleton(u) == k.skeleton(t)] for i, t in seen.items()}
+    assert {i: (r.class_id, r.texts, r.documents, r.links) for i, r in got.items()} == {
+        i: (min(g), len({seen[j] for j in g}), len(g), sum(seen[j] != seen[i] for j in g)) for i, g in group.items()
+    }
+    assert sum(r.links for r in got.values()) == 2 * k.look_alike_pairs(df).count() > 0
+    assert k.look_alike_classes(df.limit(0)).count() == 0
+
+
 def test_many_copies_make_no_pairs(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "'the same text' AS text")
     assert k.look_alike_pairs(df).count() == 0
