@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stratawave.operators import file_footer as ff
 from stratawave.operators.order import free
-from stratawave.session import changes, cut, importable, shared_dir, whole_groups
+from stratawave.session import changes, cut, importable, shared_dir, whole_groups, whole_tables
 
 TARGET_BYTES = 256 << 20
 #: Bytes that one copy holds in memory, and bytes of a block that small blocks are joined to.
@@ -241,22 +241,6 @@ def consolidated(spark: SparkSession, source: str, target_bytes: int = TARGET_BY
     return spark.read.schema(spark.read.parquet(source).schema).parquet(out), report
 
 
-def whole_tables(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of at least ``least`` rows, but for the last, in which no group of a partition sorted by ``keys`` is split."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if held.num_rows >= least:
-            start = int(np.flatnonzero(changes(held.select(keys).to_pandas(), keys))[-1])
-            if start:
-                yield held.slice(0, start).combine_chunks()
-                held = held.slice(start)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks()
-
-
 def record_codes(table: pa.Table, rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each row whether it has no msg_id, and a number that agrees for rows of one record in a group: msg_id, or the number of its content ``rest``."""
     nameless = table["msg_id"].is_null().to_numpy()

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from stratawave.functions import geodesy
 from stratawave.functions import quaternion as q
 from stratawave.functions import vectors as v
 from stratawave.operators.align import around, grid, lerp
-from stratawave.operators.order import BLOCK, same, with_neighbours
-from stratawave.operators.windows import differentiate_timeseries, integrate_timeseries, smooth_timeseries
-from stratawave.session import changes, whole_groups
+from stratawave.operators.order import BLOCK, bordered, same, with_neighbours
+from stratawave.operators.windows import differentiate_timeseries, neighbour_gradient, smooth_timeseries
+from stratawave.session import changes, cut, whole_groups, whole_tables
 
 STATES = ("position", "orientation", "linear_velocity", "angular_velocity", "linear_acceleration")
 COVARIANCES = tuple(f"{s}_covariance" for s in STATES)
@@ -85,11 +86,10 @@ def navsat_to_trajectory(navsat: DataFrame, data: str = "data", ref_lat=None, re
     local = navsat_to_local(navsat, data, ref_lat, ref_lon, ref_alt, "enu", by).withColumnRenamed(data, "navsat")
     fields = {"position": F.col("local")}
     if compute_velocity:
-        near = with_neighbours(local, by, "seq", ["ts"])
-        level = (F.col("ts") == F.col("prev_ts")) | (F.col("ts") == F.col("next_ts"))
-        keys = differentiate_timeseries(local, "local", by)
-        a, b = keys.alias("a"), near.select(*by, "seq", level.alias("level")).alias("b")
-        local = a.join(b, same("a", "b", [*by, "seq"])).select("a.*", F.when(F.col("b.level") | F.col("a.derivative").isNull(), nan3()).otherwise(F.col("a.derivative")).alias("velocity"))
+        near = with_neighbours(local, by, "seq", ["ts", "local"])
+        level = F.coalesce((F.col("ts") == F.col("prev_ts")) | (F.col("ts") == F.col("next_ts")), F.lit(False))
+        velocity = F.transform(neighbour_gradient("local"), lambda x: F.when(level | x.isNull(), float("nan")).otherwise(x))
+        local = near.select(*local.columns, F.when(F.size("local") > 0, velocity).otherwise(nan3()).alias("velocity"))
         fields["linear_velocity"] = F.col("velocity")
     return trajectory(local, fields, "navsat", ("navsat", "reference", "status"))
 
@@ -210,89 +210,193 @@ def angular_velocity_from_quaternions(df: DataFrame, orientation: str = "orienta
 
 def differentiate_trajectory(df: DataFrame, angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",)) -> DataFrame:
     """Velocities from position and orientation, acceleration from velocity."""
-    out = differentiate_timeseries(df, "position", by).withColumn("linear_velocity", F.col("derivative")).drop("derivative")
-    out = angular_velocity_from_quaternions(out, "orientation", angular_velocity_frame, by).withColumn("angular_velocity", F.col("omega")).drop("omega")
+    out = cut(angular_velocity_from_quaternions(df, "orientation", angular_velocity_frame, by).withColumn("angular_velocity", F.col("omega")).drop("omega"))
+    out = cut(differentiate_timeseries(out, "position", by).withColumn("linear_velocity", F.col("derivative")).drop("derivative"))
     out = differentiate_timeseries(out, "linear_velocity", by).withColumn("linear_acceleration", F.col("derivative")).drop("derivative")
     return with_pose(out)
 
 
 def hamilton(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Product of quaternions, unit length again."""
-    ax, ay, az, aw = a
-    bx, by, bz, bw = b
-    out = np.array([aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz])
-    return out / np.sqrt(out @ out)
+    """Products of rows of quaternions, unit length again."""
+    ax, ay, az, aw = a.T
+    bx, by, bz, bw = b.T
+    out = np.column_stack([aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz])
+    return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
-def integrate_orientations(df: DataFrame, angular_velocity: str = "angular_velocity", initial_orientation=(0.0, 0.0, 0.0, 1.0), angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",), block: int = BLOCK) -> DataFrame:
-    """Adds integrated: orientations from rates, each step by the mean of its two rates.
+def rotated(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows of vectors turned by rows of unit quaternions."""
+    t = 2 * np.cross(q[:, :3], x)
+    return x + q[:, 3:] * t + np.cross(q[:, :3], t)
 
-    ``initial_orientation`` is four numbers or the name of a column whose first row counts.
-    Products of rotations cannot be reordered but can be grouped: blocks of rows are
-    multiplied on their own, the products of the blocks before a block are multiplied in
-    a table of one row for each block, and both are joined.
+
+def prefix_products(steps: np.ndarray, starts: np.ndarray, body: bool) -> np.ndarray:
+    """Products of the steps from the start of each row's group up to it, in log2(rows) passes over all rows."""
+    out, reach = steps.copy(), np.arange(len(steps)) - starts
+    k = 1
+    while len(reach) and k <= reach.max():
+        at = np.flatnonzero(reach >= k)
+        out[at] = hamilton(out[at - k], out[at]) if body else hamilton(out[at], out[at - k])
+        k *= 2
+    return out
+
+
+def vectors_of(column: pa.ChunkedArray, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an array column as a matrix, and whether a row is null; absent elements are NaN."""
+    a = column.combine_chunks()
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+    null = a.is_null().to_numpy(zero_copy_only=False)
+    sizes = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    if len(a) and (sizes == n).all():
+        return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(float), null
+    rows = [([float("nan") if y is None else y for y in x[:n]] + [float("nan")] * n)[:n] for x in (x or [] for x in a.to_pylist())]
+    return np.array(rows, float).reshape(-1, n), null
+
+
+def listed(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def reckoner(keys: list[str], at: str, side: str, rates: str | None, velocity: str | None, body: bool, turn: bool):
+    """What a block adds by itself, from the state of the row before it: rotation, way, velocity and acceleration of each row.
+
+    Rows of a partition are sorted by keys, block, side and seq. ``rates`` are integrated to
+    rotations and ``velocity``, turned by them with ``turn``, to ways.
     """
-    body, by = frame_is_body(angular_velocity_frame), list(by)
-    near = with_neighbours(df, by, "seq", ["ts", angular_velocity], ahead=False)
-    dt = strict(near) - F.col("prev_ts")
-    turn = [F.coalesce(0.5 * (a + b) * dt, F.lit(0.0)) for a, b in zip(v.unpack(angular_velocity, 3), v.unpack(f"prev_{angular_velocity}", 3))]
-    angle = v.norm(turn)
-    part = F.when(angle > 1e-12, F.sin(angle / 2) / angle).otherwise(0.5)
-    steps = near.select(*by, F.floor(F.col("seq") / block).alias("block"), "seq", F.array(*(t * part for t in turn), F.cos(angle / 2)).alias("step"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tables(batches, [*keys, at]):
+            new = changes(table.select([*keys, at]).to_pandas(), [*keys, at])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            n, ts = len(new), table["ts"].to_numpy().astype(float)
+            last = np.append(new[1:], True)
+            dt = np.where(new, 0.0, np.diff(ts, prepend=ts[:1]))
+            if (dt[~new] <= 0).any():
+                raise ValueError("timestamps must strictly increase")
+            earlier, later = np.where(new, np.arange(n), np.arange(n) - 1), np.where(last, np.arange(n), np.arange(n) + 1)
+            rotation = np.tile([0.0, 0.0, 0.0, 1.0], (n, 1))
+            if rates is not None:
+                w, null = vectors_of(table[rates])
+                step = np.where((new | null | null[earlier] | np.isnan(dt))[:, None], 0.0, 0.5 * (w + w[earlier]) * dt[:, None])
+                angle = np.sqrt(np.einsum("ij,ij->i", step, step))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    share = np.where(angle > 1e-12, np.sin(angle / 2) / angle, 0.5)
+                rotation = prefix_products(np.column_stack([step * share[:, None], np.cos(angle / 2)]), first, body)
+            own = table[side].to_numpy() == 0
+            out = table.filter(pa.array(own)).append_column("turned", listed(rotation[own]))
+            if velocity is not None:
+                x, null = vectors_of(table[velocity])
+                x = rotated(rotation, x) if turn else x
+                part = np.where((new | null | null[earlier] | np.isnan(dt))[:, None], 0.0, 0.5 * (x + x[earlier]) * dt[:, None])
+                way = np.cumsum(part, axis=0)
+                way -= way[first] - part[first]
+                back, ahead = dt[:, None], dt[later][:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    inner = (back * back * x[later] + (ahead * ahead - back * back) * x - ahead * ahead * x[earlier]) / (back * ahead * (back + ahead))
+                    change = np.where(new[:, None], (x[later] - x) / ahead, np.where(last[:, None], (x - x[earlier]) / back, inner))
+                out = out.append_column("way", listed(way[own])).append_column("swift", listed(x[own])).append_column("change", listed(change[own]))
+                out = out.append_column("alone", pa.array((new & last)[own]))
+            yield from out.drop_columns([side]).combine_chunks().to_batches()
+
+    return run
+
+
+#: Blocks whose states are broadcast to their rows; more are joined by shuffle.
+STATES_BROADCAST = 100_000
+
+
+def reckoned(df: DataFrame, rates: str | None, velocity: str | None, body: bool, turn: bool, by: list[str], block: int) -> DataFrame:
+    """Rows with what their block adds by itself, and the state that it starts from: before (rotation) and base (way).
+
+    Products of rotations cannot be reordered but can be grouped: blocks are multiplied on
+    their own, the blocks before a block in a table of one row for each block. Rows move
+    once, with the row before and the row behind their block, and are written once.
+    """
+    used = ["ts", *(c for c in (rates, velocity) if c)]
+    rows, at, side = bordered(df, by, "seq", used, block)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     keys = "".join(f"`{k}` {types[k]}, " for k in by)
-
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in whole_groups(batches, [*by, "block"]):
-            new, out = changes(group, [*by, "block"]), []
-            for start, step in zip(new, group["step"]):
-                at = np.asarray(step, float) if start else hamilton(at, step) if body else hamilton(step, at)
-                out.append(at)
-            yield group.drop(columns="step").assign(turned=out)
-
-    prefix = steps.repartition(*by, "block").sortWithinPartitions(*by, "block", "seq").mapInPandas(inside, f"{keys}block long, seq long, turned array<double>")
-    totals = prefix.groupBy(*by, "block").agg(F.max_by("turned", "seq").alias("total"))
+    added = "turned array<double>" + (", way array<double>, swift array<double>, change array<double>, alone boolean" if velocity else "")
+    schema = ", ".join(f"`{c}` {types[c]}" for c in df.columns) + f", `{at}` long, {added}"
+    names = [*df.columns, at, side]
+    inner = cut(rows.select(names).repartition(*by, at).sortWithinPartitions(*by, at, side, "seq").mapInArrow(reckoner(by, at, side, rates, velocity, body, turn), schema))
+    total = inner.groupBy(*by, at).agg(F.max_by(F.struct("turned", *(["way"] if velocity else [])), "seq").alias("total")).select(*by, at, "total.*")
+    total = total if velocity else total.withColumn("way", F.array_repeat(F.lit(0.0), 3))
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, by):
-            new, out = changes(group, by) if by else np.arange(len(group)) == 0, []
-            for start, total in zip(new, group["total"]):
-                at = np.array([0.0, 0.0, 0.0, 1.0]) if start else at
-                out.append(at)
-                at = hamilton(at, total) if body else hamilton(total, at)
-            yield group.drop(columns="total").assign(before=out)
-
-    line = totals.repartition(*by) if by else totals.repartition(1)  # one row for each block
-    before = line.sortWithinPartitions(*by, "block").mapInPandas(across, f"{keys}block long, before array<double>")
-    if isinstance(initial_orientation, str):
-        initial = df.groupBy(*by).agg(F.min_by(initial_orientation, "seq").alias("initial"))
-    else:
-        initial = df.groupBy(*by).agg(F.first(F.array(*(F.lit(float(x)) for x in initial_orientation))).alias("initial"))
-    p, b, i, d = prefix.alias("p"), before.alias("b"), initial.alias("i"), df.alias("d")
-    joined = d.join(p, same("d", "p", [*by, "seq"])).join(b, same("p", "b", [*by, "block"])).join(i, same("d", "i", by))
-    start = q.normalize_quaternion("i.initial")
-    own = q.multiply("b.before", "p.turned") if body else q.multiply("p.turned", "b.before")
-    whole = q.multiply(start, own) if body else q.multiply(own, start)
-    return joined.select(*(F.col(f"d.`{c}`") for c in df.columns), v.packed(q.normalize_quaternion(whole)).alias("integrated"))
+            starts, before, base = changes(group, by) if by else np.arange(len(group)) == 0, [], []
+            for start, turned, way in zip(starts, group["turned"], group["way"]):
+                if start:
+                    q, x = np.array([[0.0, 0.0, 0.0, 1.0]]), np.zeros((1, 3))
+                before.append(q[0])
+                base.append(x[0])
+                x = x + (rotated(q, np.array([way])) if turn else np.array([way]))
+                q = hamilton(q, np.array([turned])) if body else hamilton(np.array([turned]), q)
+            yield group[[*by, at]].assign(before=before, base=base)
 
+    line = total.repartition(*by) if by else total.coalesce(1)  # one row for each block of 65536 rows
+    states = cut(line.sortWithinPartitions(*by, at).mapInPandas(across, f"{keys}`{at}` long, before array<double>, base array<double>"))
+    r, s = inner.alias("r"), states.alias("s")
+    joined = r.join(F.broadcast(s) if states.count() <= STATES_BROADCAST else s, same("r", "s", [*by, at]))
+    return joined.select("r.*", "s.before", "s.base").drop(at)
 
-def dead_reckon_trajectory(df: DataFrame, initial_position: Sequence[float] | None = None, initial_orientation=None, body_frame_velocity: bool = False, angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",)) -> DataFrame:
+
+def first_state(df: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """Values of the first row of each key."""
+    return df.groupBy(*by).agg(F.min_by(F.struct(*(x.alias(n) for n, x in values.items())), "seq").alias("first_row")).select(*by, "first_row.*")
+
+
+def integrate_orientations(df: DataFrame, angular_velocity: str = "angular_velocity", initial_orientation=(0.0, 0.0, 0.0, 1.0), angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",), block: int = BLOCK) -> DataFrame:
+    """Adds integrated: orientations from rates, each step by the mean of its two rates; a step with a null rate turns nothing.
+
+    ``initial_orientation`` is four numbers or the name of a column whose first row counts.
+    """
+    body, by = frame_is_body(angular_velocity_frame), list(by)
+    inner = reckoned(df, angular_velocity, None, body, False, by, block)
+    given = F.col(initial_orientation) if isinstance(initial_orientation, str) else F.array(*(F.lit(float(x)) for x in initial_orientation))
+    r, i = inner.alias("r"), first_state(df, by, initial=given).alias("i")
+    whole = orientation_of(F.col("i.initial"), body)
+    return r.join(i, same("r", "i", by)).select(*(F.col(f"r.`{c}`") for c in df.columns), whole.alias("integrated"))
+
+
+def orientation_of(initial: Column, body: bool) -> Column:
+    start = q.normalize_quaternion(initial)
+    own = q.multiply("before", "turned") if body else q.multiply("turned", "before")
+    return v.packed(q.normalize_quaternion(q.multiply(start, own) if body else q.multiply(own, start)))
+
+
+def dead_reckon_trajectory(df: DataFrame, initial_position: Sequence[float] | None = None, initial_orientation=None, body_frame_velocity: bool = False, angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",), block: int = BLOCK) -> DataFrame:
     """Orientation from rates, then position from velocities, turned to the world if they are the body's.
 
-    The first row's position starts the way, or the origin where it is not finite.
+    The first row's position starts the way, or the origin where it is not finite. Rates of
+    the body's frame are integrated together with the velocities, in one pass over the
+    blocks; rates of the world's frame before them.
     """
-    by = list(by)
-    turned = integrate_orientations(df, "angular_velocity", initial_orientation if initial_orientation is not None else "orientation", angular_velocity_frame, by)
-    out = turned.withColumn("orientation", F.col("integrated")).drop("integrated")
-    if body_frame_velocity:
-        out = out.withColumn("linear_velocity", v.packed(q.rotate_vectors_by_quaternion("linear_velocity", "orientation")))
-    start = df.groupBy(*by).agg(F.min_by("position", "seq").alias("start"))
-    summed = integrate_timeseries(out, "linear_velocity", 3, 0.0, by)
-    a, b = summed.alias("a"), start.alias("b")
-    given = F.array(*(F.lit(float(x)) for x in initial_position)) if initial_position is not None else F.when(F.forall("b.start", lambda x: v.is_finite(x)), F.col("b.start")).otherwise(F.array_repeat(F.lit(0.0), 3))
-    moved = a.join(b, same("a", "b", by)).select(*(F.col(f"a.`{c}`") for c in out.columns if c != "position"), F.zip_with(given, F.col("a.integral"), lambda x, y: x + y).alias("position"))
-    out = differentiate_timeseries(moved, "linear_velocity", by).withColumn("linear_acceleration", F.col("derivative")).drop("derivative")
-    return with_pose(out)
+    by, body = list(by), frame_is_body(angular_velocity_frame)
+    initial = initial_orientation if initial_orientation is not None else "orientation"
+    if not body:
+        turned = integrate_orientations(df, "angular_velocity", initial, angular_velocity_frame, by, block).withColumn("orientation", F.col("integrated")).drop("integrated")
+        df = cut(turned.withColumn("linear_velocity", v.packed(q.rotate_vectors_by_quaternion("linear_velocity", "orientation"))) if body_frame_velocity else turned)
+        initial, rates, turn = "orientation", None, False
+    else:
+        rates, turn = "angular_velocity", body_frame_velocity
+    inner = reckoned(df, rates, "linear_velocity", body, turn, by, block)
+    given = F.col(initial) if isinstance(initial, str) else F.array(*(F.lit(float(x)) for x in initial))
+    start = F.array(*(F.lit(float(x)) for x in initial_position)) if initial_position is not None else F.when(F.forall("position", lambda x: v.is_finite(x)), F.col("position")).otherwise(F.array_repeat(F.lit(0.0), 3))
+    r, i = inner.alias("r"), first_state(df, by, initial=given, start=start).alias("i")
+    joined = r.join(i, same("r", "i", by)).select("r.*", "i.initial", "i.start")
+    # the state before a block turns what the block adds
+    frame = v.packed(q.multiply(q.normalize_quaternion("initial"), "before"))
+    whole = lambda c: v.packed(q.rotate_vectors_by_quaternion(c, "frame")) if turn else F.col(c)
+    base = v.packed(q.rotate_vectors_by_quaternion("base", q.normalize_quaternion("initial"))) if turn else F.col("base")
+    placed = joined.withColumn("frame", frame).select(
+        *(c for c in df.columns if c not in ("position", "orientation", "linear_velocity", "linear_acceleration", "pose", "trajectory")),
+        (orientation_of(F.col("initial"), True) if rates else F.col("orientation")).alias("orientation"), whole("swift").alias("linear_velocity"),
+        F.zip_with("start", F.zip_with(base, whole("way"), lambda x, y: x + y), lambda x, y: x + y).alias("position"),
+        F.when(F.col("alone"), F.array_repeat(F.lit(None).cast("double"), 3)).otherwise(whole("change")).alias("linear_acceleration"),
+    )
+    return with_pose(placed)
 
 
 integrate_trajectory = dead_reckon_trajectory

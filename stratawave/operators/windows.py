@@ -95,13 +95,17 @@ def gradient(before: Column, here: Column, after: Column, back: Column, ahead: C
     return F.when(before.isNull(), F.try_divide(after - here, ahead)).when(after.isNull(), F.try_divide(here - before, back)).otherwise(inner)
 
 
+def neighbour_gradient(value: str) -> Column:
+    """The gradient of each element of an array column by ts, where :func:`with_neighbours` has added both."""
+    back, ahead = F.col("ts") - F.col("prev_ts"), F.col("next_ts") - F.col("ts")
+    p, n = F.col(f"prev_{value}"), F.col(f"next_{value}")
+    return F.transform(F.sequence(F.lit(0), F.size(value) - 1), lambda i: gradient(F.get(p, i), F.get(F.col(value), i), F.get(n, i), back, ahead))
+
+
 def differentiate_timeseries(df: DataFrame, value: str = "data", by: Sequence[str] = ("topic",), order: str = "seq") -> DataFrame:
     """Adds derivative: of each element by ts, as np.gradient has it for uneven steps."""
     near = with_neighbours(df, by, order, ["ts", value])
-    back, ahead = F.col("ts") - F.col("prev_ts"), F.col("next_ts") - F.col("ts")
-    p, n = F.col(f"prev_{value}"), F.col(f"next_{value}")
-    each = F.transform(F.sequence(F.lit(0), F.size(value) - 1), lambda i: gradient(F.get(p, i), F.get(F.col(value), i), F.get(n, i), back, ahead))
-    return near.select(*df.columns, F.when(F.size(value) > 0, each).alias("derivative"))
+    return near.select(*df.columns, F.when(F.size(value) > 0, neighbour_gradient(value)).alias("derivative"))
 
 
 def integrate_timeseries(df: DataFrame, value: str = "data", elements: int = 1, initial: Sequence[float] | float = 0.0, by: Sequence[str] = ("topic",), order: str = "seq") -> DataFrame:

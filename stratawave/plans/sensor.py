@@ -337,19 +337,50 @@ def loop_closures(spark, sf_dir):
     return points.iter_loop_closure_candidates(t, 30.0, 100, 2).select("topic", "source_index", "target_index", r6("pose_distance", 4).alias("pose_distance"))
 
 
-@query()
+VELOCITY = f"""{XY}, near AS (SELECT *, lag(ts) OVER w AS pt, lead(ts) OVER w AS nt, lag(x) OVER w AS px, lead(x) OVER w AS nx, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM p WINDOW w AS (PARTITION BY topic ORDER BY seq)),
+h AS (SELECT *, ts - pt AS hs, nt - ts AS hd, coalesce(pt = ts, false) OR coalesce(nt = ts, false) AS level FROM near),
+vel AS (SELECT topic, seq, ts, x, y, CASE WHEN level THEN NULL WHEN pt IS NULL THEN (nx - x) / hd WHEN nt IS NULL THEN (x - px) / hs ELSE (hs * hs * nx + (hd * hd - hs * hs) * x - hd * hd * px) / (hs * hd * (hs + hd)) END AS vx,
+  CASE WHEN level THEN NULL WHEN pt IS NULL THEN (ny - y) / hd WHEN nt IS NULL THEN (y - py) / hs ELSE (hs * hs * ny + (hd * hd - hs * hs) * y - hd * hd * py) / (hs * hd * (hs + hd)) END AS vy FROM h)"""
+AT_MINUTES = """e AS (SELECT topic, min_by(ts, seq) AS first, max_by(ts, seq) AS last FROM vel GROUP BY 1),
+grid AS (SELECT topic, unnest(range(CAST(floor((last - first) / 60 + 1e-12) AS BIGINT) + 1)) AS seq, first FROM e), g AS (SELECT topic, seq, first + seq * 60 AS ts FROM grid),
+once AS (SELECT topic, ts, min_by(x, seq) AS x, min_by(y, seq) AS y, min_by(vx, seq) AS vx, max_by(x, seq) AS lx, max_by(y, seq) AS ly, CASE WHEN count(*) = 1 THEN min(vx) END AS lvx FROM vel GROUP BY 1, 2),
+hit AS (SELECT g.topic, g.seq, g.ts, b.ts AS bt, b.lx AS bx, b.ly AS below, b.lvx AS bv, f.ts AS ft, f.x AS fx, f.y AS fy, f.vx AS fv FROM g ASOF LEFT JOIN once b ON g.topic = b.topic AND g.ts > b.ts ASOF LEFT JOIN once f ON g.topic = f.topic AND g.ts <= f.ts),
+mixed AS (SELECT *, CASE WHEN ft IS NULL THEN 0.0 WHEN bt IS NULL OR ft = ts THEN 1.0 ELSE (ts - bt) / (ft - bt) END AS s FROM hit)""".replace('\\"', '"')
+
+
+def number(x, digits):
+    """Rounded, and null where it is not a number."""
+    return F.when(~F.isnan(x), F.round(x, digits))
+
+
+@query(f"""WITH {VELOCITY}, {AT_MINUTES}
+SELECT topic, seq, round(CASE WHEN s = 0 THEN bx WHEN s = 1 THEN fx ELSE bx + (fx - bx) * s END, 3) AS x, round(CASE WHEN s = 0 THEN below WHEN s = 1 THEN fy ELSE below + (fy - below) * s END, 3) AS y,
+  round(CASE WHEN s = 0 THEN bv WHEN s = 1 THEN fv ELSE bv + (fv - bv) * s END, 4) AS vx, CAST(1 AS DOUBLE) AS qw FROM mixed""")
 def navsat_trajectory(spark, sf_dir):
     t = trajectory.navsat_to_trajectory(fixes(spark, sf_dir))
-    return trajectory.resample_trajectory(t, period=60.0).select("topic", "seq", "ts", "position", "orientation", "linear_velocity")
+    r = trajectory.resample_trajectory(t, period=60.0)
+    e = lambda c, i: F.get(c, F.lit(i))
+    return r.select("topic", "seq", r6(e("position", 0), 3).alias("x"), r6(e("position", 1), 3).alias("y"), number(e("linear_velocity", 0), 4).alias("vx"), e("orientation", 3).alias("qw"))
 
 
-@query()
+@query(f"""WITH {FIX}, f AS (SELECT topic, ts, min(seq) AS s FROM fixes GROUP BY 1, 2), r AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY ts) - 1 AS seq, ts, sin(s * 0.05) * 0.01 AS w FROM f),
+n AS (SELECT *, coalesce(0.5 * (w + lag(w) OVER t) * (ts - lag(ts) OVER t), 0) AS turn, coalesce(ts - lag(ts) OVER t, 0) AS dt FROM r WINDOW t AS (PARTITION BY topic ORDER BY seq)),
+a AS (SELECT *, sum(turn) OVER (PARTITION BY topic ORDER BY seq) AS yaw FROM n), c AS (SELECT *, cos(yaw) AS vx, sin(yaw) AS vy FROM a),
+d AS (SELECT *, coalesce(0.5 * (vx + lag(vx) OVER t) * dt, 0) AS dx, coalesce(0.5 * (vy + lag(vy) OVER t) * dt, 0) AS dy FROM c WINDOW t AS (PARTITION BY topic ORDER BY seq))
+SELECT topic, seq, round(sum(dx) OVER t, 3) AS x, round(sum(dy) OVER t, 3) AS y, round(vx, 6) AS c, round(vy, 6) AS s FROM d WINDOW t AS (PARTITION BY topic ORDER BY seq)""")
 def dead_reckoning(spark, sf_dir):
-    t = fixes(spark, sf_dir)
-    rates = t.select("topic", "seq", "ts", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("linear_velocity"), F.array(F.lit(0.0), F.lit(0.0), F.sin(F.col("seq") * 0.05) * 0.01).alias("angular_velocity"), F.array_repeat(F.lit(0.0), 3).alias("position"), trajectory.identity().alias("orientation"))
-    first = rates.groupBy("topic", "ts").agg(F.min_by(F.struct(*rates.columns), "seq").alias("r")).select("r.*")
-    again = o.positions(first.drop("seq"), ["topic"], ["ts"], "seq")
-    return trajectory.dead_reckon_trajectory(again, body_frame_velocity=True).select("topic", "seq", "ts", "position", "orientation")
+    e = lambda c, i: F.get(c, F.lit(i))
+    z, w = e("orientation", 2), e("orientation", 3)
+    r = trajectory.dead_reckon_trajectory(turning_fixes(spark, sf_dir), body_frame_velocity=True)
+    return r.select("topic", "seq", r6(e("position", 0), 3).alias("x"), r6(e("position", 1), 3).alias("y"), r6(w * w - z * z).alias("c"), r6(2 * z * w).alias("s"))
+
+
+def turning_fixes(spark, sf_dir):
+    """One fix for each time, moving ahead by 1 m/s and turning about the vertical axis at a changing rate."""
+    t = fixes(spark, sf_dir).groupBy("topic", "ts").agg(F.min("seq").alias("first"))
+    placed = o.positions(t, ["topic"], ["ts"], "seq")
+    rate = F.array(F.lit(0.0), F.lit(0.0), F.sin(F.col("first") * 0.05) * 0.01)
+    return placed.select("topic", "seq", "ts", F.array(*map(F.lit, (1.0, 0.0, 0.0))).alias("linear_velocity"), rate.alias("angular_velocity"), F.array_repeat(F.lit(0.0), 3).alias("position"), trajectory.identity().alias("orientation"))
 
 
 # ---- rotations, transforms, cameras, boxes

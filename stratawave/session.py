@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,22 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
         yield pd.concat(held, ignore_index=True)
 
 
+def whole_tables(batches: Iterator[pa.RecordBatch], keys: Sequence[str], least: int = 50_000) -> Iterator[pa.Table]:
+    """Arrow tables of at least ``least`` rows, but for the last, in which no group of a partition sorted by ``keys`` is split."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if held.num_rows >= least:
+            start = last_group_start(held.select(list(keys)).to_pandas(), keys)
+            if start:
+                yield held.slice(0, start).combine_chunks()
+                held = held.slice(start)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
 def same_key(before: pd.DataFrame, after: pd.DataFrame, keys: Sequence[str]) -> bool:
     return all(equal(before[k].iloc[-1], after[k].iloc[0]) for k in keys)
 

@@ -169,6 +169,34 @@ def test_orientation_products_over_blocks(spark):
             np.testing.assert_allclose([matrix_of(*r.integrated) for r in got], want, atol=1e-9)
 
 
+@pytest.mark.parametrize("frame", ["body", "world"])
+@pytest.mark.parametrize("turned", [True, False])
+def test_reckoning_over_blocks(spark, frame, turned):
+    rng = np.random.default_rng(5)
+    n = 30
+    ts, omega, vel = np.cumsum(rng.uniform(0.05, 0.2, n)), rng.normal(0, 2, (n, 3)), rng.normal(0, 1, (n, 3))
+    df = path(spark, ts, np.full((n, 3), 2.0), [yaw(0.3)] * n, vel, omega).unionByName(path(spark, [4.0], [[7, 8, 9]], name="alone"))
+    df = df.withColumn("extra", F.col("seq") * 2)
+    now = matrix_of(*yaw(0.3))
+    turns = [now]
+    for i in range(1, n):
+        w = (omega[i - 1] + omega[i]) / 2 * (ts[i] - ts[i - 1])
+        a = np.linalg.norm(w)
+        turn = matrix_of(*(w / a * math.sin(a / 2)), math.cos(a / 2))
+        now = now @ turn if frame == "body" else turn @ now
+        turns.append(now)
+    world = np.array([m @ x for m, x in zip(turns, vel)]) if turned else vel
+    way = 2.0 + np.vstack([np.zeros(3), np.cumsum((world[1:] + world[:-1]) / 2 * np.diff(ts)[:, None], axis=0)])
+    for block in (4, 65536):
+        got = rows(tr.dead_reckon_trajectory(df, body_frame_velocity=turned, angular_velocity_frame=frame, block=block))
+        alone, got = got[0], got[1:]
+        assert alone.position == [7, 8, 9] and alone.linear_acceleration == [None] * 3 and [r.extra for r in got] == list(range(0, 2 * n, 2))
+        np.testing.assert_allclose([matrix_of(*r.orientation) for r in got], turns, atol=1e-9)
+        np.testing.assert_allclose([r.position for r in got], way, atol=1e-9)
+        np.testing.assert_allclose([r.linear_acceleration for r in got], np.gradient(world, ts, axis=0), atol=1e-8)
+    assert tr.dead_reckon_trajectory(df.limit(0)).count() == 0
+
+
 def test_interpolation_and_smoothing(spark):
     df = path(spark, [0, 1], [[0, 0, 10], [10, 20, 20]], [(0, 0, 0, 1), (0, 0, 1, 0)])
     times = spark.createDataFrame([("t", 0.5, 0), ("t", -1.0, 1), ("t", 9.0, 2)], "topic string, ts double, seq long")
