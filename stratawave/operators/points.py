@@ -133,46 +133,74 @@ def hybrid_search(points: DataFrame, queries: DataFrame, radius: float, max_neig
     return nearest_first(radius_pairs(points, queries, radius, by), by, max_neighbors)
 
 
+#: Levels of cells below a cloud's box, each half as wide as the one above; points of a cell, as a multiple of k, beyond which it is divided further.
+LEVELS, CROWD = 32, 4
+
+
 def knn_search(points: DataFrame, queries: DataFrame, k: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(keys, qid, pid, distance, rank) of the k nearest points of each query, fewer where a cloud has fewer; ties to the smaller pid.
 
-    Exact by growing cells: a round looks into the 27 cells around a query, sized so that
-    a cell holds about k points; a query is settled when its k-th point lies within one
-    cell's width, or when all of its cloud was seen. The others go on with cells twice as
-    wide, until a cell spans the clouds. Each round is a shuffle of what is left.
+    Exact in two steps whose cells follow the local density. Every cloud's box is halved
+    LEVELS times; of the cells around a query, the smallest with more than CROWD · k points
+    gives a bound of its k-th distance. The cells of the level that is just as wide as this
+    bound then hold all its neighbours, in 27 cells. So a query meets a multiple of k
+    points where the density changes smoothly, in a dense cloud as in a wide one. Of points
+    at one place the k with the smallest pid count. A query far outside a cloud meets all
+    of it.
     """
     if k < 1:
         raise ValueError("k is at least 1")
-    by = list(by)
+    by, cell = list(by), ["cx", "cy", "cz"]
     p = points.filter(v.is_finite(*XYZ)).select(*by, "pid", *XYZ)
     q = queries.filter(v.is_finite(*XYZ)).select(*by, F.col("pid").alias("qid"), *XYZ)
-    edge = lambda f: F.greatest(*(f(c) for c in XYZ))
-    spread = F.struct(F.count(F.lit(1)).alias("n"), edge(lambda c: F.max(c) - F.min(c)).alias("extent"))
-    sizes = p.groupBy(*by).agg(spread["n"].alias("n"), spread["extent"].alias("extent"))
-    ends = p.select(*XYZ).unionByName(q.select(*XYZ)).agg(edge(lambda c: F.max(c) - F.min(c)).alias("whole")).first()
-    whole = float(ends.whole or 0.0)
-    typical = sizes.agg(F.max(F.col("extent") / F.pow(F.col("n") / k, 1 / 3)).alias("cell")).first()
-    cell = float(typical.cell or 0.0) or max(whole, 1.0)
-    left, done = q, None
-    while True:
-        a = left.withColumn("cell", F.explode(cells_around(cell))).alias("a")
-        b = p.withColumn("cell", F.struct(*(F.floor(F.col(c) / F.lit(cell)).alias(f"c{c}") for c in XYZ))).alias("b")
-        pairs = a.join(b, same("a", "b", by) & (F.col("a.cell") == F.col("b.cell"))).select(*(F.col(f"a.`{c}`") for c in by), "a.qid", "b.pid", F.sqrt(squared("a", "b")).alias("distance"))
-        near = nearest_first(pairs, by, k)
-        if cell > whole:
-            settled = near
-        else:
-            last = near.groupBy(*by, "qid").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("farthest")).alias("l")
-            n = sizes.alias("n")
-            full = last.join(n, same("l", "n", by)).filter((F.col("farthest") <= cell) & (F.col("found") >= F.least(F.lit(k), F.col("n.n")))).select(*(F.col(f"l.`{c}`") for c in by), "l.qid")
-            full = cut(full)
-            settled = near.alias("r").join(full.alias("f"), same("r", "f", [*by, "qid"]), "left_semi")
-            left = cut(left.alias("r").join(full.alias("f"), same("r", "f", [*by, "qid"]), "left_anti"))
-        settled = cut(settled)
-        done = settled if done is None else done.unionByName(settled)
-        if cell > whole or not left.take(1):
-            return done
-        cell *= 2
+    p = p.withColumn("rank", F.row_number().over(Window.partitionBy(*by, *XYZ).orderBy("pid"))).filter(F.col("rank") <= k).drop("rank")
+    wide = F.greatest(*(F.max(c) - F.min(c) for c in XYZ))
+    boxes = cut(p.groupBy(*by).agg(F.when(wide > 0, wide).otherwise(1.0).alias("extent"), *(F.min(c).alias(f"low_{c}") for c in XYZ)))
+    finest = lambda c: F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), (F.col(c) - F.col(f"low_{c}")) / F.col("extent") * F.lit(float(1 << LEVELS))))).cast("long")
+    inside = lambda x: F.greatest(F.lit(0).cast("long"), F.least(F.lit((1 << LEVELS) - 1).cast("long"), x))
+
+    def placed(df: DataFrame) -> DataFrame:
+        a, b = df.alias("a"), boxes.alias("b")
+        return a.join(b, same("a", "b", by)).select("a.*", "b.extent", *(f"b.low_{c}" for c in XYZ)).withColumns({f"c{c}": finest(c) for c in XYZ})
+
+    def shifted(c: str, level: Column) -> Column:
+        # a shift by the level's number, which is negative above the box
+        return F.floor(F.col(c) / F.pow(F.lit(2.0), LEVELS - level)).cast("long")
+
+    located = placed(p).withColumns({c: inside(F.col(c)) for c in cell})
+    asked = placed(q)
+    crowded = located.groupBy(*by, *cell).agg(F.count(F.lit(1)).alias("n"))
+    halves = lambda df: df.withColumn("level", F.explode(F.array(*map(F.lit, range(LEVELS + 1))))).withColumns({c: shifted(c, F.col("level")) for c in cell})
+    crowded = halves(crowded).groupBy(*by, "level", *cell).agg(F.sum("n").alias("n")).filter(F.col("n") > CROWD * k)
+    homes = asked.select(*by, *(inside(F.col(c)).alias(c) for c in cell)).distinct().select("*", F.struct(*cell).alias("home"))
+    h, c = halves(homes).alias("h"), crowded.alias("c")
+    levels = h.join(c, same("h", "c", [*by, "level", *cell])).groupBy(*(F.col(f"h.`{x}`") for x in by), "h.home").agg(F.max("h.level").alias("level"))
+    a, l = asked.withColumn("home", F.struct(*(inside(F.col(x)).alias(x) for x in cell))).alias("a"), levels.alias("l")
+    first = cut(a.join(l, same("a", "l", [*by, "home"]), "left").select("a.*", F.coalesce("l.level", F.lit(0)).alias("level")))
+
+    def met(rows: DataFrame, at: DataFrame) -> DataFrame:
+        """Pairs of queries with the points in the cells they name."""
+        used = [r.level for r in at.select("level").distinct().collect()]  # at most one for each level
+        b = located.withColumn("level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumns({c: shifted(c, F.col("level")) for c in cell}).alias("b")
+        a = rows.alias("a")
+        return a.join(b, same("a", "b", [*by, "level"]) & (F.col("a.ax") == F.col("b.cx")) & (F.col("a.ay") == F.col("b.cy")) & (F.col("a.az") == F.col("b.cz")))
+
+    own = first.withColumns({f"a{x}": shifted(f"home.c{x}", F.col("level")) for x in XYZ})
+    distance = F.sqrt(squared("a", "b"))
+    bound = nearest_first(met(own, first).select(*(F.col(f"a.`{x}`") for x in by), "a.qid", "b.pid", distance.alias("distance")), by, k)
+    bound = bound.groupBy(*by, "qid").agg(F.max("distance").alias("within"), F.count(F.lit(1)).alias("found"))
+    a, d = first.alias("a"), bound.alias("d")
+    reach = F.floor(F.log2(F.col("a.extent") / (F.col("d.within") * (1 + 1e-9)))).cast("int")
+    second = a.join(d, same("a", "d", [*by, "qid"])).select(
+        *(F.col(f"a.`{x}`") for x in (*by, "qid", *XYZ, *cell)), "d.within", F.when(F.col("d.within") == 0, LEVELS).otherwise(F.greatest(F.lit(-1000), F.least(F.lit(LEVELS), F.coalesce(reach, F.lit(-1000))))).alias("level")
+    )
+    second = cut(second)
+    step = F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))
+    around = second
+    for x in XYZ:
+        around = around.withColumn(f"s{x}", F.explode(step)).withColumn(f"a{x}", shifted(f"c{x}", F.col("level")) + F.col(f"s{x}"))
+    pairs = met(around, second).select(*(F.col(f"a.`{x}`") for x in by), "a.qid", "b.pid", distance.alias("distance"), "a.within").filter(F.col("distance") <= F.col("within") * (1 + 1e-9))
+    return nearest_first(pairs.drop("within"), by, k)
 
 
 def neighbours(points: DataFrame, k: int, by: Sequence[str]) -> DataFrame:

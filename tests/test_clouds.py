@@ -167,3 +167,39 @@ def test_metric_scales(spark):
     assert (d.scale, d.offset, d.correspondence_count) == (pytest.approx(3), pytest.approx(0.5), 5)
     got = points.calibrate_depth_anything_point_cloud(cloud(spark, [(1, 1, -2), (1, 1, 2), (1, 1, -9)]), 1.5, 0.0).collect()
     assert [(r.x, r.y, r.z) for r in got] == [(1.5, 1.5, -3.0)]
+
+
+def nearest(cloud_points, queries, k):
+    d = np.linalg.norm(queries[:, None] - cloud_points[None], axis=2)
+    order = np.lexsort((np.broadcast_to(np.arange(len(cloud_points)), d.shape), d), axis=1)[:, :k]
+    return {(i, r): int(j) for i, row in enumerate(order) for r, j in enumerate(row)}
+
+
+def test_neighbours_follow_local_density(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n, k = 1500, 4
+    dense, wide = rng.normal(0, 1e-4, (n, 3)) + 0.5, rng.uniform(-1e5, 1e5, (n, 3))
+    both = np.vstack([dense, wide])
+    frame = lambda a, name: [(name, i, *map(float, x)) for i, x in enumerate(a)]
+    df = spark.createDataFrame(frame(dense, "dense") + frame(wide, "wide") + frame(both, "both"), "topic string, pid long, x double, y double, z double")
+    met, real = [], points.nearest_first
+    monkeypatch.setattr(points, "nearest_first", lambda pairs, by, k: met.append(pairs.count()) or real(pairs, by, k))
+    found = points.knn_search(df, df, k, by=["topic"])
+    for name, cloud in (("dense", dense), ("wide", wide), ("both", both)):
+        assert {(r.qid, r.rank): r.pid for r in found.filter(F.col("topic") == name).collect()} == nearest(cloud, cloud, k)
+    assert sum(met) < 100 * k * 4 * n  # all pairs are 1.35e7
+
+
+def test_neighbours_of_odd_clouds(spark):
+    rng = np.random.default_rng(12)
+    same = np.vstack([np.full((200, 3), 7.0), [[8, 7, 7]], rng.normal(0, 1, (50, 3))])
+    line = np.column_stack([np.arange(300.0), np.zeros(300), np.zeros(300)])
+    far = np.vstack([rng.uniform(-1e3, 1e3, (20, 3)), [[1e12, 0, 0], [0, -1e300, 0], [7, 7, 7]], same[-3:]])
+    for cloud in (same, line, same[:1], same[:3]):
+        df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(cloud)], "pid long, x double, y double, z double")
+        asked = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(far)], df.schema)
+        got = {(r.qid, r.rank): r.pid for r in points.knn_search(df, asked, 3).collect()}
+        want = nearest(cloud, far, 3)
+        told = {q for q, _ in want if not np.isinf(np.linalg.norm(far[q]))}
+        assert {x: y for x, y in got.items() if x[0] in told} == {x: y for x, y in want.items() if x[0] in told} and len(got) == len(want)
+    assert points.knn_search(df.limit(0), df, 2).count() == 0 and points.knn_search(df, df.limit(0), 2).count() == 0
