@@ -51,7 +51,7 @@ from stratawave.operators.trajectory import (  # noqa: F401
 from stratawave.operators.windows import differentiate_timeseries, integrate_timeseries, iter_ml_windows, smooth_timeseries, trajectory_speed, window_topic  # noqa: F401
 from stratawave.schema import topic_metadata  # noqa: F401
 from stratawave.sources.export import from_open3d_point_cloud, load_topic_npz, save_topic_npz, to_open3d_point_cloud, write_html  # noqa: F401
-from stratawave.sources.messages import decode_depth_anything_calibration, decode_pointcloud2, decode_pose_stamped, decode_rosbridge_json_message, decode_supported_cdr_message, pointcloud_xyz  # noqa: F401
+from stratawave.sources.messages import decode_depth_anything_calibration, decode_image, decode_imu, decode_navsatfix, decode_odometry, decode_pointcloud2, decode_pose_stamped, decode_rosbridge_json_message, decode_supported_cdr_message, pointcloud_xyz  # noqa: F401
 from stratawave.sources.sources import data_source, synthetic  # noqa: F401
 from stratawave.sources.store import DataBuffer, Store  # noqa: F401
 from stratawave.streaming.source import CancellationToken, PipelineCancelled, PipelineProgress, SourcePipeline, source_pipeline  # noqa: F401

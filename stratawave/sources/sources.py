@@ -5,7 +5,6 @@ from __future__ import annotations
 import glob
 import os
 import re
-import sqlite3
 import struct
 from collections.abc import Iterator, Sequence
 from pathlib import Path
@@ -19,21 +18,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from stratawave.functions import geodesy
 from stratawave.schema import normalize_messages
 from stratawave.session import importable
+from stratawave.sources import containers
 from stratawave.sources.messages import decode_supported_cdr_message
 from stratawave.sources.png import decode_image
 
-RECORDED = "topic string, chunk int, row long, ts double, name string, frame_id string, source_uri string, dtype string, shape array<int>, data array<double>, extra map<string,string>"
-IMAGES = (".png", ".pgm", ".ppm")
+RECORDED = "topic string, chunk int, row long, ts double, name string, frame_id string, source_uri string, dtype string, shape array<int>, data array<double>, extra map<string,string>, error string"
+IMAGES, RECORDINGS = (".png", ".pgm", ".ppm"), (".db3", ".mcap", ".bag")
 
 
 def is_rosbag2_dir(path: str) -> bool:
-    """True for a folder with metadata.yaml or any .db3 or .mcap file."""
+    """True for a folder with metadata.yaml or any file of a recording."""
     p = Path(path)
-    return p.is_dir() and ((p / "metadata.yaml").exists() or any(f.suffix in (".db3", ".mcap") for f in p.iterdir()))
+    return p.is_dir() and ((p / "metadata.yaml").exists() or any(f.suffix in RECORDINGS for f in p.iterdir()))
 
 
 def chunk_paths(path: str) -> list[str]:
-    """The recording's sqlite files in order: those that metadata.yaml lists and that exist, else all of the folder.
+    """The recording's files in order: those that metadata.yaml lists and that exist, else all of the folder.
 
     A single file that a metadata.yaml beside it does not list is that file alone.
     """
@@ -47,7 +47,7 @@ def chunk_paths(path: str) -> list[str]:
         listed = [f for f in listed if os.path.exists(f)]
     if p.is_file():
         return listed if str(p) in listed else [str(p)]
-    return listed or sorted(str(f) for f in p.iterdir() if f.suffix == ".db3")
+    return listed or sorted(str(f) for f in p.iterdir() if f.suffix in RECORDINGS)
 
 
 class Chunk(InputPartition):
@@ -55,35 +55,30 @@ class Chunk(InputPartition):
         self.path, self.chunk, self.first, self.last = path, chunk, first, last
 
 
-class SqliteReader(DataSourceReader):
-    """One partition for each file and range of message ids, so that a large file is read by many tasks."""
+class RecordingReader(DataSourceReader):
+    """One partition for each part of a file, so that a large file is read by many tasks."""
 
     def __init__(self, options):
         self.path, self.per = options["path"], int(options.get("rowsPerPartition", 100_000))
 
     def partitions(self) -> list[Chunk]:
-        out = []
-        for i, path in enumerate(chunk_paths(self.path)):
-            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                low, high = db.execute("SELECT min(id), max(id) FROM messages").fetchone()
-            if low is not None:
-                out += [Chunk(path, i, a, min(a + self.per - 1, high)) for a in range(low, high + 1, self.per)]
-        return out
+        return [Chunk(path, i, a, b) for i, path in enumerate(chunk_paths(self.path)) for a, b in containers.parts(path, self.per)]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
-        with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
-            rows = db.execute("SELECT m.id, m.timestamp, t.name, t.type, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE m.id BETWEEN ? AND ? ORDER BY m.timestamp, m.id", (partition.first, partition.last))
-            for number, nanos, topic, kind, raw in rows:
-                try:
-                    m = decode_supported_cdr_message(bytes(raw), str(kind))
-                except (ValueError, struct.error, KeyError):
-                    continue  # a payload that cannot be decoded does not spoil the recording
-                if m is not None:
-                    yield topic, partition.chunk, number, m["timestamp"] or nanos * 1e-9, m["name"], m["frame_id"], partition.path, "float64", m["shape"], m["data"].tolist(), m["extra"]
+        for number, nanos, topic, kind, raw, cursor in containers.read(partition.path, partition.first, partition.last):
+            try:
+                m, wrong = decode_supported_cdr_message(raw, kind, cursor), "no decoder for this type"
+            except (ValueError, struct.error, KeyError, IndexError, TypeError) as e:
+                m, wrong = None, f"{type(e).__name__}: {e}"
+            at = (partition.chunk, number)
+            if m is None:  # a payload that can't be decoded does not spoil the recording, and is told
+                yield topic, *at, nanos * 1e-9, kind, None, partition.path, None, None, None, None, wrong
+            else:
+                yield topic, *at, m["timestamp"] or nanos * 1e-9, m["name"], m["frame_id"], partition.path, m["dtype"], m["shape"], m["data"].tolist(), m["extra"], None
 
 
-class SqliteRecording(DataSource):
-    """``spark.read.format("stratawave_recording").load(path)``: a .db3 file or a recording's folder."""
+class Recording(DataSource):
+    """``spark.read.format("stratawave_recording").load(path)``: a recording's file or folder; rows that can't be decoded have an ``error``."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,27 +87,34 @@ class SqliteRecording(DataSource):
     def schema(self) -> str:
         return RECORDED
 
-    def reader(self, schema) -> SqliteReader:
-        return SqliteReader(self.options)
+    def reader(self, schema) -> RecordingReader:
+        return RecordingReader(self.options)
+
+
+def recorded(spark: SparkSession, path: str, rows_per_partition: int) -> DataFrame:
+    importable(spark)
+    spark.dataSource.register(Recording)
+    return spark.read.format("stratawave_recording").option("rowsPerPartition", str(rows_per_partition)).load(path)
 
 
 def read_recording(spark: SparkSession, path: str, rows_per_partition: int = 100_000) -> DataFrame:
-    """Messages of a recording with seq by (chunk, time, row) in each topic."""
+    """Messages of a recording with seq by (chunk, time, row) in each topic; those that can't be decoded are counted by :func:`undecoded`."""
     from stratawave.operators.order import positions
 
-    importable(spark)
-    spark.dataSource.register(SqliteRecording)
-    raw = spark.read.format("stratawave_recording").option("rowsPerPartition", str(rows_per_partition)).load(path)
+    raw = recorded(spark, path, rows_per_partition).filter("error IS NULL")
     placed = positions(raw, ["topic"], ["chunk", "ts", "row"], "seq")
     return placed.select("topic", "seq", "ts", "name", "frame_id", "source_uri", "dtype", "shape", "data", "extra")
 
 
+def undecoded(spark: SparkSession, path: str, rows_per_partition: int = 100_000) -> DataFrame:
+    """Messages of a recording that :func:`read_recording` leaves out: topic, type, error, count."""
+    wrong = recorded(spark, path, rows_per_partition).filter("error IS NOT NULL")
+    return wrong.groupBy("topic", F.col("name").alias("type"), "error").agg(F.count(F.lit(1)).alias("count"))
+
+
 def recording_metadata(path: str) -> pd.DataFrame:
     """Topic, type, count, first and last time of a recording, counted inside the files, summed over chunks."""
-    found = []
-    for file in chunk_paths(path):
-        with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as db:
-            found += db.execute("SELECT t.name, t.type, count(m.id), min(m.timestamp) * 1e-9, max(m.timestamp) * 1e-9 FROM topics t LEFT JOIN messages m ON t.id = m.topic_id GROUP BY t.name, t.type").fetchall()
+    found = [row for file in chunk_paths(path) for row in containers.listing(file)]
     frame = pd.DataFrame(found, columns=["topic", "type", "count", "start_time", "end_time"])
     return frame.groupby(["topic", "type"], as_index=False).agg({"count": "sum", "start_time": "min", "end_time": "max"})
 
@@ -255,7 +257,7 @@ def drawn(topic: dict, kind: str, shape: list[int], duration: float, radius: flo
 
 
 def data_source(spark: SparkSession, data_path: str, period: float = 0.1, bounds=None, cache_dir: str | None = None) -> DataFrame:
-    """Messages of any supported source, told by its path: a recording's folder or sqlite file (whatever its suffix), image files, ``DEM``, or stored topics in Parquet."""
+    """Messages of any supported source, told by its path: a recording's folder or file (sqlite, MCAP or bag, whatever its suffix), image files, ``DEM``, or stored topics in Parquet."""
     if data_path == "DEM":
         if cache_dir is None:
             raise ValueError("elevation tiles are read from cache_dir")
@@ -263,14 +265,12 @@ def data_source(spark: SparkSession, data_path: str, period: float = 0.1, bounds
     p = Path(data_path)
     if is_rosbag2_dir(data_path):
         return read_recording(spark, data_path)
-    if p.is_file() and p.read_bytes()[:16] == b"SQLite format 3\0":
+    if p.is_file() and containers.kind_of(data_path):
         return read_recording(spark, data_path)
     if p.suffix.lower() in IMAGES or any(data_path.lower().endswith(s) for s in IMAGES):
         if not glob.glob(data_path):
             raise FileNotFoundError(data_path)
         return read_images(spark, data_path, period)
-    if p.suffix == ".bag":
-        raise ValueError("ROS 1 bags need a decoder that is not part of this package; convert them to a sqlite recording")
     if p.is_dir() and any(p.rglob("*.parquet")):
         return normalize_messages(spark.read.parquet(data_path))
     if not p.exists():

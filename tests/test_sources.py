@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stratawave import cli
 from stratawave.operators import summary
-from stratawave.sources import export, messages, png, sources
+from stratawave.plans import recordings as r
+from stratawave.sources import containers, export, messages, png, sources
 from stratawave.sources.store import DataBuffer, Store, last_rows
 from stratawave.streaming import source as stream
 
@@ -98,11 +99,62 @@ def test_recordings(spark, tmp_path):
     assert dict(zip(meta["topic"], meta["count"])) == {"/pose": 10, "/other": 2}
     (tmp_path / "bag" / "alone.bag").write_bytes((tmp_path / "bag" / "a_0.db3").read_bytes())
     assert sources.data_source(spark, str(tmp_path / "bag" / "alone.bag")).count() == 4
-    for bad, error in (("none.png", FileNotFoundError), ("x.bag", ValueError), ("nothing", FileNotFoundError), ("DEM", ValueError)):
+    for bad, error in (("none.png", FileNotFoundError), ("x.bag", FileNotFoundError), ("nothing", FileNotFoundError), ("DEM", ValueError)):
         with pytest.raises(error):
             sources.data_source(spark, str(tmp_path / bad) if bad != "DEM" else bad)
 
 
+@pytest.mark.parametrize("compression", ["", "zstd", "lz4"])
+@pytest.mark.parametrize("encoding", ["cdr", "ros1"])
+def test_mcap(spark, tmp_path, compression, encoding):
+    e = np.arange(64) / 64
+    rows = [(f"/t{k}", r.KINDS[k], (10 + i) * 10**9, r.encoded(k, 10 + i + 0.5, e + i, encoding == "ros1")) for i in range(6) for k in range(8)]
+    path = str(tmp_path / "a.mcap")
+    r.write_mcap(path, rows, compression, 5, encoding)
+    check_recording(spark, path, e)
+    assert len(containers.parts(path, 100)) == 10
+    whole = open(path, "rb").read()
+    (tmp_path / "cut.mcap").write_bytes(whole[: len(whole) // 2])
+    assert 0 < sources.read_recording(spark, str(tmp_path / "cut.mcap")).count() < 42
+
+
+@pytest.mark.parametrize("compression", ["none", "bz2"])
+def test_bags(spark, tmp_path, compression):
+    e = np.arange(64) / 64
+    rows = [(f"/t{k}", r.KINDS[k], (10 + i) * 10**9, r.encoded(k, 10 + i + 0.5, e + i, True)) for i in range(6) for k in range(8)]
+    path = str(tmp_path / "a.bag")
+    r.write_bag(path, rows, compression, 5)
+    check_recording(spark, path, e)
+    whole = open(path, "rb").read()
+    (tmp_path / "cut.bag").write_bytes(whole[: len(whole) // 2])
+    assert 0 < sources.read_recording(spark, str(tmp_path / "cut.bag")).count() < 42
+    loose = b"#ROSBAG V2.0\n" + r.bag_part(r.bag_head(op=b"\7", conn=b"\0\0\0\0", topic=b"/p"), r.bag_head(type=b"geometry_msgs/Pose")[4:])
+    loose += b"".join(r.bag_part(r.bag_head(op=b"\2", conn=b"\0\0\0\0", time=struct.pack("<II", i, 0)), r.encoded(5, 0, e, True)) for i in range(7))
+    (tmp_path / "loose.bag").write_bytes(loose)
+    assert [x.ts for x in sources.read_recording(spark, str(tmp_path / "loose.bag"), 3).orderBy("seq").collect()] == list(range(7)) and len(containers.parts(str(tmp_path / "loose.bag"), 3)) == 3
+
+
+def check_recording(spark, path, e):
+    df = sources.data_source(spark, path)
+    got = {(x.topic, x.seq): x for x in df.collect()}
+    assert len(got) == 42 and {x.ts for x in got.values() if x.topic != "/t5"} == {10.5 + i for i in range(6)} and got["/t5", 2].ts == 12.0
+    assert got["/t2", 1].data == [1, 1 + 1 / 64, 1 + 2 / 64] and got["/t6", 0].shape == [21, 3] and got["/t0", 0].frame_id == "base"
+    assert np.allclose(np.reshape(got["/t1", 0].data, (8, 4))[:, 0], e[::4][:8]) and got["/t1", 0].extra == {"child_frame_id": "wheels"}
+    assert got["/t3", 0].dtype == "uint8" and got["/t3", 0].shape == [8, 8] and got["/t3", 0].data == np.floor((e + 1) * 100).tolist()
+    assert [(x.topic, x["count"]) for x in sources.undecoded(spark, path).collect()] == [("/t7", 6)]
+    meta = sources.recording_metadata(path)
+    assert set(meta["count"]) == {6} and len(meta) == 8 and set(meta["start_time"]) == {10.0}
+
+
+def test_json_of_sensors():
+    imu = messages.decode_supported_cdr_message(b'{"angular_velocity": {"x": 2}, "linear_acceleration": {"z": 9}}', "sensor_msgs/msg/Imu")
+    assert imu["shape"] == [6, 4] and imu["data"].reshape(6, 4)[[0, 2, 4]].tolist() == [[0, 0, 0, 1], [2, 0, 0, 0], [0, 0, 9, 0]]
+    odom = messages.decode_supported_cdr_message(b'{"pose": {"pose": {"position": {"x": 1}}}, "twist": {"twist": {"linear": {"y": 3}}}, "child_frame_id": "b"}', "nav_msgs/msg/Odometry")
+    assert odom["data"].reshape(8, 4)[[0, 2, 4]].tolist() == [[1, 0, 0, 0], [0, 0, 0, 1], [0, 3, 0, 0]] and odom["extra"]["child_frame_id"] == "b"
+    image = json.dumps({"encoding": "mono8", "height": 1, "width": 2, "step": 2, "data": base64.b64encode(b"ab").decode()}).encode()
+    assert messages.decode_supported_cdr_message(image, "sensor_msgs/msg/Image")["data"].tolist() == [97, 98]
+
+
 def test_images_and_tiles(spark, tmp_path):
     rng = np.random.default_rng(1)
     pictures = {f"f_{i}.png": rng.integers(0, 255, (4, 5) if i % 2 else (4, 5, 3)) for i in (1, 2, 10)}
