@@ -187,7 +187,7 @@ def footer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "rows": pd.array([rows(p) for p in batch["path"]], "Int64")})
 
 
-def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: int = TARGET_BYTES, by_folder: bool = False) -> DataFrame:
     """Copy the blocks of all Parquet files below ``source`` into files of about ``target_bytes`` below ``out_dir``.
 
     No page is decoded: column blocks are copied byte by byte, offsets move, and one
@@ -201,21 +201,28 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
     against the listing, rows against the footers of all files not refused.
 
     Files are spread over outputs by the hash of their path, so no task sees more than
-    about ``target_bytes`` of blocks and nothing is sorted or collected.
+    about ``target_bytes`` of blocks and nothing is sorted or collected. With ``by_folder``
+    each folder below ``source`` has its own outputs, in a folder of the same name.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source).select("path", "length")
-    total = listing.agg(F.sum("length")).first()[0] or 0
-    bins = max(1, -(-total // target_bytes))
+    root = spark._jvm.org.apache.hadoop.fs.Path(source)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    folder = F.regexp_replace(F.substr("path", F.lit(len(base) + 2)), "/?[^/]*$", "") if by_folder else F.lit("")
+    placed = listing.withColumn("folder", folder)
+    bins = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("length") / target_bytes))
+    sizes = placed.groupBy("folder").agg(bins.alias("bins"))
+    tasks = sizes.agg(F.sum("bins")).first()[0] or 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in whole_groups(batches, ["bin"]):
-            for number, part in group.groupby("bin"):
-                if out := list(copy_blocks([(x, x) for x in part["path"]], f"{int(number):06d}", out_dir)):
+        for group in whole_groups(batches, ["folder", "bin"]):
+            for (inner, number), part in group.groupby(["folder", "bin"]):
+                if out := list(copy_blocks([(x, x) for x in part["path"]], f"{int(number):06d}", f"{out_dir}/{inner}".rstrip("/"))):
                     yield pd.DataFrame(out)
 
+    p, z = placed.alias("p"), sizes.alias("z")
     report = (
-        listing.select("path", F.pmod(F.xxhash64("path"), F.lit(bins)).alias("bin"))
-        .repartition(int(bins), "bin").sortWithinPartitions("bin", "path")
+        p.join(z, F.col("p.folder") == F.col("z.folder")).select("p.path", "p.folder", F.pmod(F.xxhash64("p.path"), F.col("z.bins")).alias("bin"))
+        .repartition(int(tasks), "folder", "bin").sortWithinPartitions("folder", "bin", "path")
         .mapInPandas(run, REPORT)
     )
     done = cut(report)

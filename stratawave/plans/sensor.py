@@ -19,7 +19,7 @@ from stratawave.operators import align, image, ml, points, raster, registration,
 from stratawave.operators import order as o
 from stratawave.operators.topic import Dataset, Topic
 from stratawave.schema import spatial_bounds_for_data, topic_metadata
-from stratawave.session import finite, shared_dir, table
+from stratawave.session import cut, finite, removed, shared_dir, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -830,19 +830,101 @@ def filled_store(spark, sf_dir):
     return store
 
 
-@query("SELECT event_type AS topic, count(*) AS count, round(min(value), 6) AS least FROM events WHERE value > 10 GROUP BY 1")
-def stream_to_store(spark, sf_dir):
+def stream_of(spark, sf_dir):
+    """The events as a stream; it reads folders, so the table's one file is told by its name."""
+    stored = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(stored).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(sf_dir)
+    return raw.select(
+        F.col("event_type").alias("topic"), F.lit(0).cast("long").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.format_string("%012d", "event_id").alias("name"), F.lit(None).cast("string").alias("frame_id"),
+        F.lit("events").alias("source_uri"), F.lit("float64").alias("dtype"), F.array(F.lit(1)).alias("shape"), F.array("value").alias("data"),
+    )
+
+
+def streamed(spark, sf_dir, build):
+    """What ``build`` (pipeline, folder) gives from the store or files a stream wrote into a new folder."""
     import uuid
 
     from stratawave.streaming.source import source_pipeline
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stored = table(spark, sf_dir, "events").schema
-    # a stream reads folders: the table's one file is told by its name
-    raw = spark.readStream.schema(stored).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(sf_dir)
-    rows = raw.select(F.col("event_type").alias("topic"), F.lit(0).cast("long").alias("seq"), F.col("event_id").cast("double").alias("ts"), F.col("event_id").cast("string").alias("name"), F.array(F.lit(1)).alias("shape"), F.array("value").alias("data"))
-    source_pipeline(rows).filter(F.get("data", F.lit(0)) > 10).to_buffer(f"{base}/data", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/data").groupBy("topic").agg(F.count(F.lit(1)).alias("count"), r6(F.min(F.get("data", F.lit(0)))).alias("least"))
+    found = cut(build(source_pipeline(stream_of(spark, sf_dir)), base))
+    removed(spark, base)
+    return found
+
+
+BY_TIME = "timed AS (SELECT event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) - 1 AS i, epoch_us(ts) / 1e6 AS ts, event_id, CAST(value AS DOUBLE) AS a FROM events)"
+
+
+@query("SELECT event_type AS topic, count(*) AS count, true AS closed, round(min(value), 6) AS least FROM events WHERE value > 10 GROUP BY 1")
+def stream_to_store(spark, sf_dir):
+    """A stream into a store, and its manifest."""
+    from stratawave.sources.store import Store
+
+    def build(pipe, base):
+        pipe.filter(F.get("data", F.lit(0)) > 10).to_buffer(f"{base}/store", f"{base}/checkpoint")
+        store = Store(spark, f"{base}/store")
+        least = store.messages().groupBy("topic").agg(r6(F.min(F.get("data", F.lit(0)))).alias("least"))
+        return store.manifest().select("topic", "count", "closed").join(least, "topic")
+
+    return streamed(spark, sf_dir, build)
+
+
+@query(f"WITH {BY_TIME} SELECT topic, i AS seq, event_id FROM timed WHERE topic IN ('view', 'click') AND i >= 20 AND i < 900 AND (i - 20) % 3 = 0")
+def stream_index_range(spark, sf_dir):
+    """Positions counted over a stream."""
+
+    def build(pipe, base):
+        chosen = pipe.select_topics("view", "click").index_range(20, 900, 3)
+        chosen.to_parquet(f"{base}/out", f"{base}/checkpoint")
+        rows = spark.read.parquet(f"{base}/out").select("topic", F.col("name").cast("long").alias("event_id"))
+        return o.positions(rows, ["topic"], ["event_id"], "at").drop("at").join(places(spark, sf_dir), ["topic", "event_id"])
+
+    return streamed(spark, sf_dir, build)
+
+
+def places(spark, sf_dir):
+    """The place of each event in its topic by time, from the whole table."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "event_id", "ts")
+    return o.positions(e, ["topic"], ["ts", "event_id"], "seq").select("topic", "event_id", "seq")
+
+
+@query("""WITH e AS (SELECT event_type AS topic, epoch_us(ts) AS us, event_id FROM events), v AS (SELECT * FROM e WHERE topic = 'view'), c AS (SELECT * FROM e WHERE topic = 'click'),
+j AS (SELECT v.event_id AS name, c.event_id AS target, row_number() OVER (PARTITION BY v.event_id ORDER BY abs(c.us / 1e6 - v.us / 1e6), c.us) AS k FROM v JOIN c ON abs(c.us / 1e6 - v.us / 1e6) <= 45) SELECT name, target FROM j WHERE k = 1""")
+def stream_pairs(spark, sf_dir):
+    """The nearest click to each view over a stream, as far as its watermark has closed them."""
+
+    def build(pipe, base):
+        pairs = pipe.nearest_topic_pairs("view", "click", 45.0, "1 minute")
+        pairs.select(F.col("reference_name").cast("long").alias("name"), F.col("target_name").cast("long").alias("target")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{base}/out")
+
+    return streamed(spark, sf_dir, build)
+
+
+@query("SELECT event_type AS topic, CAST(epoch(time_bucket(INTERVAL 1 hour, ts)) AS BIGINT) AS window_start, count(*) AS count FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    """Windows of event time over a stream, in update mode, so that the last ones count."""
+
+    def build(pipe, base):
+        windows = pipe.event_windows("1 hour")
+        write = lambda rows, number: rows.select("topic", F.unix_timestamp("window.start").alias("window_start"), "count", F.lit(number).alias("batch")).write.mode("append").parquet(f"{base}/out")
+        windows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{base}/out").groupBy("topic", "window_start").agg(F.max_by("count", "batch").alias("count"))
+
+    return streamed(spark, sf_dir, build)
+
+
+@query(f"WITH {BY_TIME}, k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY i DESC) AS k FROM timed) SELECT topic, event_id, round(a, 6) AS a FROM k WHERE k <= 4")
+def stream_latest(spark, sf_dir):
+    """Ring buffers over a stream."""
+
+    def build(pipe, base):
+        write = lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+        pipe.latest(4).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        newest = spark.read.parquet(f"{base}/out").groupBy("topic").agg(F.max_by("rows", "batch").alias("rows"))
+        return newest.select("topic", F.explode("rows").alias("r")).select("topic", F.col("r.name").cast("long").alias("event_id"), r6(F.get("r.data", F.lit(0))).alias("a"))
+
+    return streamed(spark, sf_dir, build)
 
 
 @query(f"WITH {IMG} SELECT seq, min(z) AS min_x, max(z) AS max_x FROM px WHERE col = 0 GROUP BY 1")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from stratawave.operators.order import positions, same
 from stratawave.operators.topic import Dataset, Topic
-from stratawave.schema import BOUNDS, normalize_messages, spatial_bounds_for_data, topic_metadata
+from stratawave.schema import BOUNDS, MESSAGE, normalize_messages, spatial_bounds_for_data, topic_metadata
+from stratawave.session import cut
 
-MANIFEST = "topic string, count long, closed boolean, name string, frame_id string, shape array<int>, dtype string, written_at timestamp"
+MANIFEST = "topic string, count long, closed boolean, name string, frame_id string, shape array<int>, dtype string, written_at timestamp, batch string"
 
 
 class Store:
@@ -51,16 +52,49 @@ class Store:
             a, b = df.alias("a"), known.alias("b")
             df = a.join(b, same("a", "b", ["topic"]), "left").select(*((F.col("a.seq") + F.coalesce("b.stored", F.lit(0))).alias("seq") if c == "seq" else F.col(f"a.`{c}`") for c in df.columns))
         a, b = df.alias("a"), known.alias("b")
-        fresh = a.join(b, same("a", "b", ["topic"]), "left").filter(F.col("a.seq") >= F.coalesce("b.stored", F.lit(0)))
+        fresh = a.join(b, same("a", "b", ["topic"]), "left").filter(F.col("a.seq") >= F.coalesce("b.stored", F.lit(0))).select(*(F.col(f"a.`{c}`") for c in df.columns))
+        self.write(fresh, known, None)
+        self.write_manifest(closed)
+
+    def write(self, rows: DataFrame, known: DataFrame, batch: str | None) -> None:
+        """Rows in the model to files by topic, with their boxes; a payload whose shape differs from its topic's is an error."""
+        a, b = rows.alias("a"), known.select("topic", "own_shape").alias("b")
         wrong = F.raise_error(F.lit("a payload's shape differs from its topic's")).cast("array<int>")
         shape = F.when(F.col("b.own_shape").isNotNull() & (F.col("b.own_shape") != F.col("a.shape")), wrong).otherwise(F.col("a.shape"))
-        rows = fresh.select(*(shape.alias("shape") if c == "shape" else F.col(f"a.`{c}`") for c in df.columns))
-        boxed = rows.withColumn("box", spatial_bounds_for_data()).select(*df.columns, *(F.col(f"box.{c}") for c in BOUNDS))
+        held = a.join(b, same("a", "b", ["topic"]), "left").select(*(shape.alias("shape") if c == "shape" else F.col(f"a.`{c}`") for c in rows.columns if c != "batch"))
+        boxed = held.withColumn("box", spatial_bounds_for_data()).select(*held.columns, *(F.col(f"box.{c}") for c in BOUNDS), F.lit(batch).cast("string").alias("batch"))
         (
             boxed.repartition("topic", F.floor(F.col("seq") / 1_000_000)).sortWithinPartitions("topic", "ts", "seq")
             .write.mode("append").option("compression", "zstd").option("parquet.block.size", str(self.row_group_bytes)).partitionBy("topic").parquet(f"{self.path}/data")
         )
-        self.write_manifest(closed)
+
+    def append_batch(self, messages: DataFrame, batch: str) -> None:
+        """Add one batch of a stream, named so that adding it again after a break adds nothing twice.
+
+        Rows come behind those stored, in the order of (ts, name). A batch is complete once
+        the manifest names it; rows of a batch that broke off are found by its name.
+        """
+        manifest = self.manifest()
+        if manifest.filter(F.col("batch") == batch).take(1):
+            return
+        known = manifest.select("topic", F.col("count").alias("stored"), F.col("shape").alias("own_shape"), F.col("frame_id").alias("own_frame"))
+        model = normalize_messages(cut(messages.drop("seq"))).drop(*(c for c in messages.columns if c not in MESSAGE.names))
+        a, b = model.alias("a"), known.alias("b")
+        placed = a.join(b, same("a", "b", ["topic"]), "left").select(*((F.col("a.seq") + F.coalesce("b.stored", F.lit(0))).alias("seq") if c == "seq" else F.col(f"a.`{c}`") for c in model.columns))
+        rows = cut(placed)
+        fresh = rows
+        if self.exists("data"):
+            written = self.stored().filter(F.col("batch") == batch).select("topic", "seq")
+            r, w = rows.alias("r"), written.alias("w")
+            fresh = r.join(w, same("r", "w", ["topic", "seq"]), "left_anti")
+        self.write(fresh, known, batch)
+        new, k = topic_metadata(rows).join(rows.groupBy("topic").agg(F.max_by("name", "seq").alias("name")), "topic").alias("n"), known.alias("k")
+        frame = F.when(F.col("k.topic").isNull() | F.col("k.own_frame").eqNullSafe(F.col("n.frame_id")), F.col("n.frame_id"))
+        out = new.join(k, same("n", "k", ["topic"]), "left").select(
+            "n.topic", (F.col("n.count") + F.coalesce("k.stored", F.lit(0))).alias("count"), F.lit(False).alias("closed"), "n.name", frame.alias("frame_id"),
+            F.coalesce("k.own_shape", "n.shape").alias("shape"), "n.dtype", F.current_timestamp().alias("written_at"), F.lit(batch).alias("batch"),
+        )
+        out.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")  # one row for each topic
 
     def write_manifest(self, closed: bool | None = None, topics: Sequence[str] | None = None) -> None:
         """A new revision for each topic, counted from the stored rows."""
@@ -72,12 +106,15 @@ class Store:
         m, l, b = topic_metadata(data).alias("m"), last.alias("l"), before.alias("b")
         joined = m.join(l, same("m", "l", ["topic"])).join(b, same("m", "b", ["topic"]), "left")
         flag = F.lit(closed) if closed is not None else F.coalesce("b.was", F.lit(False))
-        out = joined.select("m.topic", "m.count", flag.alias("closed"), "l.name", "m.frame_id", "m.shape", "m.dtype", F.current_timestamp().alias("written_at"))
+        out = joined.select("m.topic", "m.count", flag.alias("closed"), "l.name", "m.frame_id", "m.shape", "m.dtype", F.current_timestamp().alias("written_at"), F.lit(None).cast("string").alias("batch"))
         if topics is not None:
             out = out.filter(F.col("topic").isin(*topics))
         out.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")  # one row for each topic
 
     def messages(self) -> DataFrame:
+        return self.stored().drop("batch")
+
+    def stored(self) -> DataFrame:
         if not self.exists("data"):
             raise FileNotFoundError(f"{self.path}/data")
         return self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data").withColumn("topic", F.col("topic").cast("string"))
@@ -111,25 +148,29 @@ class Store:
     def compact(self, target_bytes: int = 256 << 20) -> DataFrame:
         """Few large files for each topic, by copying encoded blocks; the report of the consolidation.
 
-        A file that can't be copied is an error, and the store stays as it was.
+        A file that can't be copied is an error, and the store stays as it was; so it does
+        where the new folder can't be put in place. What is no topic's folder moves along.
         """
         from stratawave.operators.consolidate import consolidate
 
         out, fs_path = f"{self.path}/data-{uuid.uuid4().hex}", self.spark._jvm.org.apache.hadoop.fs.Path
         fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        report = None
-        for status in fs.listStatus(fs_path(f"{self.path}/data")):
-            name = status.getPath().getName()
-            if not name.startswith("topic="):
-                continue
-            part = consolidate(self.spark, status.getPath().toString(), f"{out}/{name}", target_bytes)
-            report = part if report is None else report.unionByName(part)
-        if report is not None and (refused := report.filter("refused IS NOT NULL").first()):
+        report = consolidate(self.spark, f"{self.path}/data", out, target_bytes, by_folder=True)
+        if refused := report.filter("refused IS NOT NULL").first():
             fs.delete(fs_path(out), True)
             raise ValueError(f"{refused.file} can't be copied: {refused.refused}")
+        if not fs.exists(fs_path(out)):
+            return report
+        for status in fs.listStatus(fs_path(f"{self.path}/data")):
+            name = status.getPath().getName()
+            if not name.startswith("topic=") and not name.endswith(".parquet") and not name.startswith(("_", ".")):
+                fs.rename(status.getPath(), fs_path(f"{out}/{name}"))
         old = fs_path(f"{self.path}/old-{uuid.uuid4().hex}")
-        fs.rename(fs_path(f"{self.path}/data"), old)
-        fs.rename(fs_path(out), fs_path(f"{self.path}/data"))
+        if not fs.rename(fs_path(f"{self.path}/data"), old):
+            raise OSError(f"{self.path}/data can't be moved aside")
+        if not fs.rename(fs_path(out), fs_path(f"{self.path}/data")):
+            fs.rename(old, fs_path(f"{self.path}/data"))
+            raise OSError(f"{out} can't be put in place")
         fs.delete(old, True)
         return report
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,20 +73,26 @@ def watch(query, token=None, progress: Callable[[PipelineProgress], None] | None
         progress(PipelineProgress(query))
 
 
-COUNTED = "topic string, position long, ts double, name string, frame_id string, source_uri string, dtype string, shape array<int>, data array<double>"
+def counted(start: int, stop: int | None, step: int, columns: list[str]):
+    """Numbers the rows of each topic as they arrive, over all batches, and keeps some.
 
-
-def counted(keep: Callable[[int], bool], columns: list[str]):
-    """Numbers the rows of each topic as they arrive, over all batches, and keeps some."""
+    A topic's rows of one batch reach a task in pieces that are in no order, so they are
+    held until all are there; the stream's limit for a batch bounds them. Behind the last
+    position that is asked for, rows are only counted.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (at,) = state.get if state.exists else (0,)
-        for frame in frames:
-            frame = frame.sort_values(["ts", "name"], kind="stable")
-            chosen = [keep(at + i) for i in range(len(frame))]
-            at += len(frame)
-            yield frame.loc[chosen, columns]
-        state.update((at,))
+        if stop is not None and at >= stop:
+            state.update((at + sum(len(f) for f in frames),))
+            return
+        whole = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "name"], kind="stable")
+        place = at + np.arange(len(whole))
+        chosen = (place >= start) & ((place - start) % step == 0)
+        if stop is not None:
+            chosen &= place < stop
+        state.update((at + len(whole),))
+        yield whole.loc[chosen, columns]
 
     return run
 
@@ -105,8 +113,7 @@ class SourcePipeline(Dataset):
         start, step = start or 0, 1 if step is None else step
         if start < 0 or (stop is not None and stop < 0) or step < 1:
             raise ValueError("a range has start >= 0, stop >= 0 and step >= 1")
-        keep = lambda i: i >= start and (stop is None or i < stop) and (i - start) % step == 0
-        out = self.df.groupBy("topic").applyInPandasWithState(counted(keep, self.df.columns), self.df.schema, "at long", "append", GroupStateTimeout.NoTimeout)
+        out = self.df.groupBy("topic").applyInPandasWithState(counted(start, stop, step, self.df.columns), self.df.schema, "at long", "append", GroupStateTimeout.NoTimeout)
         return self.with_df(out)
 
     def nearest_topic_pairs(self, reference_topic: str, target_topic: str, tolerance: float, watermark: str = "10 minutes") -> DataFrame:
@@ -133,18 +140,33 @@ class SourcePipeline(Dataset):
         best = F.min_by(F.struct("target_ts", "target_seq", "target_name", "target_data"), rank).alias("target")
         return pairs.filter(F.abs(F.col("target_ts") - F.col("reference_ts")) <= tolerance).groupBy(F.window("reference_time", "1 second"), "reference_seq", "reference_ts", "reference_name").agg(best, F.first("reference_data").alias("reference_data")).select("reference_seq", "reference_ts", "reference_name", "reference_data", "target.*")
 
-    def to_buffer(self, data_uri: str, checkpoint: str, token=None, progress=None, available_now: bool = True, partition: bool = True):
-        """Write the stream to Parquet by topic, resumable from ``checkpoint``: each row of the source is stored once however often the pipeline breaks and starts again.
+    def to_buffer(self, data_uri: str, checkpoint: str | None = None, token=None, progress=None, available_now: bool = True):
+        """Write the messages to a :class:`Store`, a stream batch by batch and resumable from ``checkpoint``.
 
-        A cancelled pipeline raises PipelineCancelled and leaves the store open.
+        Each row of the source is stored once however often the pipeline breaks and starts
+        again. When a stream has come to its end the store is closed; a cancelled pipeline
+        raises PipelineCancelled and leaves it open. The store of a batch pipeline, the query
+        of a stream.
         """
-        if not self.df.isStreaming:
-            from stratawave.sources.store import Store
+        from stratawave.sources.store import Store
 
-            store = Store(self.df.sparkSession, data_uri)
+        store = Store(self.df.sparkSession, data_uri)
+        if not self.df.isStreaming:
             store.append(self.df, closed=True)
             return store
-        writer = self.df.writeStream.format("parquet").option("path", data_uri).option("checkpointLocation", checkpoint).outputMode("append")
+        if not checkpoint:
+            raise ValueError("a stream needs a checkpoint")
+        name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        writer = self.df.writeStream.foreachBatch(lambda rows, number: store.append_batch(rows, f"{name}-{number}")).option("checkpointLocation", checkpoint)
+        query = (writer.trigger(availableNow=True) if available_now else writer).start()
+        watch(query, token, progress)
+        if available_now and store.exists("data"):
+            store.write_manifest(True)
+        return query
+
+    def to_parquet(self, path: str, checkpoint: str, token=None, progress=None, available_now: bool = True, partition: bool = True):
+        """Write a stream to plain Parquet files, by topic, resumable from ``checkpoint``."""
+        writer = self.df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
         writer = writer.partitionBy("topic") if partition else writer
         query = (writer.trigger(availableNow=True) if available_now else writer).start()
         watch(query, token, progress)

@@ -1,5 +1,6 @@
 import base64
 import json
+import shutil
 import sqlite3
 import struct
 
@@ -298,7 +299,9 @@ def test_streams_equal_batches_and_resume(spark, tmp_path):
     pipe = stream.source_pipeline(streamed(spark, tmp_path / "in"))
     chosen = pipe.select_topics("a").filter(F.get("data", F.lit(0)) != 2).index_range(1, 9, 2)
     chosen.to_buffer(str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = sorted(r.name for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    stored = Store(spark, str(tmp_path / "out"))
+    got = sorted(r.name for r in stored.messages().collect())
+    assert [(r.topic, r["count"], r.closed) for r in stored.manifest().collect()] == [("a", 4, True)]
     batch = stream.source_pipeline(spark.read.parquet(str(tmp_path / "in"))).select_topics("a").filter(F.get("data", F.lit(0)) != 2).index_range(1, 9, 2)
     assert got == sorted(r.name for r in batch.df.collect()) and len(got) == 4
     seen = []
@@ -307,7 +310,36 @@ def test_streams_equal_batches_and_resume(spark, tmp_path):
     assert seen[-1].processed == 24 and seen[-1].done
     batches(spark, tmp_path / "in", 1)
     stream.source_pipeline(streamed(spark, tmp_path / "in")).to_buffer(str(tmp_path / "all"), str(tmp_path / "cp2"))
-    assert spark.read.parquet(str(tmp_path / "all")).count() == 32
+    whole = Store(spark, str(tmp_path / "all"))
+    assert whole.messages().count() == 32 and whole.messages().select("topic", "seq").distinct().count() == 32 and {r["count"] for r in whole.manifest().collect()} == {16}
+    # a batch that is added again, whole or after a break, adds nothing
+    broken = Store(spark, str(tmp_path / "broken"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    broken.append_batch(rows, "x-0")
+    n = broken.messages().count()
+    broken.append_batch(rows, "x-0")
+    assert broken.messages().count() == n
+    shutil.rmtree(tmp_path / "broken" / "manifest")
+    broken.append_batch(rows, "x-0")
+    assert broken.messages().count() == n
+    broken.append_batch(rows, "x-1")
+    assert broken.messages().count() == 2 * n and broken.messages().select("topic", "seq").distinct().count() == 2 * n
+    with pytest.raises(Exception, match="shape"):
+        broken.append_batch(rows.withColumn("shape", F.array(F.lit(9))), "x-2")
+
+
+def test_stream_positions_over_pieces_of_a_batch(spark, tmp_path):
+    rows = [("a", 0, 100.0 - i, str(i), [1], [float(i)]) for i in range(100)]
+    spark.createDataFrame(rows, "topic string, seq long, ts double, name string, shape array<int>, data array<double>").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        for a, b, c, want in ((0, 5, 1, [1, 2, 3, 4, 5]), (95, None, 2, [96, 98, 100])):
+            pipe = stream.source_pipeline(streamed(spark, tmp_path / "in")).index_range(a, b, c)
+            pipe.to_parquet(str(tmp_path / f"out{a}"), str(tmp_path / f"cp{a}"), partition=False)
+            assert sorted(r.ts for r in spark.read.parquet(str(tmp_path / f"out{a}")).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_cancel(spark, tmp_path):
@@ -317,7 +349,7 @@ def test_cancel(spark, tmp_path):
     with pytest.raises(stream.PipelineCancelled):
         stream.source_pipeline(streamed(spark, tmp_path / "in")).to_buffer(str(tmp_path / "out"), str(tmp_path / "cp"), token=token, available_now=False)
     stream.source_pipeline(streamed(spark, tmp_path / "in")).to_buffer(str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 24
+    assert Store(spark, str(tmp_path / "out")).messages().count() == 24
     assert stream.is_cancelled(lambda: True) and not stream.is_cancelled(None)
 
 
