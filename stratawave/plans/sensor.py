@@ -889,14 +889,16 @@ def places(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_type AS topic, epoch_us(ts) AS us, event_id FROM events), v AS (SELECT * FROM e WHERE topic = 'view'), c AS (SELECT * FROM e WHERE topic = 'click'),
-j AS (SELECT v.event_id AS name, c.event_id AS target, row_number() OVER (PARTITION BY v.event_id ORDER BY abs(c.us / 1e6 - v.us / 1e6), c.us) AS k FROM v JOIN c ON abs(c.us / 1e6 - v.us / 1e6) <= 45) SELECT name, target FROM j WHERE k = 1""")
+last AS (SELECT least((SELECT max(us) FROM v), (SELECT max(us) FROM c)) / 1e6 - 600 AS closed),
+j AS (SELECT v.event_id AS name, c.event_id AS target, row_number() OVER (PARTITION BY v.event_id ORDER BY abs(c.us / 1e6 - v.us / 1e6), c.us) AS k FROM v JOIN last ON v.us / 1e6 <= closed JOIN c ON abs(c.us / 1e6 - v.us / 1e6) <= 45) SELECT name, target FROM j WHERE k = 1""")
 def stream_pairs(spark, sf_dir):
-    """The nearest click to each view over a stream, as far as its watermark has closed them."""
+    """The nearest click to each view over a stream; views of the last ten minutes, which its watermark may leave open, are left out."""
 
     def build(pipe, base):
         pairs = pipe.nearest_topic_pairs("view", "click", 45.0, "1 minute")
-        pairs.select(F.col("reference_name").cast("long").alias("name"), F.col("target_name").cast("long").alias("target")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.parquet(f"{base}/out")
+        pairs.select(F.col("reference_name").cast("long").alias("name"), F.col("target_name").cast("long").alias("target"), "reference_ts").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        ends = table(spark, sf_dir, "events").filter("event_type IN ('view', 'click')").groupBy("event_type").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("last")).agg((F.min("last") - 600).alias("closed"))
+        return spark.read.parquet(f"{base}/out").crossJoin(F.broadcast(ends)).filter(F.col("reference_ts") <= F.col("closed")).select("name", "target")  # ends is one row
 
     return streamed(spark, sf_dir, build)
 
