@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratawave.functions import camera, geodesy, masks, transforms
 from stratawave.functions import quaternion as q
 from stratawave.functions import vectors as v
-from stratawave.operators import align, image, ml, points, raster, registration, summary, trajectory, windows
+from stratawave.operators import align, image, ml, points, raster, summary, trajectory, windows
 from stratawave.operators import order as o
 from stratawave.operators.topic import Dataset, Topic
 from stratawave.schema import spatial_bounds_for_data, topic_metadata
@@ -583,31 +583,6 @@ def depth_anything(spark, sf_dir):
     return points.calibrate_depth_anything_point_cloud(cloud(spark, sf_dir), 2.0, 0.1, 0.1, 0.4).select("pid", r6("x", 5).alias("x"), r6("z").alias("z"))
 
 
-@query()
-def normals_and_shape(spark, sf_dir):
-    c = cloud(spark, sf_dir)
-    return points.curvature_descriptors(c, 8).join(points.estimate_normals(c, 8, (0.0, 0.0, 10.0)), "pid")
-
-
-@query()
-def ground_plane(spark, sf_dir):
-    flatter = cloud(spark, sf_dir).withColumn("z", F.col("z") * 0.01)
-    marked, plane = points.segment_ground(flatter, 0.002)
-    return marked.groupBy("is_ground").agg(F.count(F.lit(1)).alias("points"))
-
-
-@query()
-def farthest_points(spark, sf_dir):
-    return points.farthest_point_downsample(cloud(spark, sf_dir), 20, by=["label"]).select("label", "pid", "rank")
-
-
-@query()
-def icp(spark, sf_dir):
-    c = cloud(spark, sf_dir)
-    turned = c.withColumns({"x": F.col("x") * math.cos(0.1) - F.col("y") * math.sin(0.1) + 0.02, "y": F.col("x") * math.sin(0.1) + F.col("y") * math.cos(0.1)})
-    return registration.point_to_point_icp(c, turned, by=["label"]).select("label", "fitness", "inlier_rmse", "iterations", "converged")
-
-
 # ---- elevation rasters
 
 DEM = "dem AS (SELECT CAST(p_partkey // 50 AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, CAST(p_retailprice AS DOUBLE) + p_size * 3.0 AS z FROM part), h AS (SELECT max(row) AS rr, max(col) AS cc FROM dem)"
@@ -771,20 +746,6 @@ def depth_points(spark, sf_dir):
     return image.depth_to_points(p, 10.0, 12.0, 3.5, 3.5).select("seq", "row", "col", *(r6(c).alias(c) for c in "xyz"))
 
 
-@query()
-def optical_flow(spark, sf_dir):
-    return image.frame_to_frame_optical_flow(by_topic(spark, sf_dir), block_size=4).select("topic", "seq", "flow")
-
-
-@query()
-def aligned_frames(spark, sf_dir):
-    return image.align_images(by_topic(spark, sf_dir)).select("topic", "seq", "shift")
-
-
-def by_topic(spark, sf_dir):
-    return o.positions(pictures(spark, sf_dir).drop("seq"), ["topic"], ["ts"], "seq")
-
-
 # ---- training samples
 
 @query("""WITH u AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1), n AS (SELECT user_id, row_number() OVER (ORDER BY first) - 1 AS i, count(*) OVER () AS n FROM u),
@@ -1162,13 +1123,6 @@ def translate_image(spark, sf_dir):
     return plane(image.translate_image(pictures(spark, sf_dir), (2, 0)))
 
 
-@query(f"WITH {IMG}, p AS (SELECT seq, row, col, (col - 3.5) * (z + 1) / 10 AS x, (row - 3.5) * (z + 1) / 12 AS y, z + 1 AS z FROM px), n AS (SELECT e.seq, c.row, c.col, e.x - w.x AS ax, e.y - w.y AS ay, e.z - w.z AS az, s.x - o.x AS bx, s.y - o.y AS \"by\", s.z - o.z AS bz, c.x, c.y, c.z FROM p c JOIN p e ON e.seq = c.seq AND e.row = c.row AND e.col = c.col + 1 JOIN p w ON w.seq = c.seq AND w.row = c.row AND w.col = c.col - 1 JOIN p s ON s.seq = c.seq AND s.col = c.col AND s.row = c.row + 1 JOIN p o ON o.seq = c.seq AND o.col = c.col AND o.row = c.row - 1), k AS (SELECT *, ay * bz - az * \"by\" AS nx, az * bx - ax * bz AS ny, ax * \"by\" - ay * bx AS nz FROM n), u AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) * CASE WHEN nx * x + ny * y + nz * z > 0 THEN -1 ELSE 1 END AS s FROM k) SELECT seq, row, col, round(nx / s, 5) AS nx, round(ny / s, 5) AS ny, round(nz / s, 5) AS nz FROM u")
-def depth_normals(spark, sf_dir):
-    p = pictures(spark, sf_dir).withColumn("data", F.transform("data", lambda x: x + 1))
-    n = image.depth_to_normals(p, 10.0, 12.0, 3.5, 3.5).filter(~F.isnan("nz"))
-    return n.select("seq", "row", "col", *(r6(c, 5).alias(c) for c in ("nx", "ny", "nz")))
-
-
 @query(f"WITH {IMG} SELECT seq, row, col, round((col - 3.5) * (z + 1) / 10 + seq, 6) AS x, round(z, 6) AS color FROM px")
 def fused_rgbd(spark, sf_dir):
     p = pictures(spark, sf_dir)
