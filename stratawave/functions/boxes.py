@@ -53,3 +53,10 @@ def crop(box, window: Sequence[float]) -> v.Vector:
 def area(box) -> Column:
     a, b, c, d = v.vector(box, 4)
     return (c - a + 1) * (d - b + 1)
+
+
+def clip_boxes(df, box: str, width: float, height: float, remove_empty: bool = True):
+    """A table of boxes (an array column of four) clipped to an image; other columns stay, boxes without an area go."""
+    held = F.array(*clip(box, width, height))
+    out = df.withColumn(box, held)
+    return out.filter((F.get(box, F.lit(2)) > F.get(box, F.lit(0))) & (F.get(box, F.lit(3)) > F.get(box, F.lit(1)))) if remove_empty else out

@@ -144,3 +144,9 @@ def between(x, low, high) -> Column:
     if high is not None:
         out = out & (c <= col(high))
     return out
+
+
+def deviate(seed: int | None, *place) -> Column:
+    """A standard normal deviate from hashes of a place, by the Box-Muller rule: the same place has the same one each time."""
+    unit = lambda k: (F.pmod(F.xxhash64(F.lit(0 if seed is None else int(seed)), F.lit(k), *map(col, place)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.ln(unit(0))) * F.cos(2 * np.pi * unit(1))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from stratawave.functions import geodesy
 from stratawave.functions import vectors as v
-from stratawave.operators.image import array_of
 from stratawave.operators.order import positions, same
 
 
@@ -77,98 +76,105 @@ def split_topic(df: DataFrame, by: str = "time", fractions=(0.7, 0.15, 0.15), na
     return deterministic_split(rows, "row_at", fractions, names, seed, shuffle, group, ["topic"]).drop("row_at")
 
 
-def generator(seed: int | None, topic, seq) -> np.random.Generator:
-    """A generator of its own for each message, from the seed and the message's place."""
-    import zlib
+def place_of(df: DataFrame) -> list[Column]:
+    """What names a message for its noise."""
+    return [F.col(c) for c in ("topic", "seq") if c in df.columns]
 
-    return np.random.default_rng([0 if seed is None else int(seed), zlib.crc32(str(topic).encode()), int(seq)])
 
+def turned(df: DataFrame, flip_horizontal: bool, flip_vertical: bool, rotate_k: int) -> DataFrame:
+    """Frames (data by shape) flipped, then turned by quarters against the clock: each element is looked up where it comes from."""
+    k = rotate_k % 4
+    if not (flip_horizontal or flip_vertical or k):
+        return df
+    h, w = F.get("shape", F.lit(0)), F.get("shape", F.lit(1))
+    channels = F.when(F.size("shape") > 2, F.get("shape", F.lit(2))).otherwise(F.lit(1))
+    rows, columns = (w, h) if k % 2 else (h, w)
 
-def per_message(df: DataFrame, run) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [run(array_of(d, s), t, q) for d, s, t, q in zip(batch["data"], batch["shape"], batch["topic"], batch["seq"])]
-            yield batch.assign(data=[o.ravel() for o in out], shape=[list(o.shape) for o in out])
+    def source(i: Column) -> Column:
+        cell = F.floor(i / channels)
+        r, c = F.floor(cell / columns), cell % columns
+        r, c = {0: (r, c), 1: (c, w - 1 - r), 2: (h - 1 - r, w - 1 - c), 3: (h - 1 - c, r)}[k]
+        r, c = (h - 1 - r if flip_vertical else r), (w - 1 - c if flip_horizontal else c)
+        return ((r * w + c) * channels + i % channels).cast("int")
 
-    return df.mapInPandas(each, df.schema)
-
-
-def turned(im: np.ndarray, flip_horizontal: bool, flip_vertical: bool, rotate_k: int) -> np.ndarray:
-    im = im[::-1] if flip_vertical else im
-    im = im[:, ::-1] if flip_horizontal else im
-    return np.rot90(im, rotate_k % 4, axes=(0, 1))
+    moved = F.when(F.size("data") > 0, F.transform(F.sequence(F.lit(0), F.size("data") - 1), lambda i: F.get("data", source(i)))).otherwise(F.col("data"))
+    # one after the other: a lambda would see the new shape beside it
+    return df.withColumn("data", moved).withColumn("shape", F.concat(F.array(rows, columns), F.slice("shape", 3, F.greatest(F.size("shape") - 2, F.lit(0)))))
 
 
 def augment_image(df: DataFrame, flip_horizontal: bool = False, flip_vertical: bool = False, rotate_k: int = 0, brightness: float = 0.0, contrast: float = 1.0, noise_std: float = 0.0, seed: int | None = None, clip: tuple[float, float] | None = None) -> DataFrame:
     """Flips, quarter turns, contrast, brightness, noise and clipping, in this order; integer images (by dtype) stay in their range and round."""
     from stratawave.operators.image import INTEGERS
 
-    has = "dtype" in df.columns
+    out = turned(df, flip_horizontal, flip_vertical, rotate_k)
+    if contrast == 1 and not brightness and not noise_std:
+        return out
+    hold = lambda x, low, high: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                im = turned(array_of(row.data, row.shape), flip_horizontal, flip_vertical, rotate_k)
-                if contrast != 1 or brightness or noise_std:
-                    im = im * contrast + brightness
-                    if noise_std:
-                        im = im + generator(seed, row.topic, row.seq).normal(0, noise_std, im.shape)
-                    if clip is not None:
-                        im = np.clip(im, *clip)
-                    if has and row.dtype in INTEGERS:
-                        im = np.rint(np.clip(im, *INTEGERS[row.dtype]))
-                out.append(im)
-            yield batch.assign(data=[o.ravel() for o in out], shape=[list(o.shape) for o in out])
+    def value(x: Column, i: Column) -> Column:
+        x = x * float(contrast) + float(brightness)
+        x = x + float(noise_std) * v.deviate(seed, *place_of(df), i) if noise_std else x
+        x = hold(x, *clip) if clip is not None else x
+        if "dtype" in df.columns:
+            for name, ends in INTEGERS.items():
+                x = F.when(F.col("dtype") == name, F.rint(hold(x, *ends))).otherwise(x)
+        return x
 
-    return df.mapInPandas(each, df.schema)
+    return out.withColumn("data", F.transform("data", value))
 
 
 def augment_dem_patch(df: DataFrame, flip_horizontal: bool = False, flip_vertical: bool = False, rotate_k: int = 0, z_scale: float = 1.0, z_offset: float = 0.0, noise_std: float = 0.0, seed: int | None = None) -> DataFrame:
-    def run(z: np.ndarray, topic, seq) -> np.ndarray:
-        z = turned(z, flip_horizontal, flip_vertical, rotate_k) * z_scale + z_offset
-        return z + generator(seed, topic, seq).normal(0, noise_std, z.shape) if noise_std else z
-
-    return per_message(df, run)
+    """Flips and quarter turns, then heights scaled, moved and made noisy."""
+    noise = lambda i: float(noise_std) * v.deviate(seed, *place_of(df), i) if noise_std else F.lit(0.0)
+    return turned(df, flip_horizontal, flip_vertical, rotate_k).withColumn("data", F.transform("data", lambda z, i: z * float(z_scale) + float(z_offset) + noise(i)))
 
 
 def augment_point_cloud(df: DataFrame, scale: float = 1.0, translation=None, rotation=None, jitter_std: float = 0.0, dropout_ratio: float = 0.0, seed: int | None = None) -> DataFrame:
-    """Cloud messages: scale, rotation, translation, jitter and dropout of points, in this order; at least one point stays."""
+    """Cloud messages: scale, rotation, translation, jitter and dropout of points, in this order; at least one point stays.
+
+    One affine map does the first three. A point's jitter and whether it stays come from
+    hashes of the message and the point's number.
+    """
+    from stratawave.operators.image import split_rows
+
     if not 0 <= dropout_ratio < 1:
         raise ValueError("a dropout ratio lies in [0, 1)")
-    turn = None if rotation is None else np.asarray(rotation, float).reshape(3, 3)
-
-    def run(points: np.ndarray, topic, seq) -> np.ndarray:
-        rng, out = generator(seed, topic, seq), points.copy()
-        xyz = out[:, :3] * scale
-        xyz = xyz if turn is None else xyz @ turn.T
-        xyz = xyz if translation is None else xyz + np.asarray(translation, float)
-        out[:, :3] = xyz + rng.normal(0, jitter_std, xyz.shape) if jitter_std else xyz
-        if dropout_ratio and len(out):
-            stays = rng.random(len(out)) >= dropout_ratio
-            stays[rng.integers(len(out))] |= not stays.any()
-            out = out[stays]
-        return out
-
-    return per_message(df, run)
+    linear = scale * (np.eye(3) if rotation is None else np.asarray(rotation, float).reshape(3, 3))
+    affine = np.column_stack([linear, np.zeros(3) if translation is None else np.asarray(translation, float)])
+    width = F.get("shape", F.size("shape") - 1)
+    rows = split_rows(F.col("data"), width, F.when(width > 0, (F.size("data") / width).cast("int")).otherwise(0))
+
+    def moved(point: Column, i: Column) -> Column:
+        xyz = [F.get(point, F.lit(k)) for k in range(3)]
+        new = [v.dot([float(x) for x in row[:3]], xyz) + float(row[3]) for row in affine]
+        new = [x + float(jitter_std) * v.deviate(seed, *place_of(df), i, F.lit(k)) for k, x in enumerate(new)] if jitter_std else new
+        return F.concat(F.array(*new), F.slice(point, 4, F.greatest(F.size(point) - 3, F.lit(0))))
+
+    out = df.withColumn("points", F.transform(rows, moved))
+    if dropout_ratio:
+        chance = F.transform(F.col("points"), lambda p, i: F.struct((F.pmod(F.xxhash64(F.lit(0 if seed is None else int(seed)), F.lit("stays"), *place_of(df), i), F.lit(1 << 40)) / float(1 << 40)).alias("u"), i.alias("i")))
+        out = out.withColumn("chance", chance).withColumn("best", F.array_max("chance")["i"])
+        stays = lambda p, i: (F.get("chance", i)["u"] >= float(dropout_ratio)) | (i == F.col("best"))
+        out = out.withColumn("points", F.filter("points", stays)).drop("chance", "best")
+    counted = F.concat(F.array(F.size("points")), F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0))))
+    return out.withColumn("data", F.flatten("points")).withColumn("shape", counted).select(*df.columns)
 
 
 def augment_trajectory(df: DataFrame, translation: Sequence[float] | None = None, position_noise_std: float = 0.0, seed: int | None = None) -> DataFrame:
     """Positions moved and made noisy; pose, trajectory and navsat (about reference) follow."""
-    shift = [0.0] * 3 if translation is None else [float(x) for x in translation]
-    moved = [x + s for x, s in zip(v.unpack("position", 3), shift)]
-    if position_noise_std:
-        # a normal deviate for each row and axis from hashes of its place, by the Box-Muller rule
-        unit = lambda k: (F.pmod(F.xxhash64(F.lit(0 if seed is None else int(seed)), F.lit(k), *(c for c in ("topic", "seq") if c in df.columns)), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-        moved = [x + position_noise_std * F.sqrt(-2 * F.ln(unit(2 * i))) * F.cos(2 * np.pi * unit(2 * i + 1)) for i, x in enumerate(moved)]
-    out = df.withColumn("position", F.array(*moved))
-    if "orientation" in df.columns:
-        out = out.withColumn("pose", F.concat("position", "orientation"))
-    if "trajectory" in df.columns:
-        out = out.withColumn("trajectory", F.concat("position", F.slice("trajectory", 4, 10)))
-    if "navsat" in df.columns and "reference" in df.columns:
-        out = out.withColumn("navsat", F.array(*geodesy.enu_to_navsat("position", *v.unpack("reference", 3))))
-    return out
+    have = set(df.columns)
+    shift = np.zeros(3) if translation is None else np.asarray(translation, float)
+
+    def place(x: Column, axis: int) -> Column:
+        noise = float(position_noise_std) * v.deviate(seed, *place_of(df), F.lit(axis)) if position_noise_std else F.lit(0.0)
+        return x + float(shift[axis]) + noise
+
+    follow = {
+        "pose": ({"orientation"}, lambda: F.concat("position", "orientation")), "trajectory": ({"trajectory"}, lambda: F.concat("position", F.slice("trajectory", 4, 10))),
+        "navsat": ({"navsat", "reference"}, lambda: F.array(*geodesy.enu_to_navsat("position", *v.unpack("reference", 3)))),
+    }
+    out = df.withColumn("position", F.array(*(place(x, i) for i, x in enumerate(v.unpack("position", 3)))))
+    return out.withColumns({name: made() for name, (needed, made) in follow.items() if needed <= have})
 
 
 def collate(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), pad_value: float = 0.0) -> DataFrame:

@@ -147,11 +147,14 @@ def flag_implausible(message: DataFrame, spec: DataFrame, limit: float = LIMIT,
     of the null topic or source form series of their own.
 
     Series are cut into blocks of ``block_size`` readings, HALO more at each side, so that a hot
-    series spreads over tasks. The charts run once over the data and leave candidates and
+    series spreads over tasks; readings without seq are charted among themselves in the
+    order of their time, hour by hour. The charts run once over the data and leave candidates and
     mergeable histograms of the deviations by topic, from which the spreads come.
     """
     block = F.floor(F.col("seq") / block_size)
-    blocks = F.array_distinct(F.array(F.coalesce(block, F.lit(0).cast("long")), *(F.coalesce(F.greatest(F.lit(0), F.floor((F.col("seq") + d) / block_size)), F.lit(0).cast("long")) for d in (-HALO, HALO))))
+    counted = F.array_distinct(F.array(block, *(F.greatest(F.lit(0), F.floor((F.col("seq") + d) / block_size)) for d in (-HALO, HALO))))
+    hours = -1 - F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1e12), F.col("timestamp"))) / 3600)  # readings without a count
+    blocks = F.when(F.col("seq").isNull(), F.array(hours)).otherwise(counted)
     sorted_blocks = (
         usable(message)
         .select("source_uri", "topic", F.explode(blocks).alias("block"), "seq", "msg_id", "timestamp", "data")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratawave.session import changes, finite, whole_groups
@@ -197,6 +197,11 @@ def labelled(size: int):
     return run
 
 
+def days() -> Column:
+    """The block of a ping without seq: its day, below the blocks of counted pings."""
+    return -1 - F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1e12), F.col("timestamp"))) / 86400)
+
+
 def mark_stops(navsensor: DataFrame, block_size: int = BLOCK, halo: int = HALO) -> DataFrame:
     """Each timed ping once, with what it is part of: stopped is true within a stop.
 
@@ -209,8 +214,10 @@ def mark_stops(navsensor: DataFrame, block_size: int = BLOCK, halo: int = HALO)
     Pings of a drive are taken in the order of seq, the device's own count. Drives are cut
     into blocks of ``block_size`` pings that see ``halo`` more on each side, so no task holds an
     unbounded drive, and the labels of a stop that crosses a border agree on both sides.
+    Pings without seq are taken among themselves in the order of their time, day by day.
     """
-    blocks = F.array_distinct(F.array(*(F.greatest(F.lit(0), F.floor((F.coalesce("seq", F.lit(0)) + d) / block_size)) for d in (-halo, 0, halo))))
+    counted = F.array_distinct(F.array(*(F.greatest(F.lit(0), F.floor((F.col("seq") + d) / block_size)) for d in (-halo, 0, halo))))
+    blocks = F.when(F.col("seq").isNull(), F.array(days())).otherwise(counted)
     return (
         navsensor.filter(finite(F.col("timestamp")))
         .select("source_uri", "topic", F.explode(blocks).alias("block"), "seq", "timestamp", "nav_id", F.get("data", F.lit(0)).alias("lat"), F.get("data", F.lit(1)).alias("lon"))
@@ -228,7 +235,7 @@ def stops_and_trips(navsensor: DataFrame, block_size: int = BLOCK, halo: int = H
     kind that meet at a block's border are one. A drive without a stop is one trip.
     """
     marked = mark_stops(navsensor, block_size, halo)
-    block = F.floor(F.coalesce("seq", F.lit(0)) / block_size)
+    block = F.when(F.col("seq").isNull(), days()).otherwise(F.floor(F.col("seq") / block_size))
     inside = Window.partitionBy("source_uri", "topic", "block", "run").orderBy("seq", "timestamp", "nav_id")
     spot = F.when(F.col("good"), F.struct("east", "north"))
     before = F.last(spot, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratawave.functions import boxes, camera, masks, transforms
 from stratawave.functions import vectors as v
-from stratawave.operators import image, ml, points, raster, registration
+from stratawave.operators import beacons, image, ml, points, raster, registration
 from stratawave.operators import order as o
 from stratawave.plans.families import named, union
 from stratawave.plans.sensor import DEM, E4, IMG, KNN, ROTATION, UNIT, WINDOWED, S, cloud, dem, pictures, plane, query, r6, vecs
@@ -94,6 +94,59 @@ def selected_mask(spark, sf_dir):
     return masks.select_mask(vecs(spark, sf_dir), (e("e", 0) > 0) & (e("e", 1) < 0.05)).select("vec_id")
 
 
+@query("""WITH b AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) * 200 AS x0, CAST(embedding[2] AS DOUBLE) * 200 AS y0, CAST(embedding[3] AS DOUBLE) * 200 + 20 AS x1, CAST(embedding[4] AS DOUBLE) * 200 + 20 AS y1 FROM embeddings),
+c AS (SELECT vec_id, label, greatest(0, least(39, x0)) AS x0, greatest(0, least(29, y0)) AS y0, greatest(0, least(39, x1)) AS x1, greatest(0, least(29, y1)) AS y1 FROM b) SELECT vec_id, label, round(x0, 5) AS x0, round(y1, 5) AS y1 FROM c WHERE x1 > x0 AND y1 > y0""")
+def clipped_boxes(spark, sf_dir):
+    b = vecs(spark, sf_dir).select("vec_id", "label", F.array(*(e("e", i) * 200 + (0 if i < 2 else 20) for i in range(4))).alias("box"))
+    return boxes.clip_boxes(b, "box", 40, 30).select("vec_id", "label", r6(e("box", 0), 5).alias("x0"), r6(e("box", 3), 5).alias("y1"))
+
+
+BELL = f"(exp(-((r - top - 15) * (r - top - 15) + (c - lft - 15) * (c - lft - 15)) / (2 * {beacons.VARIANCE})) - exp(-450 / (2 * {beacons.VARIANCE}))) * (200 - {beacons.DARK}) + {beacons.DARK}"
+PLACES = "(VALUES " + ", ".join(f"({r}, {c}, {blink}, {period})" for r, c, blink, period in beacons.BEACONS) + ") AS b(br, bc, blink, period)"
+CELLS = "cells AS (SELECT i // 40 AS row, i % 40 AS col, (i // 40) * 16 + 7 + j // 2 AS r, (i % 40) * 16 + 7 + j % 2 AS c FROM range(1280) t(i), range(4) u(j))"
+
+
+def beacon_sql(frames: str, on: str, top: str, left: str) -> str:
+    return f"""WITH {CELLS}, f AS ({frames}), lit AS (SELECT f.seq, {top} AS top, {left} AS lft FROM f, {PLACES} WHERE {on}),
+px AS (SELECT f.seq, cells.row, cells.col, coalesce((SELECT max({BELL}) FROM lit WHERE lit.seq = f.seq AND r >= top AND r < top + 30 AND c >= lft AND c < lft + 30), {beacons.DARK}) AS z FROM f, cells)
+SELECT seq, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(avg(z), 6) AS z FROM px GROUP BY ALL"""
+
+
+@query(beacon_sql("SELECT CAST(i AS BIGINT) AS seq FROM range(20) t(i)", "blink = 0 OR floor(f.seq / (blink / 2 * 10)) % 2 = 1", "br * 100 + 241", "bc * 100 + 105 + f.seq * 16"))
+def moving_beacons(spark, sf_dir):
+    return plane(beacons.create_synth_image_moving(spark, 2.0, noise=0.0))
+
+
+@query(beacon_sql("SELECT CAST(i AS BIGINT) AS seq FROM range(12) t(i)", "round_even(f.seq % period, 0) = 0", "br * 100 + 241 + f.seq", "bc * 100 + 305"))
+def still_beacons(spark, sf_dir):
+    poses = spark.range(12).select(F.col("id").alias("seq"), (F.col("id") / 10.0).alias("ts"), (F.col("id") / 10.0 + 0.01).alias("x"))
+    return plane(beacons.create_synth_image(poses, noise=0.0))
+
+
+@query("SELECT vec_id AS seq, 2 AS areas, CAST(4 + vec_id % 3 AS INT) AS first_row FROM embeddings")
+def bright_areas(spark, sf_dir):
+    """The brightest pixels of two bright areas in each frame."""
+    at = lambda i: (F.floor(i / 16), i % 16)
+
+    def value(i):
+        r, c = at(i)
+        top = 4 + F.col("vec_id") % 3
+        return F.when((r >= top) & (r < top + 2) & (c >= 3) & (c < 6), 200.0 - (r - top) - (c - 3)).when((r == 11) & (c >= 9) & (c < 14), 90.0 + c).otherwise(3.0)
+
+    f = vecs(spark, sf_dir).select(F.lit("ir").alias("topic"), F.col("vec_id").alias("seq"), F.array(F.lit(14), F.lit(16)).alias("shape"), F.transform(F.sequence(F.lit(0), F.lit(14 * 16 - 1)), value).alias("data"), "vec_id")
+    found = beacons.binarization(f, 50.0)
+    return found.groupBy("seq").agg(F.count(F.lit(1)).cast("int").alias("areas"), F.min("row").alias("first_row"))
+
+
+@query(f"WITH {DEM}, p AS (SELECT vec_id AS pid FROM embeddings) SELECT CAST(CASE WHEN col >= 25 THEN row ELSE row END AS INT) AS row, CAST(49 - col AS INT) AS col, z FROM dem")
+def merged_tiles(spark, sf_dir):
+    """Tiles of a raster, named from the east westwards, in one."""
+    d = dem(spark, sf_dir).withColumn("col", 49 - F.col("col"))
+    tile = F.floor(F.col("col") / 25).cast("int")
+    tiles = d.select(F.concat(F.lit("tile"), tile.cast("string")).alias("raster"), "row", (F.col("col") % 25).alias("col"), "z")
+    return raster.mosaic_tiles(tiles, F.lit(0), F.substring("raster", 5, 1).cast("int")).select("row", "col", "z")
+
+
 # ---- clouds
 
 GREEDY = """WITH RECURSIVE emb AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),

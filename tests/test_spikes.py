@@ -71,3 +71,13 @@ def test_a_low_limit_flags_more(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(0, 1, 300)
     assert run(spark, series(v), limit=2.0) > run(spark, series(v))
+
+
+def test_readings_without_a_count(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(0, 1, 900)  # two hours and a half
+    v[450] = 60.0
+    rows = [(*r[:3], None, *r[4:]) for r in series(v)]
+    counted = series(rng.normal(0, 1, 300), first=5000)
+    assert run(spark, rows + counted) == {(450, 0, "excursion")}
+    assert len({r.n for r in spark.createDataFrame(rows, MESSAGE).selectExpr("floor(timestamp / 3600) AS n").distinct().collect()}) > 2

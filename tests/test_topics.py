@@ -225,10 +225,20 @@ def test_collate_and_augment(spark):
     im = topic(spark, [(0, np.arange(6.0).reshape(2, 3))])
     out = ml.augment_image(im, flip_horizontal=True, rotate_k=1, contrast=2.0, brightness=1.0).first()
     np.testing.assert_array_equal(np.reshape(out.data, out.shape), np.rot90(np.arange(6.0).reshape(2, 3)[:, ::-1]) * 2 + 1)
+    for k in range(4):
+        for channels in ((), (3,)):
+            frame = np.arange(2.0 * 3 * (3 if channels else 1)).reshape(2, 3, *channels)
+            out = ml.augment_dem_patch(topic(spark, [(0, frame)]), flip_vertical=True, rotate_k=k).first()
+            np.testing.assert_array_equal(np.reshape(out.data, out.shape), np.rot90(frame[::-1], k))
+    counts = ml.augment_image(topic(spark, [(0, np.array([[250.0, 3.4]]))]).withColumn("dtype", F.lit("uint8")), contrast=2.0, brightness=0.1, clip=(0, 300)).first()
+    assert counts.data == [255.0, 7.0]
     noisy = [ml.augment_dem_patch(im, noise_std=1.0, seed=4).first().data for _ in range(2)]
     assert noisy[0] == noisy[1] != im.first().data
     cloud = topic(spark, [(0, np.random.default_rng(0).normal(0, 1, (50, 4)))])
     kept = ml.augment_point_cloud(cloud, 2.0, (1, 0, 0), dropout_ratio=0.5, seed=1).first()
-    assert 10 < kept.shape[0] < 40 and kept.shape[1] == 4
+    assert 10 < kept.shape[0] < 40 and kept.shape[1] == 4 and len(kept.data) == 4 * kept.shape[0]
+    assert ml.augment_point_cloud(topic(spark, [(0, np.ones((3, 3)))]), dropout_ratio=0.999999).first().shape == [1, 3]
+    jittered = np.reshape(ml.augment_point_cloud(topic(spark, [(0, np.zeros((4000, 3)))]), jitter_std=0.5).first().data, (-1, 3))
+    assert abs(jittered.std() - 0.5) < 0.02 and abs(jittered.mean()) < 0.02 and len(np.unique(jittered)) == 12000
     samples = ml.NumpyDataset(df.select("i"))
     assert len(samples) == 4 and len(list(ml.IteratorDataset(df))) == 4 and samples.as_arrays()["i"].shape == (4,)

@@ -72,3 +72,13 @@ def test_blocks_do_not_show_and_empty(spark):
     assert len(whole ^ cut) <= 4
     assert t.stops_and_trips(df).count() == t.stops_and_trips(df, 150, 100).count()
     assert t.stops_and_trips(spark.createDataFrame([], NAV)).count() == 0
+
+
+def test_pings_without_a_count(spark):
+    rows, truth = drive(41, [(600, 15, False), (900, 0, False), (600, 15, False)])
+    rows = [(*r[:3], None, *r[4:]) for r in rows]
+    got = marked(spark, rows)
+    found, real = {k for k, r in got.items() if r.stopped}, {r[2] for r, y in zip(rows, truth) if y}
+    assert len(found & real) / len(found) > 0.95 and len(found & real) / len(real) > 0.95
+    kinds = [r.kind for r in t.stops_and_trips(spark.createDataFrame(rows, NAV)).orderBy("start_time").collect()]
+    assert kinds == ["trip", "stop", "trip"]
