@@ -51,7 +51,7 @@ def mosaic_tiles(cells: DataFrame, tile_row: Column, tile_col: Column, name: str
     tiles = named.groupBy("raster", "tile_row", "tile_col").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
     shape = tiles.agg(F.max("rows").alias("h"), F.max("cols").alias("w"))
     ranked = lambda c: tiles.select(c).distinct().select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).alias(f"{c}_at"))  # noqa: E731  # one row for each row or column of tiles
-    placed = named.join(F.broadcast(ranked("tile_row")), "tile_row").join(F.broadcast(ranked("tile_col")), "tile_col").crossJoin(F.broadcast(shape))
+    placed = named.join(ranked("tile_row"), "tile_row").join(ranked("tile_col"), "tile_col").crossJoin(F.broadcast(shape))
     return placed.select(F.lit(name).alias("raster"), (F.col("tile_row_at") * F.col("h") + F.col("row")).cast("int").alias("row"), (F.col("tile_col_at") * F.col("w") + F.col("col")).cast("int").alias("col"), "z")
 
 
