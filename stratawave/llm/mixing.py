@@ -40,25 +40,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None)
     others keep theirs of the total and so have a larger one of what is mixed. Records
     without source, or of a source that is not listed, are not mixed.
     """
-    wanted = F.broadcast(
-        targets.filter(F.col("source").isNotNull()).dropDuplicates(["source"])
-        .select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
-    )
-    spread = F.xxhash64("doc_id").bitwiseAND((1 << 63) - 1)
-    records = cut(sized.join(wanted.select("source"), "source", "left_semi").select("doc_id", "source", "tokens", spread.alias("spread")))
-    first = records.groupBy("source", level(F.col("spread"), 0).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
-    histogram = cut(first)  # at most 2 ** BITS rows for each target
-    have = histogram.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    everything = F.lit(total) if total is not None else F.coalesce(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(0))
-    budgets = (
-        wanted.join(have, "source", "left").fillna(0, ["tokens"])
-        .withColumn("everything", everything.cast("long"))
-        .withColumn("budget", F.col("target_share") * F.col("everything"))
-        .withColumn("reachable", ~(F.col("tokens") * F.col("max_repeats") < F.col("budget")))
-        .withColumn("passes", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("long"), F.floor(F.col("budget") / F.col("tokens")))).otherwise(F.lit(0).cast("long")))
-        .withColumn("open", F.when(F.col("passes") < F.col("max_repeats"), F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0.0))
-    )
-    budgets = cut(budgets)  # one row for each target
+    records, histogram, budgets = source_budgets(sized, targets, total)
     edges = budgets.select("source", "open", F.lit(0).cast("long").alias("threshold"))
     order = Window.partitionBy("source").orderBy("bucket")
     for k in range(ROUNDS):
@@ -103,6 +85,35 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None)
     return chosen, report
 
 
+def source_budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What thresholds are sought for: the records with their hash, the histogram of tokens by (source, hash bucket), and the budget of each target, with ``reachable``."""
+    wanted = F.broadcast(
+        targets.filter(F.col("source").isNotNull()).dropDuplicates(["source"])
+        .select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
+    )
+    spread = F.xxhash64("doc_id").bitwiseAND((1 << 63) - 1)
+    records = cut(sized.join(wanted.select("source"), "source", "left_semi").select("doc_id", "source", "tokens", spread.alias("spread")))
+    first = records.groupBy("source", level(F.col("spread"), 0).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+    histogram = cut(first)  # at most 2 ** BITS rows for each target
+    have = histogram.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    everything = F.lit(total) if total is not None else F.coalesce(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(0))
+    budgets = (
+        wanted.join(have, "source", "left").fillna(0, ["tokens"])
+        .withColumn("everything", everything.cast("long"))
+        .withColumn("budget", F.col("target_share") * F.col("everything"))
+        .withColumn("reachable", ~(F.col("tokens") * F.col("max_repeats") < F.col("budget")))
+        .withColumn("passes", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("long"), F.floor(F.col("budget") / F.col("tokens")))).otherwise(F.lit(0).cast("long")))
+        .withColumn("open", F.when(F.col("passes") < F.col("max_repeats"), F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0.0))
+    )
+    budgets = cut(budgets)  # one row for each target
+    return records, histogram, budgets
+
+
+def unreachable(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """Sources that cannot reach their share even with all their repeats, from the histograms alone."""
+    return source_budgets(count_tokens(documents, path), targets)[2].filter("NOT reachable").select("source")
+
+
 def mix_documents(documents: DataFrame, targets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """:func:`mix_sources` over documents, sized in tokens of the tokenizer at ``path``."""
     return mix_sources(count_tokens(documents, path), targets)

@@ -103,7 +103,7 @@ def nearest_in_time(queries: DataFrame, records: DataFrame) -> DataFrame:
 
     ``queries`` has id, entity, time and tolerance; ``records`` has id, entity and time.
     Result: query_id, record_id, distance, record_time; queries without a record in
-    reach, with a null, NaN or infinite time, a null entity, or a null or negative
+    reach, with a null, NaN or infinite time, a null entity, or a null, infinite or negative
     tolerance are left out. Of two records equally near the one with the smaller id is
     taken; a query that is stored repeatedly with the same values gives one row, one id
     with different times gives the nearest of them.
@@ -115,7 +115,7 @@ def nearest_in_time(queries: DataFrame, records: DataFrame) -> DataFrame:
     shuffle. Each block builds the levels of
     its trie that searches ask for, once.
     """
-    asked = queries.filter(finite(F.col("time")) & F.col("entity").isNotNull() & F.col("id").isNotNull() & (F.col("tolerance") >= 0) & ~F.isnan("tolerance"))
+    asked = queries.filter(finite(F.col("time")) & F.col("entity").isNotNull() & F.col("id").isNotNull() & finite(F.col("tolerance")) & (F.col("tolerance") >= 0))
     if "width" in queries.columns and "width" in records.columns:
         width = F.greatest(F.col("width"), F.lit(1e-3))
     else:

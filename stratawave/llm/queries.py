@@ -63,7 +63,7 @@ def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their share."""
-    return mixture(spark, sf_dir)[1].filter("NOT reachable").select("source")
+    return mixing.unreachable(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
