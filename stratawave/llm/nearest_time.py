@@ -22,80 +22,128 @@ def ordered_bits(times: np.ndarray) -> np.ndarray:
     return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
 
 
+def above(keys: np.ndarray, level) -> np.ndarray:
+    """Keys without their lowest ``level`` bits; a level of 64 leaves nothing."""
+    level = np.asarray(level, np.uint64)
+    return (keys >> np.minimum(level, np.uint64(63))) >> (level > 63).astype(np.uint64)
+
+
+class PrefixTable:
+    """A hash table of (group, prefix) pairs, filled and searched for many at a time; each pair has the number of its entry."""
+
+    def __init__(self, groups: np.ndarray, prefixes: np.ndarray):
+        self.groups, self.prefixes = groups, prefixes
+        self.bits = max(1, int(2 * len(groups) - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        left, at = np.arange(len(groups)), self.start(groups, prefixes)
+        while len(left):  # who finds a free slot stays, the others go on to the next
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            moves = self.slots[at] != left
+            left, at = left[moves], (at[moves] + 1) & (len(self.slots) - 1)
+
+    def start(self, groups: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+        h = (prefixes + groups.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, groups: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+        """The entries of pairs, -1 for those that are not there."""
+        out, left, at = np.full(len(groups), -1, np.int64), np.arange(len(groups)), self.start(groups, prefixes)
+        while len(left):
+            entry = self.slots[at]
+            there = entry >= 0
+            same = there & (self.groups[entry] == groups[left]) & (self.prefixes[entry] == prefixes[left])
+            out[left[same]] = entry[same]
+            on = there & ~same
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+
 class XFastTrie:
-    """Hash tables of the bit prefixes of sorted distinct keys, one for each prefix length.
+    """Hash tables of the bit prefixes of keys, one for each prefix length, for many groups of keys at once.
 
+    Keys are sorted by group and distinct within it; each group is a trie of its own.
     Every prefix maps to the least and the largest key below it, and the keys form a
-    linked list by their order. Prefixes that all keys share have no table. A query finds
-    its longest prefix in the tables by binary search over the lengths; the missing child
-    there tells on which side of it the keys lie, so one of the node's ends is the
-    neighbour on that side and the list gives the other.
+    linked list by their order. Prefixes that all keys of a group share are not searched.
+    A query finds its longest prefix in the tables by binary search over the lengths; the
+    missing child there tells on which side of it the keys lie, so one of the node's ends
+    is the neighbour on that side and the list gives the other. All queries take a step of
+    their search together.
     """
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        spread = int(keys[0] ^ keys[-1])
-        self.bits = spread.bit_length()  # the longest prefix above these is common to all
-        self.top = int(keys[0]) >> self.bits
-        self.tables: dict[int, dict[int, tuple[int, int]]] = {}
+    def __init__(self, groups: np.ndarray, keys: np.ndarray):
+        self.groups, self.keys = groups, keys
+        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, int)
+        self.names, self.first, self.last = groups[starts], starts, np.append(starts[1:], len(groups)) - 1
+        spread = keys[self.first] ^ keys[self.last]
+        self.bits = np.array([int(x).bit_length() for x in spread], np.int64)  # the prefix above these is common to a group
+        self.tables: dict[int, tuple[PrefixTable, np.ndarray, np.ndarray]] = {}
 
-    def table(self, level: int) -> dict[int, tuple[int, int]]:
-        """The prefixes that leave out ``level`` bits; built when a search first asks for them."""
+    def table(self, level: int) -> tuple[PrefixTable, np.ndarray, np.ndarray]:
+        """The prefixes that leave out ``level`` bits, with their first and last key; built when a search first asks for them."""
         if level not in self.tables:
-            prefixes = self.keys >> np.uint64(level)
-            first = np.flatnonzero(np.concatenate([[True], prefixes[1:] != prefixes[:-1]]))
-            last = np.append(first[1:], len(prefixes)) - 1
-            self.tables[level] = dict(zip(prefixes[first].tolist(), zip(first.tolist(), last.tolist())))
+            prefixes = above(self.keys, level)
+            first = np.flatnonzero(np.concatenate([[True], (prefixes[1:] != prefixes[:-1]) | (self.groups[1:] != self.groups[:-1])]))
+            self.tables[level] = PrefixTable(self.groups[first], prefixes[first]), first, np.append(first[1:], len(prefixes)) - 1
         return self.tables[level]
 
-    def neighbours(self, key: int) -> tuple[int | None, int | None]:
-        """Indexes of the largest key at most ``key`` and of the least key at least ``key``."""
-        if key >> self.bits != self.top:
-            return (None, 0) if key < int(self.keys[0]) else (len(self.keys) - 1, None)
-        low, high = 0, self.bits  # the prefix without `high` bits is there; find the least such level
-        while low < high:
+    def neighbours(self, groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the largest key at most, and of the least key at least, each of ``keys`` in its group; -1 where there is none."""
+        before, after = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return before, after
+        own = np.minimum(np.searchsorted(self.names, groups), len(self.names) - 1)
+        known = self.names[own] == groups
+        first, last, bits = self.first[own], self.last[own], self.bits[own]
+        outside = known & (above(keys, bits) != above(self.keys[first], bits))
+        small = outside & (keys < self.keys[first])
+        after[small], before[outside & ~small] = first[small], last[outside & ~small]
+        asked = np.flatnonzero(known & ~outside)
+        low, high = np.zeros(len(asked), np.int64), bits[asked]  # the prefix without `high` bits is there; find the least such level
+        node = np.full(len(asked), -1, np.int64)
+        while (open_ := low < high).any():
             middle = (low + high) // 2
-            if key >> middle in self.table(middle):
-                high = middle
-            else:
-                low = middle + 1
-        first, last = self.table(high)[key >> high]
-        if high == 0:
-            return first, first
-        if key >> (high - 1) & 1:  # the child of the ones is missing: all keys of the node are smaller
-            return last, last + 1 if last + 1 < len(self.keys) else None
-        return first - 1 if first else None, first
-
-
-def match_block(records: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame | None:
-    """Pair each query with the nearer of its two neighbours among the records, within its tolerance."""
-    times, ids = records["time"].to_numpy(float), records["id"].to_numpy(np.int64)
-    if not len(times) or not len(queries):
+            for level in np.unique(middle[open_]):
+                some = np.flatnonzero(open_ & (middle == level))
+                found = self.table(int(level))[0].find(groups[asked[some]], above(keys[asked[some]], level)) >= 0
+                high[some[found]], low[some[~found]] = level, level + 1
+        left, right = np.empty(len(asked), np.int64), np.empty(len(asked), np.int64)
+        for level in np.unique(high):
+            some = np.flatnonzero(high == level)
+            table, starts, ends = self.table(int(level))
+            node = table.find(groups[asked[some]], above(keys[asked[some]], level))
+            left[some], right[some] = starts[node], ends[node]
+        ones = (high > 0) & (above(keys[asked], np.maximum(high - 1, 0)) & np.uint64(1) == 1)  # the child of the ones is missing: all keys of the node are smaller
+        zeros = (high > 0) & ~ones
+        group_first, group_last = first[asked], last[asked]
+        before[asked] = np.where(ones, right, np.where(zeros, np.where(left > group_first, left - 1, -1), left))
+        after[asked] = np.where(ones, np.where(right < group_last, right + 1, -1), left)
+        return before, after
+
+
+def match_groups(chunk: pd.DataFrame, group: np.ndarray) -> pd.DataFrame | None:
+    """Pair each query (kind 0) of some whole groups with the nearer of its two neighbours among the records (kind 1) of its group, within its tolerance."""
+    kind, times, ids = chunk["kind"].to_numpy(), chunk["time"].to_numpy(float), chunk["id"].to_numpy(np.int64)
+    r, q = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+    if not len(r) or not len(q):
         return None
-    order = np.lexsort((ids, times))
-    times, ids = times[order], ids[order]
-    first = np.concatenate([[True], times[1:] != times[:-1]])  # of records at the same time the smallest id stands for all
-    times, ids = times[first], ids[first]
-    trie = XFastTrie(ordered_bits(times))
-    out = []
-    wanted = queries["time"].to_numpy(float)
-    for query, at, key, tolerance in zip(queries["id"].tolist(), wanted.tolist(), ordered_bits(wanted).tolist(), queries["tolerance"].tolist()):
-        found = [(abs(times[i] - at), int(ids[i]), float(times[i])) for i in trie.neighbours(key) if i is not None]
-        distance, record, when = min(found)
-        if distance <= tolerance:
-            out.append((query, record, distance, when))
-    return pd.DataFrame(out, columns=["query_id", "record_id", "distance", "record_time"]) if out else None
+    r = r[np.lexsort((ids[r], times[r], group[r]))]
+    r = r[np.concatenate([[True], (times[r][1:] != times[r][:-1]) | (group[r][1:] != group[r][:-1])])]  # of records at the same time the smallest id stands for all
+    trie = XFastTrie(group[r], ordered_bits(times[r]))
+    before, after = trie.neighbours(group[q], ordered_bits(times[q]))
+    side = lambda at: np.where(at >= 0, np.abs(times[r][at] - times[q]), np.inf)
+    d0, d1 = side(before), side(after)
+    later = (d1 < d0) | ((d1 == d0) & (ids[r][after] < ids[r][before]) & (after >= 0))
+    at, distance = np.where(later, after, before), np.where(later, d1, d0)
+    good = (at >= 0) & (distance <= chunk["tolerance"].to_numpy(float)[q])
+    return pd.DataFrame({"query_id": ids[q][good], "record_id": ids[r][at[good]], "distance": distance[good], "record_time": times[r][at[good]]}) if good.any() else None
 
 
 def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     keys = ["entity", "block"]
     for chunk in whole_groups(batches, keys):
-        starts = np.append(np.flatnonzero(changes(chunk, keys)), len(chunk))
-        kinds = chunk["kind"].to_numpy()
-        for a, b in zip(starts[:-1], starts[1:]):
-            split = a + int(np.searchsorted(kinds[a:b], 1))
-            if a < split < b and (out := match_block(chunk.iloc[split:b], chunk.iloc[a:split])) is not None:
-                yield out
+        if (out := match_groups(chunk, np.cumsum(changes(chunk, keys)))) is not None:
+            yield out
 
 
 def nearest_in_time(queries: DataFrame, records: DataFrame) -> DataFrame:
@@ -132,7 +180,7 @@ def nearest_in_time(queries: DataFrame, records: DataFrame) -> DataFrame:
     pairs = (
         kept.unionByName(sent)
         .repartition("entity", "block")
-        .sortWithinPartitions("entity", "block", "kind")
+        .sortWithinPartitions("entity", "block")
         .mapInPandas(matched, OUT)
     )
     best = F.min(F.struct("distance", "record_id", "record_time"))

@@ -12,15 +12,28 @@ QUERY = "id long, entity string, time double, tolerance double, block long, kind
 RECORD = "id long, entity string, time double, tolerance double, data string"
 
 
+NUMBERS = st.floats(allow_nan=False, allow_infinity=False, width=32)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=40), st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=20))
-def test_trie_finds_both_neighbours(keys, queries):
-    keys = sorted(set(k + 0.0 for k in keys))
-    trie = n.XFastTrie(n.ordered_bits(np.array(keys)))
-    for q, bits in zip(queries, n.ordered_bits(np.array(queries)).tolist()):
-        before, after = trie.neighbours(bits)
-        assert before == (i - 1 if (i := bisect.bisect_right(keys, q + 0.0)) else None)
-        assert after == (i if (i := bisect.bisect_left(keys, q + 0.0)) < len(keys) else None)
+@given(st.lists(st.lists(NUMBERS, min_size=1, max_size=40), min_size=1, max_size=4), st.lists(st.tuples(st.integers(0, 5), NUMBERS), min_size=1, max_size=20))
+def test_trie_finds_both_neighbours(groups, queries):
+    groups = [sorted(set(k + 0.0 for k in g)) for g in groups]
+    keys, names = np.concatenate(groups), np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    trie = n.XFastTrie(names, n.ordered_bits(keys))
+    before, after = trie.neighbours(np.array([g for g, _ in queries]), n.ordered_bits(np.array([q for _, q in queries])))
+    for (g, q), b, a in zip(queries, before.tolist(), after.tolist()):
+        own, start = (groups[g], sum(map(len, groups[:g]))) if g < len(groups) else ([], 0)
+        assert b == (start + i - 1 if (i := bisect.bisect_right(own, q + 0.0)) else -1)
+        assert a == (start + i if (i := bisect.bisect_left(own, q + 0.0)) < len(own) else -1)
+
+
+def test_hash_table_of_many_prefixes():
+    rng = np.random.default_rng(2)
+    pairs = np.unique(np.column_stack([rng.integers(0, 50, 20_000), rng.integers(0, 2**20, 20_000)]), axis=0)
+    table = n.PrefixTable(pairs[:, 0], pairs[:, 1].astype(np.uint64))
+    assert (table.find(pairs[:, 0], pairs[:, 1].astype(np.uint64)) == np.arange(len(pairs))).all()
+    assert (table.find(pairs[:, 0] + 50, pairs[:, 1].astype(np.uint64)) == -1).all()
 
 
 def run(spark, queries, records):
