@@ -258,6 +258,27 @@ def topic_view(df: DataFrame, topic: str) -> pd.DataFrame:
     return Topic(df.filter(F.col("topic") == topic)).collect().get(topic, pd.DataFrame(columns=df.columns))
 
 
+class TopicArrays:
+    """One topic on the driver as arrays: ids, ts, data (stacked where all payloads have one shape, else a list) and metadata."""
+
+    def __init__(self, frame: pd.DataFrame, metadata: dict | None = None):
+        self.ids, self.ts, payloads = topic_parts(frame)
+        self.data = np.stack(payloads) if payloads and len({p.shape for p in payloads}) == 1 else payloads
+        only = lambda c: next(iter(frame[c].dropna().unique()), None) if c in frame and frame[c].nunique() == 1 else None
+        self.metadata = {"topic": only("topic"), "source_uri": only("source_uri"), "frame_id": only("frame_id"), "count": len(frame)} | (metadata or {})
+
+    def __len__(self) -> int:
+        return len(self.ts)
+
+    def as_dict(self, include_metadata: bool = True) -> dict:
+        return {"ts": self.ts, "data": self.data, "id": self.ids, "name": self.ids} | ({k: x for k, x in self.metadata.items() if x is not None} if include_metadata else {})
+
+
+def topic_arrays(df: DataFrame, topic: str) -> TopicArrays:
+    """One topic as arrays, with the limits of collect."""
+    return TopicArrays(topic_view(df, topic))
+
+
 def topic_parts(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
     """Names, times and payloads of a collected topic."""
     if not isinstance(frame, pd.DataFrame):

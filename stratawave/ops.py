@@ -42,7 +42,7 @@ from stratawave.operators.raster import (  # noqa: F401
 )
 from stratawave.operators.registration import multi_scale_icp, odometry_seeded_icp, point_to_plane_icp, point_to_point_icp, verify_loop_closures  # noqa: F401
 from stratawave.operators.summary import correct_bias, describe_dataset, describe_topic, estimate_bias, format_describe  # noqa: F401
-from stratawave.operators.topic import Dataset, Topic, dataset_query, filter_topic, iter_chunks, map_topic, reduce_topic, select_indices, select_time_range, topic_parts, topic_pipeline, topic_view  # noqa: F401
+from stratawave.operators.topic import Dataset, Topic, dataset_query, filter_topic, iter_chunks, map_topic, reduce_topic, select_indices, select_time_range, topic_parts, topic_pipeline, topic_arrays, topic_view, TopicArrays  # noqa: F401
 from stratawave.operators.trajectory import (  # noqa: F401
     add_trajectory_quality_mask, angular_velocity_from_quaternions, correct_imu_bias, dead_reckon_trajectory, differentiate_trajectory, imu_to_trajectory, integrate_orientations, integrate_trajectory,
     interpolate_quaternions, interpolate_timeseries, interpolate_trajectory, mask_trajectory, navsat_to_local, navsat_to_trajectory, odometry_to_trajectory, propagate_trajectory_covariance, read_tum_trajectory,
@@ -56,4 +56,4 @@ from stratawave.sources.sources import data_source, synthetic  # noqa: F401
 from stratawave.sources.store import DataBuffer, Store  # noqa: F401
 from stratawave.streaming.source import CancellationToken, PipelineCancelled, PipelineProgress, SourcePipeline, source_pipeline  # noqa: F401
 
-TopicPipeline, DatasetQuery, DataSources, SyntheticSource, TopicWindowPipeline, TopicMetadata, TopicView = Topic, Dataset, data_source, synthetic, window_topic, topic_metadata, topic_view
+TopicPipeline, DatasetQuery, DataSources, SyntheticSource, TopicWindowPipeline, TopicMetadata, TopicView = Topic, Dataset, data_source, synthetic, window_topic, topic_metadata, TopicArrays

@@ -63,7 +63,7 @@ def topic_functions(spark, sf_dir):
 
 
 @query(f"""WITH {MSGS}, c AS (SELECT topic, seq, a, name, row_number() OVER (PARTITION BY topic ORDER BY seq) - 1 AS i FROM msgs WHERE ts BETWEEN {START} AND {END} AND topic IN ('view', 'click'))
-SELECT w.way, topic, seq, a, CASE WHEN way = 'chunks' THEN i // 64 ELSE 0 END AS chunk FROM c, (SELECT unnest(['rows', 'chunks', 'collect', 'stream']) AS way) w UNION ALL SELECT w.way, topic, seq, a, 0 FROM c, (SELECT unnest(['view', 'parts']) AS way) w WHERE topic = 'view'""")
+SELECT w.way, topic, seq, a, CASE WHEN way = 'chunks' THEN i // 64 ELSE 0 END AS chunk FROM c, (SELECT unnest(['rows', 'chunks', 'collect', 'stream', 'resumed']) AS way) w UNION ALL SELECT w.way, topic, seq, a, 0 FROM c, (SELECT unnest(['view', 'parts', 'arrays']) AS way) w WHERE topic = 'view'""")
 def collected_topics(spark, sf_dir):
     """What a driver gets of a stretch of time: rows, chunks, frames and parts."""
     from stratawave.streaming.source import source_pipeline
@@ -82,6 +82,14 @@ def collected_topics(spark, sf_dir):
     rows += [("view", "view", int(s), float(x[0]), 0) for s, x in zip(view["seq"], view["data"])]
     names, times, data = topic.topic_parts(view)
     rows += [("parts", "view", int(s), float(x[0]), 0) for s, x in zip(view["seq"], data)]
+    arrays = topic.topic_arrays(m, "view").as_dict()
+    rows += [("arrays", arrays["topic"], int(s), float(x[0]), 0) for s, x in zip(view["seq"], arrays["data"])]
+    kept: dict = {}
+    for r in source_pipeline(m).iter_messages(checkpoint=kept):
+        if kept.get("processed", 0) == 40:
+            break  # this row was not taken, and comes again
+        rows.append(("resumed", r.topic, r.seq, r.data[0], 0))
+    rows += [("resumed", r.topic, r.seq, r.data[0], 0) for r in source_pipeline(m).iter_messages(checkpoint=kept)]
     return spark.createDataFrame(rows, "way string, topic string, seq long, a double, chunk long")
 
 
@@ -130,6 +138,27 @@ def buffer_reads(spark, sf_dir):
     return union(out)
 
 
+@query(f"""WITH {MSGS}, v AS (SELECT *, count(*) OVER () AS n, max_by(ts, seq) OVER () AS last FROM msgs WHERE topic = 'view'), m AS (SELECT 'memory' AS backend, * FROM v WHERE seq >= n - 60 UNION ALL SELECT 'parquet', * FROM v), b AS (SELECT *, row_number() OVER (PARTITION BY backend ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY backend) AS k FROM m)
+SELECT backend, 'one' AS way, seq, a FROM b WHERE i = k - 2 UNION ALL SELECT backend, 'slice', seq, a FROM b WHERE i >= 4 AND i < 20 AND (i - 4) % 3 = 0 UNION ALL SELECT backend, 'list', seq, a FROM b WHERE i IN (1, 5, k - 1) UNION ALL SELECT backend, 'seconds', seq, a FROM b WHERE ts > last - 15000
+UNION ALL SELECT backend, 'set', seq, CASE WHEN i = 3 THEN -1.0 WHEN i >= k - 4 THEN -2.0 WHEN i >= 10 AND i < 13 THEN a * 2 ELSE a END FROM b""")
+def buffer_items(spark, sf_dir):
+    """A buffer's rows by subscript, and payloads set by subscript."""
+    from stratawave.sources.store import DataBuffer
+
+    m, uri, out = cut(messages(spark, sf_dir)), folder(spark), []
+    for backend in ("memory", "parquet"):
+        b = DataBuffer(m, 60, None if backend == "memory" else uri, axis="view", backend=backend)
+        if backend == "parquet":
+            b.load_data_db()
+        out += [named(k, cut(b[x]), F.lit(backend).alias("backend"), "seq", first().alias("a")) for k, x in {"one": -2, "slice": slice(4, 20, 3), "list": [1, 5, -1], "seconds": 15000.0}.items()]
+        b[3] = [-1.0, 0.0]
+        b[-4:] = [-2.0, 0.0]
+        b[10:13] = F.transform("data", lambda x: x * 2)
+        out.append(named("set", cut(b.topic("view").df), F.lit(backend).alias("backend"), "seq", first().alias("a")))
+    removed(spark, uri)
+    return union(out)
+
+
 @query(f"""WITH {MSGS}, v AS (SELECT seq, ts FROM msgs WHERE topic = 'signup'), s AS (SELECT i, (SELECT ts FROM v WHERE seq = i) AS edge FROM range(4) t(i)), k AS (SELECT s.i, m.topic, m.seq, row_number() OVER (PARTITION BY s.i, m.topic ORDER BY m.seq DESC) AS k FROM s JOIN msgs m ON m.ts <= edge)
 SELECT CAST(i AS BIGINT) AS step, topic, seq FROM k WHERE k <= 2""")
 def rolled_buffer(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratawave.operators.order import positions, same
@@ -264,6 +264,36 @@ class DataBuffer:
         a, b, c = slice(start, stop, step).indices(n)
         return rows.filter((F.col("held_at") >= a) & (F.col("held_at") < b) & ((F.col("held_at") - a) % c == 0)).drop("held_at")
 
+    def chosen(self, key) -> DataFrame:
+        """Rows of the axis topic: by position (a number, a slice, a list of numbers), or those less than ``key`` seconds (a float) older than the last."""
+        if isinstance(key, float):
+            held = self.topic(self.axis).df
+            last = held.agg(F.max_by("ts", "seq").alias("last_ts"))
+            return held.crossJoin(F.broadcast(last)).filter(F.col("ts") > F.col("last_ts") - key).drop("last_ts")  # last is one row
+        if isinstance(key, slice):
+            return self.get_index_range(self.axis, key.start, key.stop, key.step)
+        if isinstance(key, int):
+            return self.get_index_range(self.axis, key, key + 1 if key != -1 else None)
+        rows = positions(self.topic(self.axis).df, ["topic"], ["seq"], "held_at")
+        n = rows.agg((F.max("held_at") + 1).alias("n")).first().n or 0
+        return rows.filter(F.col("held_at").isin([int(k) + n if k < 0 else int(k) for k in key])).drop("held_at")
+
+    __getitem__ = chosen
+
+    def __setitem__(self, key, value) -> None:
+        """A new payload (numbers or a column) for the rows that ``key`` chooses; a store's topic is written anew."""
+        data = value if isinstance(value, Column) else F.array(*(F.lit(float(x)) for x in value))
+        marked = self.chosen(key).select("topic", "seq", F.lit(True).alias("is_chosen"))
+        rows = self.store.topic(self.axis).df if self.store is not None else self.source
+        a, b = rows.alias("a"), marked.alias("b")
+        joined = a.join(b, same("a", "b", ["topic", "seq"]), "left").select("a.*", "b.is_chosen")
+        changed = joined.withColumn("data", F.when(F.col("is_chosen"), data).otherwise(F.col("data"))).drop("is_chosen")
+        if self.store is not None:
+            box = spatial_bounds_for_data()
+            self.store.overwrite(self.axis, changed.withColumn("box", box).select(*(F.col(f"box.{c}").alias(c) if c in BOUNDS else F.col(c) for c in changed.columns)))
+        else:
+            self.source = cut(changed)
+
     def get_last_seconds(self, axis: str, seconds: float) -> DataFrame:
         return self.topic(axis).last_seconds(seconds).df
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,16 @@ def counted(start: int, stop: int | None, step: int, columns: list[str]):
     return run
 
 
+@dataclass
+class ReadProgress:
+    """Rows that a reader on the driver has taken so far."""
+
+    processed: int
+    topic: str | None = None
+    ts: float | None = None
+    done: bool = False
+
+
 class SourcePipeline(Dataset):
     """A lazy pipeline over messages; over a stream, steps that count rows keep their counts as state."""
 
@@ -140,6 +151,29 @@ class SourcePipeline(Dataset):
         best = F.min_by(F.struct("target_ts", "target_seq", "target_name", "target_data"), rank).alias("target")
         return pairs.filter(F.abs(F.col("target_ts") - F.col("reference_ts")) <= tolerance).groupBy(F.window("reference_time", "1 second"), "reference_seq", "reference_ts", "reference_name").agg(best, F.first("reference_data").alias("reference_data")).select("reference_seq", "reference_ts", "reference_name", "reference_data", "target.*")
 
+    def iter_messages(self, token=None, progress: Callable[[ReadProgress], None] | None = None, checkpoint: dict | None = None, progress_interval: int = 1) -> Iterator:
+        """Rows of a batch topic by topic in order, a partition at a time on the driver; resumable.
+
+        ``checkpoint`` is a dict that keeps how many rows were taken: read again with it, the
+        rows behind those come. A row counts when the next one is asked for. A cancelled
+        reader raises PipelineCancelled.
+        """
+        if progress_interval < 1:
+            raise ValueError("an interval has at least one row")
+        kept = {} if checkpoint is None else checkpoint
+        before, n, row = int(kept.get("processed", 0)), 0, None
+        for n, row in enumerate(self.iter_rows(), 1):
+            if n <= before:
+                continue
+            if is_cancelled(token):
+                raise PipelineCancelled("the reader was cancelled")
+            yield row
+            kept["processed"] = n
+            if progress and n % progress_interval == 0:
+                progress(ReadProgress(n, row.topic, row.ts))
+        if progress:
+            progress(ReadProgress(n, None if row is None else row.topic, None if row is None else row.ts, True))
+
     def to_buffer(self, data_uri: str, checkpoint: str | None = None, token=None, progress=None, available_now: bool = True):
         """Write the messages to a :class:`Store`, a stream batch by batch and resumable from ``checkpoint``.
 

@@ -342,6 +342,22 @@ def test_stream_positions_over_pieces_of_a_batch(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_reading_again_from_where_it_broke_off(spark, tmp_path):
+    batches(spark, tmp_path / "in")
+    pipe = stream.source_pipeline(spark.read.parquet(str(tmp_path / "in")))
+    kept, token, seen = {}, stream.CancellationToken(), []
+    got = []
+    with pytest.raises(stream.PipelineCancelled):
+        for r in pipe.iter_messages(token, seen.append, kept, 2):
+            got.append(r.name)
+            if len(got) == 9:
+                token.cancel()
+    got += [r.name for r in pipe.iter_messages(checkpoint=kept)]
+    assert sorted(got) == sorted(f"{t}{i}" for t in "ab" for i in range(12)) and [p.processed for p in seen] == [2, 4, 6, 8] and kept["processed"] == 24
+    done = []
+    assert list(pipe.iter_messages(None, done.append, kept)) == [] and done[-1].done and done[-1].processed == 24
+
+
 def test_cancel(spark, tmp_path):
     batches(spark, tmp_path / "in")
     token = stream.CancellationToken()
