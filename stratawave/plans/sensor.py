@@ -914,12 +914,19 @@ def payload_bounds(spark, sf_dir):
     return b.select("seq", "box.min_x", "box.max_x")
 
 
-@query()
+@query(f"""WITH emb AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS d FROM embeddings), p AS (SELECT vec_id AS seq, i AS pid, d[3 * i + 1] AS x, d[3 * i + 2] AS y, d[3 * i + 3] AS z FROM emb, range(3) t(i))
+SELECT seq, CAST(pid AS INT) AS pid, round(cos(0.1 * seq) * x - sin(0.1 * seq) * y + seq, 5) AS x, round(sin(0.1 * seq) * x + cos(0.1 * seq) * y - 0.5 * seq, 5) AS y, round(z + 2, 5) AS z FROM p""")
 def stitched_scans(spark, sf_dir):
+    """Scans of three points, each placed by the pose just before it."""
     from stratawave.cli import flagship
-    from stratawave.sources.sources import synthetic
 
-    return flagship(synthetic(spark, seed=3))
+    e = vecs(spark, sf_dir)
+    i, half = F.col("vec_id"), F.col("vec_id") * 0.05
+    common = lambda topic, late: [F.lit(topic).alias("topic"), i.alias("seq"), (i + late).cast("double").alias("ts")]
+    scans = e.select(*common("/points", 0.5), F.array(F.lit(3), F.lit(3)).alias("shape"), F.slice("e", 1, 9).alias("data"))
+    pose = F.array(i.cast("double"), i * -0.5, F.lit(2.0), *[F.lit(0.0)] * 5, F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
+    poses = e.select(*common("/odom", 0.0), F.array(F.lit(8), F.lit(4)).alias("shape"), F.concat(pose, F.array_repeat(F.lit(0.0), 20)).alias("data"))
+    return flagship(scans.unionByName(poses)).select("seq", "pid", *(r6(c, 5).alias(c) for c in "xyz"))
 
 
 # ---- further rotations, transforms and cameras

@@ -27,7 +27,14 @@ def test_entry_runs(spark):
     assert e.entry(spark).columns == ["source_uri", "topic", "slot"] and e.entry(spark).count() > 0
 
 
-COMPARED = ("p1_found", "p2_roles", "p3_totals", "describe", "align_nearest", "resample_linear", "window_seconds", "differentiate", "slerp", "knn_search", "roughness", "depth_image", "split_groups")
+def test_families_are_registered():
+    """A broken module of queries must not pass unseen."""
+    assert len(e.queries()) > 195 and len(e.queries()) - len(e.oracle_sql()) < 16
+    for name in ("recorded_messages", "buffer_reads", "frame_shifts", "stream_index_range", "p2_compacted"):
+        assert name in e.queries() and name in e.oracle_sql()
+
+
+COMPARED = ("p1_found", "p2_found", "p2_roles", "p2_compacted", "recorded_messages", "buffer_items", "resampled_imu", "stream_latest", "icp", "farthest_points", "sampled_image", "compensated_windows", "dead_reckoning", "p3_totals", "describe", "align_nearest", "resample_linear", "window_seconds", "differentiate", "slerp", "knn_search", "roughness", "depth_image", "split_groups")
 
 
 @HERE
