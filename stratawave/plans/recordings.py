@@ -246,6 +246,26 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def write_bitmaps(folder: str, number: int, frame: pd.DataFrame) -> None:
+    """Bitmaps of 24 bits, rows from below, in the order blue, green, red."""
+    for i, e in zip(frame["vec_id"], frame["embedding"]):
+        v = np.floor((np.asarray(e, float) + 1) * 100).clip(0, 255).astype(np.uint8).reshape(8, 8)
+        body = np.dstack([v, v // 2, np.full_like(v, 7)])[::-1].tobytes()
+        with open(f"{folder}/b{i}.bmp", "wb") as f:
+            f.write(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 8, 8, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body)
+
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor((CAST(x AS DOUBLE) + 1) * 100)) AS v FROM embeddings) SELECT row_number() OVER (ORDER BY vec_id) - 1 AS seq, 'b' || vec_id || '.bmp' AS name, v[1] AS blue, floor(v[2] / 2) AS green, 7.0::DOUBLE AS red, list_sum(v) + list_sum(list_transform(v, lambda x: floor(x / 2))) + 448 AS total FROM v")
+def bitmap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files that the JVM decodes."""
+    folder = written(spark, sf_dir, write_bitmaps, F.floor(F.col("vec_id") / FILE_ROWS))
+    m = sources.data_source(spark, f"{folder}/*.bmp")
+    value = lambda i: F.get("data", F.lit(i))
+    found = cut(m.select("seq", "name", value(0).alias("blue"), value(4).alias("green"), value(5).alias("red"), F.aggregate("data", F.lit(0.0), lambda s, x: s + x).alias("total")))
+    removed(spark, folder)
+    return found
+
+
 def write_tiles(folder: str, number: int, frame: pd.DataFrame) -> None:
     for i, e in zip(frame["vec_id"], frame["embedding"]):
         with open(f"{folder}/N{i // 1000:02d}W{i % 1000:03d}.hgt", "wb") as f:

@@ -17,13 +17,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stratawave.functions import geodesy
 from stratawave.schema import normalize_messages
-from stratawave.session import importable
+from stratawave.session import cut, importable
 from stratawave.sources import containers
 from stratawave.sources.messages import decode_supported_cdr_message
 from stratawave.sources.png import decode_image
 
 RECORDED = "topic string, chunk int, row long, ts double, name string, frame_id string, source_uri string, dtype string, shape array<int>, data array<double>, extra map<string,string>, error string"
-IMAGES, RECORDINGS = (".png", ".pgm", ".ppm"), (".db3", ".mcap", ".bag")
+#: Image files decoded here in any depth, and those that the JVM's own readers decode, of 8 bits.
+OWN_IMAGES, JVM_IMAGES = (".png", ".pgm", ".ppm"), (".jpg", ".jpeg", ".bmp", ".gif")
+IMAGES, RECORDINGS = OWN_IMAGES + JVM_IMAGES, (".db3", ".mcap", ".bag")
 
 
 def is_rosbag2_dir(path: str) -> bool:
@@ -127,22 +129,44 @@ def natural_key(name: F.Column) -> F.Column:
 
 
 def read_images(spark: SparkSession, pattern: str, period: float = 0.1) -> DataFrame:
-    """Image files as messages of topic ``images``, in the natural order of their names, ``period`` seconds apart; a file that is no image is an error."""
+    """Image files as messages of topic ``images``, in the natural order of their names, ``period`` seconds apart; a file that is no image is an error.
+
+    Colours come in the order blue, green, red (and alpha).
+    """
     from stratawave.operators.order import positions
 
     importable(spark)
-    files = spark.read.format("binaryFile").load(pattern)
-    named = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("sort_key", natural_key(F.col("name")))
-    ordered = positions(named.select("path", "name", "sort_key").withColumn("topic", F.lit("images")), ["topic"], ["sort_key", "name"], "seq")
-    a, b = files.alias("a"), ordered.alias("b")
-    joined = a.join(b, F.col("a.path") == F.col("b.path")).select("b.topic", "b.seq", (F.col("b.seq") * period).alias("ts"), "b.name", F.lit(None).cast("string").alias("frame_id"), F.col("a.path").alias("source_uri"), "a.content")
+    suffixes = lambda kinds: F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*kinds)
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    named = files.select("path").withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("sort_key", natural_key(F.col("name")))
+    ordered = cut(positions(named.withColumn("topic", F.lit("images")), ["topic"], ["sort_key", "name"], "seq"))
+    heads = ["topic", "seq", (F.col("seq") * period).alias("ts"), "name", F.lit(None).cast("string").alias("frame_id"), F.col("path").alias("source_uri")]
+    schema = "topic string, seq long, ts double, name string, frame_id string, source_uri string, dtype string, shape array<int>, data array<double>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(ordered, "path").select(*heads, *(c for c in rows.columns if c != "path"))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             images = [decode_image(bytes(c)) for c in batch["content"]]
+            images = [im[:, :, [2, 1, 0, 3][: im.shape[2]]] if im.ndim == 3 and im.shape[2] >= 3 else im for im in images]
             yield batch.drop(columns="content").assign(dtype=[im.dtype.name for im in images], shape=[list(im.shape) for im in images], data=[im.ravel().astype(float) for im in images])
 
-    return joined.mapInPandas(run, "topic string, seq long, ts double, name string, frame_id string, source_uri string, dtype string, shape array<int>, data array<double>")
+    def jvm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch.drop(columns=["content", "height", "width", "channels"])
+            shapes = [[int(h), int(w)] + ([int(c)] if c > 1 else []) for h, w, c in zip(batch["height"], batch["width"], batch["channels"])]
+            yield out.assign(dtype="uint8", shape=shapes, data=[np.frombuffer(bytes(c), np.uint8).astype(float) for c in batch["content"]])
+
+    out = placed(files.filter(~suffixes(JVM_IMAGES))).mapInPandas(own, schema)
+    if not ordered.filter(suffixes(JVM_IMAGES)).take(1):
+        return out
+    # the reader of images names its files as encoded addresses
+    address = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
+    decoded = spark.read.format("image").load(pattern).select("image.*").withColumn("path", F.regexp_replace(address, "^file:/+", "file:/"))
+    wrong = F.raise_error(F.concat(F.lit("no image: "), F.col("origin"))).cast("binary")
+    content = F.when(F.col("height") < 0, wrong).otherwise(F.col("data"))
+    return out.unionByName(placed(decoded.filter(suffixes(JVM_IMAGES)).select("path", content.alias("content"), "height", "width", F.col("nChannels").alias("channels"))).mapInPandas(jvm, schema))
 
 
 def decode_hgt(raw: bytes) -> np.ndarray:

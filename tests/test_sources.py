@@ -163,7 +163,7 @@ def test_images_and_tiles(spark, tmp_path):
         (tmp_path / name).write_bytes(png.encode_png(im))
     got = sources.data_source(spark, str(tmp_path / "*.png"), 0.5).orderBy("seq").collect()
     assert [(r.name, r.ts) for r in got] == [("f_1.png", 0.0), ("f_2.png", 0.5), ("f_10.png", 1.0)]
-    assert all(np.array_equal(np.reshape(r.data, r["shape"]), pictures[r.name]) for r in got)
+    assert all(np.array_equal(np.reshape(r.data, r["shape"]), pictures[r.name] if pictures[r.name].ndim == 2 else pictures[r.name][:, :, ::-1]) for r in got)
     assert png.decode_pnm(b"P5\n# c\n2 1\n255\n\x01\x02").tolist() == [[1, 2]]
     with pytest.raises(ValueError):
         png.decode_image(b"no image at all")
@@ -175,6 +175,24 @@ def test_images_and_tiles(spark, tmp_path):
         sources.decode_hgt(b"123")
 
 
+def test_images_that_the_jvm_decodes(spark, tmp_path):
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(6, 4, 1)  # RGB
+    for x in range(6):
+        for y in range(4):
+            image.setRGB(x, y, (200 << 16) | (100 << 8) | 30)
+    for kind in ("jpg", "bmp"):
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(tmp_path / f"a +%41 10.{kind}")))
+    (tmp_path / "a 2.png").write_bytes(png.encode_png(np.full((4, 6, 3), [200, 100, 30])))
+    got = sources.read_images(spark, str(tmp_path / "a *")).orderBy("seq").collect()
+    assert [r.name for r in got] == ["a +%41 10.bmp", "a +%41 10.jpg", "a 2.png"]
+    for r in got:
+        assert r["shape"] == [4, 6, 3] and r.dtype == "uint8" and np.abs(np.reshape(r.data, (4, 6, 3)) - [30, 100, 200]).max() <= 4
+    (tmp_path / "bad.jpg").write_bytes(b"no image")
+    with pytest.raises(Exception, match="no image"):
+        sources.data_source(spark, str(tmp_path / "bad.jpg")).collect()
+
+
 @pytest.mark.parametrize("filter_kind", range(5))
 def test_png_filters(filter_kind):
     import zlib
