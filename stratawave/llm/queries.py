@@ -30,6 +30,14 @@ def p6_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.merged(days, ["topic", "field"]), ["topic", "field"], SHARES)
 
 
+def p6_day_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact percentiles, and whether those from rounded summaries of the days are within their bound of them."""
+    exact, rounded = p6_percentiles(spark, sf_dir).alias("a"), p6_from_days(spark, sf_dir).alias("b")
+    key = F.col("a.topic").eqNullSafe(F.col("b.topic")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.share") == F.col("b.share"))
+    off = F.abs(F.col("b.value") - F.col("a.value"))
+    return exact.join(rounded, key).select("a.topic", "a.field", "a.share", "a.value", ((off <= F.abs(F.col("a.value")) * 2.0**-DAY_DIGITS) | (F.col("a.value") == F.col("b.value"))).alias("within"))
+
+
 def p6_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of every day over all topics."""
     counts = percentiles.frequencies(summaries(spark, sf_dir), ["day", "field"], "x")
@@ -91,7 +99,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", skeleton.canonical(F.col("text")).alias("text"))
 
 
-QUERIES = {q.__name__: q for q in (p6_percentiles, p6_from_days, p6_by_day, p7_found, p7_matches, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_classes, p10_texts)}
+QUERIES = {q.__name__: q for q in (p6_percentiles, p6_from_days, p6_day_errors, p6_by_day, p7_found, p7_matches, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_classes, p10_texts)}
 
 FIELDS_SQL = """rows AS (SELECT DISTINCT summary_id, topic, day, dt_mean, dt_max FROM describe_topic),
 fields AS (SELECT topic, day, 'dt_mean' AS field, dt_mean AS x FROM rows UNION ALL SELECT topic, day, 'dt_max', dt_max FROM rows),
@@ -118,6 +126,7 @@ best AS (SELECT DISTINCT ON (capture_id) * FROM near ORDER BY capture_id, distan
 ORACLE = {
     "p6_percentiles": percentile_sql("topic", "x + 0.0"),
     "p6_from_days": percentile_sql("topic", f"CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2.0, floor(log2(abs(x))) - {DAY_DIGITS - 1}), 0) * pow(2.0, floor(log2(abs(x))) - {DAY_DIGITS - 1}) END"),
+    "p6_day_errors": "SELECT topic, field, share, value, true AS within FROM (" + percentile_sql("topic", "x + 0.0") + ")",
     "p6_by_day": percentile_sql("day", "x + 0.0"),
     "p7_found": f"WITH {MATCH_SQL} SELECT capture_id, msg_id FROM best",
     "p7_matches": f"WITH {MATCH_SQL} SELECT capture_id, msg_id, round(distance, 6) AS distance, data FROM best JOIN (SELECT DISTINCT ON (msg_id) msg_id, data FROM message ORDER BY msg_id) USING (msg_id)",
