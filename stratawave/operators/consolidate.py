@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawave.operators import file_footer as ff
-from stratawave.operators.order import free
+from stratawave.operators.order import free, positions, running_sum
 from stratawave.session import changes, cut, importable, shared_dir, whole_groups, whole_tables
 
 TARGET_BYTES = 256 << 20
@@ -200,18 +200,18 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
     checked against those of the sources' footers when written, and in sum here: files
     against the listing, rows against the footers of all files not refused.
 
-    Files are spread over outputs by the hash of their path, so no task sees more than
-    about ``target_bytes`` of blocks and nothing is sorted or collected. With ``by_folder``
+    Files fill outputs in the order of their paths by the running sum of their sizes, so
+    that no output is larger than ``target_bytes`` and one more file. With ``by_folder``
     each folder below ``source`` has its own outputs, in a folder of the same name.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source).select("path", "length")
     root = spark._jvm.org.apache.hadoop.fs.Path(source)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
     folder = F.regexp_replace(F.substr("path", F.lit(len(base) + 2)), "/?[^/]*$", "") if by_folder else F.lit("")
-    placed = listing.withColumn("folder", folder)
-    bins = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("length") / target_bytes))
-    sizes = placed.groupBy("folder").agg(bins.alias("bins"))
-    tasks = sizes.agg(F.sum("bins")).first()[0] or 1
+    ordered = positions(listing.withColumn("folder", folder), ["folder"], ["path"], "place")
+    summed = running_sum(ordered, ["folder"], "place", {"upto": F.col("length")})
+    placed = cut(summed.select("path", "folder", F.floor((F.col("upto") - F.col("length")) / target_bytes).alias("bin")))
+    tasks = placed.groupBy("folder").agg((F.max("bin") + 1).alias("bins")).agg(F.sum("bins")).first()[0] or 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["folder", "bin"]):
@@ -219,12 +219,7 @@ def consolidate(spark: SparkSession, source: str, out_dir: str, target_bytes: in
                 if out := list(copy_blocks([(x, x) for x in part["path"]], f"{int(number):06d}", f"{out_dir}/{inner}".rstrip("/"))):
                     yield pd.DataFrame(out)
 
-    p, z = placed.alias("p"), sizes.alias("z")
-    report = (
-        p.join(z, F.col("p.folder") == F.col("z.folder")).select("p.path", "p.folder", F.pmod(F.xxhash64("p.path"), F.col("z.bins")).alias("bin"))
-        .repartition(int(tasks), "folder", "bin").sortWithinPartitions("folder", "bin", "path")
-        .mapInPandas(run, REPORT)
-    )
+    report = placed.repartition(int(tasks), "folder", "bin").sortWithinPartitions("folder", "bin", "path").mapInPandas(run, REPORT)
     done = cut(report)
     refused = done.filter("refused IS NOT NULL").select(F.col("file").alias("path"))
     footers = listing.select("path").mapInPandas(footer_rows, "path string, rows long")

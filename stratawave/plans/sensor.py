@@ -1102,12 +1102,6 @@ def project_dem(spark, sf_dir):
 WORLD, WORLD_CELL = (-20037508.0, -10018754.0), 801500.0
 
 
-@query(f"WITH {DEM}, q AS (SELECT CAST(i AS BIGINT) AS i, i % 40 AS c, i // 40 AS r FROM range(80) t(i)) SELECT i, round(z, 4) AS sample FROM q JOIN dem ON col = c AND row = r")
-def elevation_at_fixes(spark, sf_dir):
-    asked = spark.range(80).select(F.col("id").alias("i"), F.lit("part").alias("raster"), F.array(*geodesy.enu_to_navsat([(F.col("id") % 40) * 30.0, F.floor(F.col("id") / 40) * 30.0, F.lit(0.0)], 50.0, 8.0)).alias("fix"))
-    return raster.sample_elevation_at_navsat(dem(spark, sf_dir), asked, "fix", 50.0, 8.0, resolution=30.0).select("i", r6("sample", 4).alias("sample"))
-
-
 @query(f"""WITH {DEM}, {FIX}, p AS (SELECT nav_id, (radians(lon - 0) * 6378137 - {WORLD[0]}) / {WORLD_CELL} AS c, (radians(lat - 0) * 6378137 - {WORLD[1]}) / {WORLD_CELL} AS r FROM fixes),
 q AS (SELECT nav_id, greatest(0, least(rr, r)) AS r, greatest(0, least(cc, c)) AS c, rr, cc FROM p, h),
 k AS (SELECT *, CAST(floor(r) AS INT) AS r0, CAST(floor(c) AS INT) AS c0 FROM q), m AS (SELECT *, least(r0 + 1, rr) AS r1, least(c0 + 1, cc) AS c1, r - r0 AS fr, c - c0 AS fc FROM k)
