@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import partialmethod
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -163,14 +164,13 @@ class FrameGraph:
             out = self.edge(a, b, timestamp) @ out
         return out
 
-    def transform_points(self, points, source_frame: str, target_frame: str, timestamp: float | None = None) -> Column:
-        return apply_transform(points, self.lookup_transform(source_frame, target_frame, timestamp))
+    def transformed(self, rule, data, source_frame: str, target_frame: str, timestamp: float | None = None) -> Column:
+        """Data of one frame in another, by a rule that takes data and a 4x4 transform."""
+        return rule(data, self.lookup_transform(source_frame, target_frame, timestamp))
 
-    def transform_vectors(self, vectors, source_frame: str, target_frame: str, timestamp: float | None = None) -> Column:
-        return transform_vectors(vectors, self.lookup_transform(source_frame, target_frame, timestamp))
-
-    def transform_poses(self, poses, source_frame: str, target_frame: str, timestamp: float | None = None) -> Column:
-        return transform_poses(poses, self.lookup_transform(source_frame, target_frame, timestamp))
+    transform_points = partialmethod(transformed, apply_transform)
+    transform_vectors = partialmethod(transformed, transform_vectors)
+    transform_poses = partialmethod(transformed, transform_poses)
 
 
 def dem_grid_to_points(cells: DataFrame, x=None, y=None, resolution: float = 1.0, origin=(0.0, 0.0)) -> DataFrame:
