@@ -62,12 +62,11 @@ def p2_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments left of every topic, and its records as they are read back from the files that hold each once."""
     out, report = compacted(spark, sf_dir)
     schema = table(spark, sf_dir, "message").schema
+    records = cut(spark.read.schema(schema).parquet(out).groupBy("topic").agg(F.count(F.lit(1)).alias("records")))
+    removed(spark, out)
     blocks = report.filter("owned > 0").groupBy("topic").agg(F.countDistinct("fragment_id").alias("blocks"))
-    records = spark.read.schema(schema).parquet(out).groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
     b, r = blocks.alias("b"), records.alias("r")
-    found = cut(b.join(r, F.col("b.topic").eqNullSafe(F.col("r.topic"))).select("b.topic", "blocks", "records"))
-    removed(spark, out)
-    return found
+    return b.join(r, F.col("b.topic").eqNullSafe(F.col("r.topic"))).select("b.topic", "blocks", "records")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
