@@ -61,18 +61,23 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORED: dict[tuple[str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages from a store in the shared folder, which holds their seq: filters reach its files."""
+def shared_store(spark: SparkSession, sf_dir: str):
+    """The messages in a store in the shared folder, closed and with their seq."""
     import uuid
 
     from stratawave.sources.store import Store
 
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in STORED or not Store(spark, STORED[key]).exists("data"):
+    if key not in STORED or not Store(spark, STORED[key]).exists("manifest"):
         path = f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
         Store(spark, path).append(messages(spark, sf_dir), closed=True)
         STORED[key] = path
-    return Store(spark, STORED[key]).messages()
+    return Store(spark, STORED[key])
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as rows: filters reach the store's files."""
+    return shared_store(spark, sf_dir).messages()
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -791,12 +796,12 @@ def collate(spark, sf_dir):
 
 @query(f"WITH {MSGS} SELECT topic, count(*) AS count, true AS closed, max_by(name, seq) AS name FROM msgs GROUP BY 1")
 def store_manifest(spark, sf_dir):
-    return filled_store(spark, sf_dir).manifest().select("topic", "count", "closed", "name")
+    return shared_store(spark, sf_dir).manifest().select("topic", "count", "closed", "name")
 
 
 @query(f"WITH {MSGS} SELECT {OUT} FROM msgs WHERE topic = 'view' AND a BETWEEN 10 AND 30 AND ts BETWEEN {START} AND {END}")
 def store_query(spark, sf_dir):
-    return flat(filled_store(spark, sf_dir).topic("view").time_range(START, END).spatial_bounds((10,), (30,), (0,)).df)
+    return flat(shared_store(spark, sf_dir).topic("view").time_range(START, END).spatial_bounds((10,), (30,), (0,)).df)
 
 
 def filled_store(spark, sf_dir):
