@@ -20,7 +20,7 @@ from stratawave.session import changes, cut, importable, shared_dir, whole_group
 
 TARGET_BYTES = 256 << 20
 #: Bytes that one copy holds in memory, and bytes of a block that small blocks are joined to.
-COPY_BYTES, JOINED_BYTES = 8 << 20, 32 << 20
+COPY_BYTES, JOINED_BYTES = 8 << 20, 16 << 20
 #: What names a record, and what may differ between its copies.
 RECORD, COPY = ("source_uri", "topic", "msg_id"), ("fragment_id", "received_at")
 #: Ids whose blocks of 2 to this power meet in one task.
@@ -306,20 +306,26 @@ def compactor(columns: list[str], keys: list[str], out_dir: str, run: str, targe
                 schema = pq.read_metadata(pa.BufferReader(first.getvalue())).schema
                 fields = len(ff.get(like, 1)[1])
             blocks = pq.read_metadata(pa.BufferReader(landed))
+            pages, values, raw, rows, taken = [[] for _ in range(fields)], [0] * fields, [0] * fields, 0, 0
             for i in range(blocks.num_row_groups):
-                if output is None:
-                    output = Output(fs, f"{root}/part-{name}-{number:04d}.parquet", [list(f) for f in footer], schema)
                 block = blocks.row_group(i)
-                pages, counts = [], []
                 for k in range(fields):
                     column = block.column(k)
-                    pages.append(landed.slice(column.data_page_offset, column.total_compressed_size))
-                    counts.append((column.num_values, column.total_uncompressed_size))
-                output.join(like, block.num_rows, pages, counts, None)
-                output.sources += 1
-                if output.rows >= target_rows:
+                    pages[k].append(landed.slice(column.data_page_offset, column.total_compressed_size))
+                    values[k] += column.num_values
+                    raw[k] += column.total_uncompressed_size
+                rows, taken = rows + block.num_rows, taken + 1
+                full = (output.rows if output else 0) + rows >= target_rows
+                if full or i == blocks.num_row_groups - 1:
+                    if output is None:
+                        output = Output(fs, f"{root}/part-{name}-{number:04d}.parquet", [list(f) for f in footer], schema)
+                    output.join(like, rows, [b"".join(p) for p in pages], list(zip(values, raw)), None)
+                    output.sources += taken
+                    pages, values, raw, rows, taken = [[] for _ in range(fields)], [0] * fields, [0] * fields, 0, 0
+                if full:
                     yield finished()
                     output, number = None, number + 1
+            del landed, landing, blocks, pages
             at = pa.array(starts)
             yield pa.RecordBatch.from_arrays(
                 [table["topic"].take(at).combine_chunks(), table["fragment_id"].take(at).combine_chunks(), pa.array(held), pa.array(owned), pa.array(np.bincount(part, minlength=len(starts))), *(pa.nulls(len(starts), f.type) for f in list(PARTS)[5:])],
