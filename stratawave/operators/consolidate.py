@@ -137,6 +137,8 @@ class Output:
         counted = sum(found.row_group(i).num_rows for i in range(found.num_row_groups))
         if not found.schema.equals(self.like) or found.num_row_groups != len(self.groups) or counted != self.rows or found.num_rows != self.rows:
             raise ValueError(f"the blocks written to {self.final} do not match their sources")
+        if self.fs.get_file_info(self.final).is_file:  # of an attempt that was lost
+            self.fs.delete_file(self.final)
         self.fs.move(self.temporary, self.final)
         return self.at + len(tail) + 8
 
