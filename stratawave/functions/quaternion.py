@@ -165,14 +165,15 @@ def compensate_imu_gravity(imu, gravity=GRAVITY, orientation_maps_body_to_world:
 
 
 def angular_velocity(q0, q1, dt) -> v.Vector:
-    """Rate in the body frame that turns the first orientation into the second within ``dt``."""
+    """Rate in the body frame that turns the first orientation into the second within ``dt``; infinite (NaN about axes at rest) where that is 0."""
 
     def measured(s: Column) -> Column:
         x, y, z, w = v.unpack(s["q"], 4)
         return F.struct(s["q"].alias("q"), s["dt"].alias("dt"), F.sqrt(x * x + y * y + z * z).alias("s"), w.alias("w"))
 
     def rate(s: Column) -> Column:
-        k = F.when(s["s"] > 1e-12, 2 * F.atan2(s["s"], F.abs(s["w"])) / s["s"]).otherwise(2.0) * F.when(s["w"] < 0, -1.0).otherwise(1.0) / s["dt"]
+        sign = F.when(s["w"] < 0, -1.0).otherwise(1.0)
+        k = F.when(s["dt"] == 0, sign * float("inf")).otherwise(F.when(s["s"] > 1e-12, 2 * F.atan2(s["s"], F.abs(s["w"])) / s["s"]).otherwise(2.0) * sign / s["dt"])
         return F.transform(F.slice(s["q"], 1, 3), lambda x: x * k)
 
     between = unit(v.packed(multiply(conjugate(q0), q1)))

@@ -191,10 +191,20 @@ def frame_is_body(frame: str) -> bool:
     return frame.lower() == "body"
 
 
-def angular_velocity_from_quaternions(df: DataFrame, orientation: str = "orientation", angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",)) -> DataFrame:
-    """Adds omega: inside, the mean of the rates of the steps before and behind a row; zero for a single row."""
+def angular_velocity_from_quaternions(df: DataFrame, orientation: str = "orientation", angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",), increasing: bool = True) -> DataFrame:
+    """Adds omega: inside, the mean of the rates of the steps before and behind a row; zero for a single row.
+
+    Times that don't increase along seq are an error. With ``increasing`` false they are
+    taken as they are: a step back in time turns the rate's sign, a step of no time has an
+    infinite rate.
+    """
     body = frame_is_body(angular_velocity_frame)
     near = with_neighbours(df, by, "seq", ["ts", orientation])
+    return (near.withColumn("ts", strict(near)) if increasing else near).select(*df.columns, turn_rate(orientation, body).alias("omega"))
+
+
+def turn_rate(orientation: str, body: bool) -> Column:
+    """The mean of the rates of both steps, where :func:`with_neighbours` has added ts and orientation."""
 
     def rate(a, b, dt) -> Column:
         w = q.angular_velocity(a, b, dt)
@@ -204,8 +214,8 @@ def angular_velocity_from_quaternions(df: DataFrame, orientation: str = "orienta
     back = rate(F.col(f"prev_{orientation}"), here, F.col("ts") - F.col("prev_ts"))
     ahead = rate(here, F.col(f"next_{orientation}"), F.col("next_ts") - F.col("ts"))
     zero = F.array_repeat(F.lit(0.0), 3)
-    omega = F.when(F.col("prev_ts").isNull() & F.col("next_ts").isNull(), zero).when(F.col("prev_ts").isNull(), ahead).when(F.col("next_ts").isNull(), back).otherwise(lerp(back, ahead, F.lit(0.5)))
-    return near.withColumn("ts", strict(near)).select(*df.columns, omega.alias("omega"))
+    mean = F.zip_with(back, ahead, lambda x, y: (x + y) / 2)
+    return F.when(F.col("prev_ts").isNull() & F.col("next_ts").isNull(), zero).when(F.col("prev_ts").isNull(), ahead).when(F.col("next_ts").isNull(), back).otherwise(mean)
 
 
 def differentiate_trajectory(df: DataFrame, angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",)) -> DataFrame:

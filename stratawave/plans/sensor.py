@@ -1021,7 +1021,7 @@ def turning(spark, sf_dir):
 
 @query(f"WITH {NEAR} SELECT topic, seq, round(CASE WHEN hs IS NULL THEN 0.1 / hd WHEN hd IS NULL THEN 0.1 / hs ELSE (0.1 / hs + 0.1 / hd) / 2 END, 8) AS wz FROM h")
 def angular_velocity(spark, sf_dir):
-    w = trajectory.angular_velocity_from_quaternions(turning(spark, sf_dir))
+    w = trajectory.angular_velocity_from_quaternions(turning(spark, sf_dir), increasing=False)  # as its SQL, over times in any order
     return w.select("topic", "seq", r6(F.get("omega", F.lit(2)), 8).alias("wz"))
 
 

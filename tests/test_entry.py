@@ -79,3 +79,18 @@ def test_elevation_of_every_fix(spark):
     got = {r.nav_id: r.sample for r in e.queries()["elevation_at_all_fixes"](spark, SMALL).collect()}
     fixes = con.execute('SELECT count(DISTINCT nav_id) FROM navsensor WHERE "timestamp" IS NOT NULL AND len(data) = 3 AND abs(data[1]) <= 90 AND abs(data[2]) <= 180').fetchone()[0]
     assert len(got) == len(want) == fixes and got == pytest.approx(want, abs=1e-3)
+
+
+@HERE
+@pytest.mark.parametrize("name", ("angular_velocity",))
+def test_agrees_with_sql_where_times_go_back(spark, name, tmp_path):
+    """Over events of which each copy begins at the time of the first again."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id + k * 1000 AS event_id, ts, user_id, event_type, value, props FROM '{SMALL}/events.parquet', range(3) t(k) WHERE event_id < 200) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    found = con.execute(e.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    plain = lambda rows: sorted(repr(tuple(float(f"{x:.8g}") + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
+    assert plain(tuple(r) for r in e.queries()[name](spark, str(tmp_path)).select(*columns).collect()) == plain(found.fetchall())

@@ -151,6 +151,14 @@ def test_motion(spark):
         rows(tr.integrate_orientations(path(spark, [0, 1, 1], np.zeros((3, 3)))))
 
 
+def test_rates_over_times_that_go_back(spark):
+    poses = path(spark, [0, 2, 1, 1, 5], np.zeros((5, 3)), [yaw(0.5 * i) for i in range(5)])
+    got = [r.omega[2] for r in rows(tr.angular_velocity_from_quaternions(poses, increasing=False))]
+    assert got == pytest.approx([0.25, -0.125, math.inf, math.inf, 0.125])
+    with pytest.raises(Exception, match="increase"):
+        rows(tr.angular_velocity_from_quaternions(poses))
+
+
 def test_orientation_products_over_blocks(spark):
     rng = np.random.default_rng(3)
     n = 40
