@@ -15,7 +15,7 @@ from stratawave.functions import quaternion as q
 from stratawave.functions import vectors as v
 from stratawave.operators.align import around, grid, lerp
 from stratawave.operators.order import BLOCK, bordered, same, with_neighbours
-from stratawave.operators.windows import differentiate_timeseries, neighbour_gradient, smooth_timeseries
+from stratawave.operators.windows import ieee_divide, neighbour_gradient, smooth_timeseries
 from stratawave.session import changes, cut, whole_groups, whole_tables
 
 STATES = ("position", "orientation", "linear_velocity", "angular_velocity", "linear_acceleration")
@@ -218,12 +218,23 @@ def turn_rate(orientation: str, body: bool) -> Column:
     return F.when(F.col("prev_ts").isNull() & F.col("next_ts").isNull(), zero).when(F.col("prev_ts").isNull(), ahead).when(F.col("next_ts").isNull(), back).otherwise(mean)
 
 
-def differentiate_trajectory(df: DataFrame, angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",)) -> DataFrame:
-    """Velocities from position and orientation, acceleration from velocity."""
-    out = cut(angular_velocity_from_quaternions(df, "orientation", angular_velocity_frame, by).withColumn("angular_velocity", F.col("omega")).drop("omega"))
-    out = cut(differentiate_timeseries(out, "position", by).withColumn("linear_velocity", F.col("derivative")).drop("derivative"))
-    out = differentiate_timeseries(out, "linear_velocity", by).withColumn("linear_acceleration", F.col("derivative")).drop("derivative")
-    return with_pose(out)
+def differentiate_trajectory(df: DataFrame, angular_velocity_frame: str = "body", by: Sequence[str] = ("topic",), increasing: bool = True) -> DataFrame:
+    """Velocities from position and orientation, acceleration from velocity.
+
+    Times that don't increase along seq are an error, or with ``increasing`` false taken as
+    they are, as :func:`angular_velocity_from_quaternions` does; a step of no time then has
+    infinite or undefined (NaN) derivatives.
+    """
+    body = frame_is_body(angular_velocity_frame)
+    divide = F.try_divide if increasing else ieee_divide
+    near = with_neighbours(df, by, "seq", ["ts", "orientation", "position"])
+    if increasing:
+        near = near.withColumn("ts", strict(near))
+    rates = {"angular_velocity": turn_rate("orientation", body), "linear_velocity": F.when(F.size("position") > 0, neighbour_gradient("position", divide))}
+    moved = cut(near.select(*(c for c in df.columns if c not in rates), *(x.alias(c) for c, x in rates.items())))
+    near = with_neighbours(moved, by, "seq", ["ts", "linear_velocity"])
+    acceleration = F.when(F.size("linear_velocity") > 0, neighbour_gradient("linear_velocity", divide))
+    return with_pose(near.withColumn("linear_acceleration", acceleration).select(*dict.fromkeys([*df.columns, *rates, "linear_acceleration"])))
 
 
 def hamilton(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -89,17 +89,23 @@ def smooth_timeseries(df: DataFrame, value: str = "data", window_size: int = 3,
     return joined.select(*(F.col(f"a.`{c}`") for c in df.columns), smoothed.alias("smoothed"))
 
 
-def gradient(before: Column, here: Column, after: Column, back: Column, ahead: Column) -> Column:
-    """Second-order derivative for uneven steps; one-sided where a neighbour is missing; null for a single row and where times repeat."""
-    inner = F.try_divide(back * back * after + (ahead * ahead - back * back) * here - ahead * ahead * before, back * ahead * (back + ahead))
-    return F.when(before.isNull(), F.try_divide(after - here, ahead)).when(after.isNull(), F.try_divide(here - before, back)).otherwise(inner)
+def ieee_divide(x: Column, by: Column) -> Column:
+    """x / by, with infinities and NaN where ``by`` is 0."""
+    infinite = F.when(F.atan2(F.lit(0.0), by) > 0, float("-inf")).otherwise(float("inf"))  # by the sign of zero
+    return F.when(by == 0, x * infinite).otherwise(x / by)
 
 
-def neighbour_gradient(value: str) -> Column:
+def gradient(before: Column, here: Column, after: Column, back: Column, ahead: Column, divide=F.try_divide) -> Column:
+    """Second-order derivative for uneven steps; one-sided where a neighbour is missing; null for a single row and, unless ``divide`` has it otherwise, where times repeat."""
+    inner = divide(back * back * after + (ahead * ahead - back * back) * here - ahead * ahead * before, back * ahead * (back + ahead))
+    return F.when(before.isNull(), divide(after - here, ahead)).when(after.isNull(), divide(here - before, back)).otherwise(inner)
+
+
+def neighbour_gradient(value: str, divide=F.try_divide) -> Column:
     """The gradient of each element of an array column by ts, where :func:`with_neighbours` has added both."""
     back, ahead = F.col("ts") - F.col("prev_ts"), F.col("next_ts") - F.col("ts")
     p, n = F.col(f"prev_{value}"), F.col(f"next_{value}")
-    return F.transform(F.sequence(F.lit(0), F.size(value) - 1), lambda i: gradient(F.get(p, i), F.get(F.col(value), i), F.get(n, i), back, ahead))
+    return F.transform(F.sequence(F.lit(0), F.size(value) - 1), lambda i: gradient(F.get(p, i), F.get(F.col(value), i), F.get(n, i), back, ahead, divide))
 
 
 def differentiate_timeseries(df: DataFrame, value: str = "data", by: Sequence[str] = ("topic",), order: str = "seq") -> DataFrame:

@@ -159,6 +159,20 @@ def test_rates_over_times_that_go_back(spark):
         rows(tr.angular_velocity_from_quaternions(poses))
 
 
+def test_derivatives_over_times_that_go_back(spark):
+    x = np.array([0.0, 1, 4, 2, 5, 3])
+    ts = np.array([0.0, 2, 5, 1, 3, 4])
+    back = path(spark, ts, np.column_stack([x, -x, 0 * x]), [yaw(0.5 * i) for i in range(6)])
+    got = rows(tr.differentiate_trajectory(back, increasing=False))
+    speed = np.gradient(x, ts)
+    assert [r.linear_velocity[0] for r in got] == pytest.approx(speed) and [r.linear_velocity[1] for r in got] == pytest.approx(-speed)
+    assert [r.linear_acceleration[0] for r in got] == pytest.approx(np.gradient(speed, ts)) and got[2].angular_velocity[2] == pytest.approx((0.5 / 3 - 0.5 / 4) / 2)
+    level = rows(tr.differentiate_trajectory(path(spark, [0, 1, 1], [[0] * 3, [1] * 3, [3] * 3]), increasing=False))
+    assert [r.linear_velocity[0] for r in level] == [1, math.inf, math.inf]
+    with pytest.raises(Exception, match="increase"):
+        rows(tr.differentiate_trajectory(back))
+
+
 def test_orientation_products_over_blocks(spark):
     rng = np.random.default_rng(3)
     n = 40
