@@ -251,7 +251,7 @@ def window_rows(spark, sf_dir):
 @query(f"""WITH {MSGS}, w AS (SELECT x.topic, x.seq, y.seq AS s, y.a, row_number() OVER (PARTITION BY x.topic, x.seq ORDER BY y.seq DESC) AS k FROM msgs x JOIN msgs y ON x.topic = y.topic AND y.ts >= x.ts - 1200 AND y.seq <= x.seq)
 SELECT topic, seq, count(*) AS count, round(sum(a), 4) AS total FROM w WHERE k <= 8 GROUP BY 1, 2""")
 def window_seconds(spark, sf_dir):
-    w = windows.window_topic(messages(spark, sf_dir), size=8, seconds=1200.0)
+    w = windows.window_topic(messages(spark, sf_dir).select("topic", "seq", "ts", "name", "data"), size=8, seconds=1200.0)
     return w.select("topic", "seq", F.size("window").cast("long").alias("count"), r6(F.aggregate("window", F.lit(0.0), lambda s, x: s + F.get(x["data"], F.lit(0))), 4).alias("total"))
 
 

@@ -82,7 +82,7 @@ def test_elevation_of_every_fix(spark):
 
 
 @HERE
-@pytest.mark.parametrize("name", ("angular_velocity", "differentiated_trajectory"))
+@pytest.mark.parametrize("name", ("angular_velocity", "differentiated_trajectory", "window_seconds"))
 def test_agrees_with_sql_where_times_go_back(spark, name, tmp_path):
     """Over events of which each copy begins at the time of the first again."""
     import duckdb

@@ -160,6 +160,20 @@ def test_windows(spark):
     assert names(windows.window_topic(tied, size=2, seconds=0.5)) == [["n0"], ["n0", "n1"], ["n1", "n2"], ["n3"]]
 
 
+@pytest.mark.parametrize("block", (4, 1000))
+def test_bounded_windows_over_times_in_any_order(spark, block):
+    rng = np.random.default_rng(5)
+    times = {"any": rng.integers(0, 30, 60), "rising": np.cumsum(rng.integers(0, 9, 60)), "falling": 200 - 3 * np.arange(60), "copies": np.tile(np.arange(0, 60, 3), 3), "few": [7], "unset": np.where(rng.random(40) < 0.3, np.nan, rng.integers(0, 20, 40))}
+    df = None
+    for name, ts in times.items():
+        one = topic(spark, [(x, [i]) for i, x in enumerate(ts)], name)
+        df = one if df is None else df.unionByName(one)
+    for size, seconds in ((1, 5), (3, 6), (8, 0)):
+        got = {(r.topic, r.seq): [x.seq for x in r.window] for r in windows.recent_rows_before(df, ["topic"], ["ts", "seq", "name", "data"], size, seconds, block).collect()}
+        want = {(name, i): [j for j in range(i + 1) if ts[j] >= ts[i] - seconds][-size:] for name, ts in times.items() for i in range(len(ts))}
+        assert got == want
+
+
 def test_smooth_gradient_integral_speed(spark):
     rng = np.random.default_rng(2)
     ts, x = np.cumsum(rng.uniform(0.1, 1, 40)), rng.normal(0, 1, (40, 2))
