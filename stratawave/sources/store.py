@@ -297,8 +297,8 @@ class DataBuffer:
     def get_last_seconds(self, axis: str, seconds: float) -> DataFrame:
         return self.topic(axis).last_seconds(seconds).df
 
-    def topic_view(self, axis: str):
-        return self.topic(axis).collect().get(axis)
+    def topic_view(self, axis: str, columns: Sequence[str] | None = None):
+        return self.topic(axis).collect(columns=columns).get(axis)
 
     def map_topic(self, axis: str, fn) -> DataFrame:
         return self.topic(axis).map(fn).df

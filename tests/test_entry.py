@@ -94,3 +94,16 @@ def test_agrees_with_sql_where_times_go_back(spark, name, tmp_path):
     columns = [c[0] for c in found.description]
     plain = lambda rows: sorted(repr(tuple(float(f"{x:.8g}") + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
     assert plain(tuple(r) for r in e.queries()[name](spark, str(tmp_path)).select(*columns).collect()) == plain(found.fetchall())
+
+
+@HERE
+def test_buffer_reads_keeps_no_rows_on_the_driver(spark, monkeypatch):
+    import duckdb
+
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, _own=type(spark).createDataFrame, **k: (made.append(len(data)), _own(self, data, *a, **k))[1])
+    got = {(r.backend, r.way): (r.n, r.total, r.seqs) for r in e.queries()["buffer_reads"](spark, SMALL).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    want = {(r[0], r[1]): r[2:] for r in con.execute(e.oracle_sql()["buffer_reads"]).fetchall()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want) and max(made) < 10

@@ -160,6 +160,12 @@ def test_windows(spark):
     assert names(windows.window_topic(tied, size=2, seconds=0.5)) == [["n0"], ["n0", "n1"], ["n1", "n2"], ["n3"]]
 
 
+def test_collected_columns(spark):
+    both = abcd(spark).unionByName(topic(spark, [(0, [7, 7])], "u"))
+    got = Dataset(both).collect(columns=["seq", "data"])
+    assert list(got) == ["t", "u"] and list(got["t"]) == ["seq", "data"] and list(got["t"]["seq"]) == [0, 1, 2, 3] and list(got["u"]["data"][0]) == [7, 7]
+
+
 @pytest.mark.parametrize("block", (4, 1000))
 def test_bounded_windows_over_times_in_any_order(spark, block):
     rng = np.random.default_rng(5)
